@@ -28,10 +28,10 @@ def _letter_maps() -> tuple[str, str, dict[str, str]]:
     for point in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)):
         letter = chr(point)
         plain = unicodedata.normalize("NFKD", letter).encode("ascii", "ignore").decode()
-        if len(plain) == 1 and plain.strip():
+        if len(plain) == 1:
             source.append(letter)
             target.append(plain)
-        elif len(plain) > 1 and plain.strip() == plain:
+        elif len(plain) > 1:
             longer[letter] = plain
     return "".join(source), "".join(target), longer
 
