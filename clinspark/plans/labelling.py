@@ -26,6 +26,7 @@ def apply_lfs(
     context: ContextWindow = TOKEN_CONTEXT,
     span_date: Column | None = None,
     known_lfs: Sequence[str] | None = None,
+    keys: Sequence[str] = ("person_id", "note_id", "note_date"),
 ) -> DataFrame:
     """Notes -> one row per span with a column per labelling function and the span context.
 
@@ -39,7 +40,7 @@ def apply_lfs(
         notes = notes.join(events.select("person_id").distinct(), "person_id", "left_semi")
     contexts = context_columns(patterns)
     spans = extract_spans(
-        notes, span_patterns, keys=("person_id", "note_id", "note_date"), contexts={"context": context, **contexts}
+        notes, span_patterns, keys=keys, contexts={"context": context, **contexts}
     )
     spans = pattern_lfs(spans, patterns, contexts).drop(*contexts)
     if events is not None:
@@ -47,7 +48,7 @@ def apply_lfs(
         dated = spans.withColumn("span_date", date)
         spans = external_lfs(dated, events, knowledge_lfs, "span_date", threshold_days).drop("span_date")
     spans = logical_lfs(spans, rules)
-    base = ["person_id", "note_id", "note_date", "span_id", "lexical_variant", "label", "start", "end", "context"]
+    base = [*keys, "span_id", "lexical_variant", "label", "start", "end", "context"]
     return spans.select(*base, *[c for c in spans.columns if c not in base])
 
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from queries import claims, cohorts  # noqa: F401
+from queries import claims, cohorts, spans  # noqa: F401
 from queries.registry import ORACLES, QUERIES  # noqa: F401
