@@ -371,7 +371,7 @@ def _spans_sql() -> str:
         )
     inner = " UNION ALL ".join(parts)
     return f"""
-      SELECT *, start + length(lexical_variant) AS "end",
+      SELECT *, CAST(start + length(lexical_variant) AS INTEGER) AS "end",
              md5('span|' || note_id || '|' || person_id || '|' || note_date || '|' || label || '|' || start || '|' || (start + length(lexical_variant))) AS span_id
       FROM (SELECT note_id, person_id, note_date, label, note_text, m[i] AS lexical_variant,
               CAST(list_sum(list_transform(g[1:i], lambda z: length(z)))
