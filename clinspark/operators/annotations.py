@@ -123,6 +123,8 @@ def process_annotations(
 
     `task_names` maps the label of a task to its column name (the whole task dimension, in order).
     """
+    # Contexts are cut first, so that no later step carries a text per entity.
+    entities = entities.withColumn("context", char_context("note_text", "begin", "end", context_window)).drop("note_text")
     if subset_notes is not None:
         documents = documents.join(subset_notes.select("note_id").distinct(), "note_id", "left_semi")
         entities = entities.join(subset_notes.select("note_id").distinct(), "note_id", "left_semi")
@@ -134,10 +136,9 @@ def process_annotations(
     labels = list(task_names)
     flags = propagate_labels(pivot_labels(overlap_spans(highlights, dates), labels), rules)
     named = flags.select("note_id", "begin", "end", *[F.col(f"`{k}`").alias(v) for k, v in task_names.items()])
-    rows = dates.withColumn("context", char_context("note_text", "begin", "end", context_window)).drop("note_text")
-    joined = rows.join(named, ["note_id", "begin", "end"], "left")
+    joined = dates.join(named, ["note_id", "begin", "end"], "left")
     votes = [encode_labels(F.coalesce(F.col(v), F.lit(False)), positive, negative).alias(v) for v in task_names.values()]
-    return joined.select(*rows.columns, *votes).withColumnRenamed("begin", "start")
+    return joined.select(*dates.columns, *votes).withColumnRenamed("begin", "start")
 
 
 def annotated_entities(

@@ -8,8 +8,13 @@ from clinspark.functions.keys import HASH_DIGITS, key_hash
 
 # Upper bound on the keys whose totals travel by broadcast; the largest groups come first.
 LARGEST_GROUPS = 1000
+# A group with fewer rows than this fits one task and is left alone.
+LARGE_ROWS = 100_000
 # Number of ways in which the rows of a large group are spread over the shuffle.
 SPREAD = 997
+# Keys and copies used when a join has a few very large keys on one side.
+LARGEST_KEYS = 100
+COPIES = 200
 # Up to this size the n smallest rows are kept with an ordered limit.
 ORDERED_LIMIT = 100_000
 
@@ -18,7 +23,7 @@ def _as_column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def with_group_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
+def with_group_totals(df: DataFrame, keys: Sequence[str], large_rows: int = LARGE_ROWS, **aggregates: Column) -> DataFrame:
     """Add per-group aggregates to every row, like an unordered window.
 
     Totals are pre-aggregated before the shuffle. Those of the largest groups are broadcast (never more
@@ -29,7 +34,8 @@ def with_group_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column)
         F.struct(*[e.alias(n) for n, e in aggregates.items()]).alias("_total"), F.count(F.lit(1)).alias("_rows")
     )
     largest = (
-        totals.orderBy(F.desc("_rows"), *names)
+        totals.filter(F.col("_rows") >= large_rows)
+        .orderBy(F.desc("_rows"), *names)
         .limit(LARGEST_GROUPS)
         .select(*[F.col(n).alias(f"{n}h") for n in names], F.col("_total").alias("_large"))
     )
@@ -53,6 +59,30 @@ def with_group_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column)
     return joined.select(*df.columns, *[picked[name].alias(name) for name in aggregates])
 
 
+def largest_keys(df: DataFrame, keys: Sequence[str], n: int = LARGEST_KEYS, large_rows: int = LARGE_ROWS) -> DataFrame:
+    """The n keys with most rows, of those with many: a frame that is always small enough to broadcast."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= large_rows)
+    return counts.orderBy(F.desc("_rows"), *keys).limit(n).select(*keys)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], large: DataFrame | None = None) -> DataFrame:
+    """Left join with a side that has one row per key, when a few keys may hold most rows of the left side.
+
+    `large` is a result of `largest_keys` over some of the join keys. Rows of these keys are spread over
+    COPIES shuffle keys by content, and only their right rows are copied; the result is that of a plain join.
+    """
+    if large is None:
+        return left.join(right, list(keys), "left")
+    on = list(large.columns)
+    marked = F.broadcast(large.distinct().withColumn("_is_large", F.lit(True)))
+    home = F.pmod(F.xxhash64(*left.columns), F.lit(COPIES)).cast("int")
+    tagged = left.join(marked, on, "left").withColumn("_copy", F.when(F.col("_is_large"), home).otherwise(F.lit(0)))
+    copies = F.when(F.col("_is_large"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(marked, on, "left").withColumn("_copy", F.explode(copies)).drop("_is_large")
+    joined = tagged.drop("_is_large").join(copied, [*keys, "_copy"], "left").drop("_copy")
+    return joined.select(*left.columns, *[c for c in right.columns if c not in keys])
+
+
 def ordered_rank(
     df: DataFrame, bucket: Column, order: Sequence[Column], name: str, within: Sequence[str] = (), upto=None
 ) -> DataFrame:

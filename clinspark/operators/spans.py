@@ -68,41 +68,13 @@ def extract_spans(
     Matches are leftmost and non-overlapping per label; whole texts are searched; start is 0-based, end exclusive.
     """
     contexts = dict(contexts or {})
-    compiled = [(label, re.compile(pattern)) for label, pattern in patterns.items()]
-    shown = list(contexts.values())
-    needs_sentences = any(w.sentences is not None for w in shown)
-    needs_words = any(w.words is not None for w in shown)
-    search_folded = channel == "NORM"
-    needs_folded = search_folded or any(w.norm for w in shown)
-    accents = str.maketrans(*accent_table())
-    sentence_end, word_end = re.compile(SENTENCE_END), re.compile(WORD_END)
-    names = ["label", "lexical_variant", "start", "end", *contexts]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * len(contexts)]
+    search, names, kinds = _searcher(patterns, contexts, channel)
 
     def find(batches):
         for batch in batches:
             rows, columns = [], [[] for _ in names]
             for row, raw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if not raw:
-                    continue
-                folded = raw.translate(accents).lower() if needs_folded else raw
-                found = [
-                    (label, m.start(), m.end())
-                    for label, pattern in compiled
-                    for m in pattern.finditer(folded if search_folded else raw)
-                    if m.end() > m.start()
-                ]
-                sentence_starts = _starts(raw, sentence_end) if found and needs_sentences else None
-                word_starts = _starts(raw, word_end) if found and needs_words else None
-                rows += [row] * len(found)
-                for label, start, end in found:
-                    columns[0].append(label)
-                    columns[1].append(raw[start:end])
-                    columns[2].append(start)
-                    columns[3].append(end)
-                    for column, window in zip(columns[4:], shown):
-                        begin, stop = window.bounds(len(raw), start, end, sentence_starts, word_starts)
-                        column.append((folded if window.norm else raw)[begin:stop])
+                rows += [row] * search(raw, columns)
             taken = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
             values = [pa.array(c, k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(taken + values, [*batch.schema.names[:-1], *names])
@@ -110,6 +82,42 @@ def extract_spans(
     return _with_span_id(_map_texts(notes, keys, text, find, names, kinds), keys)
 
 
+def _searcher(patterns: Mapping[str, str], contexts: Mapping[str, ContextWindow], channel: str):
+    """Function (text, columns) -> number of spans, which appends one value per span to each column."""
+    compiled = [(label, re.compile(pattern)) for label, pattern in patterns.items()]
+    shown = list(contexts.values())
+    needs_sentences = any(w.sentences is not None for w in shown)
+    needs_words = any(w.words is not None for w in shown)
+    search_folded = channel == "NORM"
+    needs_folded = search_folded or any(w.norm for w in shown)
+    accents = str.maketrans(*accent_table())
+    sentence_end, word_end = re.compile(SENTENCE_END), re.compile(WORD_END)
+
+    def search(raw, columns) -> int:
+        if not raw:
+            return 0
+        folded = raw.translate(accents).lower() if needs_folded else raw
+        found = [
+            (label, m.start(), m.end())
+            for label, pattern in compiled
+            for m in pattern.finditer(folded if search_folded else raw)
+            if m.end() > m.start()
+        ]
+        sentence_starts = _starts(raw, sentence_end) if found and needs_sentences else None
+        word_starts = _starts(raw, word_end) if found and needs_words else None
+        for label, start, end in found:
+            for column, value in zip(columns, (label, raw[start:end], start, end)):
+                column.append(value)
+            for column, window in zip(columns[4:], shown):
+                begin, stop = window.bounds(len(raw), start, end, sentence_starts, word_starts)
+                column.append((folded if window.norm else raw)[begin:stop])
+        return len(found)
+
+    names = ["label", "lexical_variant", "start", "end", *contexts]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * len(contexts)]
+    return search, names, kinds
+
+
 def spread_few_files(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Spread rows over the cores when the input has fewer files than cores; otherwise the scan is kept as it is.
 
@@ -172,31 +180,47 @@ def spans_to_rows(
     return rows.select("note_id", *doc_attributes, *base, *[F.col(f"_s.{a}").alias(a) for a in attributes])
 
 
+def span_lists(
+    notes: DataFrame, patterns: Mapping[str, str] = DATE_PATTERNS, text: str = "note_text", name: str = "spans"
+) -> DataFrame:
+    """Notes with an array of their spans: no row is moved."""
+    search, names, kinds = _searcher(patterns, {}, "TEXT")
+
+    def find(texts: pa.Array) -> pa.Array:
+        offsets, columns = [0], [[] for _ in names]
+        for raw in texts.to_pylist():
+            offsets.append(offsets[-1] + search(raw, columns))
+        values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+    kind = "array<struct<label:string,lexical_variant:string,start:int,end:int>>"
+    return notes.withColumn(name, F.arrow_udf(find, kind)(F.col(text)))
+
+
 def preannotate(
     notes: DataFrame, patterns: Mapping[str, str] = DATE_PATTERNS, order: str = "annotation_order"
 ) -> DataFrame:
     """Notes with automatic entities, marked as not seen, ready for annotation; notes without entities stay."""
     optional = [c for c in (order, "visit_start_datetime") if c in notes.columns]
-    entity = F.struct(
-        F.col("start").alias("begin"),
-        "end",
-        "label",
-        F.col("lexical_variant").alias("text"),
-        joined_id(F.lit("automatic"), "label", "start", "end").alias("id"),
+    ordered = F.array_sort(
+        F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["label"], s["lexical_variant"].alias("text")))
+    )
+    entities = F.transform(
+        ordered,
+        lambda s: F.struct(
+            joined_id(F.lit("automatic"), s["label"], s["start"], s["end"]).alias("id"),
+            s["text"].alias("text"),
+            s["label"].alias("label"),
+            s["start"].alias("begin"),
+            s["end"].alias("end"),
+        ),
     )
-    # One note is one row, so its spans (bounded by its own text) fit one row as well.
-    entities = extract_spans(notes, patterns).groupBy("note_id").agg(F.sort_array(F.collect_list(entity)).alias("_ents"))
-    shaped = F.transform(
-        F.coalesce("_ents", F.array().cast(entities.schema["_ents"].dataType)),
-        lambda s: F.struct(s["id"].alias("id"), s["text"].alias("text"), s["label"].alias("label"),
-                           s["begin"].alias("begin"), s["end"].alias("end")),
-    )
-    return notes.join(entities, "note_id", "left").select(
+    return span_lists(notes, patterns, name="_spans").select(
         F.col("note_id").cast("string").alias("note_id"),
         F.col("person_id").cast("string").alias("person_id"),
         F.col("note_date").cast("string").alias("note_date"),
         "note_text",
         *optional,
         F.lit(False).alias("seen"),
-        shaped.alias("entities"),
+        entities.alias("entities"),
     )

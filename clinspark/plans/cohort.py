@@ -204,17 +204,25 @@ def patient_cohort(
 def cohort_notes(
     cohort: DataFrame, hospital_groups: DataFrame, notes: DataFrame, visits: DataFrame, group: str | None = None, **eligibility
 ) -> DataFrame:
-    """Eligible notes of cohort persons written in the hospital group of the person's cohort row."""
+    """Eligible notes of cohort persons written in the hospital group of the person's cohort row.
+
+    The joins run on ids; the texts are only joined to the chosen note ids at the end.
+    """
     persons = keep_one(
         cohort.select("person_id", "care_site_id", "localisation_first_date"),
         sort_column="localisation_first_date",
         tie_break=["care_site_id"],
     )
-    sites = hospital_groups.select("care_site_id", F.col("hospital_group"))
+    sites = hospital_groups.select("care_site_id", "hospital_group")
     persons = persons.join(sites, "care_site_id").select("person_id", F.col("hospital_group").alias("_person_group"))
-    written = eligible_notes(notes, **eligibility)
-    if "care_site_id" not in notes.columns:
+    eligible = eligible_notes(notes, **eligibility)
+    if "care_site_id" in notes.columns:
+        written = eligible.select("note_id", "person_id", "care_site_id")
+    else:
+        written = eligible.select("note_id", "person_id", "visit_occurrence_id")
         written = written.join(visits.select("visit_occurrence_id", "care_site_id"), "visit_occurrence_id")
     written = written.join(sites, "care_site_id").join(persons, "person_id")
-    written = written.filter(F.col("hospital_group") == F.col("_person_group")).drop("_person_group")
-    return written if group is None else written.filter(F.col("hospital_group") == group)
+    written = written.filter(F.col("hospital_group") == F.col("_person_group"))
+    if group is not None:
+        written = written.filter(F.col("hospital_group") == group)
+    return notes.join(written.select("note_id", "hospital_group"), "note_id")

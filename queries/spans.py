@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from clinspark.functions.text import DATE_REGEX, char_context
 from clinspark.operators import lfs, spans as sp
+from clinspark.operators.groups import largest_keys
 from clinspark.plans import labelling as lb
 from queries import adapters as ad
 from queries.adapters import with_ctes
@@ -113,7 +114,8 @@ def lf_preannotate(spark, d):
     ),
 )
 def lf_external(spark, d):
-    rows = lfs.external_lf(ad.spans(spark, d), ad.knowledge_rows(spark, d), "votes", "note_date")
+    large = largest_keys(ad.notes(spark, d), ["person_id"])
+    rows = lfs.external_lf(ad.spans(spark, d), ad.knowledge_rows(spark, d), "votes", "note_date", large=large)
     return rows.select("span_id", F.array_join("votes", "|").alias("votes"))
 
 
@@ -140,7 +142,7 @@ def j_temporal_exact(spark, d):
     ),
 )
 def j_temporal_window(spark, d):
-    rows = lfs.external_lf(ad.spans(spark, d), ad.knowledge_rows(spark, d), "votes", "note_date", threshold_days=2)
+    rows = lfs.external_lf(ad.spans(spark, d), ad.knowledge_rows(spark, d), "votes", "note_date", 2, largest_keys(ad.notes(spark, d), ["person_id"]))
     return rows.select("span_id", F.array_join("votes", "|").alias("votes"))
 
 
