@@ -2,6 +2,7 @@
 
 import math
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -145,22 +146,24 @@ def triplet_fit_tasks(
 
     |a_i| is the median over pairs (j, k) of sqrt(|M_ij M_ik / M_jk|), clipped; 0.5 when no triple exists.
     """
-    names = matrix.sparkSession.createDataFrame(
-        [(task, lf) for task, lfs in lfs_by_task.items() for lf in lfs], "task string, lf string"
-    )
-    if all(len(lfs) < 3 for lfs in lfs_by_task.values()):
+    session = matrix.sparkSession
+    names = session.createDataFrame([(task, lf) for task, lfs in lfs_by_task.items() for lf in lfs], "task string, lf string")
+    triples = [
+        (task, i, f"{task}|{i}|{j}", f"{task}|{i}|{k}", f"{task}|{j}|{k}")
+        for task, lfs in lfs_by_task.items()
+        for i in lfs
+        for j, k in combinations([lf for lf in lfs if lf != i], 2)
+    ]
+    if not triples:
         return names.withColumn("accuracy", F.lit(DEFAULT_ACCURACY))
+    # The moments come back as one small map value, looked up by every triple of the configuration.
     moments = pair_moments(matrix, {t: l for t, l in lfs_by_task.items() if len(l) > 1}, negative, positive, keep)
-    ij = moments.select("task", F.col("lf_i").alias("i"), F.col("lf_j").alias("j"), F.col("moment").alias("m_ij"))
-    ik = moments.select("task", F.col("lf_i").alias("i"), F.col("lf_j").alias("k"), F.col("moment").alias("m_ik"))
-    jk = moments.select("task", F.col("lf_i").alias("j"), F.col("lf_j").alias("k"), F.col("moment").alias("m_jk"))
-    triples = ij.join(ik, ["task", "i"]).filter(F.col("j") < F.col("k")).join(jk, ["task", "j", "k"]).filter("m_jk != 0")
-    ratio = F.sqrt(F.abs(F.col("m_ij") * F.col("m_ik") / F.col("m_jk")))
-    fitted = (
-        triples.select("task", F.col("i").alias("lf"), ratio.alias("ratio"))
-        .groupBy("task", "lf")
-        .agg(F.percentile("ratio", F.lit(0.5)).alias("a"))
-    )
+    entry = F.struct(F.concat_ws("|", "task", "lf_i", "lf_j"), "moment")
+    table = moments.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    rows = session.createDataFrame(triples, "task string, lf string, ij string, ik string, jk string").withColumn("_m", table)
+    ij, ik, jk = (F.try_element_at("_m", F.col(c)) for c in ("ij", "ik", "jk"))
+    ratios = rows.select("task", "lf", F.when(jk != 0, F.sqrt(F.abs(ij * ik / jk))).alias("ratio"))
+    fitted = ratios.groupBy("task", "lf").agg(F.percentile("ratio", F.lit(0.5)).alias("a"))
     low, high = ACCURACY_RANGE
     clipped = F.least(F.greatest(F.coalesce(F.col("a"), F.lit(DEFAULT_ACCURACY)), F.lit(low)), F.lit(high))
     return names.join(fitted, ["task", "lf"], "left").select("task", "lf", clipped.alias("accuracy"))

@@ -206,7 +206,48 @@ def lm_tasks(spark, d):
     return rows.select("span_id", "low_quality_1", "low_quality_0", "other_task_1", F.col("other_task")["1"].alias("other_task_map"))
 
 
-@query("lm_tasks_triplet")
+def _abstaining_code(lf, task):
+    if lf == "lf_lang":
+        return f"CASE WHEN list_contains(lf_lang, '{task}') THEN 1 ELSE 0 END"
+    if lf in ("lf_short", "lf_mail"):
+        return f"CASE WHEN {lf} THEN 1 WHEN NOT {lf} THEN -1 ELSE 0 END"
+    return f"CASE WHEN {lf} = '{task}' THEN 1 ELSE 0 END"
+
+
+def _voted(lf, task):
+    return f"coalesce(list_contains(lf_lang, '{task}'), false)" if lf == "lf_lang" else f"{lf} IS NOT NULL"
+
+
+def _triplet_ctes() -> dict[str, str]:
+    """Per task: signs, moments on notes with votes, accuracies and posteriors."""
+    ctes = {}
+    for t, (task, functions) in enumerate(LFS_BY_TASK.items()):
+        signs = ", ".join(f"{_abstaining_code(lf, task)} AS s_{lf}" for lf in functions)
+        voted = " OR ".join(_voted(lf, task) for lf in functions)
+        ctes[f"signed{t}"] = f"SELECT span_id, {signs}, bool_or({voted}) OVER (PARTITION BY note_id) AS kept FROM vote"
+        pairs = [(a, b) for a in functions for b in functions if a != b]
+        ctes[f"moment{t}"] = (
+            "SELECT * FROM ("
+            + " UNION ALL ".join(
+                f"SELECT '{a}' AS i, '{b}' AS j, CAST(sum(s_{a} * s_{b}) AS DOUBLE) / nullif(sum(abs(s_{a} * s_{b})), 0) AS m FROM signed{t} WHERE kept" for a, b in pairs
+            )
+            + ") WHERE m IS NOT NULL"
+        )
+        ctes[f"fit{t}"] = FIT.replace(str(VOTES), str(functions)).replace("moment ", f"moment{t} ")
+        odds = " + ".join(f"s_{lf} * (SELECT ln((1 + accuracy) / (1 - accuracy)) FROM fit{t} WHERE lf = '{lf}')" for lf in functions)
+        ctes[f"post{t}"] = f"SELECT span_id, 1 / (1 + exp(-(ln(0.1 / 0.9) + {odds}))) AS p FROM signed{t}"
+    return ctes
+
+
+@query(
+    "lm_tasks_triplet",
+    with_ctes(
+        """SELECT a.span_id, round(CASE WHEN max(a.p) OVER () < 0.5 THEN a.p / max(a.p) OVER () ELSE a.p END, 6) AS low_quality_1, round(CASE WHEN max(b.p) OVER () < 0.5 THEN b.p / max(b.p) OVER () ELSE b.p END, 6) AS other_task_1
+        FROM post0 a JOIN post1 b ON a.span_id = b.span_id""",
+        "vote",
+        **_triplet_ctes(),
+    ),
+)
 def lm_tasks_triplet(spark, d):
     rows = lb.label_tasks(ad.document_votes(spark, d), LFS_BY_TASK, "triplet", shares=0.1, fillnone_as_negative=False, keep=["span_id"])
     return rows.select("span_id", F.round("low_quality_1", 6).alias("low_quality_1"), F.round("other_task_1", 6).alias("other_task_1"))
@@ -456,7 +497,12 @@ def a_task_stats(spark, d):
     return evl.task_stats(ad.gold_spans(spark, d), ["bad", "toxic"])
 
 
-@query("lm_quality_metrics")
+def _quality_sql() -> str:
+    signs = " + ".join(f"({_abstaining_code(lf, TASK)})" for lf in VOTES)
+    return f"SELECT CASE WHEN quality = 0 THEN '1' ELSE '0' END AS bad_gold, CASE WHEN {signs} > 0 THEN '1' ELSE '0' END AS bad_pred FROM vote JOIN labels ON doc_id = span_id"
+
+
+@query("lm_quality_metrics", with_ctes(prf_sql("judged", ["bad"]), "vote", judged=_quality_sql()))
 def lm_quality_metrics(spark, d):
     """Documents -> votes -> majority labels -> precision and recall against the gold labels."""
     votes = ad.document_votes(spark, d)
@@ -464,4 +510,4 @@ def lm_quality_metrics(spark, d):
     flag = F.when(F.col("low_quality_1") > 0.5, "1").otherwise("0")
     pred = probs.select(F.col("span_id").alias("note_id"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("doc").alias("label"), flag.alias("bad"))
     gold = ad.gold_spans(spark, d)
-    return evl.evaluate(gold, pred.join(gold.select("note_id"), "note_id", "left_semi"), ["bad"])
+    return _rounded(evl.evaluate(gold, pred.join(gold.select("note_id"), "note_id", "left_semi"), ["bad"]))

@@ -202,7 +202,22 @@ def lf_pattern_regex(spark, d):
     return _pattern_votes(spark, d, [LF_REGEX, LF_FOLDED]).select("span_id", "lf_regex", "lf_folded")
 
 
-@query("lf_pattern_words")
+WORDS = r"""SELECT note_id, i AS word_id, parts[i] AS piece, CAST(coalesce(sum(length(parts[i])) OVER (PARTITION BY note_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM (SELECT note_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (
+    SELECT note_id, string_split(regexp_replace(note_text, '([ \t\r\n]+)', E'\\1\x01', 'g'), E'\x01') AS parts FROM note))"""
+WORD_AT = """SELECT s.span_id, s.note_id, w.word_id FROM span s JOIN word_row w ON w.note_id = s.note_id AND s.start >= w.start AND s.start < w.start + length(w.piece)"""
+
+
+@query(
+    "lf_pattern_words",
+    with_ctes(
+        f"""SELECT p.span_id, CASE WHEN regexp_matches(string_agg(w.piece, '' ORDER BY w.word_id), '{TERM % "and|les|der"}') THEN 'Mammography (procedure)' END AS lf_words
+        FROM word_at p JOIN word_row w ON w.note_id = p.note_id AND w.word_id BETWEEN p.word_id - 3 AND p.word_id + 2 GROUP BY p.span_id""",
+        "span",
+        word_row=WORDS,
+        word_at=WORD_AT,
+    ),
+)
 def lf_pattern_words(spark, d):
     return _pattern_votes(spark, d, [LF_WORDS]).select("span_id", "lf_words")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from clinspark.functions.text import DATE_REGEX
 from clinspark.operators import datasets as ds, evaluation as evl, fhir, sampling as sm
 from clinspark.plans import prediction as pr, selection as se
 from queries import adapters as ad
@@ -354,7 +355,19 @@ def sc_nan_to_null(spark, d):
     return evl.clean_metrics(rows, ["value"])
 
 
-@query("cp_infer")
+INFERRED = f"""SELECT note_id, m[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i-1], lambda z: length(z))), 0) AS INTEGER) AS start
+  FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (SELECT note_id, regexp_extract_all(t, '{DATE_REGEX}') AS m, regexp_split_to_array(t, '{DATE_REGEX}') AS g FROM (
+    SELECT note_id, strftime(note_date, '%d/%m/%Y') || ' biopsie. ' || note_text AS t FROM note)) WHERE len(m) > 0)"""
+
+
+@query(
+    "cp_infer",
+    with_ctes(
+        """SELECT note_id, start, CAST(start + length(v) AS INTEGER) AS "end", 'biopsy_procedure' AS task_name, 1.0::DOUBLE / (1.0::DOUBLE + start / 100.0::DOUBLE) AS score FROM inferred WHERE start <= 100""",
+        "note",
+        inferred=INFERRED,
+    ),
+)
 def cp_infer(spark, d):
     """Notes -> date spans -> batch scores -> long rows, with a stand-in scorer over span lengths."""
     mentions = ad.notes(spark, d).withColumn(
