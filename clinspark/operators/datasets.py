@@ -8,6 +8,8 @@ from clinspark.functions.text import encode_labels
 
 # Spans of one note go to one array per block of this many characters, which bounds the array.
 ENTITY_BLOCK = 1_000_000
+# Copies of drawn spans go to one array per this many copies of the same span.
+COPY_BLOCK = 1_000
 SPAN_KEYS = ("person_id", "note_id", "lexical_variant", "label", "start", "end", "context")
 
 
@@ -18,10 +20,12 @@ def build_dataset(
     doc_attributes: Sequence[str] = ("note_datetime", "person_id"),
     span_label: str = "date",
     note: str = "note_id",
+    draw: str | None = None,
 ) -> DataFrame:
     """One row per note with spans: its text, the asked columns and the spans as an array sorted by start.
 
-    A note longer than ENTITY_BLOCK characters gives one row per block (`part`), so no array is unbounded.
+    A note longer than ENTITY_BLOCK characters gives one row per block (`part`), and so does a note whose spans
+    were drawn more than COPY_BLOCK times (`draw` numbers the copies of a span), so no array is unbounded.
     """
     entity = F.struct(
         F.col("start").alias("start_char"),
@@ -30,7 +34,9 @@ def build_dataset(
         F.lit(span_label).alias("note_nlp_source_value"),
         *[F.col(a) for a in attributes],
     )
-    part = F.floor(F.col("start") / ENTITY_BLOCK).cast("int")
+    block = F.floor(F.col("start") / ENTITY_BLOCK)
+    copies = F.lit(0) if draw is None else F.floor(F.col(draw) / COPY_BLOCK)
+    part = F.concat_ws(".", block.cast("string"), copies.cast("string"))
     grouped = spans.groupBy(note, part.alias("part")).agg(F.sort_array(F.collect_list(entity)).alias("entities"))
     docs = notes.select(note, "note_text", *[c for c in doc_attributes if c in notes.columns and c != note])
     return docs.join(grouped, note, "inner")

@@ -58,7 +58,7 @@ def task_dataset(labels: DataFrame, notes: DataFrame, task: str, **options) -> t
     """Training set of one task and its card."""
     name = normalized_name(task)
     chosen = select_training_data(labels, task, extra=(name,), **options)
-    dataset = build_dataset(notes, chosen, attributes=(name, "instance_id"), span_label=f"train_{name}")
+    dataset = build_dataset(notes, chosen, attributes=(name, "instance_id"), span_label=f"train_{name}", draw="draw")
     return dataset, dataset_card(chosen, "is_positive")
 
 

@@ -132,6 +132,14 @@ def test_task_dataset_and_card(spark, spans):
     assert dataset.selectExpr("sum(size(entities))").first()[0] == 20
 
 
+def test_drawn_copies_are_spread_over_rows(spark, spans, monkeypatch):
+    monkeypatch.setattr(ds, "COPY_BLOCK", 5)
+    notes = spark.createDataFrame([(1, "t")], "note_id long, note_text string")
+    drawn = sm.oversample(spans.filter("note_id = 1").limit(1), 23, ["span_id"])
+    dataset = ds.build_dataset(notes, drawn, ["span_id"], draw="draw")
+    assert dataset.count() == 5 and ds.read_dataset(dataset).count() == 23
+
+
 def test_merge_tasks_keeps_the_first_universe_and_null_keys(spark):
     a = spark.createDataFrame([(1, None, True), (2, "c", False)], "note_id int, context string, t1 boolean")
     b = spark.createDataFrame([(1, None, "1"), (3, "d", "1")], "note_id int, context string, t2 string")
