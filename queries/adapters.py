@@ -6,7 +6,7 @@ Each contract is a function here and a CTE of the same name in `CTES`.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clinspark.functions.text import accent_table, normalize_name
-from clinspark.operators.spans import ContextWindow, extract_spans
+from clinspark.operators.spans import ContextWindow, extract_spans, spread_few_files
 
 SOURCES = {"CLAIMS": "O", "WARD": "F"}
 PERSONS = 150
@@ -76,7 +76,7 @@ def _occurrence_id():
 
 
 def _claims(spark, d):
-    lineitem, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    lineitem, orders = spread_few_files(table(spark, d, "lineitem"), ["l_orderkey"]), table(spark, d, "orders")
     rows = lineitem.join(part_codes(spark, d), F.col("l_partkey") == F.col("p_partkey"))
     return rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
@@ -254,7 +254,7 @@ VOTES = ["lf_marks", "lf_digit", "lf_short", "lf_lang", "lf_mail"]
 def document_votes(spark, d):
     """Labelling functions over whole documents: string, boolean and array votes for one task."""
     text = F.col("text")
-    return table(spark, d, "documents").select(
+    return spread_few_files(table(spark, d, "documents"), ["doc_id"]).select(
         F.col("doc_id").alias("span_id"),
         F.floor(F.col("doc_id") / 4).cast("bigint").alias("note_id"),
         (F.col("doc_id") % PERSONS).alias("person_id"),
@@ -287,7 +287,7 @@ def gold_spans(spark, d):
 def predicted_spans(spark, d, long_from=4000):
     """Rule predictions of the two tasks on every document."""
     text = F.col("text")
-    return table(spark, d, "documents").select(
+    return spread_few_files(table(spark, d, "documents"), ["doc_id"]).select(
         F.col("doc_id").alias("note_id"),
         F.lit(0).alias("start"),
         F.lit(1).alias("end"),
