@@ -1,8 +1,9 @@
 """Registered queries of the operators in this folder; each applies its operator to its whole table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinspark.llm import mixing, pii, secrets, urls
+from clinspark.llm import bpe, mixing, pii, secrets, urls
 from clinspark.llm.common import table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -14,6 +15,20 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
+def byte_bpe() -> tuple[bytes, str]:
+    """Content of the public rank file and the pattern that goes with it."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return file.read(), public_tokenizers.PATTERN
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), *byte_bpe(), decoded=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -42,6 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_pii": op3_pii,
+    "op4_bpe": op4_bpe,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
     "op10_secrets": op10_secrets,
