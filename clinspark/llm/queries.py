@@ -3,14 +3,24 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinspark.llm import bpe, jaccard, mixing, pii, secrets, urls
+from clinspark.llm import bpe, jaccard, mixing, pii, quality, secrets, urls
 from clinspark.llm.common import table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+# Least score of a document that counts as good.
+LEAST_QUALITY = 0.3
 # Pseudonyms of the registered query; a user passes a key of their own.
 DEMO_KEY = b"registered query, not a secret"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted")
+    )
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
 
@@ -61,6 +71,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
     "op5_ngram_join": op5_ngram_join,
