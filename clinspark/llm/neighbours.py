@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clinspark.llm.common import checkpointed
 
-TREES = 16
+TREES = 24
 BITS = 30  # length of a hash string; prefixes are as long as the candidates allow
 # A query goes up the trees until its prefixes hold at least this share of the number of vectors, all trees together. Vectors
 # without structure need a large share: on vectors spread evenly in 64 dimensions, with 16 trees, a share of 0.25 finds about 70 % of
-# the 20 nearest, 0.5 about 85 % and 1.0 about 95 %; a share of 1 compares a query with some 70 % of them. Clustered ones need far less.
-SHARE = 1.0
+# the 20 nearest, 0.5 about 85 % and 1.0 about 95 %; a share of 1 compares a query with some 70 % of them. Clustered ones need
+# far less.
+SHARE = 1.5
 # Vectors of one block of a tree's sorted array; a larger prefix group is cut into several blocks.
 BLOCK_ROWS = 20_000
 SEED = 11

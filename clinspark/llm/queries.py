@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinspark.llm import bpe, jaccard, mixing, neighbours, pii, quality, secrets, urls
+from clinspark.llm import bpe, fingerprints, jaccard, mixing, neighbours, pii, quality, secrets, urls
 from clinspark.llm.common import table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -54,6 +54,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("anchors")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_anchors")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -81,6 +89,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
+    "op8_fingerprints": op8_fingerprints,
     "op9_neighbours": op9_neighbours,
     "op10_secrets": op10_secrets,
 }
