@@ -98,11 +98,13 @@ MONTHS = {
     "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
 }
 _MONTH_WORD = "|".join(sorted(MONTHS, key=len, reverse=True))
-# Date mentions in normalised text: d/m/y, d month y, month y, d/m.
+# Date mentions in normalised text (lower case, no accents): y-m-d, d/m/y, d month y, month y, d/m. No letter or digit touches
+# either end; word boundaries say so, which DuckDB's expressions know too.
 DATE_REGEX = (
-    r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-](?:[0-9]{4}|[0-9]{2})"
+    r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"|[0-9]{1,2}[/.-][0-9]{1,2}[/.-](?:[0-9]{4}|[0-9]{2})"
     rf"|(?:[0-9]{{1,2}}(?:er)? )?(?:{_MONTH_WORD}) [0-9]{{4}}"
-    r"|[0-9]{1,2}/[0-9]{1,2}"
+    r"|[0-9]{1,2}/[0-9]{1,2})\b"
 )
 
 
@@ -113,12 +115,13 @@ def resolve_date(mention, note_date, default_day: int = 15) -> Column:
     def part(pattern, group):
         return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
+    iso = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$"
     numeric = r"^([0-9]{1,2})[/.-]([0-9]{1,2})(?:[/.-]([0-9]{2,4}))?$"
     worded = rf"^(?:([0-9]{{1,2}})(?:er)? )?({_MONTH_WORD})(?: ([0-9]{{4}}))?$"
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    day = F.coalesce(part(numeric, 1), part(worded, 1)).cast("int")
-    month = F.coalesce(part(numeric, 2).cast("int"), months[part(worded, 2)])
-    year = F.coalesce(part(numeric, 3), part(worded, 3)).cast("int")
+    day = F.coalesce(part(iso, 3), part(numeric, 1), part(worded, 1)).cast("int")
+    month = F.coalesce(part(iso, 2).cast("int"), part(numeric, 2).cast("int"), months[part(worded, 2)])
+    year = F.coalesce(part(iso, 1), part(numeric, 3), part(worded, 3)).cast("int")
     note_year = F.year(note_date)
     full_year = F.when(year >= 100, year).when(year + 2000 <= note_year, year + 2000).otherwise(year + 1900)
     day = F.coalesce(day, F.lit(default_day))

@@ -67,7 +67,14 @@ def merge_tasks(labels: Mapping[str, DataFrame], keys: Sequence[str] = SPAN_KEYS
         value = encode_labels(source, "1", "0") if dict(df.dtypes)[source] == "boolean" else F.col(source).cast("string")
         columns = [value.alias(t) if t == task else F.lit(None).cast("string").alias(t) for t in tasks]
         rows = df.select(*keys, *columns, F.lit(i == 0).alias("_first"))
+        rows = rows.withColumn("_set", F.lit(i))
         stacked = rows if stacked is None else stacked.unionByName(rows)
+    # Rows are first grouped by set and key: a key that a set holds twice stops the job.
+    repeated = F.raise_error(F.lit(f"merge_tasks: key {list(keys)} is not unique")).cast("boolean")
+    stacked = (
+        stacked.groupBy("_set", *keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in [*tasks, "_first"]])
+        .filter(F.when(F.col("_rows") == 1, F.lit(True)).otherwise(repeated))
+    )
     merged = stacked.groupBy(*keys).agg(*[F.max(t).alias(t) for t in tasks], F.max("_first").alias("_first"))
     return merged.filter("_first").drop("_first")
 

@@ -1,5 +1,6 @@
 """Predicted spans as FHIR-shaped procedure rows."""
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -88,16 +89,42 @@ def to_procedure(
     return coded.withColumn("procedure", procedure).drop("_code", "_display")
 
 
+def list_sizes(kind: T.DataType, value: Column, prefix: str):
+    """(name, largest size) pairs of the lists of a nested value, lists in lists included; null where there is none."""
+    if isinstance(kind, T.StructType):
+        for field in kind.fields:
+            yield from list_sizes(field.dataType, value[field.name], f"{prefix}__{field.name}" if prefix else field.name)
+    elif isinstance(kind, T.ArrayType):
+        yield prefix, F.when(value.isNotNull(), F.size(value))
+        for name, _ in list_sizes(kind.elementType, F.get(value, F.lit(0)), ""):
+            inner = F.array_max(F.transform(value, lambda item, n=name: dict(list_sizes(kind.elementType, item, ""))[n]))
+            # Every item of a list has its own names below it, and each is as wide as the widest.
+            yield f"{prefix}___*__{name}" if name else f"{prefix}___*", inner
+
+
+def measured_widths(df: DataFrame, column: str, widths: Mapping[str, int]) -> dict[str, int]:
+    """Given widths, and for all other lists of the column the longest one of the data, at least 1: one aggregate."""
+    sizes = dict(list_sizes(df.schema[column].dataType, F.col(column), ""))
+    wanted = {n: e for n, e in sizes.items() if n not in widths}
+    if not wanted:
+        return dict(widths)
+    row = df.agg(*[F.max(e).alias(f"w{i}") for i, e in enumerate(wanted.values())]).first()
+    return dict(widths) | {n: max(1, row[i] or 0) for i, n in enumerate(wanted)}
+
+
 def flatten_columns(kind: T.DataType, value: Column, prefix: str, widths: Mapping[str, int], default_width: int = 1):
-    """(name, column) pairs of a nested type: a__b for fields, a___i for the first items of a list."""
+    """(name, column) pairs of a nested type: a__b for fields, a___i for the items of a list; a longer list is an error."""
     if isinstance(kind, T.StructType):
         for field in kind.fields:
             name = f"{prefix}__{field.name}" if prefix else field.name
             yield from flatten_columns(field.dataType, value[field.name], name, widths, default_width)
     elif isinstance(kind, T.ArrayType):
-        width = widths.get(prefix, default_width)
+        width = widths.get(prefix, widths.get(re.sub(r"___\d+", "___*", prefix), default_width))
         if width == 0:
             yield prefix, value
+        elif width > 0:
+            message = F.lit(f"list {prefix} has more than {width} items")
+            value = F.when(F.coalesce(F.size(value), F.lit(0)) <= width, value).otherwise(F.raise_error(message).cast(kind))
         for i in range(width):
             yield from flatten_columns(kind.elementType, F.get(value, F.lit(i)), f"{prefix}___{i}", widths, default_width)
     else:
@@ -105,10 +132,17 @@ def flatten_columns(kind: T.DataType, value: Column, prefix: str, widths: Mappin
 
 
 def flatten_struct(
-    df: DataFrame, column: str, widths: Mapping[str, int] = {}, keep: Sequence[str] = (), resource_type: str | None = None
+    df: DataFrame, column: str, widths: Mapping[str, int] = {}, keep: Sequence[str] = (), resource_type: str | None = None,
+    default_width: int | None = None,
 ) -> DataFrame:
-    """Nested column -> flat columns; `resourceType` is added when it is not a field."""
-    pairs = list(flatten_columns(df.schema[column].dataType, F.col(column), "", widths))
+    """Nested column -> flat columns; `resourceType` is added when it is not a field.
+
+    A list gives as many columns as `widths` says (0: one column, the list itself), else `default_width`, else the length of the
+    longest one, which one aggregate over the data finds. No item is lost: a list longer than a given width raises.
+    """
+    if default_width is None:
+        widths = measured_widths(df, column, widths)
+    pairs = list(flatten_columns(df.schema[column].dataType, F.col(column), "", widths, default_width or 1))
     columns = [c.alias(n) for n, c in pairs]
     if resource_type and "resourceType" not in [n for n, _ in pairs]:
         columns = [F.lit(resource_type).alias("resourceType"), *columns]
@@ -117,7 +151,7 @@ def flatten_struct(
 
 def predictions_to_fhir(rows: DataFrame, tasks: DataFrame, model_name: str = "unknown_model", **options) -> DataFrame:
     """Flat procedure rows of scored spans, with the model as source and a stable id."""
-    flat = flatten_struct(to_procedure(rows, tasks, **options), "procedure")
+    flat = flatten_struct(to_procedure(rows, tasks, **options), "procedure", default_width=1)  # its lists have one item
     flat = flat.withColumn("meta__source", F.lit(f"nlp_model_{model_name}"))
     flat = flat.drop("id", "encounter", "extension_nlp___0__related_span")
     ident = key_hash("procedure", "extension_nlp___0__id").alias("id")

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from clinspark.functions.keys import HASH_DIGITS, key_hash
 
@@ -23,6 +23,25 @@ def _as_column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of the columns that can be hashed; maps are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
+
+
+def unique_by(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """One row per key; the job stops when two rows share a key. The check is part of the plan and combined before the shuffle."""
+    others = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in others])
+    single = F.when(F.col("_rows") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"{what}: key {list(keys)} is not unique")).cast("boolean"))
+    return grouped.filter(single).select(*df.columns)
+
+
 def with_group_totals(df: DataFrame, keys: Sequence[str], large_rows: int = LARGE_ROWS, **aggregates: Column) -> DataFrame:
     """Add per-group aggregates to every row, like an unordered window.
 
@@ -48,7 +67,7 @@ def with_group_totals(df: DataFrame, keys: Sequence[str], large_rows: int = LARG
 
     tagged = df.join(F.broadcast(largest), same_group("h"), "left").withColumn(
         "_spread",
-        F.when(F.col("_large").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)) + 1),
+        F.when(F.col("_large").isNull(), F.lit(0)).otherwise(F.pmod(row_hash(df), F.lit(SPREAD)) + 1),
     )
     joined = tagged.join(
         totals.drop("_rows").withColumn("_at", F.lit(0)),
@@ -75,7 +94,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], large: D
         return left.join(right, list(keys), "left")
     on = list(large.columns)
     marked = F.broadcast(large.distinct().withColumn("_is_large", F.lit(True)))
-    home = F.pmod(F.xxhash64(*left.columns), F.lit(COPIES)).cast("int")
+    home = F.pmod(row_hash(left), F.lit(COPIES)).cast("int")
     tagged = left.join(marked, on, "left").withColumn("_copy", F.when(F.col("_is_large"), home).otherwise(F.lit(0)))
     copies = F.when(F.col("_is_large"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
     copied = right.join(marked, on, "left").withColumn("_copy", F.explode(copies)).drop("_is_large")

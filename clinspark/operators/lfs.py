@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from clinspark.functions.text import accent_table, any_regex, terms_regex
-from clinspark.operators.groups import spread_join, with_group_totals
+from clinspark.operators.groups import spread_join, unique_by, with_group_totals
 from clinspark.operators.spans import ContextWindow
 
 # ---------------------------------------------------------------- knowledge
@@ -276,23 +276,26 @@ def match_vote(column: Column, kind: T.DataType, expected: str) -> Column:
 
 
 def merge_votes(vote_sets: Sequence[DataFrame], keys: Sequence[str] = ("note_id", "start", "end"), shared: Sequence[str] = ()) -> DataFrame:
-    """Vote sets side by side on the span key; the first one is the universe, repeated columns are dropped."""
-    merged = vote_sets[0]
-    for votes in vote_sets[1:]:
+    """Vote sets side by side on the span key; the first one is the universe, repeated columns are dropped.
+
+    A key that a vote set holds twice stops the job.
+    """
+    merged = unique_by(vote_sets[0], keys, "vote set 0")
+    for i, votes in enumerate(vote_sets[1:], 1):
         extra = [c for c in votes.columns if c not in merged.columns and c not in shared]
-        merged = merged.join(votes.select(*keys, *extra), list(keys), "left")
+        merged = merged.join(unique_by(votes.select(*keys, *extra), keys, f"vote set {i}"), list(keys), "left")
     return merged
 
 
 def votes_with_gold(
     votes: DataFrame, gold: DataFrame, task: str, positive: int, negative: int, keys: Sequence[str] = ("note_id", "start", "end")
 ) -> DataFrame:
-    """Votes with `ground_truth_label` of one task; spans without an annotation count as negative."""
+    """Votes with `ground_truth_label` of one task; spans without an annotation count as negative; a key that either side holds twice stops the job."""
     label = F.when(F.col(task).cast("string").isin("1", "true"), positive).when(
         F.col(task).cast("string").isin("0", "false"), negative
     )
     annotated = gold.select(*keys, label.cast("int").alias("ground_truth_label"))
-    joined = votes.join(annotated, list(keys), "left")
+    joined = unique_by(votes, keys, "votes").join(unique_by(annotated, keys, "gold labels"), list(keys), "left")
     return joined.fillna({"ground_truth_label": negative})
 
 

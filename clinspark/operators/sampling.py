@@ -141,12 +141,13 @@ def sample_negatives(
 def oversample(df: DataFrame, n: int | Column, keys: Sequence[str], seed=0, draw: str = "draw") -> DataFrame:
     """n draws with replacement: draw i takes the row whose hash rank is hash(i) modulo the number of rows.
 
-    `draw` numbers the copies of a row from 1.
+    `draw` numbers the copies of a row from 1. An empty frame gives no rows.
     """
     session = df.sparkSession
     if isinstance(n, Column):
         n = session.range(1).select(n.cast("bigint")).first()[0]
-    total = df.agg(F.count(F.lit(1))).scalar()
+    # Without a row there is nothing to draw from and the result is empty.
+    total = F.greatest(df.agg(F.count(F.lit(1))).scalar(), F.lit(1))
     draws = session.range(int(n or 0)).select((hash_modulo(total, seed, "id") + 1).alias("_rank"))
     # Draws are counted per row before the shuffle; the copies are made after the one-to-one join, in two
     # steps so that no array of copies is longer than COPY_STEP or the number of steps.

@@ -50,6 +50,13 @@ class ContextWindow:
         return min(begins), max(stops)
 
 
+def _folded(raw: str, accents: dict) -> str:
+    """Lower case without accents and as long as the text: a letter whose lower case has several characters stays as it is."""
+    plain = raw.translate(accents)
+    low = plain.lower()
+    return low if len(low) == len(raw) else "".join(c if len(c.lower()) != 1 else c.lower() for c in plain)
+
+
 def _starts(text: str, boundary: re.Pattern) -> list[int]:
     """Offsets at which the segments that tile the text begin; a boundary closes its segment."""
     return [0] + [m.end() for m in boundary.finditer(text) if m.end() < len(text)]
@@ -60,11 +67,14 @@ def extract_spans(
     patterns: Mapping[str, str] = DATE_PATTERNS,
     keys: Sequence[str] = ("note_id",),
     text: str = "note_text",
-    channel: str = "TEXT",
+    channel: str | None = None,
     contexts: Mapping[str, ContextWindow] | None = None,
 ) -> DataFrame:
     """One row per span: keys, span_id, label, lexical_variant, start, end and the asked context columns.
 
+    `channel` TEXT searches the text as it stands, NORM its lower-case form without accents, which has the same offsets;
+    by default the date pattern is searched in NORM and all other patterns in TEXT.
+
     Matches are leftmost and non-overlapping per label; whole texts are searched; start is 0-based, end exclusive.
     """
     contexts = dict(contexts or {})
@@ -82,25 +92,27 @@ def extract_spans(
     return _with_span_id(_map_texts(notes, keys, text, find, names, kinds), keys)
 
 
-def _searcher(patterns: Mapping[str, str], contexts: Mapping[str, ContextWindow], channel: str):
+def _searcher(patterns: Mapping[str, str], contexts: Mapping[str, ContextWindow], channel: str | None):
     """Function (text, columns) -> number of spans, which appends one value per span to each column."""
-    compiled = [(label, re.compile(pattern)) for label, pattern in patterns.items()]
+    compiled = [
+        (label, re.compile(pattern), channel == "NORM" or channel is None and pattern == DATE_REGEX)
+        for label, pattern in patterns.items()
+    ]
     shown = list(contexts.values())
     needs_sentences = any(w.sentences is not None for w in shown)
     needs_words = any(w.words is not None for w in shown)
-    search_folded = channel == "NORM"
-    needs_folded = search_folded or any(w.norm for w in shown)
+    needs_folded = any(in_norm for *_, in_norm in compiled) or any(w.norm for w in shown)
     accents = str.maketrans(*accent_table())
     sentence_end, word_end = re.compile(SENTENCE_END), re.compile(WORD_END)
 
     def search(raw, columns) -> int:
         if not raw:
             return 0
-        folded = raw.translate(accents).lower() if needs_folded else raw
+        folded = _folded(raw, accents) if needs_folded else raw
         found = [
             (label, m.start(), m.end())
-            for label, pattern in compiled
-            for m in pattern.finditer(folded if search_folded else raw)
+            for label, pattern, in_norm in compiled
+            for m in pattern.finditer(folded if in_norm else raw)
             if m.end() > m.start()
         ]
         sentence_starts = _starts(raw, sentence_end) if found and needs_sentences else None
@@ -184,7 +196,7 @@ def span_lists(
     notes: DataFrame, patterns: Mapping[str, str] = DATE_PATTERNS, text: str = "note_text", name: str = "spans"
 ) -> DataFrame:
     """Notes with an array of their spans: no row is moved."""
-    search, names, kinds = _searcher(patterns, {}, "TEXT")
+    search, names, kinds = _searcher(patterns, {}, None)
 
     def find(texts: pa.Array) -> pa.Array:
         offsets, columns = [0], [[] for _ in names]

@@ -149,7 +149,9 @@ def patient_cohort(
     earliest of the winning localisation, then the one with the smallest visit id.
     """
     other = "system" if level == "organ" else "organ"
-    shown = F.struct("visit_start_datetime", "visit_occurrence_id", other, "care_site_id", "care_site_name")
+    # Stays without a date come last: the first date is the smallest known one.
+    undated = F.col("visit_start_datetime").isNull().alias("undated")
+    shown = F.struct(undated, "visit_start_datetime", "visit_occurrence_id", other, "care_site_id", "care_site_name")
     by_type = stays.groupBy("person_id", "visit_source_value", level).agg(
         F.sum("weight_code").alias("_weight"),
         F.count(F.lit(1)).alias("_n"),
@@ -166,6 +168,7 @@ def patient_cohort(
     order = F.struct(
         F.col("_weight").isNull().alias("empty"),
         (-F.col("_weight")).alias("minus_weight"),
+        F.col("_shown.undated").alias("undated"),
         F.col("_shown.visit_start_datetime").alias("first_date"),
         F.col("_shown.visit_occurrence_id").alias("visit"),
         F.col(level).alias("level"),

@@ -31,12 +31,13 @@ def rows_per_file(df: DataFrame) -> DataFrame:
 
 
 def keep_avoid(df: DataFrame, column: str = "person_id", keep: Sequence | None = None, avoid: Sequence | None = None) -> DataFrame:
-    """Rows whose value is in one list and not in another; rows without a value never pass."""
+    """Rows whose value is in one list and not in another; rows without a value never pass, nulls in a list count for nothing."""
     for values, negate in ((keep, False), (avoid, True)):
         if values is None:
             continue
+        values = [v for v in values if v is not None]
         if len(values) <= IN_LIST:
-            inside = F.col(column).isin(list(values))
+            inside = F.col(column).isin(values) if values else F.col(column).isNotNull() & F.lit(False)
             df = df.filter(~inside if negate else inside)
         else:
             schema = T.StructType([T.StructField(column, df.schema[column].dataType)])

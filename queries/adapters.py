@@ -9,7 +9,9 @@ from clinspark.functions.text import accent_table, normalize_name
 from clinspark.operators.spans import ContextWindow, extract_spans, spread_few_files
 
 SOURCES = {"CLAIMS": "O", "WARD": "F"}
-PERSONS = 150
+# Notes belong to as many persons as the event log has, and their dates vary independently of the person.
+PERSONS_SQL = "(SELECT count(DISTINCT user_id) FROM events)"
+NOTE_DAYS = 45
 
 SPAN_PATTERNS = {
     "number": "[0-9]+",
@@ -22,6 +24,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def persons(spark, d):
+    """Number of persons of the event log, as a scalar subquery."""
+    return table(spark, d, "events").agg(F.count_distinct("user_id")).scalar()
+
+
 def visits(spark, d):
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     return orders.join(customer, orders.o_custkey == customer.c_custkey, "left").select(
@@ -155,9 +162,9 @@ def notes(spark, d):
     source = F.substring("source", 4, 9).cast("bigint") + 100
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("note_id"),
-        (F.col("doc_id") % PERSONS).alias("person_id"),
+        (F.col("doc_id") % persons(spark, d)).alias("person_id"),
         F.col("doc_id").alias("visit_occurrence_id"),
-        F.expr("date_add(date'2024-01-01', cast(doc_id % 30 as int))").alias("note_date"),
+        F.expr(f"date_add(date'2024-01-01', cast((doc_id * 7 + doc_id div 11) % {NOTE_DAYS} as int))").alias("note_date"),
         F.array("lang", "source").alias("note_class_source_value"),
         F.array(lang[F.col("lang")].cast("bigint"), source).alias("note_class_concept_id"),
         F.col("text").alias("note_text"),
@@ -257,7 +264,7 @@ def document_votes(spark, d):
     return spread_few_files(table(spark, d, "documents"), ["doc_id"]).select(
         F.col("doc_id").alias("span_id"),
         F.floor(F.col("doc_id") / 4).cast("bigint").alias("note_id"),
-        (F.col("doc_id") % PERSONS).alias("person_id"),
+        (F.col("doc_id") % persons(spark, d)).alias("person_id"),
         F.when(text.rlike(r"!!|###|\$\$"), TASK).when(text.rlike("%%%"), "other task").alias("lf_marks"),
         F.when(text.rlike("[0-9]"), TASK).alias("lf_digit"),
         F.when(F.col("n_chars") < 400, F.lit(True)).when(F.col("n_chars") > 4000, F.lit(False)).alias("lf_short"),
@@ -407,8 +414,8 @@ CTES = {
     "imaging": """SELECT user_id AS person_id, ts AS series_datetime,
         CAST(list_position(['click', 'view', 'purchase', 'signup', 'error'], event_type) AS BIGINT) AS modality_concept_id,
         CAST(floor(value) AS BIGINT) % 7 + 1 AS modality_source_concept_id FROM events""",
-    "note": f"""SELECT doc_id AS note_id, doc_id % {PERSONS} AS person_id, doc_id AS visit_occurrence_id,
-        CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS DATE) AS note_date, [lang, source] AS note_class_source_value,
+    "note": f"""SELECT doc_id AS note_id, doc_id % {PERSONS_SQL} AS person_id, doc_id AS visit_occurrence_id,
+        CAST(DATE '2024-01-01' + CAST((doc_id * 7 + doc_id // 11) % {NOTE_DAYS} AS INTEGER) AS DATE) AS note_date, [lang, source] AS note_class_source_value,
         [CAST(list_position(['en', 'fr', 'de', 'es'], lang) AS BIGINT), CAST(substr(source, 4) AS BIGINT) + 100] AS note_class_concept_id,
         text AS note_text, CASE WHEN n_chars < 200 THEN 'Supprimé' ELSE 'Actif' END AS row_status_source_value, n_chars, lang, source
         FROM documents""",
@@ -431,7 +438,7 @@ CTES = {
         CAST(ts AS DATE) AS event_date, event_type AS class FROM events""",
     "span": _spans_sql(),
     "scored": "SELECT *, ((start * 7 + note_id) % 1000) / 1000.0::DOUBLE AS p1 FROM span",
-    "vote": f"""SELECT doc_id AS span_id, CAST(floor(doc_id / 4) AS BIGINT) AS note_id, doc_id % {PERSONS} AS person_id,
+    "vote": f"""SELECT doc_id AS span_id, CAST(floor(doc_id / 4) AS BIGINT) AS note_id, doc_id % {PERSONS_SQL} AS person_id,
         CASE WHEN regexp_matches(text, '!!|###|\\$\\$') THEN '{TASK}' WHEN regexp_matches(text, '%%%') THEN 'other task' END AS lf_marks,
         CASE WHEN regexp_matches(text, '[0-9]') THEN '{TASK}' END AS lf_digit,
         CASE WHEN n_chars < 400 THEN true WHEN n_chars > 4000 THEN false END AS lf_short,

@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from clinspark.functions.text import DATE_REGEX, char_context
+from clinspark.functions.text import DATE_REGEX, accent_table, char_context
 from clinspark.operators import lfs, spans as sp
 from clinspark.operators.groups import largest_keys
 from clinspark.plans import labelling as lb
@@ -11,6 +11,7 @@ from queries import adapters as ad
 from queries.adapters import with_ctes
 from queries.registry import query
 
+MONTHS_SHOWN = ["janvier", "Février", "mars", "AVRIL", "mai", "juin", "Juillet", "Août", "septembre", "octobre", "novembre", "DÉCEMBRE"]
 SPAN_LIST = 'note_id, label, lexical_variant, start, "end", span_id'
 
 
@@ -21,17 +22,22 @@ def lf_extract_spans(spark, d):
 
 @query(
     "lf_date_spans",
-    f"""WITH mention AS (SELECT o_orderkey AS note_id, 'Le ' || strftime(o_orderdate, '%d/%m/%Y') || ' biopsie. Puis le ' || day(o_orderdate) || ' mai ' || year(o_orderdate) || ', TEP.' AS note_text FROM orders),
-      found AS (SELECT note_id, regexp_extract_all(note_text, '{DATE_REGEX}') AS m, regexp_split_to_array(note_text, '{DATE_REGEX}') AS g FROM mention),
-      one AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM found)
-    SELECT note_id, m[i] AS lexical_variant,
-      CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i-1], lambda z: length(z))), 0) AS INTEGER) AS start FROM one""",
+    f"""WITH mention AS (SELECT o_orderkey AS note_id, 'Le ' || strftime(o_orderdate, '%d/%m/%Y') || ' biopsie. Puis le ' || day(o_orderdate) || ' ' || {[*MONTHS_SHOWN]}[month(o_orderdate)]
+        || ' ' || year(o_orderdate) || ', TEP. Vu le ' || strftime(o_orderdate, '%Y-%m-%d') || '; lot 1' || strftime(o_orderdate, '%d/%m/%Y') || '7.' AS note_text FROM orders),
+      folded AS (SELECT *, lower(translate(note_text, '{accent_table()[0]}', '{accent_table()[1]}')) AS t FROM mention),
+      found AS (SELECT note_id, note_text, regexp_extract_all(t, '{DATE_REGEX}') AS m, regexp_split_to_array(t, '{DATE_REGEX}') AS g FROM folded),
+      one AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM found),
+      placed AS (SELECT note_id, note_text, m[i] AS v,
+        CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i-1], lambda z: length(z))), 0) AS INTEGER) AS start FROM one)
+    SELECT note_id, substr(note_text, start + 1, length(v)) AS lexical_variant, start FROM placed""",
 )
 def lf_date_spans(spark, d):
     order_date = F.col("o_orderdate")
     text = F.concat(
         F.lit("Le "), F.date_format(order_date, "dd/MM/yyyy"), F.lit(" biopsie. Puis le "), F.dayofmonth(order_date).cast("string"),
-        F.lit(" mai "), F.year(order_date).cast("string"), F.lit(", TEP."),
+        F.lit(" "), F.element_at(F.array(*[F.lit(m) for m in MONTHS_SHOWN]), F.month(order_date)), F.lit(" "),
+        F.year(order_date).cast("string"), F.lit(", TEP. Vu le "), F.date_format(order_date, "yyyy-MM-dd"),
+        F.lit("; lot 1"), F.date_format(order_date, "dd/MM/yyyy"), F.lit("7."),
     )
     notes = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("note_id"), text.alias("note_text"))
     return sp.extract_spans(notes).select("note_id", "lexical_variant", "start")

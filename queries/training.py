@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clinspark.functions.text import DATE_REGEX
+from clinspark.functions.text import DATE_REGEX, accent_table
 from clinspark.operators import datasets as ds, evaluation as evl, fhir, sampling as sm
 from clinspark.plans import prediction as pr, selection as se
 from queries import adapters as ad
@@ -357,7 +357,7 @@ def sc_nan_to_null(spark, d):
 
 INFERRED = f"""SELECT note_id, m[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i-1], lambda z: length(z))), 0) AS INTEGER) AS start
   FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (SELECT note_id, regexp_extract_all(t, '{DATE_REGEX}') AS m, regexp_split_to_array(t, '{DATE_REGEX}') AS g FROM (
-    SELECT note_id, strftime(note_date, '%d/%m/%Y') || ' biopsie. ' || note_text AS t FROM note)) WHERE len(m) > 0)"""
+    SELECT note_id, lower(translate(strftime(note_date, '%d/%m/%Y') || ' biopsie. ' || note_text, '{accent_table()[0]}', '{accent_table()[1]}')) AS t FROM note)) WHERE len(m) > 0)"""
 
 
 @query(

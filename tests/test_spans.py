@@ -5,7 +5,7 @@ from bisect import bisect_right
 import pytest
 from pyspark.sql import functions as F
 
-from clinspark.functions.text import DATE_REGEX, char_context, fold_accents, norm_text, normalize_name, normalized_name, resolve_date
+from clinspark.functions.text import char_context, fold_accents, norm_text, normalize_name, normalized_name, resolve_date
 from clinspark.operators import spans as sp
 
 TEXTS = {
@@ -26,9 +26,20 @@ def notes(spark):
 
 def test_spans_have_python_offsets(notes):
     got = {(r.note_id, r.start, r.end, r.lexical_variant) for r in sp.extract_spans(notes).collect()}
-    want = {(k, m.start(), m.end(), m.group()) for k, v in TEXTS.items() if v for m in re.finditer(DATE_REGEX, v)}
-    assert got == want
-    assert (4, 0, 10, "12/03/2020") in got
+    found = {
+        1: ["12/03/2020", "1er avril 2021", "mars 2019", "03/04"], 4: ["12/03/2020"], 5: ["5/6/19", "août 2020"],
+    }
+    assert got == {(k, TEXTS[k].index(v), TEXTS[k].index(v) + len(v), v) for k, values in found.items() for v in values}
+
+
+def test_dates_with_accents_capitals_and_iso(spark):
+    text = "Biopsie le 12 février 2023. TEP le 3 Août 2021. IRM DÉCEMBRE 2020. Vu le 2020-05-12, n° 112/05/2020 et 12/05/20201."
+    notes = spark.createDataFrame([(1, text)], "note_id long, note_text string")
+    rows = sp.extract_spans(notes).orderBy("start").collect()
+    assert [r.lexical_variant for r in rows] == ["12 février 2023", "3 Août 2021", "DÉCEMBRE 2020", "2020-05-12"]
+    assert all(text[r.start : r.end] == r.lexical_variant for r in rows)
+    dated = sp.extract_spans(notes).select(resolve_date("lexical_variant", F.lit(datetime.date(2023, 6, 1))).cast("string").alias("d"))
+    assert {r.d for r in dated.collect()} == {"2023-02-12", "2021-08-03", "2020-12-15", "2020-05-12"}
 
 
 def test_normalised_channel_keeps_offsets(notes):
