@@ -1,6 +1,7 @@
 """N-gram Jaccard join with adaptive multi-match prefixes; classes of linked documents without listing all pairs."""
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +13,24 @@ from clinspark.llm.components import components
 from clinspark.llm.hashing import shingle_set, words_of_texts
 
 # Counters of the table of shingle frequencies; it covers all shingles of all texts, and its size is fixed.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
+COUNTER_SHIFT = np.uint64(64 - 22)
 # A block of counters is one row while the tables of the tasks are summed.
 BLOCK = 1 << 13
 # Most shared prefix shingles that a document may ask for.
 MOST_MATCHES = 4
+# Bits of the table that says which prefix shingles occur in more than one set; others that pass in error only cost time.
+SHARED_BITS = 1 << 26
+SHARED_BLOCKS = 64
 # Bits of the filter that says which texts the verification needs; texts that pass it in error only cost time.
 FILTER_WORDS = 1 << 17
 
 
+def _tally(table: np.ndarray, held: list[np.ndarray]) -> None:
+    spots, n = np.unique(np.concatenate(held).astype(np.int64), return_counts=True)
+    table[spots] += n.astype(np.int32)
+
+
 def frequencies(docs: DataFrame, size: int) -> np.ndarray:
     """How many (document, shingle) pairs fall on each counter, over all documents.
 
@@ -28,27 +38,27 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
     """
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(COUNTERS, np.int64)
+        table = np.zeros(COUNTERS, np.int32)
         for batch in stream:
             held, n = [], 0
             for words in words_of_texts(batch.column(0)):
-                held.append(shingle_set(words, size) >> np.uint64(44))
+                held.append(shingle_set(words, size) >> COUNTER_SHIFT)
                 n += len(held[-1])
                 if n > COUNTERS // 4:
-                    table += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
+                    _tally(table, held)
                     held, n = [], 0
             if held:
-                table += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
+                _tally(table, held)
         blocks = table.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
-        rows = [blocks[k].tobytes() for k in used]
+        rows = [zlib.compress(blocks[k].tobytes(), 1) for k in used]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(rows, pa.binary())], names=["block", "counts"])
 
     def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in stream:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+                sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(counts.as_buffer()), np.int32).astype(np.int64)
         rows = [sums[k].tobytes() for k in sums]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], names=["block", "counts"])
 
@@ -95,7 +105,7 @@ def signatures(docs: DataFrame, size: int, percent: int, counts: np.ndarray) ->
                     nodes.append(None), matches.append(0), prefixes.append(np.zeros(0, np.int64))
                     continue
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                frequency = table[(found >> np.uint64(44)).astype(np.int64)]
+                frequency = table[(found >> COUNTER_SHIFT).astype(np.int64)]
                 order = np.argsort(frequency, kind="stable")
                 least = (percent * len(found) + 99) // 100
                 m = choose_matches(np.maximum(frequency[order[: len(found) - least + MOST_MATCHES]] - noise, 0.0), len(found), least)
@@ -112,13 +122,65 @@ def signatures(docs: DataFrame, size: int, percent: int, counts: np.ndarray) ->
     return docs.select("doc_id", "text", F.xxhash64("text").alias("at")).mapInArrow(sign, schema)
 
 
-def may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
-    """Whether sets of na and nb shingles can reach the similarity if a shingle stands at places pa and pb of their orders.
+def shared_bits(nodes: DataFrame) -> np.ndarray:
+    """Bit table of the prefix shingles that more than one set has; of fixed size, so it may reach the driver."""
+    tokens = nodes.select(F.explode("set.prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    spot = F.pmod("token", F.lit(SHARED_BITS))
+    size = SHARED_BITS // SHARED_BLOCKS
+
+    def pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in stream:
+            blocks, spots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for block in np.unique(blocks).tolist():
+                made.setdefault(block, np.zeros(size, bool))[spots[blocks == block] % size] = True
+        rows = [zlib.compress(np.packbits(made[k]).tobytes(), 1) for k in made]
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array(rows, pa.binary())], names=["block", "bits"])
+
+    spots = tokens.select(F.floor(spot / size).cast("int").alias("block"), spot.cast("bigint").alias("spot"))
+    table = np.zeros((SHARED_BLOCKS, size // 8), np.uint8)
+    for row in spots.repartition(SHARED_BLOCKS, "block").mapInArrow(pack, "block int, bits binary").toLocalIterator():
+        table[row["block"]] |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return table.reshape(-1)
+
 
-    At most the smaller number of earlier shingles can be shared before it, and the smaller number of the rest from it on.
+def shared_postings(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(node, set) -> token, node, n, matches, pos, before: only prefix shingles that the bit table knows.
+
+    `pos` is the place in the set's order and `before` the number of earlier shingles that other sets may have: if two sets share a
+    shingle of both prefixes, every earlier one that they share is in both prefixes too.
+    """
+    sent = nodes.sparkSession.sparkContext.broadcast(bits)
+
+    def post(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in stream:
+            lists = batch.column(3)
+            tokens = lists.flatten().to_numpy()
+            sizes = lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            start = np.cumsum(sizes) - sizes
+            pos = np.arange(len(tokens)) - np.repeat(start, sizes)
+            spot = tokens % SHARED_BITS
+            known = (table[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 > 0
+            total = np.cumsum(known) - known
+            before = total - np.repeat(np.append(total, 0)[start], sizes)
+            take = pa.array(row[known])
+            arrays = [pa.array(tokens[known]), *[batch.column(k).take(take) for k in range(3)], pa.array(pos[known].astype(np.int32)), pa.array(before[known].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["token", "node", "n", "matches", "pos", "before"])
+
+    schema = "token bigint, node binary, n bigint, matches int, pos int, before int"
+    return nodes.select("node", "set.n", "set.matches", "set.prefix").mapInArrow(post, schema)
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two sets that share a shingle can reach the similarity.
+
+    Before it they share at most the smaller number of shingles that other sets may have, from it on at most the smaller rest.
     """
-    most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
-    return most * 100 >= (na + nb - most) * percent
+    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+    most = F.least(f"{x}before", f"{y}before") + F.least(nx - F.col(f"{x}pos"), ny - F.col(f"{y}pos"))
+    return most * 100 >= (nx + ny - most) * percent
 
 
 def counted_pairs(rows: DataFrame) -> DataFrame:
@@ -128,7 +190,7 @@ def counted_pairs(rows: DataFrame) -> DataFrame:
 
 def pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs of each list's pivot with its other members: as many as the list has rows, not their square."""
-    other = postings.filter("node <> pivot.node").filter(may_link(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), percent))
+    other = postings.filter("node <> pivot.node").filter(may_link("", "pivot.", percent))
     return counted_pairs(
         other.select(
             F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"), F.least("matches", "pivot.matches").alias("least")
@@ -139,7 +201,7 @@ def pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
 def remaining_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list whose members lie in different components: those outside the pivot's component with all others."""
     root = F.coalesce(F.col("root"), F.col("node"))
-    placed = postings.join(roots, "node", "left").select("token", "node", "n", "pos", "matches", root.alias("root"), (F.col("node") == F.col("pivot.node")).alias("is_pivot"))
+    placed = postings.join(roots, "node", "left").select("token", "node", "n", "pos", "before", "matches", root.alias("root"), (F.col("node") == F.col("pivot.node")).alias("is_pivot"))
     mixed_lists = placed.groupBy("token").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.max(F.when(F.col("is_pivot"), F.col("root"))).alias("home")
     ).filter("_low <> _high").select("token", "home")
@@ -149,7 +211,7 @@ def remaining_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> Data
         y,
         (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
         & ((F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node")))
-        & may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent),
+        & may_link("x.", "y.", percent),
     )
     return counted_pairs(
         met.select(
@@ -210,8 +272,10 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text_col
     counts = frequencies(docs, size)
     signed = checkpointed(signatures(docs, size, percent, counts))
     nodes = signed.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first(F.struct("n", "matches", "prefix")).alias("set"))
-    rows = nodes.select("node", "set.n", "set.matches", F.posexplode("set.prefix").alias("pos", "token"))
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct("pos", "n", "matches", "node")).alias("pivot")).filter("_rows > 1")
+    nodes = checkpointed(nodes)
+    rows = shared_postings(nodes, shared_bits(nodes))
+    pivot = F.min(F.struct("pos", "n", "matches", "before", "node")).alias("pivot")
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_rows"), pivot).filter("_rows > 1")
     postings = checkpointed(rows.join(lists.drop("_rows"), "token"))
     firsts = nodes.select("node", "first")
     links = checkpointed(verified(checkpointed(pivot_pairs(postings, percent)), firsts, docs, size, percent))
