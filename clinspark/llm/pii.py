@@ -14,7 +14,9 @@ KINDS = ("email", "phone", "card", "iban", "ip", "ssn", "date")
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![A-Za-z0-9])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 # One pass finds every run that may be a number or a date; what it is, validation says.
-NUMBER = re.compile(r"(?<![\w.])\+?\(?\d(?:[\d ().:/-]{0,30}\d)?(?!\w)")
+NUMBER = re.compile(r"(?<![\w.])\+?\(?\d(?:[\d ().:/+-]*\d)?(?!\w)")
+# Blank-separated parts that one value has at most, and its characters.
+PARTS, LONGEST = 6, 40
 IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})")
 ISO_DATE = re.compile(r"((?:19|20)\d\d)([-/.])(\d\d)\2(\d\d)")
@@ -168,13 +170,25 @@ class Pseudonyms:
         text = IBAN.sub(lambda m: put("iban", self.iban(m[0])) if iban_valid(m[0]) else m[0], text)
 
         def numbers(m):
-            whole = m[0]
-            found = self.number(whole)
-            if found:
-                return put(*found)
-            # Several values may stand in one run of digits and blanks: each part between blanks is tried by itself.
-            parts = re.split(r"( +)", whole)
-            return "".join(put(*f) if (f := self.number(p)) else p for p in parts) if len(parts) > 1 else whole
+            # Several values may stand in one run: from each part on, the longest row of parts that validates is replaced.
+            parts = re.split(r"( +)", m[0])
+            out, i = [], 0
+            while i < len(parts):
+                for j in range(min(i + 2 * PARTS - 1, len(parts) - (len(parts) - i + 1) % 2), i, -2):
+                    whole = "".join(parts[i:j])
+                    core = whole.lstrip("(") if ")" not in whole else whole
+                    found = self.number(core) if len(core) <= LONGEST else None
+                    if found:
+                        out.append(whole[: len(whole) - len(core)] + put(*found))
+                        i = j
+                        break
+                else:
+                    out.append(parts[i])
+                    i += 1
+                if i < len(parts) and i % 2:
+                    out.append(parts[i])
+                    i += 1
+            return "".join(out)
 
         return NUMBER.sub(numbers, text), counts
 
