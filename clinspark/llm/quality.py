@@ -79,7 +79,10 @@ class Model:
         return _unit(self.weighted(counts) @ self.projection)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        """Weighted share of label 1 among the nearest labelled vectors, those as near as the last of them included."""
+        """Weighted share of label 1 among the nearest labelled vectors, those as near as the last of them included.
+
+        Votes also weigh the inverse number of labelled vectors of their label, so that a rare label is not outvoted by number.
+        """
         if not len(self.labels):
             return np.full(len(counts), NO_EVIDENCE)
         near = self.latent(counts) @ self.vectors.T
@@ -87,6 +90,8 @@ class Model:
             last = np.partition(near, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS]
             near = np.where(near >= last[:, None], near, 0.0)
         votes = np.maximum(near, 0.0).astype(np.float64) ** SHARPNESS
+        ones = self.labels.sum()
+        votes *= np.where(self.labels > 0, 1.0 / max(ones, 1.0), 1.0 / max(len(self.labels) - ones, 1.0))
         total = votes.sum(axis=1)
         share = np.where(total > 0, (votes @ self.labels) / np.maximum(total, 1e-300), NO_EVIDENCE)
         return np.clip(np.where(counts.any(axis=1), share, NO_EVIDENCE), 0.0, 1.0)
