@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from clinspark.functions.text import encode_labels
 
-# Spans of one note go to one array per block of this many characters, which bounds the array.
-ENTITY_BLOCK = 1_000_000
-# Copies of drawn spans go to one array per this many copies of the same span.
-COPY_BLOCK = 1_000
 SPAN_KEYS = ("person_id", "note_id", "lexical_variant", "label", "start", "end", "context")
 
 
@@ -21,11 +17,14 @@ def build_dataset(
     span_label: str = "date",
     note: str = "note_id",
     draw: str | None = None,
+    block_chars: int | None = None,
+    block_copies: int | None = None,
 ) -> DataFrame:
     """One row per note with spans: its text, the asked columns and the spans as an array sorted by start.
 
-    A note longer than ENTITY_BLOCK characters gives one row per block (`part`), and so does a note whose spans
-    were drawn more than COPY_BLOCK times (`draw` numbers the copies of a span), so no array is unbounded.
+    The caller may ask for smaller arrays: with `block_chars` a note gives one row per so many characters, with `block_copies`
+    one per so many copies of its drawn spans (`draw` numbers the copies of a span); `part` names the block. By default there
+    is one row per note, whatever its size.
     """
     entity = F.struct(
         F.col("start").alias("start_char"),
@@ -34,8 +33,8 @@ def build_dataset(
         F.lit(span_label).alias("note_nlp_source_value"),
         *[F.col(a) for a in attributes],
     )
-    block = F.floor(F.col("start") / ENTITY_BLOCK)
-    copies = F.lit(0) if draw is None else F.floor(F.col(draw) / COPY_BLOCK)
+    block = F.lit(0) if block_chars is None else F.floor(F.col("start") / block_chars)
+    copies = F.lit(0) if draw is None or block_copies is None else F.floor(F.col(draw) / block_copies)
     part = F.concat_ws(".", block.cast("string"), copies.cast("string"))
     grouped = spans.groupBy(note, part.alias("part")).agg(F.sort_array(F.collect_list(entity)).alias("entities"))
     docs = notes.select(note, "note_text", *[c for c in doc_attributes if c in notes.columns and c != note])

@@ -89,6 +89,10 @@ def to_procedure(
     return coded.withColumn("procedure", procedure).drop("_code", "_display")
 
 
+def _size_in_item(kind: T.DataType, name: str):
+    return lambda item: dict(list_sizes(kind, item, ""))[name]
+
+
 def list_sizes(kind: T.DataType, value: Column, prefix: str):
     """(name, largest size) pairs of the lists of a nested value, lists in lists included; null where there is none."""
     if isinstance(kind, T.StructType):
@@ -97,7 +101,7 @@ def list_sizes(kind: T.DataType, value: Column, prefix: str):
     elif isinstance(kind, T.ArrayType):
         yield prefix, F.when(value.isNotNull(), F.size(value))
         for name, _ in list_sizes(kind.elementType, F.get(value, F.lit(0)), ""):
-            inner = F.array_max(F.transform(value, lambda item, n=name: dict(list_sizes(kind.elementType, item, ""))[n]))
+            inner = F.array_max(F.transform(value, _size_in_item(kind.elementType, name)))
             # Every item of a list has its own names below it, and each is as wide as the widest.
             yield f"{prefix}___*__{name}" if name else f"{prefix}___*", inner
 

@@ -15,8 +15,6 @@ SPREAD = 997
 # Keys and copies used when a join has a few very large keys on one side.
 LARGEST_KEYS = 100
 COPIES = 200
-# Up to this size the n smallest rows are kept with an ordered limit.
-ORDERED_LIMIT = 100_000
 
 
 def _as_column(value) -> Column:

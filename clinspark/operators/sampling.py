@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clinspark.functions.keys import hash_modulo, key_hash, uniform
-from clinspark.operators.groups import ORDERED_LIMIT, hash_rank, ordered_rank, with_group_totals
+from clinspark.operators.groups import hash_rank, ordered_rank, with_group_totals
 from clinspark.reference_values import PROXIMITY_FLOOR, PROXIMITY_SCALE
 
 # Distance in scales beyond which a normal density is exactly zero in double precision.
@@ -19,8 +19,6 @@ KEY_STEPS = 1024
 
 def sample_n(df: DataFrame, n, keys: Sequence[str], seed=0) -> DataFrame:
     """Exactly n rows (or all) chosen by key hash: repeatable on any layout. n may be a scalar column."""
-    if isinstance(n, int) and n <= ORDERED_LIMIT:
-        return df.orderBy(key_hash(seed, *keys), *keys).limit(n)
     return hash_rank(df, keys, seed, "_rank", upto=n).drop("_rank")
 
 
@@ -116,8 +114,6 @@ def weighted_sample(df: DataFrame, n, keys: Sequence[str], weight: str | None =
     if weight is None:
         return sample_n(df, n, keys, seed)
     keyed = df.withColumn("_key", -F.log(uniform(seed, *keys)) / F.col(weight))
-    if isinstance(n, int) and n <= ORDERED_LIMIT:
-        return keyed.orderBy("_key", *keys).limit(n).drop("_key")
     bucket = F.floor(F.log2("_key") * KEY_STEPS)
     return ordered_rank(keyed, bucket, [F.col("_key"), *[F.col(k) for k in keys]], "_rank", upto=n).drop("_rank", "_key")
 

@@ -130,20 +130,9 @@ def _searcher(patterns: Mapping[str, str], contexts: Mapping[str, ContextWindow]
     return search, names, kinds
 
 
-def spread_few_files(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spread rows over the cores when the input has fewer files than cores; otherwise the scan is kept as it is.
-
-    Reading text is cheap next to searching it, and a file cannot be split below its row groups. A large input
-    has many more files than cores and never takes this shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores, *keys) if 0 < files < cores else df
-
-
 def _map_texts(notes: DataFrame, keys: Sequence[str], text: str, function, names, kinds) -> DataFrame:
-    """Run an Arrow function over (keys, text) batches; only these columns are read."""
-    source = spread_few_files(notes.select(*keys, text), keys)
+    """Run an Arrow function over (keys, text) batches where they are read; only these columns are read."""
+    source = notes.select(*keys, text)
     spark_types = {pa.string(): T.StringType(), pa.int32(): T.IntegerType()}
     added = [T.StructField(n, spark_types[k]) for n, k in zip(names, kinds)]
     return source.mapInArrow(function, T.StructType(list(source.schema.fields[:-1]) + added))

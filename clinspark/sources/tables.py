@@ -37,8 +37,8 @@ def keep_avoid(df: DataFrame, column: str = "person_id", keep: Sequence | None =
             continue
         values = [v for v in values if v is not None]
         if len(values) <= IN_LIST:
-            inside = F.col(column).isin(values) if values else F.col(column).isNotNull() & F.lit(False)
-            df = df.filter(~inside if negate else inside)
+            inside = F.col(column).isin(values) if values else F.lit(False)
+            df = df.filter(F.col(column).isNotNull() & (~inside if negate else inside))
         else:
             schema = T.StructType([T.StructField(column, df.schema[column].dataType)])
             listed = code_frame(df.sparkSession, [(v,) for v in set(values)], schema)

@@ -6,7 +6,7 @@ Each contract is a function here and a CTE of the same name in `CTES`.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clinspark.functions.text import accent_table, normalize_name
-from clinspark.operators.spans import ContextWindow, extract_spans, spread_few_files
+from clinspark.operators.spans import ContextWindow, extract_spans
 
 SOURCES = {"CLAIMS": "O", "WARD": "F"}
 # Notes belong to as many persons as the event log has, and their dates vary independently of the person.
@@ -24,6 +24,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread_few_files(df: DataFrame, keys) -> DataFrame:
+    """The given tables are single files of one row group, which one task reads: their rows are spread over the cores here, by
+    the caller. The operators themselves never add this shuffle; large tables have many files and need none."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) == 1 else df
+
+
 def persons(spark, d):
     """Number of persons of the event log, as a scalar subquery."""
     return table(spark, d, "events").agg(F.count_distinct("user_id")).scalar()
@@ -160,7 +167,7 @@ def imaging(spark, d):
 def notes(spark, d):
     lang = F.create_map(*[F.lit(x) for p in (("en", 1), ("fr", 2), ("de", 3), ("es", 4)) for x in p])
     source = F.substring("source", 4, 9).cast("bigint") + 100
-    return table(spark, d, "documents").select(
+    return spread_few_files(table(spark, d, "documents"), ["doc_id"]).select(
         F.col("doc_id").alias("note_id"),
         (F.col("doc_id") % persons(spark, d)).alias("person_id"),
         F.col("doc_id").alias("visit_occurrence_id"),

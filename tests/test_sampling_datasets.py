@@ -114,13 +114,12 @@ def test_selection_without_positives(spans):
     assert rows.count() == 0
 
 
-def test_dataset_round_trip_and_blocks(spark, spans, monkeypatch):
+def test_dataset_round_trip_and_blocks(spark, spans):
     notes = spark.createDataFrame([(k, f"text {k}", k * 2) for k in range(1, 12)], "note_id long, note_text string, person_id long")
     dataset = ds.build_dataset(notes, spans, ["span_id"])
     assert dataset.count() == spans.select("note_id").distinct().count()
     assert ids(ds.read_dataset(dataset, ["span_id"])) == ids(spans)
-    monkeypatch.setattr(ds, "ENTITY_BLOCK", 5000)
-    blocks = ds.build_dataset(notes, spans, ["span_id"])
+    blocks = ds.build_dataset(notes, spans, ["span_id"], block_chars=5000)
     assert blocks.count() > dataset.count() and ids(ds.read_dataset(blocks, ["span_id"])) == ids(spans)
 
 
@@ -132,11 +131,11 @@ def test_task_dataset_and_card(spark, spans):
     assert dataset.selectExpr("sum(size(entities))").first()[0] == 20
 
 
-def test_drawn_copies_are_spread_over_rows(spark, spans, monkeypatch):
-    monkeypatch.setattr(ds, "COPY_BLOCK", 5)
+def test_drawn_copies_are_spread_over_rows(spark, spans):
     notes = spark.createDataFrame([(1, "t")], "note_id long, note_text string")
     drawn = sm.oversample(spans.filter("note_id = 1").limit(1), 23, ["span_id"])
-    dataset = ds.build_dataset(notes, drawn, ["span_id"], draw="draw")
+    assert ds.build_dataset(notes, drawn, ["span_id"], draw="draw").count() == 1  # by default one row per note
+    dataset = ds.build_dataset(notes, drawn, ["span_id"], draw="draw", block_copies=5)
     assert dataset.count() == 5 and ds.read_dataset(dataset).count() == 23
 
 
