@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from clinspark.functions.text import DATE_REGEX, accent_table, char_context
+from clinspark.functions.text import DATE_REGEX, accent_table, char_context, resolve_date
 from clinspark.operators import lfs, spans as sp
 from clinspark.operators.groups import largest_keys
 from clinspark.plans import labelling as lb
@@ -125,6 +125,29 @@ def lf_external(spark, d):
     return rows.select("span_id", F.array_join("votes", "|").alias("votes"))
 
 
+@query(
+    "lf_dates_external",
+    with_ctes(
+        f"""SELECT note_id, lexical_variant, string_agg(DISTINCT class, '|' ORDER BY class) AS votes FROM (
+          SELECT note_id, person_id, note_date AS day, day(note_date) || ' ' || {[*MONTHS_SHOWN]}[month(note_date)] || ' ' || year(note_date) AS lexical_variant FROM note
+          UNION ALL SELECT note_id, person_id, note_date + 3, strftime(note_date + 3, '%Y-%m-%d') FROM note) m
+        LEFT JOIN knowledge k ON k.person_id = m.person_id AND abs(k.event_date - m.day) <= 1 GROUP BY ALL""",
+        "note",
+        "knowledge",
+    ),
+)
+def lf_dates_external(spark, d):
+    """Text -> date mentions -> resolved dates -> votes of the events near them."""
+    month = F.element_at(F.array(*[F.lit(m) for m in MONTHS_SHOWN]), F.month("note_date"))
+    worded = F.concat_ws(" ", F.dayofmonth("note_date").cast("string"), month, F.year("note_date").cast("string"))
+    text = F.concat(F.lit("TEP le "), worded, F.lit(", contrôle le "), F.date_format(F.date_add("note_date", 3), "yyyy-MM-dd"), F.lit("."))
+    mentions = ad.notes(spark, d).select("note_id", "person_id", "note_date", text.alias("note_text"))
+    spans = sp.extract_spans(mentions, keys=("note_id", "person_id", "note_date"))
+    dated = spans.withColumn("span_date", resolve_date("lexical_variant", "note_date"))
+    rows = lfs.external_lf(dated, ad.knowledge_rows(spark, d), "votes", "span_date", 1)
+    return rows.select("note_id", "lexical_variant", F.array_join("votes", "|").alias("votes"))
+
+
 @query(
     "j_temporal_exact",
     with_ctes(
