@@ -18,7 +18,7 @@ COUNTER_SHIFT = np.uint64(64 - 22)
 # A block of counters is one row while the tables of the tasks are summed.
 BLOCK = 1 << 13
 # Most shared prefix shingles that a document may ask for.
-MOST_MATCHES = 4
+MOST_MATCHES = 8
 # Bits of the table that says which prefix shingles occur in more than one set; others that pass in error only cost time.
 SHARED_BITS = 1 << 26
 SHARED_BLOCKS = 64
@@ -74,12 +74,12 @@ def choose_matches(ordered: np.ndarray, n: int, least: int) -> int:
     """How many shared prefix shingles to ask for, given the frequencies of a document's shingles in their order.
 
     Asking for one more lengthens the prefix by one. The cost is the length of the prefix's lists plus the verification of
-    at most (length of the lists / matches) documents, each at an eighth of the set's size.
+    at most (length of the lists / matches) documents, each at the set's size. A list counts one entry more than its estimate.
     """
     best, cost = 1, None
     for m in range(1, min(MOST_MATCHES, least) + 1):
-        lists = float(ordered[: n - least + m].sum())
-        c = lists * (1.0 + n / 8.0 / m)
+        lists = float((ordered[: n - least + m] + 1.0).sum())
+        c = lists * (1.0 + n / m)
         if cost is None or c < cost:
             best, cost = m, c
     return best
@@ -184,18 +184,16 @@ def may_link(x: str, y: str, percent: int) -> Column:
 
 
 def counted_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, least) rows, one for each shared prefix shingle -> pairs that share as many as both ask for."""
-    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_shared"), F.first("least").alias("_least")).filter("_shared >= _least").select("a", "b")
+    """(a, b, least) rows, one for each shared prefix shingle -> pairs (with `_shared`) that share as many as both ask for."""
+    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_shared"), F.first("least").alias("_least")).filter("_shared >= _least")
 
 
 def pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each list's pivot with its other members: as many as the list has rows, not their square."""
+    """For each node the pivot of its lists that it shares most prefix shingles with: at most one pair a node."""
     other = postings.filter("node <> pivot.node").filter(may_link("", "pivot.", percent))
-    return counted_pairs(
-        other.select(
-            F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"), F.least("matches", "pivot.matches").alias("least")
-        )
-    )
+    met = counted_pairs(other.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.least("matches", "pivot.matches").alias("least")))
+    best = met.groupBy("a").agg(F.max(F.struct("_shared", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def remaining_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +215,7 @@ def remaining_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> Data
         met.select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.matches", "y.matches").alias("least")
         )
-    )
+    ).select("a", "b")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -225,20 +223,20 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
 
     Only texts of nodes in a pair are shuffled: a bit table of fixed size, made from those nodes, filters the scan first.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
-    wanted = checkpointed(wanted.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at")))
-    spot = F.xxhash64(F.lit("spot"), F.col("doc_id"), F.col("at"))
-    word, bit = F.pmod(spot, F.lit(FILTER_WORDS)).cast("int"), F.pmod(F.shiftright(spot, 32), F.lit(64)).cast("int")
-    bits = wanted.select(word.alias("_word"), F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64('spot', doc_id, at), 32), 64) as int))").alias("_bit"))
+    row_key = F.xxhash64(F.lit("row"), F.col("doc_id"), F.col("at"))
+    named = nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at")).withColumn("row", row_key)
+    sides = {x: named.select(F.col("node").alias(x), F.col("row").alias(f"row_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab"}
+    keyed = checkpointed(pairs.join(sides["a"], "a").join(sides["b"], "b"))
+    rows = keyed.select(F.col("row_a").alias("row")).union(keyed.select(F.col("row_b").alias("row")))
+    word, bit = F.pmod("row", F.lit(FILTER_WORDS)).cast("int"), F.pmod(F.shiftright("row", 32), F.lit(64)).cast("int")
+    bits = rows.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit"))
     bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))  # at most FILTER_WORDS rows
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("at"))
-    passing = keyed.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(bits), "_word")
-    passing = passing.filter(F.expr("(shiftright(_bits, _bit) & 1L) = 1L")).select("doc_id", "at", "text")
-    same = passing["doc_id"].eqNullSafe(wanted["doc_id"]) & (passing["at"] == wanted["at"])
-    texts = wanted.join(passing, same).groupBy("node").agg(F.first("text").alias("text"))  # a repeated row has the same text
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("at")).withColumn("row", row_key)
+    passing = source.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(bits), "_word")
+    passing = passing.filter(F.call_function("shiftright", F.col("_bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1)
+    passing = passing.select("row", "at", "text").dropDuplicates(["row", "at"])  # a repeated row has the same text
+    text = {x: passing.select(F.col("row").alias(f"row_{x}"), F.col("at").alias(f"at_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"}
+    joined = keyed.join(text["a"], ["row_a", "at_a"]).join(text["b"], ["row_b", "at_b"]).select("a", "b", "text_a", "text_b")
 
     def check(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -255,8 +253,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
     return joined.mapInArrow(check, "a binary, b binary")
 
 
-def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text_column: str = "text") -> DataFrame:
-    """Class of each document: doc_id, at, n_shingles, component_id (smallest doc_id reachable by links).
+def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80, text_column: str = "text") -> DataFrame:
+    """Class of each document: doc_id, at (hash of the text), n_shingles, class (null without shingles).
 
     Words are runs without ASCII white space, A-Z lower-cased. A document's set holds its distinct runs of `size` words (the
     whole sequence, if it has fewer). Two documents link when their sets' intersection is at least `percent` hundredths of the union.
@@ -264,9 +262,8 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text_col
     members with one pivot (the member with fewest rarer shingles), components are formed, and then only pairs in different
     components are left, all of which are verified. So no list emits its pairs, and no link between components is lost.
 
-    Null and empty texts have 0 shingles, link with nothing and get their own doc_id; repeated rows stay and link with each
-    other unless empty; null doc_ids never name a class that holds others; an empty table gives no rows; `at` is a hash of the text;
-    extra columns aren't read.
+    Null and empty texts have 0 shingles and link with nothing; repeated rows stay and link with each other unless empty; an
+    empty table gives no rows; extra columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     counts = frequencies(docs, size)
@@ -281,7 +278,33 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text_col
     links = checkpointed(verified(checkpointed(pivot_pairs(postings, percent)), firsts, docs, size, percent))
     more = verified(checkpointed(remaining_pairs(postings, components(links), percent)), firsts, docs, size, percent)
     roots = components(links.union(more))
-    members = signed.select("doc_id", "at", "n", "node").join(roots, "node", "left").withColumn("_class", F.coalesce("root", "node"))
-    names = members.filter("n > 0").groupBy("_class").agg(F.min("doc_id").alias("_least"))
-    named = members.join(names, "_class", "left")
-    return named.select("doc_id", "at", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
+    members = signed.select("doc_id", "at", F.col("n").alias("n_shingles"), "node").join(roots, "node", "left")
+    return members.select("doc_id", "at", "n_shingles", F.coalesce("root", "node").alias("class"))
+
+
+def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text_column: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, itself included. See `ngram_classes`.
+
+    A document without shingles has its own doc_id; a null doc_id names a class only if all of its ids are null.
+    """
+    members = ngram_classes(docs, size, percent, text_column)
+    names = members.groupBy("class").agg(F.min("doc_id").alias("_least")).filter("class is not null")
+    named = members.join(names, "class", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+
+
+def one_of_each_class(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` with the smallest doc_id of their class (null last, then by a hash of the text); rows without shingles stay.
+
+    Repeated rows of that doc_id and text leave one.
+    """
+    members = ngram_classes(docs, size, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "at")).alias("_first")
+    chosen = members.filter("class is not null").groupBy("class").agg(first).select(F.col("_first.doc_id").alias("_id"), F.col("_first.at").alias("_at"))
+    empty = members.filter("class is null").select(F.col("doc_id").alias("_id"), F.col("at").alias("_at")).distinct()
+    chosen = chosen.withColumn("_one", F.lit(True)).union(empty.withColumn("_one", F.lit(False)))
+    rows = docs.withColumn("_of", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_at"))
+    joined = rows.join(chosen, same)
+    single = joined.filter("_one").dropDuplicates(["doc_id", "_of"])
+    return single.select(*docs.columns).union(joined.filter("not _one").select(*docs.columns))
