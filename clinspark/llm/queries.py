@@ -98,4 +98,24 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+# Links of all pairs that share a shingle, and the ids that each document reaches.
+NGRAM_JOIN_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s
+    FROM words WHERE len(w) > 0
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), link AS (
+    SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared.n >= 90 * (p.n + q.n - shared.n)
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT reached.doc_id, link.b FROM reached JOIN link ON link.a = reached.other
+)
+SELECT r.doc_id, coalesce(max(n), 0) AS n_shingles, min(other) AS component_id FROM reached r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id
+"""
+ORACLES: dict[str, str] = {"op5_ngram_join": NGRAM_JOIN_SQL}
