@@ -98,6 +98,8 @@ class Codec:
             self._table(name, pa.table({k: pa.array([m[n] for m in rows], pa.int32()) for n, k in enumerate("abc")}))
         ids = pa.array(list(self.ranks.values()), pa.int32())
         self._table("vocabulary", pa.table({"t": ids, "hex": pa.array([x.hex() for x in self.ranks], pa.string())}))
+        self.token_bytes = np.zeros(max(self.ranks.values(), default=0) + 1, np.int64)
+        self.token_bytes[list(self.ranks.values())] = [len(x) for x in self.ranks]
         self.of_byte = np.array([self.ranks.get(bytes([x]), -1) for x in range(256)], np.int32)
         self._forget()
 
@@ -159,9 +161,12 @@ class Codec:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.tokens = np.concatenate([self.tokens, tokens])
         self.starts = np.cumsum(self.lengths) - self.lengths
-        texts = self.decode(tokens, np.repeat(np.arange(len(pieces)), lengths), len(pieces))
-        self.byte_lengths = np.concatenate([self.byte_lengths, np.fromiter(map(len, texts), np.int64, len(texts))])
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(texts), np.uint8)])
+        # One ordered aggregation decodes all new pieces; the lengths of their tokens say where each ends.
+        text = self.decode(tokens, np.zeros(len(tokens), np.int32), 1)[0]
+        owner = np.repeat(np.arange(len(pieces)), lengths)
+        sizes = np.bincount(owner, self.token_bytes[tokens], minlength=len(pieces)).astype(np.int64)
+        self.byte_lengths = np.concatenate([self.byte_lengths, sizes])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(text, np.uint8)])
         self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
 
     def encode(self, pieces: list[str]) -> np.ndarray:
