@@ -36,3 +36,27 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+# 64-bit words of the bit table that filters a scan; its size does not depend on the data.
+FILTER_WORDS = 1 << 17
+
+
+def may_be_among(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows of `df` whose bigint key may be among the wanted keys, without moving them.
+
+    The wanted keys set bits of a table of at most FILTER_WORDS words, which is broadcast. Some other rows pass too, more of them the
+    more keys are wanted; an exact join has to follow.
+    """
+    word, bit = free_name(df, "_word"), free_name(df, "_bit")
+
+    def place(k):
+        mixed = F.xxhash64(F.lit("filter"), k)
+        return F.pmod(mixed, F.lit(FILTER_WORDS)).cast("int"), F.pmod(F.shiftright(mixed, 32), F.lit(64)).cast("int")
+
+    wanted_word, wanted_bit = place(wanted_key)
+    bits = wanted.select(wanted_word.alias("_key"), F.call_function("shiftleft", F.lit(1).cast("bigint"), wanted_bit).alias("_one"))
+    bits = bits.groupBy("_key").agg(F.bit_or("_one").alias("_bits"))  # at most FILTER_WORDS rows
+    own_word, own_bit = place(key)
+    joined = df.withColumn(word, own_word).withColumn(bit, own_bit).join(F.broadcast(bits), F.col(word) == F.col("_key"))
+    return joined.filter(F.call_function("shiftright", F.col("_bits"), F.col(bit)).bitwiseAND(F.lit(1)) == 1).select(*df.columns)

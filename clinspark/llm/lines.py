@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clinspark.llm.common import checkpointed, free_name
+from clinspark.llm.common import checkpointed, free_name, may_be_among
 
 THRESHOLD = 2  # edits between near copies
 SHORTEST = 20  # characters of the shortest line that is compared; shorter lines are always kept
@@ -16,7 +16,7 @@ def line_key(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def segment_bounds(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def segment_bounds(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """0-based start and end of the i-th of `parts` even segments of a text of that length."""
     return F.floor(length * i / parts).cast("int"), F.floor(length * (i + 1) / parts).cast("int")
 
@@ -29,17 +29,24 @@ def probes(text: Column, length: Column, threshold: int) -> Column:
     add up to no more than the threshold. A key is a hash of the indexed length, the segment's number and the substring.
     """
     parts = threshold + 1
-    found = []
+    places = []
     for d in range(threshold + 1):
-        size = length - d
         for i in range(parts):
-            low, high = segment_bounds(size, i, parts)
             first = max(-i, d - (threshold - i))
             last = min(i, d + (threshold - i))
-            for shift in range(first, last + 1):
-                key = F.xxhash64(size, F.lit(i), F.substring(text, low + shift + 1, high - low))
-                found.append(F.struct(key.alias("key"), F.lit(d == 0 and shift == 0).alias("is_index")))
-    return F.array(*found)
+            places += [F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in range(first, last + 1)]
+
+    def looked_up(line):
+        def probe(p):
+            size = line["n"] - p["d"]
+            low, high = segment_bounds(size, p["i"], parts)
+            key = F.xxhash64(size, p["i"], F.substring(line["text"], low + p["shift"] + 1, high - low))
+            return F.struct(key.alias("key"), ((p["d"] == 0) & (p["shift"] == 0)).alias("is_index"))
+
+        return F.transform(F.array(*places), probe)
+
+    # The line is bound once; a loop over the places keeps the generated code small.
+    return F.get(F.transform(F.array(F.struct(text.alias("text"), length.alias("n"))), looked_up), 0)
 
 
 def within_edits(a: Column, b: Column, threshold: int) -> Column:
@@ -78,12 +85,14 @@ def within_edits(a: Column, b: Column, threshold: int) -> Column:
     return F.when(~near, F.lit(False)).when(F.size(b) == 0, F.size(a) <= threshold).otherwise(reached)
 
 
+LETTERS = "eanito "
+
+
 def letters(text: Column) -> Column:
-    """Counts of eight classes of characters in one number, a byte each; a cheap bound on the edits between two lines."""
-    classes = ["aàáâäAÀÄ", "eéèêëEÉ", "iíîïI", "oóôöOÖ", "nñNtT", "sßSrR", "hHlLdD", " .,"]
+    """Counts of some letters in one number, a byte each; a cheap bound on the edits between two lines."""
     packed = F.lit(0).cast("bigint")
-    for k, chars in enumerate(classes):
-        n = F.length(text) - F.length(F.translate(text, chars, ""))
+    for k, letter in enumerate(LETTERS):
+        n = F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
         packed = packed + F.call_function("shiftleft", F.pmod(n, F.lit(64)).cast("bigint"), F.lit(8 * k))
     return packed
 
@@ -91,35 +100,48 @@ def letters(text: Column) -> Column:
 def letters_apart(x: Column, y: Column) -> Column:
     """Lower bound of twice the edits between lines with these class counts (counts are kept modulo 64)."""
     total = F.lit(0).cast("bigint")
-    for k in range(8):
+    for k in range(len(LETTERS)):
         d = F.call_function("shiftright", x, F.lit(8 * k)).bitwiseAND(F.lit(63)) - F.call_function("shiftright", y, F.lit(8 * k)).bitwiseAND(F.lit(63))
         total = total + F.least(F.pmod(d, F.lit(64)), F.pmod(-d, F.lit(64)))
     return total
 
 
-def near_copies(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(line, place) distinct lines with their first place -> places of lines that have a near copy at an earlier place.
+def near_copies(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Lines (hash, line), repeated as they stand, and the first place of each hash -> hashes of lines with a near copy at an earlier place.
 
-    Lines meet on equal substring keys; class counts of characters cut the pairs before they are passed on, and the remaining pairs
-    are verified on whole lines. Lines of any length take part.
+    Lines meet on equal substring keys. Only the keys move at first, one number each, combined per task; then the few lines
+    that share a key with a different line are looked up, letter counts cut their pairs before they are passed on, and the
+    remaining pairs are verified on whole lines. Lines of any length take part.
     """
-    n = F.length("line")
-    keyed = lines.select("place", n.alias("n"), letters(F.col("line")).alias("bag"), F.explode(probes(F.col("line"), n, threshold)).alias("probe"))
-    keyed = keyed.select("place", "n", "bag", "probe.key", "probe.is_index")
+    # 40 bits of the hash tell the lines of a key apart; fewer bits move less.
+    arrays = lines.select("hash", F.xxhash64("hash").bitwiseAND(F.lit((1 << 40) - 1)).alias("h"), probes(F.col("line"), F.length("line"), threshold).alias("probes"))
+    keyed = arrays.select("hash", "h", F.explode("probes").alias("probe")).select("hash", "h", "probe.key", "probe.is_index")
     # A key is of interest if more than one line has it and one of them is indexed there.
-    shared = keyed.groupBy("key").agg(F.min("place").alias("_a"), F.max("place").alias("_b"), F.max("is_index").alias("_i")).filter("_a <> _b and _i")
-    met = checkpointed(keyed.join(shared.select("key"), "key"))
-    x, y = met.filter("is_index").alias("x"), met.alias("y")
+    shared = keyed.groupBy("key").agg(F.min("h").alias("_a"), F.max("h").alias("_b"), F.max(F.col("is_index").cast("int")).alias("_i"))
+    shared = checkpointed(shared.filter("_a <> _b and _i = 1").select("key"))
+    few = may_be_among(keyed, F.col("key"), shared, F.col("key")).groupBy("key", "hash").agg(F.max("is_index").alias("is_index"))
+    met = checkpointed(few.join(shared, "key"))
+    wanted = met.select(F.xxhash64("hash").alias("_id")).distinct()
+    texts = may_be_among(lines, F.xxhash64("hash"), wanted, F.col("_id")).groupBy("hash", "line").agg(F.count(F.lit(1)).alias("_n"))
+    texts = checkpointed(texts.join(met.select("hash").distinct(), "hash", "left_semi").join(firsts, "hash").select("hash", "line", "place"))
+    placed = met.join(texts.select("hash", "place", letters(F.col("line")).alias("bag")), "hash")
+    x, y = placed.filter("is_index").alias("x"), placed.alias("y")
     pairs = x.join(
         y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.place") != F.col("y.place"))
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.hash") != F.col("y.hash"))
         & (~F.col("y.is_index") | (F.col("x.place") < F.col("y.place")))
         & (letters_apart(F.col("x.bag"), F.col("y.bag")) <= 2 * threshold),
     )
-    pairs = checkpointed(pairs.select(F.least("x.place", "y.place").alias("a"), F.greatest("x.place", "y.place").alias("b")).distinct())
-    left = lines.select(F.col("place").alias("a"), F.split("line", "").alias("line_a"))
-    right = lines.select(F.col("place").alias("b"), F.split("line", "").alias("line_b"))
-    return pairs.join(left, "a").join(right, "b").filter(within_edits(F.col("line_a"), F.col("line_b"), threshold)).select(F.col("b").alias("place")).distinct()
+    first = F.col("x.place") < F.col("y.place")
+    ordered = [F.when(first, F.col(f"{u}.hash")).otherwise(F.col(f"{v}.hash")).alias(n) for u, v, n in (("x", "y", "a"), ("y", "x", "b"))]
+    pairs = checkpointed(pairs.select(*ordered).distinct())
+    left = texts.select(F.col("hash").alias("a"), F.col("line").alias("line_a"))
+    right = texts.select(F.col("hash").alias("b"), F.col("line").alias("line_b"))
+    joined = pairs.join(left, "a").join(right, "b")
+    # The arrays of characters are bound once for all steps of the comparison.
+    both = F.array(F.struct(F.split("line_a", "").alias("x"), F.split("line_b", "").alias("y")))
+    near = F.get(F.transform(both, lambda v: within_edits(v["x"], v["y"], threshold)), 0)
+    return joined.filter(near).select(F.col("b").alias("hash")).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -144,8 +166,10 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHO
     lines_, hashes = (F.lit(n).cast("decimal(10,0)") for n in (_LINES, _HASHES))
     inside = F.col("_at").cast("bigint") * _HASHES + F.xxhash64("line").bitwiseAND(F.lit(_HASHES - 1))
     place = (F.col("_rank") * lines_ * hashes + inside).cast("decimal(38,0)")
-    firsts = occurrences.groupBy("line").agg(F.min(place).alias("place"))
-    keeps = firsts.join(near_copies(firsts, threshold), "place", "left_anti").select("place")
+    occurrences = occurrences.withColumn("hash", F.unhex(F.md5("line")))
+    firsts = checkpointed(occurrences.select("hash", place.alias("place")).groupBy("hash").agg(F.min("place").alias("place")))
+    near = near_copies(occurrences.select("hash", "line"), firsts, threshold)
+    keeps = firsts.join(near, "hash", "left_anti").select("place")
     inside = F.pmod(F.col("place"), (lines_ * hashes).cast("decimal(20,0)"))
     owner = ((F.col("place") - inside) / (lines_ * hashes).cast("decimal(20,0)")).cast("decimal(20,0)")
     keeps = keeps.select(owner.alias("_owner"), F.shiftright(inside.cast("bigint"), 16).alias("_at"))

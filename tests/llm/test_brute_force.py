@@ -69,14 +69,19 @@ def test_banded_edit_distance(spark, threshold):
     assert df.filter(lines.within_edits(F.col("a"), F.col("b"), threshold) != F.col("want")).count() == 0
 
 
+def near_places(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "place long, line string").withColumn("hash", F.unhex(F.md5("line")))
+    near = lines.near_copies(df.select("hash", "line").union(df.select("hash", "line")), df.select("hash", "place"), 2)
+    return {r["place"] for r in df.join(near, "hash").collect()}
+
+
 def test_near_lines(spark):
     """Near copies of random lines with up to four edits, against all pairs."""
     rng = random.Random(5)
     base = ["".join(rng.choice("abcde é") for _ in range(rng.randint(20, 40))).strip() + "x" for _ in range(25)]
     texts = list(dict.fromkeys(v for b in base for v in [b, *[changed(rng, b, "abcé", 4) for _ in range(6)]] if len(v) >= 15))
     rng.shuffle(texts)
-    df = spark.createDataFrame(list(enumerate(texts)), "place long, line string")
-    got = {r["place"] for r in lines.near_copies(df, 2).collect()}
+    got = near_places(spark, texts)
     want = {max(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if edits(a, b) <= 2}
     assert got == want and len(want) > 20
 
@@ -88,9 +93,8 @@ def test_line_dedup(spark, sf_dir, texts):
             key = line.strip(" \t\r")
             if len(key) >= lines.SHORTEST:
                 first.setdefault(key, (i, k))
-    df = spark.createDataFrame([(n, x) for n, (x, _) in enumerate(sorted(first.items(), key=lambda v: v[1]))], "place long, line string")
     ordered = [x for x, _ in sorted(first.items(), key=lambda v: v[1])]
-    near = {ordered[r["place"]] for r in lines.near_copies(df).collect()}
+    near = {ordered[k] for k in near_places(spark, ordered)}
     for r in queries.op2_line_dedup(spark, sf_dir).collect():
         kept = []
         for k, line in enumerate(texts[r["doc_id"]].split("\n")):
