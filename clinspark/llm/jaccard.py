@@ -86,7 +86,7 @@ def choose_matches(ordered: np.ndarray, n: int, least: int) -> int:
 
 
 def signatures(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(doc_id, text) -> doc_id, at (hash of the text), n, node (hash of the set), matches, prefix array<bigint>.
+    """(doc_id, text) -> doc_id, at (hash of the text), n, key (128-bit hash of the set), matches, prefix array<bigint>.
 
     Shingles are ordered by frequency, then hash. A set of n shingles shares at least ceil(percent * n / 100) with any set it links
     to, so two linked sets that both ask for m matches share m shingles of their first n - that + m ones.
@@ -97,14 +97,14 @@ def signatures(docs: DataFrame, size: int, percent: int, counts: np.ndarray) ->
     def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in stream:
-            n, nodes, matches, prefixes = [], [], [], []
+            n, keys, matches, prefixes = [], [], [], []
             for words in words_of_texts(batch.column(1)):
                 found = shingle_set(words, size)
                 n.append(len(found))
                 if not len(found):
-                    nodes.append(None), matches.append(0), prefixes.append(np.zeros(0, np.int64))
+                    keys.append(None), matches.append(0), prefixes.append(np.zeros(0, np.int64))
                     continue
-                nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 frequency = table[(found >> COUNTER_SHIFT).astype(np.int64)]
                 order = np.argsort(frequency, kind="stable")
                 least = (percent * len(found) + 99) // 100
@@ -114,11 +114,11 @@ def signatures(docs: DataFrame, size: int, percent: int, counts: np.ndarray) ->
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(matches, pa.int32()), lists],
-                names=["doc_id", "at", "n", "node", "matches", "prefix"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(matches, pa.int32()), lists],
+                names=["doc_id", "at", "n", "key", "matches", "prefix"],
             )
 
-    schema = "doc_id bigint, at bigint, n bigint, node binary, matches int, prefix array<bigint>"
+    schema = "doc_id bigint, at bigint, n bigint, key binary, matches int, prefix array<bigint>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("at")).mapInArrow(sign, schema)
 
 
@@ -169,7 +169,7 @@ def shared_postings(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
             arrays = [pa.array(tokens[known]), *[batch.column(k).take(take) for k in range(3)], pa.array(pos[known].astype(np.int32)), pa.array(before[known].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=["token", "node", "n", "matches", "pos", "before"])
 
-    schema = "token bigint, node binary, n bigint, matches int, pos int, before int"
+    schema = "token bigint, node bigint, n bigint, matches int, pos int, before int"
     return nodes.select("node", "set.n", "set.matches", "set.prefix").mapInArrow(post, schema)
 
 
@@ -250,7 +250,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return joined.mapInArrow(check, "a binary, b binary")
+    return joined.mapInArrow(check, "a bigint, b bigint")
 
 
 def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80, text_column: str = "text") -> DataFrame:
@@ -268,8 +268,8 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80, text_column
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     counts = frequencies(docs, size)
     signed = checkpointed(signatures(docs, size, percent, counts))
-    nodes = signed.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first(F.struct("n", "matches", "prefix")).alias("set"))
-    nodes = checkpointed(nodes)
+    nodes = signed.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first(F.struct("n", "matches", "prefix")).alias("set"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))  # short names, fixed by the checkpoint
     rows = shared_postings(nodes, shared_bits(nodes))
     pivot = F.min(F.struct("pos", "n", "matches", "before", "node")).alias("pivot")
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_rows"), pivot).filter("_rows > 1")
@@ -278,7 +278,8 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80, text_column
     links = checkpointed(verified(checkpointed(pivot_pairs(postings, percent)), firsts, docs, size, percent))
     more = verified(checkpointed(remaining_pairs(postings, components(links), percent)), firsts, docs, size, percent)
     roots = components(links.union(more))
-    members = signed.select("doc_id", "at", F.col("n").alias("n_shingles"), "node").join(roots, "node", "left")
+    members = signed.select("doc_id", "at", F.col("n").alias("n_shingles"), "key").join(nodes.select("key", "node"), "key", "left")
+    members = members.join(roots, "node", "left")
     return members.select("doc_id", "at", "n_shingles", F.coalesce("root", "node").alias("class"))
 
 
