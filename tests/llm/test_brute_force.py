@@ -268,6 +268,21 @@ def test_mixing(spark, sf_dir, texts):
     assert words == +collections.Counter({r["doc_id"]: r["taken"] for r in rows})
 
 
+def test_mixing_of_a_tiny_source(spark):
+    """A source of one document beside one of a million times its share meets its target as exactly, and has a place in the order."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 1234, "tiny").otherwise("huge").alias("source"), F.when(F.col("id") == 1234, "a b c").otherwise(F.repeat(F.lit("w "), 2000)).alias("text"))
+    for slots in (64, 1000):
+        rows = mixing.mix(docs, slots=slots).select("doc_id", "source", "target", "taken", "slot").collect()
+        taken, target = collections.Counter(), {}
+        for r in rows:
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert target["tiny"] == 6 == taken["tiny"] and abs(taken["huge"] - target["huge"]) <= 1
+        assert len(rows) == 4000 and all((r["slot"] is not None) == (r["taken"] > 0) and 0 <= (r["slot"] or 0) < slots for r in rows)
+        # The huge source is passed 1.5 times; its first pass fills two thirds of its slots.
+        assert len({r["slot"] for r in rows if r["taken"] > 0}) >= 0.65 * slots
+
+
 def test_schedule_is_even(spark):
     targets = spark.createDataFrame([("a", 10, 1.0, 6.0), ("b", 10, 1.0, 3.0), (None, 10, 1.0, 1.0)], "source string, source_size long, weight double, target double")
     slots = mixing.schedule(targets, 1000).collect()
