@@ -62,15 +62,19 @@ def _wide_cells(anchors: Column) -> Column:
 
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Add `name`: anchors of column a that b has too, in the same or a neighbouring cell, over the larger number of anchors.
+    """Add `name`: the share of (hash, cell) pairs that a and b have in common, in the same or a neighbouring cell.
 
-    1 for equal anchors, also when there are none on both sides, and 0 when only one side has some.
+    Pairs count once on both sides, however often a text repeats itself: the fewer of a's pairs that b has and b's pairs that a has,
+    over the larger number of pairs. So a and b may be exchanged. 1 for equal anchors, also when there are none on both sides, and 0
+    when only one side has some.
     """
     cells = free_name(df, f"_{name}_cells")
-    df = df.withColumn(cells, F.struct(_cells(F.col(a)).alias("own"), _wide_cells(F.col(b)).alias("other")))
-    most = F.greatest(F.size(F.col(cells)["own"]), F.size(F.col(cells)["other"]) / 3)
-    share = F.size(F.array_intersect(F.col(cells)["own"], F.col(cells)["other"])) / most
-    return df.withColumn(name, F.when(F.col(a) == F.col(b), F.lit(1.0)).when(most > 0, F.least(share, F.lit(1.0))).otherwise(F.lit(1.0))).drop(cells)
+    sides = F.struct(_cells(F.col(a)).alias("a"), _wide_cells(F.col(a)).alias("wide_a"), _cells(F.col(b)).alias("b"), _wide_cells(F.col(b)).alias("wide_b"))
+    df = df.withColumn(cells, sides)
+    own_a, own_b = F.col(cells)["a"], F.col(cells)["b"]
+    most = F.greatest(F.size(own_a), F.size(own_b))
+    common = F.least(F.size(F.array_intersect(own_a, F.col(cells)["wide_b"])), F.size(F.array_intersect(own_b, F.col(cells)["wide_a"])))
+    return df.withColumn(name, F.when(F.col(a) == F.col(b), F.lit(1.0)).when(most > 0, common / most).otherwise(F.lit(1.0))).drop(cells)
 
 
 def followed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -309,6 +309,21 @@ def test_fingerprints(spark, sf_dir, texts):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_likeness_of_repetitive_texts(spark):
+    """A near copy of a long text that repeats a line is near, from both sides; another repetitive text is not."""
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa\n"
+    text = line * 200
+    copy = text[:5000] + "#" + text[5001:]
+    other = "one two three four five six seven eight nine ten\n" * 200
+    df = spark.createDataFrame([(text, copy, other)], "x string, y string, z string")
+    for c in "xyz":
+        df = fingerprints.with_anchors(df, c, f"{c}_anchors")
+    for c, d in ("xy", "yx", "xz", "zx"):
+        df = fingerprints.with_likeness(df, f"{c}_anchors", f"{d}_anchors", c + d)
+    row = df.first()
+    assert row["xy"] == row["yx"] > 0.8 and row["xz"] == row["zx"] == 0
+
+
 def test_closed_syncmers(spark):
     """Chosen places against the definition, with the hashes that Spark gives to tokens and their pairs."""
     text = " ".join(f"w{k * 37 % 23}x" for k in range(60))
