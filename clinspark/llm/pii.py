@@ -21,6 +21,14 @@ IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})")
 ISO_DATE = re.compile(r"((?:19|20)\d\d)([-/.])(\d\d)\2(\d\d)")
 DAY_FIRST = re.compile(r"(\d\d?)([-/.])(\d\d?)\2((?:19|20)\d\d)")
+# Addresses, social security numbers and dates are looked for first, with digit guards only where more may stand around
+# them: a time of day, a port, a mask, the other end of a range.
+FIXED = re.compile(
+    r"(?<!\d)(?:(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))|(?P<ssn>(?<![\w.])\d{3}-\d{2}-\d{4}(?!\w))"
+    r"|(?P<iso>(?:19|20)\d\d([-/.])\d\d\4\d\d(?!\d))|(?P<day>\d\d?([-/.])\d\d?\6(?:19|20)\d\d(?!\d)))"
+)
+# What may stand before the end of an international number.
+PLUS = re.compile(r"\+[2-9][\d ().-]{0,30}$")
 NANP = re.compile(r"(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-]?)[2-9]\d\d[ .-]?\d{4}")
 INTERNATIONAL = re.compile(r"\+[2-9]\d{0,2}(?:[ .()-]{0,2}\d){6,12}")
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
@@ -158,6 +166,30 @@ class Pseudonyms:
             return "card", self.card(text)
         return None
 
+    def fixed(self, text: str, m: re.Match, done: int) -> tuple[str, str] | None:
+        """(kind, pseudonym) of a match of FIXED; null if it doesn't validate or is a piece of something longer.
+
+        `done` is the end of the value before. The same separator and more digits on a side make a date or social security number a
+        piece of a longer number, unless another value stands there.
+        """
+        start, end = m.span()
+        if m["ip"] is None:
+            separator = "-" if m["ssn"] else m[4] or m[6]
+            before, after = text[max(start - 2, 0) : start], text[end : end + 2]
+            if len(before) == 2 and before[1] == separator and before[0].isdigit() and done != start - 1:
+                return None
+            if len(after) == 2 and after[0] == separator and after[1].isdigit():
+                next_one = FIXED.match(text, end + 1)
+                if not next_one or not self.number(next_one[0]):
+                    return None
+            phone = PLUS.search(text[max(start - 32, done) : start])
+            if phone and INTERNATIONAL.fullmatch(phone[0] + m[0]):
+                return None
+            around = text[max(start - 400, 0) : end + 400]
+            if "@" in around and any(e.start() <= start < e.end() for e in EMAIL.finditer(text, max(start - 400, 0), end + 400)):
+                return None
+        return self.number(m[0])
+
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         counts = dict.fromkeys(KINDS, 0)
 
@@ -190,7 +222,13 @@ class Pseudonyms:
                     i += 1
             return "".join(out)
 
-        return NUMBER.sub(numbers, text), counts
+        out, done = [], 0
+        for m in FIXED.finditer(text):
+            new = self.fixed(text, m, done)
+            if new:
+                out += [NUMBER.sub(numbers, text[done : m.start()]), put(*new)]
+                done = m.end()
+        return "".join([*out, NUMBER.sub(numbers, text[done:])]), counts
 
 
 def valid_ssn(digits: str) -> bool:
@@ -206,7 +244,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text") -> Data
     """Texts with e-mail addresses, phone, card, account and social security numbers, IPv4 addresses and dates replaced.
 
     Returns doc_id, text and one count per kind (n_email ...). A value is replaced only if it validates (Luhn, modulo 97, calendar,
-    ranges); its pseudonym comes from a keyed Feistel permutation of the values of its format, validates in the same way and is the same
+    ranges), dates also in time stamps and ranges, addresses also with a port or mask; its pseudonym comes from a keyed Feistel permutation of the values of its format, validates in the same way and is the same
     for equal values in all documents, whatever their separators (dates: per order and separator). Null texts stay null
     with counts 0; empty and clean texts stay as they are; texts are read whole; repeated rows stay; extra columns aren't read.
     """

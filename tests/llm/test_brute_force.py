@@ -124,6 +124,26 @@ def test_pseudonyms(documents):
     assert names.replace(clean) == (clean, dict.fromkeys(pii.KINDS, 0))
 
 
+def test_values_inside_longer_runs():
+    names = pii.Pseudonyms(b"key")
+    ip, date, later, day = names.ip("192.168.0.17"), names.number("2020-01-01")[1], names.number("2020-02-03")[1], names.number("12/05/2020")[1]
+    ssn, day_later = names.ssn("123-45-6789"), names.number("14/05/2020")[1]
+    cases = {
+        "at 2020-01-01T12:30:00Z.": (f"at {date}T12:30:00Z.", {"date": 1}), "2020-01-01 12:30": (f"{date} 12:30", {"date": 1}),
+        "host 192.168.0.17:8080, 192.168.0.17/24": (f"host {ip}:8080, {ip}/24", {"ip": 2}), "192.168.0.17-192.168.0.17": (f"{ip}-{ip}", {"ip": 2}),
+        "2020-01-01/2020-02-03": (f"{date}/{later}", {"date": 2}), "2020-01-01-2020-02-03": (f"{date}-{later}", {"date": 2}),
+        "2020-01-01 2020-02-03": (f"{date} {later}", {"date": 2}), "12/05/2020-14/05/2020": (f"{day}-{day_later}", {"date": 2}),
+        "ssn:123-45-6789/2020-01-01": (f"ssn:{ssn}/{date}", {"ssn": 1, "date": 1}), "log_2020-01-01.txt": (f"log_{date}.txt", {"date": 1}),
+    }
+    for text, (want, counts) in cases.items():
+        new, found = names.replace(text)
+        assert new == want and {k: n for k, n in found.items() if n} == counts, text
+    phone = "+49 123-45-6789"
+    assert names.replace(phone)[1]["phone"] == 1 and names.replace(phone)[1]["ssn"] == 0
+    clean = "v1.2.3.4.5 1.2.3.4.5 2020-01-01-5 7-2020-01-01 2020-02-30T10:00 300.1.1.1:80 000-45-6789"
+    assert names.replace(clean) == (clean, dict.fromkeys(pii.KINDS, 0))
+
+
 def test_bpe_like_the_library(spark, sf_dir, texts, documents):
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in queries.byte_bpe()[0].splitlines())}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
