@@ -71,7 +71,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(table(spark, sf_dir, "documents"), rank_file=byte_bpe()[0])
 
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")

@@ -1,5 +1,8 @@
 """Secret scans: fixed patterns, and a guess-cost estimate of the values that stand in a credential context."""
 
+import base64
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -17,7 +20,7 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 # A credential word, at most a few characters of syntax, and a value without white space, quotes and closing brackets.
 CONTEXT = re.compile(
-    r"""(?ai)(?<![a-z0-9])(?:[a-z0-9_.-]{0,40}(?:password|passwd|passphrase|passcode|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth_?key)|(?:authorization["']?\x20*[:=]\x20*["']?)?(?:bearer|basic))(?:["']?\x20*(?:[:=]|=>|:=)\x20*|\x20+is\x20+|\x20+)["']?([^\s"'<>(){}\[\],;]{8,200})"""
+    r"""(?ai)(?<![a-z0-9])(?:[a-z0-9_.-]{0,40}(?:password|passwd|passphrase|passcode|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth_?key)|(?:authorization["']?\x20*[:=]\x20*["']?)?(?:bearer|basic))(?:["']?\x20*(?:[:=]|=>|:=)\x20*|\x20+is\x20+|\x20+)["']?([^\s"'<>(){}\[\],;]{8,})"""
 )
 CONTEXT_WORDS = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "apikey", "accesskey", "access_key", "privatekey", "private_key", "credential", "authkey", "auth_key", "bearer", "basic")
 # Words that guessers try first, most frequent first (fixed values).
@@ -55,15 +58,34 @@ def _neighbours() -> dict[str, str]:
 NEIGHBOURS = _neighbours()
 
 
-def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
+def word_ranks(rank_file: bytes | None = None) -> dict[str, int]:
+    """Rank of each word that guessers try: COMMON_WORDS, then the lower-case words of a tokenizer's rank file in its order."""
+    tokens = (base64.b64decode(line.split()[0]).strip() for line in (rank_file or b"").splitlines() if line.strip())
+    more = (t.decode() for t in tokens if re.fullmatch(rb"[a-z]{3,}", t))
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON_WORDS, *more]))}
+
+
+# A value above LONG characters is first tried with repeats and walks of at most NEAR characters; if that is cheap, it is no secret.
+LONG, NEAR = 400, 64
+
+
+def guess_cost(value: str, words: dict[str, int] | None = None, enough: float = math.inf, near: int | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation of `value` takes; 0 for the empty text.
 
     best[j] is the least cost of value[:j]; a last segment may be a word (its rank, with a factor for capitals and for
     substituted characters), a date, a unit repeated, a walk over neighbouring keys or along the alphabet, or one character
     of brute force at a cost of 10. A short step of log10(2) is charged for each segment but the first, for the guesser must also
     find where segments end.
+
+    With `enough`, only whether the cost reaches it is exact: the search ends where every way on is sure to reach it. A segment that
+    goes on past j starts at most a word, a date or the current walk before it, or has its first unit end no earlier than the current repeat
+    began. With `near`, units and walks longer than that (but for the whole walk) are not tried, so the cost may be too high.
     """
-    ranks = words if words is not None else {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
+    if len(value) > LONG and enough < math.inf and near is None:
+        least = guess_cost(value, words, enough, NEAR)
+        if least < enough:
+            return least
+    ranks = words if words is not None else word_ranks()
     longest_word = max(map(len, ranks), default=0)
     low = value.lower()
     plain = low.translate(LEET)
@@ -73,10 +95,12 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     for m in DATE.finditer(value):
         days = 365 * 100 if m.end() - m.start() > 4 else 119
         ends.setdefault(m.end(), []).append((m.start(), math.log10(days) + (math.log10(4) if not m.group().isdigit() else 0.0)))
+    bends = [0, *itertools.accumulate((ord(low[k + 1]) - ord(low[k])) != (ord(low[k + 2]) - ord(low[k + 1])) for k in range(n - 2))]
     walk = 0
+    same: list[int] = []  # same[u - 1]: for how many characters up to here each equals the one u before it
+    step = math.log10(2)
     for j in range(1, n + 1):
         best[j] = best[j - 1] + 1.0
-        step = math.log10(2)
         for size in range(3, min(longest_word, j) + 1):
             i = j - size
             for form, factor in ((low[i:j], 1), (plain[i:j], 2)):
@@ -88,18 +112,26 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
         for i, cost in ends.get(j, ()):
             best[j] = min(best[j], best[i] + cost + step * (i > 0))
         walk = walk + 1 if j > 1 and low[j - 1] in NEIGHBOURS.get(low[j - 2], "") else 1
-        for size in range(3, walk + 1):
+        sizes = range(3, walk + 1) if near is None or walk <= near else [*range(3, near + 1), walk]
+        for size in sizes:
             i = j - size
-            turns = sum((ord(low[k + 1]) - ord(low[k])) != (ord(low[k + 2]) - ord(low[k + 1])) for k in range(i, j - 2))
+            turns = bends[j - 2] - bends[i]
             best[j] = min(best[j], best[i] + math.log10(47 * size) + 0.5 * math.log10(turns + 1) * min(turns, 6) + step * (i > 0))
-        for unit in range(1, j // 2 + 1):
-            times = 1
-            while j - (times + 1) * unit >= 0 and value[j - (times + 1) * unit : j - times * unit] == value[j - unit : j]:
-                times += 1
+        most = j - 1 if near is None else min(j - 1, near)
+        same += [0] * (most - len(same))
+        c = value[j - 1]
+        same = [same[u - 1] + 1 if value[j - 1 - u] == c else 0 for u in range(1, most + 1)]
+        for unit, run in enumerate(same, 1):
+            times = run // unit + 1
             if times >= 2 and unit * times >= 3:
                 i = j - unit * times
                 base = min(float(unit), best[j - unit * (times - 1)] - best[i])
                 best[j] = min(best[j], best[i] + base + math.log10(times) + step * (i > 0))
+        if best[j] >= enough:
+            back = max(longest_word, 10, walk, max(same, default=0))
+            least = min(best[max(0, j - back) : j + 1])
+            if least >= enough:
+                return least
     return best[n]
 
 
@@ -114,29 +146,33 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def context_spans(text: str, low: str, base: Sequence[tuple[int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """Spans of values in a credential context whose guess cost reaches the threshold, where no base span lies."""
+def context_spans(
+    text: str, low: str, base: Sequence[tuple[int, int, int]], threshold: float = THRESHOLD, words: dict[str, int] | None = None
+) -> list[tuple[int, int, int]]:
+    """Spans of values in a credential context whose guess cost reaches the threshold, unless one base span covers the whole value."""
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found, k = [], 0
+    starts = [b[0] for b in base]
+    reach = list(itertools.accumulate((b[2] for b in base), max))
+    found = []
     for m in CONTEXT.finditer(text):
         start, value = m.start(1), m.group(1).rstrip(".:!?")
         end = start + len(value)
-        while k < len(base) and max(b[2] for b in base[k : k + 1]) <= start and base[k][0] < start:
-            k += 1
-        if len(value) < 8 or any(b[0] < end and start < b[2] for b in base[max(0, k - 3) : k + 8]):
+        k = bisect.bisect_right(starts, start)
+        if len(value) < 8 or (k and reach[k - 1] >= end):
             continue
-        if guess_cost(value) >= threshold and not (value.isalpha() and value.islower()):
+        if guess_cost(value, words, threshold) >= threshold:
             found.append((start, 3, end))
     return found
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, threshold: float = THRESHOLD, text_column: str = "text", rank_file: bytes | None = None) -> DataFrame:
     """Spans of secrets in each document: doc_id, spans array<struct<kind, start, end>> by start, then kind.
 
     The fixed patterns give kinds assign, access and hex. Values behind credential words ("pwd is ...", "Bearer ...",
     values with characters that `assign` doesn't take) get kind guess if a guesser needs 10 ** threshold tries for the cheapest
-    segmentation into words, dates, repeats, key walks and single characters; a lower-case word alone is prose and no secret.
+    segmentation into words, dates, repeats, key walks and single characters. A value has no upper length. A lower-case word is prose where the guesser has it: `rank_file`, a
+    tokenizer's ranks, adds its words to the built-in ones; without it, longer words of prose count as secrets.
     Offsets are code points, ends exclusive. Null texts count as empty and have no spans; texts are scanned whole;
     repeated rows stay; an empty table gives no rows; extra columns are not read.
     """
@@ -144,13 +180,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, text_column: str = "text
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_ranks(rank_file)
         for batch in stream:
             found = []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 low = text.lower()
                 base = base_spans(text, low)
-                spans = sorted(base + context_spans(text, low, base, threshold))
+                spans = sorted(base + context_spans(text, low, base, threshold, words))
                 found.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], names=["doc_id", "spans"])
 

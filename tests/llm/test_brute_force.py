@@ -399,3 +399,22 @@ def test_guess_cost():
     low, high = ["password", "aaaaaaaaaaaaaaaa", "qwertyuiop", "1984-06-12", "p@ssw0rd1", "hunter2hunter2"], ["c98d9a1150d1", "xK9$mQ2!vL", "V7pTq0sLz2Wb"]
     assert all(secrets.guess_cost(v) < secrets.THRESHOLD for v in low) and all(secrets.guess_cost(v) >= secrets.THRESHOLD for v in high)
     assert secrets.guess_cost("") == 0 and secrets.guess_cost("x7") <= secrets.guess_cost("x7q")
+
+
+def test_long_and_lower_case_secrets():
+    rng = random.Random(5)
+    ranks = secrets.word_ranks(queries.byte_bpe()[0])
+    long = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789_-") for _ in range(50_000))
+
+    def spans(text):
+        return secrets.context_spans(text, text.lower(), secrets.base_spans(text, text.lower()), words=ranks)
+
+    assert spans(f"Bearer {long[:600]} x") == [(7, 3, 607)] and spans(f"Bearer {long}") == [(7, 3, 50_007)]
+    assert spans("my pwd is qzjxkvwmplrt, see") == [(10, 3, 22)]
+    assert spans("basic knowledge, token authentication, secret ingredients") == [] == spans("pwd is " + "-" * 20_000 + "x")
+    text = f"Bearer {long[:300]}+{'0123456789abcdef' * 2}"
+    assert (7, 3, len(text)) in spans(text)  # a fixed pattern inside doesn't stand for the whole value
+    for _ in range(300):  # the early end decides like the full search
+        value = "".join(rng.choice(["password", "qwerty", "ab", "1999", "x", "K", "7", "zz", "abcd"]) * rng.randint(1, 3) for _ in range(rng.randint(1, 8)))
+        full = secrets.guess_cost(value, ranks)
+        assert (secrets.guess_cost(value, ranks, 8.0) >= 8.0) == (full >= 8.0), value
