@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinspark.llm import bpe, fingerprints, jaccard, lines, mixing, neighbours, pii, quality, secrets, urls
+from clinspark.llm import bpe, covertree, fingerprints, jaccard, lines, mixing, neighbours, pii, quality, secrets, spelling, urls, whitening
 from clinspark.llm.common import table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -86,6 +86,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    explained = F.array(*[F.lit(float(v) / model.trace if model.trace else 0.0) for v in model.values]).cast("array<double>")
+    made = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return made.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -97,6 +116,9 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_neighbours": op9_neighbours,
     "op10_secrets": op10_secrets,
+    "op11_exact_search": op11_exact_search,
+    "op12_spelling": op12_spelling,
+    "op13_whitening": op13_whitening,
 }
 # Links of all pairs that share a shingle, and the ids that each document reaches.
 NGRAM_JOIN_SQL = r"""
@@ -118,4 +140,53 @@ WITH RECURSIVE words AS (
 )
 SELECT r.doc_id, coalesce(max(n), 0) AS n_shingles, min(other) AS component_id FROM reached r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id
 """
-ORACLES: dict[str, str] = {"op5_ngram_join": NGRAM_JOIN_SQL}
+EXACT_SEARCH_SQL = """
+WITH v AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+# The checksum is the usual CRC-32 by bytes; the letters of a run have one or two bytes. Words one edit apart agree after leaving out one letter.
+SPELLING_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), run AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents
+), counted AS (
+    SELECT doc_id, r, count(*) AS n FROM run WHERE length(r) >= 6 GROUP BY ALL
+), bytes AS (
+    SELECT r, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''),
+        lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END)) AS b FROM counted
+), hashed AS (
+    SELECT r, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS h FROM bytes, crc
+), made AS (
+    SELECT CASE WHEN h % 199 = 0 THEN substring(r, 1, CAST(h % length(r) AS INTEGER)) || substring(r, CAST(h % length(r) AS INTEGER) + 2) ELSE r END AS word, n FROM hashed
+), word AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (
+    SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)
+), one AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT cut.word, cut.n, w.word, w.n FROM cut JOIN word w ON w.word = cut.rest
+    UNION SELECT w.word, w.n, cut.word, cut.n FROM cut JOIN word w ON w.word = cut.rest
+), ranked AS (
+    SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM one
+), formed AS (
+    SELECT word.word, CASE WHEN other_n >= 5 * word.n THEN other END AS form, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * word.n THEN other_n END AS form_n
+    FROM word LEFT JOIN ranked ON ranked.word = word.word AND place = 1
+), walk AS (
+    SELECT word, word AS root FROM formed
+    UNION ALL
+    SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NOT NULL
+), ends AS (
+    SELECT walk.word, walk.root FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NULL
+)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+ORACLES: dict[str, str] = {"op5_ngram_join": NGRAM_JOIN_SQL, "op11_exact_search": EXACT_SEARCH_SQL, "op12_spelling": SPELLING_SQL}
