@@ -35,13 +35,32 @@ def code_prefixes(column) -> Column:
     return F.array_distinct(F.array(*[F.substring(column, 1, n) for n in CODE_PREFIX_LENGTHS]))
 
 
-def match_prefix_codes(df: DataFrame, codes: DataFrame, on: str, code: str = "code") -> DataFrame:
-    """Inner join with a list whose codes may be a prefix of the event code: an equi-join on the prefixes."""
+def code_dictionary(df: DataFrame, on: str) -> DataFrame:
+    """(full_code): the distinct codes of a table of events, one narrow column of it; combined per task before the shuffle."""
+    return df.select(F.col(on).alias("full_code")).filter(F.col("full_code").isNotNull()).distinct()
+
+
+def listed_codes(dictionary: DataFrame, codes: DataFrame, code: str = "code") -> DataFrame:
+    """Full codes with the list rows that equal them or a leading part: (full_code, other columns of the list).
+
+    Leading parts are made of the codes in use, which are few, and never of the events.
+    """
     listed = codes.withColumnRenamed(code, "_code")
-    prefixed = df.withColumn("_prefix", F.explode(code_prefixes(on)))
+    prefixed = dictionary.select("full_code", F.explode(code_prefixes("full_code")).alias("_prefix"))
     return prefixed.join(listed, F.col("_prefix") == F.col("_code"), "inner").drop("_prefix", "_code")
 
 
+def match_prefix_codes(df: DataFrame, codes: DataFrame, on: str, code: str = "code", dictionary: DataFrame | None = None) -> DataFrame:
+    """Inner join with a list whose codes may be a prefix of the event code.
+
+    The list is matched against the dictionary of codes (`full_code`; by default the codes of `df`), and the events join the matches once,
+    on their full code. A terminology table or a kept dictionary spares the read of the codes; codes that it lacks match nothing.
+    """
+    known = code_dictionary(df, on) if dictionary is None else dictionary.select("full_code").distinct()
+    matched = listed_codes(known, codes, code)
+    return df.join(matched, F.col(on) == F.col("full_code"), "inner").drop("full_code")
+
+
 def has_listed_prefix(column, codes: Sequence[str]) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     condition = F.lit(False)

@@ -60,13 +60,13 @@ def filter_status(conditions: DataFrame, statuses: str | Sequence[str] | None) -
     raise TypeError("statuses should be a str or a list")
 
 
-def select_conditions(conditions: DataFrame, codes: Codes, drop_duplicates: bool = False) -> DataFrame:
-    """Diagnoses whose code, or a leading part of it, is listed."""
+def select_conditions(conditions: DataFrame, codes: Codes, drop_duplicates: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
+    """Diagnoses whose code, or a leading part of it, is listed; `dictionary` as in `match_prefix_codes`."""
     column = "condition_source_value"
     if codes is None:
         df = conditions
     elif isinstance(codes, DataFrame):
-        df = match_prefix_codes(conditions, codes, column)
+        df = match_prefix_codes(conditions, codes, column, dictionary=dictionary)
     elif isinstance(codes, str):
         df = conditions.filter(has_listed_prefix(column, [codes]))
     elif isinstance(codes, (list, tuple)):
@@ -85,13 +85,14 @@ def get_conditions(
     sources: Mapping[str, str] = {},
     statuses: str | Sequence[str] | None = None,
     drop_duplicates: bool = False,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """Diagnoses by source, type and code, with visit and care site names.
 
     Every filter runs before the visits are joined, so only matching diagnoses reach the shuffle.
     """
     df = filter_status(filter_source(conditions, claim_source, sources), statuses)
-    df = select_conditions(df, codes, drop_duplicates)
+    df = select_conditions(df, codes, drop_duplicates, dictionary)
     extra = [c for c in codes.columns if c != "code"] if isinstance(codes, DataFrame) else []
     df = df.withColumn("condition_start_date", F.to_date("condition_start_datetime"))
     visits = visits.select("visit_occurrence_id", "visit_occurrence_source_value", "care_site_id")

@@ -4,7 +4,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clinspark.operators.codes import filter_source, match_codes, match_prefix_codes
+from clinspark.operators.codes import code_dictionary, filter_source, listed_codes, match_codes, match_prefix_codes
 from clinspark.operators.events import eligible_notes
 from clinspark.operators.groups import keep_one
 from clinspark.reference_values import (
@@ -18,52 +18,128 @@ from clinspark.reference_values import (
 )
 
 STEPS = (1, 2, 3, 4)
+# Lists and statuses whose meetings are bits of one number: the list within eight bits, which are any status or one of the three.
+LISTS = ("list_1", "list_1_radiotherapy", "list_2", "list_3", "list_4d", "list_4a", "list_5")
+ACTS, COSTS = "list_4a", "list_5"  # met by procedures and costs, not by diagnoses
+STATUSES = (STATUS_MAIN, STATUS_RELATED, STATUS_ASSOCIATED)
 
 
-def list_hits(conditions: DataFrame, procedures: DataFrame, lists: DataFrame) -> DataFrame:
+def list_hits(conditions: DataFrame, procedures: DataFrame, lists: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """(visit_occurrence_id, list, status): one scan of diagnoses and one of procedures for all code lists."""
-    by_prefix = lists.filter(F.col("list") != "list_4a")
+    by_prefix = lists.filter(F.col("list") != ACTS)
     coded = conditions.select("visit_occurrence_id", "condition_source_value", "condition_status_source_value")
-    diagnoses = match_prefix_codes(coded, by_prefix, "condition_source_value").select(
+    diagnoses = match_prefix_codes(coded, by_prefix, "condition_source_value", dictionary=dictionary).select(
         "visit_occurrence_id", "list", F.col("condition_status_source_value").alias("status")
     )
     acts = procedures.select("visit_occurrence_id", "procedure_source_value")
-    acts = match_codes(acts, lists.filter(F.col("list") == "list_4a"), "procedure_source_value")
+    acts = match_codes(acts, lists.filter(F.col("list") == ACTS), "procedure_source_value")
     return diagnoses.unionByName(acts.select("visit_occurrence_id", "list", F.lit(None).cast("string").alias("status")))
 
 
-def stay_steps(hits: DataFrame, steps: Sequence[int] = STEPS, costs: DataFrame | None = None) -> DataFrame:
-    """One row per visit that meets any step, with a boolean per step: one union, one aggregate.
+def list_bit(name: Column) -> Column:
+    """Bit of a list name; an unknown name has none."""
+    bit = F.lit(0).cast("bigint")
+    for i, known in enumerate(LISTS):
+        bit = F.when(name == known, F.lit(1 << i).cast("bigint")).otherwise(bit)
+    return bit
 
-    Step 5 needs `costs`, the visits (visit_occurrence_id) whose cost code is listed.
-    """
-    known = {1, 2, 3, 4} | ({5} if costs is not None else set())
+
+def meeting_bits(lists: Column, status: Column) -> Column:
+    """Bits of the lists that an event meets, once for any status and once for its own."""
+    bits = lists
+    for i, known in enumerate(STATUSES):
+        bits = bits.bitwiseOR(F.when(status == known, F.call_function("shiftleft", lists, F.lit(8 * (i + 1)))).otherwise(F.lit(0).cast("bigint")))
+    return bits
+
+
+def steps_of_bits(met: DataFrame, steps: Sequence[int], with_costs: bool) -> DataFrame:
+    """Visits with `bits`, the meetings of all their events -> those that meet any step, with a boolean per step instead."""
+    known = {1, 2, 3, 4} | ({5} if with_costs else set())
     if not steps or not set(steps) <= known:
         raise ValueError(f"steps must be among {sorted(known)}")
 
     def hit(name: str, status: str | None) -> Column:
-        condition = F.col("list") == name
-        return F.coalesce(F.max(condition & (F.col("status") == status) if status else condition), F.lit(False))
+        bit = 1 << (LISTS.index(name) + (8 * (STATUSES.index(status) + 1) if status else 0))
+        return F.col("bits").bitwiseAND(F.lit(bit).cast("bigint")) != 0
 
-    if costs is not None:
-        rows = costs.select("visit_occurrence_id", F.lit("list_5").alias("list"), F.lit(None).cast("string").alias("status"))
-        hits = hits.unionByName(rows)
-    flags = hits.groupBy("visit_occurrence_id").agg(
-        hit("list_1", STATUS_MAIN).alias("step_1a"),
-        (hit("list_1", STATUS_RELATED) & hit("list_1_radiotherapy", STATUS_MAIN)).alias("step_1b"),
-        hit("list_2", STATUS_RELATED).alias("step_2"),
-        hit("list_3", STATUS_ASSOCIATED).alias("step_3"),
-        (hit("list_4d", STATUS_ASSOCIATED) & hit("list_4a", None)).alias("step_4"),
-        *([hit("list_5", None).alias("step_5")] if costs is not None else []),
-    )
-    flags = flags.withColumn("step_1", F.col("step_1a") | F.col("step_1b"))
+    flags = {
+        "step_1a": hit("list_1", STATUS_MAIN),
+        "step_1b": hit("list_1", STATUS_RELATED) & hit("list_1_radiotherapy", STATUS_MAIN),
+        "step_2": hit("list_2", STATUS_RELATED),
+        "step_3": hit("list_3", STATUS_ASSOCIATED),
+        "step_4": hit("list_4d", STATUS_ASSOCIATED) & hit(ACTS, None),
+        **({"step_5": hit(COSTS, None)} if with_costs else {}),
+    }
+    flagged = met.withColumns(flags).withColumn("step_1", F.col("step_1a") | F.col("step_1b")).drop("bits")
     every = [F.col(f"step_{i}") for i in sorted(known)]
-    met = every[0]
+    any_step = every[0]
     for flag in every[1:]:
-        met = met | flag
+        any_step = any_step | flag
     chosen = [F.col(f"step_{i}") for i in steps]
     cancer = F.greatest(*chosen) if len(chosen) > 1 else chosen[0]
-    return flags.filter(met).withColumn("stay_cancer", cancer)
+    return flagged.filter(any_step).withColumn("stay_cancer", cancer)
+
+
+def stay_steps(hits: DataFrame, steps: Sequence[int] = STEPS, costs: DataFrame | None = None) -> DataFrame:
+    """One row per visit that meets any step, with a boolean per step: one union, one aggregate.
+
+    Step 5 needs `costs`, the visits (visit_occurrence_id) whose cost code is listed.
+    """
+    rows = hits.select("visit_occurrence_id", meeting_bits(list_bit(F.col("list")), F.col("status")).alias("bits"))
+    if costs is not None:
+        rows = rows.unionByName(cost_bits(costs))
+    return steps_of_bits(rows.groupBy("visit_occurrence_id").agg(F.bit_or("bits").alias("bits")), steps, costs is not None)
+
+
+def cost_bits(costs: DataFrame) -> DataFrame:
+    return costs.select("visit_occurrence_id", list_bit(F.lit(COSTS)).alias("bits"))
+
+
+def codebook(dictionary: DataFrame, lists: DataFrame, localisations: DataFrame, level: str = "organ") -> DataFrame:
+    """(full_code, lists, places): per code in use, the bits of the diagnosis lists that hold it or a leading part, and its localisations.
+
+    One row per code, so that a diagnosis joins it once for all steps and its localisation together.
+    """
+    other = "system" if level == "organ" else "organ"
+    nowhere = F.lit(None).cast("struct<level:string,other:string>")
+    entries = lists.filter(F.col("list") != ACTS).select("code", list_bit(F.col("list")).alias("bit"), nowhere.alias("place"))
+    place = F.struct(F.col(level).alias("level"), F.col(other).alias("other"))
+    entries = entries.unionByName(localisations.select("code", F.lit(0).cast("bigint").alias("bit"), place.alias("place")))
+    return listed_codes(dictionary, entries).groupBy("full_code").agg(F.bit_or("bit").alias("lists"), F.collect_list("place").alias("places"))
+
+
+def located_steps(
+    conditions: DataFrame, procedures: DataFrame, lists: DataFrame, localisations: DataFrame, steps: Sequence[int] = STEPS,
+    level: str = "organ", costs: DataFrame | None = None, dictionary: DataFrame | None = None,
+) -> DataFrame:
+    """Visits that meet any step, with their steps and heaviest localisation, from one read of diagnoses and one of procedures.
+
+    Rows are combined by (visit, localisation) and then by visit, each time before the shuffle: weights are summed and the bits of the
+    lists joined on the way. The heaviest localisation has the largest weight, then the smallest name.
+    """
+    other = "system" if level == "organ" else "organ"
+    known = code_dictionary(conditions, "condition_source_value") if dictionary is None else dictionary
+    book = codebook(known, lists, localisations, level)
+    diagnoses = conditions.select("visit_occurrence_id", "condition_source_value", "condition_status_source_value")
+    diagnoses = diagnoses.join(book, F.col("condition_source_value") == F.col("full_code")).select(
+        "visit_occurrence_id", meeting_bits(F.col("lists"), F.col("condition_status_source_value")).alias("bits"),
+        status_weight().cast("bigint").alias("weight"), F.explode_outer("places").alias("place"),
+    )
+    diagnoses = diagnoses.withColumn("weight", F.when(F.col("place").isNotNull(), F.col("weight")))
+    acts = procedures.select("visit_occurrence_id", "procedure_source_value")
+    acts = match_codes(acts, lists.filter(F.col("list") == ACTS).select("code").distinct(), "procedure_source_value")
+    unplaced = acts.select("visit_occurrence_id", list_bit(F.lit(ACTS)).alias("bits"))
+    if costs is not None:
+        unplaced = unplaced.unionByName(cost_bits(costs))
+    rows = diagnoses.unionByName(unplaced, allowMissingColumns=True)
+    placed = rows.groupBy("visit_occurrence_id", F.col("place.level").alias("level")).agg(
+        F.bit_or("bits").alias("bits"), F.sum("weight").alias("weight"), F.min("place.other").alias("other")
+    )
+    weighed = F.when(F.col("weight").isNotNull(), F.struct((-F.col("weight")).alias("minus"), "level", "other"))
+    met = placed.groupBy("visit_occurrence_id").agg(F.bit_or("bits").alias("bits"), F.min(weighed).alias("best"))
+    found = steps_of_bits(met, steps, costs is not None)
+    named = found.withColumns({level: F.col("best.level"), other: F.col("best.other"), "weight_code": -F.col("best.minus")}).drop("best")
+    return named.fillna(NO_LOCALISATION, subset=["system", "organ"])
 
 
 def date_bounds(df: DataFrame, column: str, after: str | None = None, before: str | None = None) -> DataFrame:
@@ -82,11 +158,11 @@ def status_weight(column: str = "condition_status_source_value") -> Column:
     return weight
 
 
-def score_localisation(conditions: DataFrame, localisations: DataFrame, level: str = "organ") -> DataFrame:
+def score_localisation(conditions: DataFrame, localisations: DataFrame, level: str = "organ", dictionary: DataFrame | None = None) -> DataFrame:
     """(visit, level, weight_code, other level): summed status weights of the listed diagnoses."""
     other = "system" if level == "organ" else "organ"
     coded = conditions.select("visit_occurrence_id", "condition_source_value", "condition_status_source_value")
-    matched = match_prefix_codes(coded, localisations, "condition_source_value")
+    matched = match_prefix_codes(coded, localisations, "condition_source_value", dictionary=dictionary)
     return (
         matched.withColumn("weight_code", status_weight())
         .groupBy("visit_occurrence_id", level)
@@ -120,17 +196,17 @@ def cancer_stays(
     level: str = "organ",
     costs: DataFrame | None = None,
     only_selected_steps: bool = False,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
-    """Stays by steps, then date bounds, localisation and hospital."""
+    """Stays by steps with their localisation, then date bounds and hospital; `dictionary` are the diagnosis codes in use, if known."""
     conditions = filter_source(conditions, claim_source, sources)
     procedures = filter_source(procedures, claim_source, sources)
-    stays = stay_steps(list_hits(conditions, procedures, lists), steps, costs)
+    stays = located_steps(conditions, procedures, lists, localisations, steps, level, costs, dictionary)
     if only_selected_steps:
         stays = stays.filter("stay_cancer")
     visit_columns = ["visit_occurrence_id", "person_id", "visit_start_datetime", "visit_end_datetime", "visit_source_value", "care_site_id"]
     stays = stays.join(visits.select(*visit_columns), "visit_occurrence_id", "left")
     stays = date_bounds(stays, date_column, after_date, before_date)
-    stays = add_localisation(stays, conditions, localisations, level)
     return stays.join(care_sites.select("care_site_id", "care_site_name"), "care_site_id", "left")
 
 

@@ -55,14 +55,15 @@ def knowledge_events(
     imaging_concepts: DataFrame,
     claim_source: str | None = None,
     sources: Mapping[str, str] = {},
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct (person_id, lf, event_date, class) rows of the five knowledge functions.
 
     Code frames hold `code` (or `concept_id`) and `task_id`. Only ids, dates and codes of the event tables
-    are read; persons are restricted before rows are made distinct.
+    are read; persons are restricted before rows are made distinct. `dictionary` are the diagnosis codes in use, if known.
     """
     acts = match_codes(filter_source(procedures, claim_source, sources), procedure_codes, "procedure_source_value")
-    diagnoses = select_conditions(filter_source(conditions, claim_source, sources), condition_codes)
+    diagnoses = select_conditions(filter_source(conditions, claim_source, sources), condition_codes, dictionary=dictionary)
     images = None
     for vocabulary in ("DICOM", "SOURCE"):
         rows = select_imaging(imaging, imaging_concepts, vocabulary).select("person_id", "series_date", "task_id")

@@ -194,14 +194,26 @@ def tasks(spark, d):
     )
 
 
+def code_dictionary(spark, d):
+    """(full_code): the terminology of the diagnosis codes."""
+    return part_codes(spark, d).select(F.col("code").alias("full_code")).distinct()
+
+
+def _listed(parts, entries):
+    """Rows of the structs whose condition holds, from one read of the parts."""
+    structs = F.array(*[F.when(F.expr(condition), entry) for condition, entry in entries])
+    return parts.select(F.inline(F.filter(structs, lambda e: e.isNotNull()))).distinct()
+
+
 def condition_codes(spark, d):
     """Three-character codes of small medium parts and full codes of large promo parts, with a task."""
-    parts = part_codes(spark, d)
-    short = parts.filter("p_type = 'MEDIUM' and p_size < 10").select(
-        F.substring("code", 1, 3).alias("code"), (F.col("p_size") % 3 + 1).alias("task_id")
-    )
-    full = parts.filter("p_type = 'PROMO' and p_size >= 45").select("code", (F.col("p_size") % 3 + 4).alias("task_id"))
-    return short.unionByName(full).distinct()
+
+    def entry(code, task):
+        return F.struct(code.alias("code"), task.alias("task_id"))
+
+    short = entry(F.substring("code", 1, 3), F.col("p_size") % 3 + 1)
+    full = entry(F.col("code"), F.col("p_size") % 3 + 4)
+    return _listed(part_codes(spark, d), [("p_type = 'MEDIUM' and p_size < 10", short), ("p_type = 'PROMO' and p_size >= 45", full)])
 
 
 def procedure_codes(spark, d):
@@ -215,18 +227,22 @@ def procedure_codes(spark, d):
 
 def step_lists(spark, d):
     """(list, code): claim code lists by part type."""
-    parts = part_codes(spark, d)
-    short = F.substring("code", 1, 3).alias("code")
-
-    def rows(name, condition, code=short):
-        return parts.filter(condition).select(F.lit(name).alias("list"), code).distinct()
-
-    lists = rows("list_1", "p_type in ('ECONOMY', 'MEDIUM') and p_brand in ('Brand#11', 'Brand#5', 'Brand#7')")
-    lists = lists.unionByName(rows("list_1_radiotherapy", "p_type = 'LARGE'", F.substring("code", 1, 1).alias("code")))
-    lists = lists.unionByName(rows("list_2", "p_type = 'PROMO' and p_size > 40"))
-    lists = lists.unionByName(rows("list_3", "p_type = 'STANDARD' and p_size > 45"))
-    lists = lists.unionByName(rows("list_4d", "p_type = 'STANDARD' and p_size < 30", F.col("code")))
-    return lists.unionByName(rows("list_4a", "p_brand in ('Brand#1', 'Brand#12', 'Brand#23')", F.col("p_brand").alias("code")))
+
+    def entry(name, code):
+        return F.struct(F.lit(name).alias("list"), code.alias("code"))
+
+    short = F.substring("code", 1, 3)
+    return _listed(
+        part_codes(spark, d),
+        [
+            ("p_type in ('ECONOMY', 'MEDIUM') and p_brand in ('Brand#11', 'Brand#5', 'Brand#7')", entry("list_1", short)),
+            ("p_type = 'LARGE'", entry("list_1_radiotherapy", F.substring("code", 1, 1))),
+            ("p_type = 'PROMO' and p_size > 40", entry("list_2", short)),
+            ("p_type = 'STANDARD' and p_size > 45", entry("list_3", short)),
+            ("p_type = 'STANDARD' and p_size < 30", entry("list_4d", F.col("code"))),
+            ("p_brand in ('Brand#1', 'Brand#12', 'Brand#23')", entry("list_4a", F.col("p_brand"))),
+        ],
+    )
 
 
 def localisations(spark, d):

@@ -284,8 +284,9 @@ PREFIX_MATCH = "({c} = substr({v}, 1, 1) OR {c} = substr({v}, 1, 3) OR {c} = sub
 )
 def conditions_full(spark, d):
     rows = ev.get_conditions(
-        ad.conditions(spark, d), ad.visits(spark, d), ad.care_sites(spark, d), ad.condition_codes(spark, d), "CLAIMS", ad.SOURCES, "DP"
-    )
+        ad.conditions(spark, d), ad.visits(spark, d), ad.care_sites(spark, d), ad.condition_codes(spark, d), "CLAIMS", ad.SOURCES, "DP",
+        dictionary=ad.code_dictionary(spark, d),
+    )
     return rows.withColumn("condition_start_date", day("condition_start_date"))
 
 
@@ -373,7 +374,9 @@ def j_broadcast_codes(spark, d):
     ),
 )
 def j_prefix_codes(spark, d):
-    rows = cd.match_prefix_codes(ad.conditions(spark, d), ad.condition_codes(spark, d), "condition_source_value")
+    rows = cd.match_prefix_codes(
+        ad.conditions(spark, d), ad.condition_codes(spark, d), "condition_source_value", dictionary=ad.code_dictionary(spark, d)
+    )
     return rows.select("condition_occurrence_id", "condition_source_value", "task_id")
 
 

@@ -33,7 +33,7 @@ STAY_NEEDS = ("condition", "procedure_", "step_list", "localisation", "visit", "
 def stays(spark, d, **options):
     return co.cancer_stays(
         ad.conditions(spark, d), ad.procedures(spark, d), ad.visits(spark, d), ad.care_sites(spark, d), ad.step_lists(spark, d),
-        ad.localisations(spark, d), claim_source="CLAIMS", sources=ad.SOURCES, **options,
+        ad.localisations(spark, d), claim_source="CLAIMS", sources=ad.SOURCES, dictionary=ad.code_dictionary(spark, d), **options,
     )
 
 
@@ -43,7 +43,7 @@ def stays(spark, d, **options):
 )
 def j_outer_flags(spark, d):
     claims = ad.conditions(spark, d).filter("cdm_source = 'O'"), ad.procedures(spark, d).filter("cdm_source = 'O'")
-    return co.stay_steps(co.list_hits(*claims, ad.step_lists(spark, d)))
+    return co.stay_steps(co.list_hits(*claims, ad.step_lists(spark, d), ad.code_dictionary(spark, d)))
 
 
 @query("a_visit_localisation", with_ctes("SELECT * FROM scores", "condition", "localisation", scores=SCORES))
@@ -57,7 +57,7 @@ def a_visit_localisation(spark, d):
 )
 def cp_localisation(spark, d):
     claims = ad.conditions(spark, d).filter("cdm_source = 'O'"), ad.procedures(spark, d).filter("cdm_source = 'O'")
-    flagged = co.stay_steps(co.list_hits(*claims, ad.step_lists(spark, d))).select("visit_occurrence_id")
+    flagged = co.stay_steps(co.list_hits(*claims, ad.step_lists(spark, d), ad.code_dictionary(spark, d))).select("visit_occurrence_id")
     return co.add_localisation(flagged, claims[0], ad.localisations(spark, d))
 
 
@@ -304,6 +304,7 @@ def _knowledge(spark, d):
     return kn.knowledge_events(
         ad.notes(spark, d).select("person_id"), tasks, ad.procedures(spark, d), ad.conditions(spark, d), ad.notes(spark, d), ad.imaging(spark, d),
         rows, ad.procedure_codes(spark, d), ad.condition_codes(spark, d), note_concepts, imaging_concepts, "CLAIMS", ad.SOURCES,
+        ad.code_dictionary(spark, d),
     )
 
 

@@ -113,3 +113,55 @@ def test_steps_are_validated_and_step_five_needs_costs(spark):
 def test_flag_lists(spark):
     flags = spark.createDataFrame([("A1", "x", None), ("A2", None, "x"), ("A3", "y", "x")], "Code string, Liste_1 string, Liste_4_A string")
     assert {tuple(r) for r in cd.step_code_lists(flags).collect()} == {("list_1", "A1"), ("list_4a", "A2"), ("list_4a", "A3")}
+
+
+def scans(df):
+    """How many files sources the executed plan reads."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("Initial Plan")[0].count("FileScan parquet")
+
+
+def test_dictionary_spares_the_events(spark, conditions, tmp_path):
+    """Only the codes in use are exploded; a given dictionary leaves one read of the events; codes that it lacks match nothing."""
+    path = str(tmp_path / "conditions")
+    conditions.write.parquet(path)
+    events = spark.read.parquet(path)
+    listed = spark.createDataFrame([(c, i) for i, c in enumerate(CODES)], "code string, task int")
+    whole = cd.match_prefix_codes(events, listed, "condition_source_value")
+    known = spark.createDataFrame([(c,) for c in [*CODES, "C50", "Z"]], "full_code string")
+    given = cd.match_prefix_codes(events, listed, "condition_source_value", dictionary=known)
+    assert scans(given) == 1
+    rows = sorted(map(tuple, whole.collect()), key=str)
+    assert rows == sorted([tuple(r) for r in given.collect()] + [tuple(r) for r in whole.filter("condition_source_value = 'D37'").collect()], key=str)
+    few = cd.match_prefix_codes(events, listed, "condition_source_value", dictionary=known.filter("full_code = 'C50'"))
+    assert {r["condition_source_value"] for r in few.collect()} == {"C50"}
+
+
+def test_steps_and_places_from_one_read(spark, tmp_path):
+    """The combined form against hits, steps and localisations on their own, over random claims with nulls and repeated rows."""
+    import random
+
+    rng = random.Random(6)
+    codes = ["A10", "A101", "A2", "B30", "B301", "B30123", "C", "C401", "C4", None]
+    diagnoses = [(rng.choice([*range(60), None]), rng.choice(codes), rng.choice(["DP", "DR", "DAS", "X", None])) for _ in range(500)]
+    acts = [(rng.randint(0, 70), rng.choice(["P1", "P2", "P3", None])) for _ in range(80)]
+    path = str(tmp_path / "conditions")
+    spark.createDataFrame(diagnoses, "visit_occurrence_id long, condition_source_value string, condition_status_source_value string").write.parquet(path)
+    conditions = spark.read.parquet(path)
+    procedures = spark.createDataFrame(acts, "visit_occurrence_id long, procedure_source_value string")
+    listed = [("list_1", "A10"), ("list_1", "A10"), ("list_1_radiotherapy", "B"), ("list_2", "B30"), ("list_3", "C"), ("list_4d", "C401"), ("list_4d", "A2"), ("list_4a", "P1"), ("other", "A10")]
+    lists = spark.createDataFrame(listed, "list string, code string")
+    places = [("A10", "s1", "o1"), ("A101", "s1", "o2"), ("B30", "s2", "o3"), ("B", "s3", "o3"), ("C4", None, "o4"), ("B301", "s2", None)]
+    localisations = spark.createDataFrame(places, "code string, system string, organ string")
+    costs = spark.createDataFrame([(3,), (99,), (99,)], "visit_occurrence_id long")
+    for level in ("organ", "system"):
+        got = co.located_steps(conditions, procedures, lists, localisations, (1, 3, 5), level, costs, spark.createDataFrame([(c,) for c in codes if c], "full_code string"))
+        apart = co.add_localisation(co.stay_steps(co.list_hits(conditions, procedures, lists), (1, 3, 5), costs), conditions, localisations, level)
+        columns = sorted(apart.columns)
+        assert sorted(got.columns) == columns
+        rows, want = (sorted((tuple(r) for r in df.filter("visit_occurrence_id is not null").select(columns).collect()), key=str) for df in (got, apart))
+        assert rows == want
+        assert len(rows) > 20 and scans(got) == 1
+    with pytest.raises(ValueError):
+        co.located_steps(conditions, procedures, lists, localisations, (5,))
