@@ -2,7 +2,7 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from clinspark.functions.text import encode_labels
 
@@ -20,23 +20,34 @@ def build_dataset(
     block_chars: int | None = None,
     block_copies: int | None = None,
 ) -> DataFrame:
-    """One row per note with spans: its text, the asked columns and the spans as an array sorted by start.
+    """One row per note with spans: its text, the asked columns and the spans as an array sorted by start, end and all that follows.
 
     The caller may ask for smaller arrays: with `block_chars` a note gives one row per so many characters, with `block_copies`
     one per so many copies of its drawn spans (`draw` numbers the copies of a span); `part` names the block. By default there
     is one row per note, whatever its size.
     """
+    # Maps have no order: they are sorted as their entries and made again afterwards.
+    maps = [a for a in attributes if isinstance(spans.schema[a].dataType, T.MapType)]
+    fixed = ["start_char", "end_char", "lexical_variant", "note_nlp_source_value"]
     entity = F.struct(
         F.col("start").alias("start_char"),
         F.col("end").alias("end_char"),
         "lexical_variant",
         F.lit(span_label).alias("note_nlp_source_value"),
-        *[F.col(a) for a in attributes],
+        *[F.map_entries(a).alias(a) if a in maps else F.col(a) for a in attributes],
     )
+
+    def with_maps(e):
+        return F.struct(*[e[f].alias(f) for f in fixed], *[(F.map_from_entries(e[a]) if a in maps else e[a]).alias(a) for a in attributes])
+
+    def in_order(entities):
+        ordered = F.sort_array(F.collect_list(entities))
+        return F.transform(ordered, with_maps) if maps else ordered
+
     block = F.lit(0) if block_chars is None else F.floor(F.col("start") / block_chars)
     copies = F.lit(0) if draw is None or block_copies is None else F.floor(F.col(draw) / block_copies)
     part = F.concat_ws(".", block.cast("string"), copies.cast("string"))
-    grouped = spans.groupBy(note, part.alias("part")).agg(F.sort_array(F.collect_list(entity)).alias("entities"))
+    grouped = spans.groupBy(note, part.alias("part")).agg(in_order(entity).alias("entities"))
     docs = notes.select(note, "note_text", *[c for c in doc_attributes if c in notes.columns and c != note])
     return docs.join(grouped, note, "inner")
 

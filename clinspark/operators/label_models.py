@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clinspark.functions.keys import hash_modulo
 from clinspark.operators.lfs import has_any_vote
+from clinspark.operators.stored import stored
 
 DEFAULT_ACCURACY = 0.5
 ACCURACY_RANGE = (0.05, 0.95)
@@ -102,71 +103,92 @@ def signed(lf: str, negative: int, positive: int) -> Column:
     return F.when(vote == positive, 1).when(vote == negative, -1).otherwise(0)
 
 
-def pair_moments(
-    matrix: DataFrame, lfs_by_task: Mapping[str, Sequence[str]], negative: int, positive: int, keep: Mapping[str, Column] | None = None
+def vote_column(matrix: DataFrame, task: str, lf: str) -> str:
+    name = f"{task}:{lf}"
+    return name if name in matrix.columns else lf
+
+
+# Characters of a pattern: one for each function, in the order of the task's functions.
+FOR, AGAINST, ABSENT = "+", "-", "0"
+
+
+def vote_patterns(
+    matrix: DataFrame, lfs_by_task: Mapping[str, Sequence[str]], negative: int, positive: int, kept: Mapping[str, Column] | None = None,
+    gold: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """(task, lf_i, lf_j, moment): mean product of two functions where both vote.
+    """(task, pattern, kept, gold, n): how many spans vote in which way, for all tasks in one pass.
 
-    One aggregate over all spans serves every task; `keep` limits the spans of a task. Columns of a task are
-    named `<task>:<lf>` when the matrix holds several tasks, else `<lf>`.
+    A pattern has a character for each function of the task: for, against or absent. Spans are counted by pattern before the shuffle, and
+    there are as many rows as ways to vote, whatever the number of spans; fits, summaries and metrics need no more. `kept` marks the spans
+    that a task is fitted on (all by default), `gold` is a label code per task.
     """
-    measures, rows = [], []
-    for t, (task, lfs) in enumerate(lfs_by_task.items()):
-        kept = keep[task] if keep else F.lit(True)
-        signs = [signed(vote_column(matrix, task, lf), negative, positive) for lf in lfs]
-        for i in range(len(lfs)):
-            for j in range(i + 1, len(lfs)):
-                name = f"{t}_{i}_{j}"
-                product = F.when(kept, signs[i] * signs[j])
-                measures += [F.sum(product).alias(f"s{name}"), F.sum(F.abs(product)).alias(f"n{name}")]
-                rows += [
-                    F.struct(
-                        F.lit(task).alias("task"),
-                        F.lit(lfs[a]).alias("lf_i"),
-                        F.lit(lfs[b]).alias("lf_j"),
-                        F.col(f"s{name}").alias("s"),
-                        F.col(f"n{name}").alias("n"),
-                    )
-                    for a, b in ((i, j), (j, i))
-                ]
-    long = matrix.agg(*measures).select(F.inline(F.array(*rows)))
-    return long.filter(F.col("n") > 0).select("task", "lf_i", "lf_j", (F.col("s") / F.col("n")).alias("moment"))
+    rows = []
+    for task, lfs in lfs_by_task.items():
+        marks = []
+        for lf in lfs:
+            vote = F.col(f"`{vote_column(matrix, task, lf)}`")
+            marks.append(F.when(vote == positive, FOR).when(vote == negative, AGAINST).otherwise(ABSENT))
+        rows.append(
+            F.struct(
+                F.lit(task).alias("task"), F.concat(F.lit(""), *marks).alias("pattern"),
+                F.coalesce(kept[task], F.lit(False)).alias("kept") if kept else F.lit(True).alias("kept"),
+                (gold[task] if gold else F.lit(None)).cast("int").alias("gold"),
+            )
+        )
+    return matrix.select(F.inline(F.array(*rows))).groupBy("task", "pattern", "kept", "gold").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vote_column(matrix: DataFrame, task: str, lf: str) -> str:
-    name = f"{task}:{lf}"
-    return name if name in matrix.columns else lf
+def _sign(mark: Column) -> Column:
+    return F.when(mark == FOR, 1).when(mark == AGAINST, -1).otherwise(0)
 
 
-def triplet_fit_tasks(
-    matrix: DataFrame, lfs_by_task: Mapping[str, Sequence[str]], negative: int = -1, positive: int = 1,
-    keep: Mapping[str, Column] | None = None,
-) -> DataFrame:
+def _function_rows(session, lfs_by_task: Mapping[str, Sequence[str]]) -> DataFrame:
+    rows = [(task, lf, i) for task, lfs in lfs_by_task.items() for i, lf in enumerate(lfs)]
+    return session.createDataFrame(rows, "task string, lf string, at int")
+
+
+def pair_moments(patterns: DataFrame) -> DataFrame:
+    """(task, i, j, moment): mean product of two functions, by their places, where both vote on kept spans."""
+    marks = F.split("pattern", "")
+    one = patterns.filter("kept").select("task", "n", marks.alias("marks"), F.posexplode(marks).alias("i", "a")).filter(F.col("a").isin(FOR, AGAINST))
+    two = one.select("task", "n", "i", "a", F.posexplode("marks").alias("j", "b")).filter(F.col("b").isin(FOR, AGAINST) & (F.col("i") != F.col("j")))
+    agreed = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(-F.col("n"))
+    return two.groupBy("task", "i", "j").agg((F.sum(agreed) / F.sum("n")).alias("moment"))
+
+
+def triplet_fit_patterns(patterns: DataFrame, lfs_by_task: Mapping[str, Sequence[str]]) -> DataFrame:
     """(task, lf, accuracy): closed-form estimates from triples of functions, without gold.
 
     |a_i| is the median over pairs (j, k) of sqrt(|M_ij M_ik / M_jk|), clipped; 0.5 when no triple exists.
     """
-    session = matrix.sparkSession
-    names = session.createDataFrame([(task, lf) for task, lfs in lfs_by_task.items() for lf in lfs], "task string, lf string")
+    session = patterns.sparkSession
+    names = _function_rows(session, lfs_by_task)
     triples = [
         (task, i, f"{task}|{i}|{j}", f"{task}|{i}|{k}", f"{task}|{j}|{k}")
         for task, lfs in lfs_by_task.items()
-        for i in lfs
-        for j, k in combinations([lf for lf in lfs if lf != i], 2)
+        for i in range(len(lfs))
+        for j, k in combinations([at for at in range(len(lfs)) if at != i], 2)
     ]
     if not triples:
-        return names.withColumn("accuracy", F.lit(DEFAULT_ACCURACY))
+        return names.select("task", "lf", F.lit(DEFAULT_ACCURACY).alias("accuracy"))
     # The moments come back as one small map value, looked up by every triple of the configuration.
-    moments = pair_moments(matrix, {t: l for t, l in lfs_by_task.items() if len(l) > 1}, negative, positive, keep)
-    entry = F.struct(F.concat_ws("|", "task", "lf_i", "lf_j"), "moment")
-    table = moments.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-    rows = session.createDataFrame(triples, "task string, lf string, ij string, ik string, jk string").withColumn("_m", table)
+    entry = F.struct(F.concat_ws("|", "task", "i", "j"), "moment")
+    table = pair_moments(patterns).agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    rows = session.createDataFrame(triples, "task string, at int, ij string, ik string, jk string").withColumn("_m", table)
     ij, ik, jk = (F.try_element_at("_m", F.col(c)) for c in ("ij", "ik", "jk"))
-    ratios = rows.select("task", "lf", F.when(jk != 0, F.sqrt(F.abs(ij * ik / jk))).alias("ratio"))
-    fitted = ratios.groupBy("task", "lf").agg(F.percentile("ratio", F.lit(0.5)).alias("a"))
+    ratios = rows.select("task", "at", F.when(jk != 0, F.sqrt(F.abs(ij * ik / jk))).alias("ratio"))
+    fitted = ratios.groupBy("task", "at").agg(F.percentile("ratio", F.lit(0.5)).alias("a"))
     low, high = ACCURACY_RANGE
     clipped = F.least(F.greatest(F.coalesce(F.col("a"), F.lit(DEFAULT_ACCURACY)), F.lit(low)), F.lit(high))
-    return names.join(fitted, ["task", "lf"], "left").select("task", "lf", clipped.alias("accuracy"))
+    return names.join(fitted, ["task", "at"], "left").select("task", "lf", clipped.alias("accuracy"))
+
+
+def triplet_fit_tasks(
+    matrix: DataFrame, lfs_by_task: Mapping[str, Sequence[str]], negative: int = -1, positive: int = 1,
+    keep: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """`triplet_fit_patterns` on a label matrix; `keep` limits the spans of a task."""
+    return triplet_fit_patterns(vote_patterns(matrix, lfs_by_task, negative, positive, keep), lfs_by_task)
 
 
 def triplet_fit(matrix: DataFrame, lfs: Sequence[str], negative: int = -1, positive: int = 1) -> DataFrame:
@@ -196,43 +218,114 @@ def predict_probs(
     return matrix.withColumn(f"{name}_1", p1).withColumn(f"{name}_0", 1 - F.col(f"{name}_1"))
 
 
+def pattern_odds(accuracies: Column, share: Column) -> Column:
+    """Log-odds of a positive span with a pattern, by the accuracies of its functions (an array in their order) and the share of positives."""
+    logs = F.transform(accuracies, lambda a: F.log((1 + a) / (1 - a)))
+    votes = F.zip_with(F.split("pattern", ""), logs, lambda mark, weight: _sign(mark) * F.coalesce(weight, F.lit(0.0)))
+    return F.aggregate(votes, F.log(share / (1 - share)), lambda total, vote: total + vote)
+
+
+def with_parameters(patterns: DataFrame, accuracies: Mapping[str, Sequence[float]], shares: Mapping[str, float]) -> DataFrame:
+    """Patterns of the given tasks with `p`, the probability of a positive span; the parameters are one row per task."""
+    rows = [(task, [float(a) for a in values], float(shares[task])) for task, values in accuracies.items()]
+    parameters = patterns.sparkSession.createDataFrame(rows, "task string, accuracies array<double>, share double")
+    joined = patterns.join(F.broadcast(parameters), "task")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-pattern_odds(F.col("accuracies"), F.col("share"))))
+    return joined.withColumn("p", p).drop("accuracies", "share")
+
+
+def em_fit_patterns(
+    patterns: DataFrame, lfs_by_task: Mapping[str, Sequence[str]], shares: Mapping[str, float], max_iterations: int = 30, tolerance: float = 1e-4
+) -> DataFrame:
+    """(task, lf, accuracy, correct_rate) by expectation-maximisation on counted patterns, for all tasks in the same rounds.
+
+    A round is one aggregate over the patterns of the tasks that still move: two sums per function reach the driver, and the next round takes
+    them as one row per task, so the plan does not grow. A task is done when no accuracy moves by the tolerance.
+    """
+    accuracy = {task: [2 * 0.7 - 1] * len(lfs) for task, lfs in lfs_by_task.items()}
+    moving = [task for task, lfs in lfs_by_task.items() if lfs]
+    counted = patterns.filter("kept").groupBy("task", "pattern").agg(F.sum("n").alias("n"))
+    for _ in range(max_iterations):
+        if not moving:
+            break
+        scored = with_parameters(counted, {t: accuracy[t] for t in moving}, shares)
+        votes = scored.select("task", "n", "p", F.posexplode(F.split("pattern", "")).alias("at", "mark")).filter(F.col("mark").isin(FOR, AGAINST))
+        agreed = F.col("n") * F.when(F.col("mark") == FOR, F.col("p")).otherwise(1 - F.col("p"))
+        sums = votes.groupBy("task", "at").agg(F.sum(agreed).alias("agreed"), F.sum("n").alias("voted")).collect()
+        found = {(r["task"], r["at"]): (r["agreed"], r["voted"]) for r in sums}
+        settled = []
+        for task in moving:
+            new = []
+            for at in range(len(accuracy[task])):
+                right, voted = found.get((task, at), (0.0, 0))
+                new.append(min(max(2 * (right + 1) / (voted + 2) - 1, -ACCURACY_RANGE[1]), ACCURACY_RANGE[1]))
+            if max(abs(x - y) for x, y in zip(new, accuracy[task])) < tolerance:
+                settled.append(task)
+            accuracy[task] = new
+        moving = [task for task in moving if task not in settled]
+    rows = [(task, lf, a, (1 + a) / 2) for task, lfs in lfs_by_task.items() for lf, a in zip(lfs, accuracy[task])]
+    return patterns.sparkSession.createDataFrame(rows, "task string, lf string, accuracy double, correct_rate double")
+
+
 def em_fit(
     matrix: DataFrame, lfs: Sequence[str], positive_share: float = DEFAULT_POSITIVE_SHARE, negative: int = -1,
     positive: int = 1, max_iterations: int = 30, tolerance: float = 1e-4,
 ) -> DataFrame:
-    """(lf, accuracy, correct_rate) by expectation-maximisation on counted vote patterns.
+    """(lf, accuracy, correct_rate) of one task; the spans are read once, for their patterns."""
+    patterns = stored(vote_patterns(matrix, {"": lfs}, negative, positive))
+    return em_fit_patterns(patterns, {"": lfs}, {"": positive_share}, max_iterations, tolerance).select("lf", "accuracy", "correct_rate")
+
+
+def majority_of_patterns(patterns: DataFrame) -> DataFrame:
+    """Patterns with `p`, the majority's probability of a positive span."""
+    balance = F.aggregate(F.split("pattern", ""), F.lit(0), lambda total, mark: total + _sign(mark))
+    return patterns.withColumn("p", F.when(balance > 0, 1.0).when(balance < 0, 0.0).otherwise(0.5))
 
-    Spans are reduced once to distinct vote patterns; each round is one aggregate that returns two numbers per
-    function, and the next round takes them as literals, so the plan does not grow.
+
+def pattern_summary(
+    patterns: DataFrame, lfs_by_task: Mapping[str, Sequence[str]], negative: int, positive: int, with_gold: bool = False
+) -> DataFrame:
+    """Per task and labelling function: polarity, coverage, overlaps, conflicts and, with gold labels, accuracy, on the kept spans."""
+    votes = F.length(F.replace(F.col("pattern"), F.lit(ABSENT), F.lit("")))
+    both = F.col("pattern").contains(FOR) & F.col("pattern").contains(AGAINST)
+    marks = patterns.filter("kept").select("task", "n", "gold", votes.alias("votes"), both.alias("both"), F.posexplode(F.split("pattern", "")).alias("at", "mark"))
+    cast = F.col("mark").isin(FOR, AGAINST)
+    code = F.when(F.col("mark") == FOR, positive).when(F.col("mark") == AGAINST, negative)
+
+    def count(condition):
+        return F.sum(F.when(condition, F.col("n")).otherwise(F.lit(0).cast("bigint")))
+
+    grouped = marks.groupBy("task", "at").agg(
+        F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_set(code)), "|").alias("polarity"), count(cast).alias("covered"),
+        count(cast & (F.col("votes") > 1)).alias("shared"), count(cast & F.col("both")).alias("against"), count(code == F.col("gold")).alias("correct"),
+    )
+    shares = [(F.col(c) / F.col("n")).alias(name) for c, name in (("covered", "coverage"), ("shared", "overlaps"), ("against", "conflicts"))]
+    judged = []
+    if with_gold:
+        wrong = (F.col("covered") - F.col("correct")).alias("incorrect")
+        judged = ["correct", wrong, F.when(F.col("covered") > 0, F.col("correct") / F.col("covered")).alias("accuracy")]
+    names = _function_rows(patterns.sparkSession, lfs_by_task)
+    return names.join(grouped, ["task", "at"], "left").select("task", "lf", F.coalesce("polarity", F.lit("")).alias("polarity"), *shares, *judged)
+
+
+def pattern_metrics(scored: DataFrame, positive: int, threshold: float = 0.5) -> DataFrame:
+    """(task, support, instances, precision, recall, fscore) of patterns with `p` and gold labels, all spans counted.
+
+    A span is called positive above the threshold; a measure without a denominator is 0.
     """
-    patterns = (
-        matrix.select(*[signed(lf, negative, positive).alias(lf) for lf in lfs])
-        .groupBy(*lfs)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .persist()
+    called, right = F.col("p") > threshold, F.col("gold") == positive
+
+    def count(condition):
+        return F.sum(F.when(condition, F.col("n")).otherwise(F.lit(0).cast("bigint")))
+
+    counts = scored.groupBy("task").agg(
+        count(right).alias("support"), F.sum("n").alias("instances"), count(called).alias("called"), count(called & right).alias("hits")
     )
-    try:
-        accuracy = {lf: 2 * 0.7 - 1 for lf in lfs}
-        for _ in range(max_iterations):
-            scored = patterns.withColumn("_p", posterior(accuracy, positive_share))
-            agreed = [
-                F.sum(F.col("_n") * F.when(F.col(lf) == 1, F.col("_p")).when(F.col(lf) == -1, 1 - F.col("_p")).otherwise(0.0)).alias(f"a{i}")
-                for i, lf in enumerate(lfs)
-            ]
-            voted = [F.sum(F.col("_n") * F.abs(F.col(lf))).alias(f"v{i}") for i, lf in enumerate(lfs)]
-            row = scored.agg(*agreed, *voted).first()
-            new = {}
-            for i, lf in enumerate(lfs):
-                rate = ((row[f"a{i}"] or 0.0) + 1) / ((row[f"v{i}"] or 0) + 2)
-                new[lf] = min(max(2 * rate - 1, -ACCURACY_RANGE[1]), ACCURACY_RANGE[1])
-            change = max(abs(new[lf] - accuracy[lf]) for lf in lfs)
-            accuracy = new
-            if change < tolerance:
-                break
-    finally:
-        patterns.unpersist()
-    rows = [(lf, a, (1 + a) / 2) for lf, a in accuracy.items()]
-    return matrix.sparkSession.createDataFrame(rows, "lf string, accuracy double, correct_rate double")
+    precision = F.when(F.col("called") > 0, F.col("hits") / F.col("called")).otherwise(0.0)
+    recall = F.when(F.col("support") > 0, F.col("hits") / F.col("support")).otherwise(0.0)
+    both = F.col("called") + F.col("support")
+    fscore = F.when(both > 0, 2 * F.col("hits") / both).otherwise(0.0)
+    return counts.select("task", "support", "instances", precision.alias("precision"), recall.alias("recall"), fscore.alias("fscore"))
 
 
 LABEL_MODELS = {"majority": None, "triplet": triplet_fit, "em": em_fit}

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clinspark.functions.keys import hash_modulo, key_hash, uniform
 from clinspark.operators.groups import hash_rank, ordered_rank, with_group_totals
+from clinspark.operators.stored import stored
 from clinspark.reference_values import PROXIMITY_FLOOR, PROXIMITY_SCALE
 
 # Distance in scales beyond which a normal density is exactly zero in double precision.
@@ -23,10 +24,13 @@ def sample_n(df: DataFrame, n, keys: Sequence[str], seed=0) -> DataFrame:
 
 
 def add_instance_id(df: DataFrame, keys: Sequence[str], dense: bool = False, name: str = "instance_id") -> DataFrame:
-    """Id of each row from its keys; `dense` numbers the rows 0..n-1 in hash order."""
+    """Id of each row from its keys; `dense` numbers the rows 0..n-1 in hash order.
+
+    Dense numbers need counts of all rows first: the rows are written to the shared folder, so that what makes them runs once.
+    """
     if not dense:
         return df.withColumn(name, key_hash("instance", *keys))
-    return hash_rank(df, keys, "instance", "_rank").withColumn(name, F.col("_rank") - 1).drop("_rank")
+    return hash_rank(stored(df), keys, "instance", "_rank").withColumn(name, F.col("_rank") - 1).drop("_rank")
 
 
 def screening_groups(df: DataFrame, n_groups: int, keys: Sequence[str], seed=0, name: str = "screening_group") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from clinspark.functions.text import normalized_name
 from clinspark.operators.datasets import build_dataset, dataset_card, merge_tasks
 from clinspark.operators.sampling import add_instance_id, oversample, sample_n, sample_negatives, threshold_flags
+from clinspark.operators.stored import stored
 from clinspark.reference_values import PROXIMITY_SCALE
 
 SPAN_COLUMNS = ("note_id", "start", "end", "lexical_variant")
@@ -31,8 +32,12 @@ def select_training_data(
 
     Subsampling keeps ratio x positives negatives; oversampling draws positives up to ratio x negatives;
     without a strategy every span outside the gap between the thresholds is kept.
+
+    The labels are read once: what is chosen by, and `extra`, is written to the shared folder, and every pass of the samples reads that.
     """
     prob = f"{normalized_name(task)}_1"
+    columns = [*dict.fromkeys([*keys, *SPAN_COLUMNS, *extra])]
+    labels = stored(labels.select(*dict.fromkeys([*columns, prob])))
     flagged = threshold_flags(labels, prob, thresholds)
     positives = flagged.filter("is_positive")
     if max_positives is not None:
@@ -43,7 +48,6 @@ def select_training_data(
     negatives = sample_negatives(
         labels, prob, n_negatives, keys, negative_seed, scale, use_weight, only_notes_with_positives, thresholds
     )
-    columns = [*dict.fromkeys([*keys, *SPAN_COLUMNS, *extra])]
     positives = positives.select(*columns, F.lit(0).cast("bigint").alias("draw"))
     if ratio is not None and strategy == "oversampling":
         wanted = negatives.agg(F.floor(F.count(F.lit(1)) * F.lit(float(ratio)))).scalar()
@@ -55,9 +59,9 @@ def select_training_data(
 
 
 def task_dataset(labels: DataFrame, notes: DataFrame, task: str, **options) -> tuple[DataFrame, DataFrame]:
-    """Training set of one task and its card."""
+    """Training set of one task and its card, from labels as `label_tasks` makes them."""
     name = normalized_name(task)
-    chosen = select_training_data(labels, task, extra=(name,), **options)
+    chosen = stored(select_training_data(labels, task, extra=(name,), **options))
     dataset = build_dataset(notes, chosen, attributes=(name, "instance_id"), span_label=f"train_{name}", draw="draw")
     return dataset, dataset_card(chosen, "is_positive")
 

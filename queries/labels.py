@@ -80,9 +80,29 @@ def lm_triplet_fit(spark, d):
     return lm.triplet_fit(matrix(spark, d), VOTES, 1, 2).select("lf", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("lm_em_fit")
+def _em_sql() -> str:
+    """Rounds of expectation-maximisation on counted patterns, one row per round, until no accuracy moves by the tolerance."""
+    signs = {lf: f"s_{lf}" for lf in VOTES}
+    odds = " + ".join(f"{signs[lf]} * ln((1 + a_{lf}) / (1 - a_{lf}))" for lf in VOTES)
+    rates = [
+        f"least(greatest(2 * (sum(CASE {signs[lf]} WHEN 1 THEN n * p WHEN -1 THEN n * (1 - p) ELSE 0 END) + 1) / (sum(n * abs({signs[lf]})) + 2) - 1, -0.95), 0.95) AS a_{lf}"
+        for lf in VOTES
+    ]
+    return f"""WITH RECURSIVE {{ctes}}, pattern AS (SELECT {', '.join(f"{_sign(lf)} AS {signs[lf]}" for lf in VOTES)}, count(*) AS n FROM matrix GROUP BY ALL),
+      round AS (
+        SELECT 0 AS k, {', '.join(f'0.4::DOUBLE AS a_{lf}' for lf in VOTES)}, 1.0::DOUBLE AS moved
+        UNION ALL
+        SELECT k, {', '.join(f'a_{lf}' for lf in VOTES)}, greatest({', '.join(f'abs(a_{lf} - o_{lf})' for lf in VOTES)}) AS moved FROM (
+          SELECT max(k) + 1 AS k, {', '.join(rates)}, {', '.join(f'max(a_{lf}) AS o_{lf}' for lf in VOTES)}
+          FROM (SELECT *, 1 / (1 + exp(-(ln(0.1 / 0.9) + {odds}))) AS p FROM round, pattern WHERE k < 30 AND moved >= 0.0001) HAVING max(k) IS NOT NULL)
+      ), last AS (SELECT * FROM round ORDER BY k DESC LIMIT 1)
+      SELECT lf, round(a, 6) AS accuracy, round((1 + a) / 2, 6) AS correct_rate FROM (
+        {' UNION ALL '.join(f"SELECT '{lf}' AS lf, a_{lf} AS a FROM last" for lf in VOTES)})"""
+
+
+@query("lm_em_fit", _em_sql().replace("{ctes}", with_ctes("", "matrix").strip().removeprefix("WITH ").rstrip()))
 def lm_em_fit(spark, d):
-    return lm.em_fit(matrix(spark, d), VOTES, 0.1, 1, 2)
+    return _rounded(lm.em_fit(matrix(spark, d), VOTES, 0.1, 1, 2))
 
 
 def _odds(lf):
@@ -202,7 +222,7 @@ def _two_task_sql() -> str:
     ),
 )
 def lm_tasks(spark, d):
-    rows = lb.label_tasks(ad.document_votes(spark, d), LFS_BY_TASK, "majority", keep=["span_id"])
+    rows = lb.label_tasks(ad.document_votes(spark, d), LFS_BY_TASK, "majority", rescale=True, keep=["span_id"])
     return rows.select("span_id", "low_quality_1", "low_quality_0", "other_task_1", F.col("other_task")["1"].alias("other_task_map"))
 
 
@@ -249,10 +269,84 @@ def _triplet_ctes() -> dict[str, str]:
     ),
 )
 def lm_tasks_triplet(spark, d):
-    rows = lb.label_tasks(ad.document_votes(spark, d), LFS_BY_TASK, "triplet", shares=0.1, fillnone_as_negative=False, keep=["span_id"])
+    rows = lb.label_tasks(ad.document_votes(spark, d), LFS_BY_TASK, "triplet", shares=0.1, fillnone_as_negative=False, rescale=True, keep=["span_id"])
     return rows.select("span_id", F.round("low_quality_1", 6).alias("low_quality_1"), F.round("other_task_1", 6).alias("other_task_1"))
 
 
+PIPELINE_GOLD = {TASK: "is_low", OTHER: "is_toxic"}
+
+
+def _pipeline(spark, d):
+    """Every document is a training span; those with labels are the dev set."""
+    votes = ad.document_votes(spark, d)
+    judged = ad.gold(spark, d).select("span_id", (F.col("quality") == 0).alias("is_low"), (F.col("toxic") == 1).alias("is_toxic"))
+    return lb.label_pipeline(votes, LFS_BY_TASK, votes.join(judged, "span_id"), PIPELINE_GOLD, "triplet", shares=0.1, fillnone_as_negative=False, keep=["span_id"])
+
+
+def _pipeline_ctes() -> dict[str, str]:
+    """The triplet model of each task with the share of positives of the labelled documents."""
+    ctes = _triplet_ctes()
+    for t, truth in enumerate(("quality = 0", "toxic = 1")):
+        ctes[f"dev{t}"] = f"SELECT s.*, CASE WHEN {truth} THEN 1 ELSE -1 END AS gold FROM signed{t} s JOIN labels ON doc_id = span_id"
+        ctes[f"share{t}"] = f"SELECT CASE WHEN k >= 15 AND n > k THEN k / n ELSE 0.1 END AS share FROM (SELECT CAST(count(*) FILTER (gold = 1) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM dev{t})"
+        post = ctes.pop(f"post{t}")
+        ctes[f"post{t}"] = post.replace("ln(0.1 / 0.9)", f"(SELECT ln(share / (1 - share)) FROM share{t})")
+        ctes[f"hit{t}"] = f"SELECT gold, p > 0.5 AS called FROM dev{t} JOIN post{t} USING (span_id)"
+    return ctes
+
+
+def _pipeline_sql() -> str:
+    parts = []
+    for t, task in enumerate(LFS_BY_TASK):
+        parts.append(
+            f"""SELECT '{task}' AS task, round(share, 6) AS share, count(*) FILTER (gold = 1) AS support, count(*) AS instances,
+            round(coalesce(CAST(count(*) FILTER (called AND gold = 1) AS DOUBLE) / nullif(count(*) FILTER (called), 0), 0), 6) AS precision,
+            round(coalesce(CAST(count(*) FILTER (called AND gold = 1) AS DOUBLE) / nullif(count(*) FILTER (gold = 1), 0), 0), 6) AS recall,
+            round(coalesce(2.0 * count(*) FILTER (called AND gold = 1) / nullif(count(*) FILTER (called) + count(*) FILTER (gold = 1), 0), 0), 6) AS fscore,
+            (SELECT count(*) FROM post{t} WHERE p >= 0.5) AS count_positives, (SELECT count(*) FROM post{t} WHERE p < 0.5) AS count_negatives
+            FROM hit{t}, share{t} GROUP BY share"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("lm_pipeline", with_ctes(_pipeline_sql(), "vote", **_pipeline_ctes()))
+def lm_pipeline(spark, d):
+    return _rounded(_pipeline(spark, d).metrics)
+
+
+@query(
+    "lm_pipeline_labels",
+    with_ctes("SELECT a.span_id, round(a.p, 6) AS low_quality_1, round(1 - a.p, 6) AS low_quality_0, round(b.p, 6) AS other_task_1 FROM post0 a JOIN post1 b USING (span_id)", "vote", **_pipeline_ctes()),
+)
+def lm_pipeline_labels(spark, d):
+    return _rounded(_pipeline(spark, d).labels.select("span_id", "low_quality_1", "low_quality_0", "other_task_1"))
+
+
+def _pipeline_summary_sql() -> str:
+    parts = []
+    for t, (task, functions) in enumerate(LFS_BY_TASK.items()):
+        for held, rows in (("train", f"(SELECT *, NULL AS gold FROM signed{t} WHERE kept)"), ("dev", f"dev{t}")):
+            for lf in functions:
+                s, others = f"s_{lf}", [f"s_{o}" for o in functions if o != lf]
+                voted, against = " OR ".join(f"{o} <> 0" for o in others), " OR ".join(f"{o} = -{s}" for o in others)
+                judged = f"count(*) FILTER ({s} <> 0 AND {s} = gold)" if held == "dev" else "NULL"
+                parts.append(
+                    f"""SELECT '{held}' AS held, '{task}' AS task, '{lf}' AS lf, coalesce(string_agg(DISTINCT CASE {s} WHEN 1 THEN '2' ELSE '1' END, '|' ORDER BY CASE {s} WHEN 1 THEN '2' ELSE '1' END) FILTER ({s} <> 0), '') AS polarity,
+                    round(CAST(count(*) FILTER ({s} <> 0) AS DOUBLE) / count(*), 6) AS coverage, round(CAST(count(*) FILTER ({s} <> 0 AND ({voted})) AS DOUBLE) / count(*), 6) AS overlaps,
+                    round(CAST(count(*) FILTER ({s} <> 0 AND ({against})) AS DOUBLE) / count(*), 6) AS conflicts, CAST({judged} AS BIGINT) AS correct FROM {rows}"""
+                )
+    return " UNION ALL ".join(parts)
+
+
+@query("lm_pipeline_summary", with_ctes(_pipeline_summary_sql(), "vote", **_pipeline_ctes()))
+def lm_pipeline_summary(spark, d):
+    run = _pipeline(spark, d)
+    train = run.summary_train.withColumns({"held": F.lit("train"), "correct": F.lit(None).cast("bigint")})
+    dev = run.summary_dev.withColumn("held", F.lit("dev"))
+    columns = ["held", "task", "lf", "polarity", "coverage", "overlaps", "conflicts", "correct"]
+    return _rounded(train.select(*columns).unionByName(dev.select(*columns)))
+
+
 # ---------------------------------------------------------------- annotations
 
 HIGHLIGHT = """SELECT note_id, lexical_variant AS label, greatest(start - 12, 0) AS "begin", "end" + 15 AS "end" FROM span WHERE label = 'word'"""

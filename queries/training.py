@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from clinspark.functions.text import DATE_REGEX, accent_table
 from clinspark.operators import datasets as ds, evaluation as evl, fhir, sampling as sm
-from clinspark.plans import prediction as pr, selection as se
+from clinspark.operators.stored import stored
+from clinspark.plans import labelling as lb, prediction as pr, selection as se
 from queries import adapters as ad
 from queries.adapters import with_ctes
 from queries.labels import _rounded
+from queries.spans import LF_FOLDED, LF_REGEX, LF_TERMS, LOGICAL_RULES, VOTE_CTES
 from queries.registry import query
 
 UNIFORM = "((('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
@@ -59,6 +61,11 @@ def sl_split(spark, d):
     return sm.split_persons(persons, slices)
 
 
+def _narrow_spans(spark, d):
+    """What samples of spans are chosen by, written once: the texts are searched a single time."""
+    return stored(ad.scored_spans(spark, d).select("span_id", "note_id", "start", "biopsy_procedure_1"))
+
+
 @query("pf_threshold_split", with_ctes("SELECT span_id, p1 <= 0.3 AS is_negative, p1 > 0.7 AS is_positive FROM scored", "scored"))
 def pf_threshold_split(spark, d):
     return sm.threshold_flags(ad.scored_spans(spark, d), "biopsy_procedure_1", (0.3, 0.7)).select("span_id", "is_negative", "is_positive")
@@ -69,7 +76,7 @@ def pf_threshold_split(spark, d):
     with_ctes("SELECT span_id FROM scored WHERE p1 <= 0.5 AND note_id IN (SELECT note_id FROM scored WHERE p1 > 0.98)", "scored"),
 )
 def a_has_positive(spark, d):
-    rows = sm.sample_negatives(ad.scored_spans(spark, d), "biopsy_procedure_1", use_weight=False, thresholds=(0.5, 0.98))
+    rows = sm.sample_negatives(_narrow_spans(spark, d), "biopsy_procedure_1", use_weight=False, thresholds=(0.5, 0.98))
     return rows.select("span_id")
 
 
@@ -92,7 +99,7 @@ NEGATIVES = (
 
 @query("sl_negatives", with_ctes("SELECT span_id FROM picked", "scored", weighted=WEIGHT.format(scale=500, t=0.98), picked=NEGATIVES.format(n=400)))
 def sl_negatives(spark, d):
-    return sm.sample_negatives(ad.scored_spans(spark, d), "biopsy_procedure_1", 400, thresholds=(0.5, 0.98)).select("span_id")
+    return sm.sample_negatives(_narrow_spans(spark, d), "biopsy_procedure_1", 400, thresholds=(0.5, 0.98)).select("span_id")
 
 
 @query(
@@ -100,7 +107,7 @@ def sl_negatives(spark, d):
     with_ctes("SELECT span_id FROM picked", "scored", weighted=WEIGHT.format(scale=500, t=0.98), picked=NEGATIVES.format(n="(SELECT count(*) * 2 FROM scored WHERE p1 > 0.98)")),
 )
 def sl_negatives_share(spark, d):
-    scored = ad.scored_spans(spark, d)
+    scored = _narrow_spans(spark, d)
     n = scored.filter("biopsy_procedure_1 > 0.98").agg(F.count(F.lit(1)) * 2).scalar()
     return sm.sample_negatives(scored, "biopsy_procedure_1", n, thresholds=(0.5, 0.98)).select("span_id")
 
@@ -212,6 +219,67 @@ def cp_select_oversampling(spark, d):
     return rows.select("span_id", "draw", "is_positive")
 
 
+# From notes to training sets: votes, majority labels of one task, and the three strategies.
+TRAIN_TASK = "Biopsy (procedure)"
+TRAIN_LFS = ["lf_terms", "lf_regex", "logical_1"]
+TRAIN_LABELS = """SELECT span_id, note_id, start, "end", lexical_variant, CASE WHEN k2 > k1 THEN 1.0 WHEN k2 = k1 THEN 0.5 ELSE 0.0 END AS p1 FROM (
+  SELECT *, (c1 = 1)::INTEGER + (c2 = 1)::INTEGER + (c3 = 1)::INTEGER AS k1, (c1 = 2)::INTEGER + (c2 = 2)::INTEGER + (c3 = 2)::INTEGER AS k2 FROM (
+    SELECT logic.*, lexical_variant, CASE WHEN lf_terms IS NULL THEN 1 ELSE 2 END AS c1, CASE WHEN lf_regex IS NULL THEN 1 ELSE 0 END AS c2,
+      CASE WHEN logical_1 THEN 2 ELSE 1 END AS c3 FROM logic JOIN (SELECT span_id, lexical_variant FROM span) USING (span_id)))"""
+CANDIDATES = "SELECT * FROM scored WHERE p1 <= 0.5 AND note_id IN (SELECT note_id FROM scored WHERE p1 > 0.5)"
+CAPPED = "SELECT * FROM scored WHERE p1 > 0.5 ORDER BY md5('123|' || span_id), span_id LIMIT 60"
+
+
+def _training_set_sql(strategy) -> str:
+    positives = "SELECT *, 0 AS draw, true AS is_positive FROM capped"
+    negatives = "SELECT * FROM candidates"
+    extra = {"scored": TRAIN_LABELS, "capped": CAPPED, "candidates": CANDIDATES}
+    if strategy == "subsampling":
+        extra["weighted"] = WEIGHT.format(scale=500, t=0.5)
+        draw = UNIFORM.format(seed=0, key="span_id")
+        extra["picked"] = f"""SELECT * FROM weighted WHERE span_id IN (SELECT span_id FROM candidates)
+          ORDER BY -ln({draw}) / weight, span_id LIMIT (SELECT CAST(floor(count(*) * 1.5) AS BIGINT) FROM capped)"""
+        negatives = "SELECT * EXCLUDE (weight) FROM picked"
+    elif strategy == "oversampling":
+        extra["drawn"] = _draws("(SELECT CAST(floor(count(*) * 1.5) AS BIGINT) FROM candidates)", 123, "capped", "span_id")
+        positives = """SELECT span_id, note_id, start, "end", lexical_variant, p1, draw, true AS is_positive FROM drawn"""
+    rows = f"""SELECT span_id, note_id, start, "end", lexical_variant, p1, draw, is_positive FROM ({positives}) UNION ALL
+      SELECT span_id, note_id, start, "end", lexical_variant, p1, 0, false FROM ({negatives})"""
+    body = """SELECT note_id, person_id, CAST(count(*) AS INTEGER) AS n_entities, md5(string_agg(start || '-' || "end" || '-' || lexical_variant || '-' || p1::DOUBLE || '-' || md5('instance|' || span_id || '|' || draw), '|'
+        ORDER BY start, "end", lexical_variant, p1 DESC, md5('instance|' || span_id || '|' || draw))) AS entities
+      FROM chosen JOIN note USING (note_id) GROUP BY 1, 2"""
+    return with_ctes(body, "span", **VOTE_CTES, **extra, chosen=rows)
+
+
+def _training_set(spark, d, strategy):
+    notes = ad.notes(spark, d)
+    votes = lb.apply_lfs(
+        notes, None, [LF_TERMS, LF_REGEX, LF_FOLDED], LOGICAL_RULES, ad.SPAN_PATTERNS, keys=("note_id", "person_id", "note_date")
+    )
+    labels = lb.label_tasks(votes, {TRAIN_TASK: TRAIN_LFS})
+    dataset, _ = se.task_dataset(labels, notes, TRAIN_TASK, max_positives=60, ratio=1.5, strategy=strategy)
+
+    def text(e):
+        return F.concat_ws("-", e["start_char"].cast("string"), e["end_char"].cast("string"), e["lexical_variant"], e["biopsy_procedure"]["1"].cast("string"), e["instance_id"])
+
+    return dataset.select("note_id", "person_id", F.size("entities").alias("n_entities"), F.md5(F.array_join(F.transform("entities", text), "|")).alias("entities"))
+
+
+@query("cp_dataset_subsampling", _training_set_sql("subsampling"))
+def cp_dataset_subsampling(spark, d):
+    return _training_set(spark, d, "subsampling")
+
+
+@query("cp_dataset_oversampling", _training_set_sql("oversampling"))
+def cp_dataset_oversampling(spark, d):
+    return _training_set(spark, d, "oversampling")
+
+
+@query("cp_dataset_all", _training_set_sql(None))
+def cp_dataset_all(spark, d):
+    return _training_set(spark, d, None)
+
+
 # ---------------------------------------------------------------- predictions
 
 TASK_NAMES = ["nation_0_procedure", "nation_1_procedure", "nation_2_procedure"]
