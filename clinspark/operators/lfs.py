@@ -2,15 +2,19 @@
 
 import json
 import re
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from clinspark.functions.text import accent_table, any_regex, terms_regex
 from clinspark.operators.groups import spread_join, unique_by, with_group_totals
 from clinspark.operators.spans import ContextWindow
+from clinspark.operators.stored import stored
 
 # ---------------------------------------------------------------- knowledge
 
@@ -197,12 +201,16 @@ def _fill(template, **values: Column) -> Column:
     return F.replace(F.replace(out, F.lit("\x01"), F.lit("{")), F.lit("\x02"), F.lit("}"))
 
 
+EXAMPLES = "array<struct<span:string,context:string,answer:string>>"
+
+
 def prompt_rows(spark: SparkSession, prompts: Mapping[str, Mapping], tasks: DataFrame, prompt_ids: Mapping[int, str], default: str = "0") -> DataFrame:
-    """One row per task with the system, prefix and suffix templates chosen for it."""
+    """One row per task with the system, prefix and suffix templates chosen for it, and its (span, context, answer) examples."""
     rows = [
-        (str(k), p.get("system_prompt"), p.get("prefix_prompt"), p.get("suffix_prompt")) for k, p in prompts.items()
+        (str(k), p.get("system_prompt"), p.get("prefix_prompt"), p.get("suffix_prompt"), [tuple(map(str, e)) for e in p.get("examples") or []])
+        for k, p in prompts.items()
     ]
-    templates = spark.createDataFrame(rows, "prompt_id string, system_prompt string, prefix_prompt string, suffix_prompt string")
+    templates = spark.createDataFrame(rows, f"prompt_id string, system_prompt string, prefix_prompt string, suffix_prompt string, examples {EXAMPLES}")
     chosen = F.lit(str(default))
     for task_id, prompt_id in prompt_ids.items():
         chosen = F.when(F.col("task_id") == task_id, F.lit(str(prompt_id))).otherwise(chosen)
@@ -210,13 +218,21 @@ def prompt_rows(spark: SparkSession, prompts: Mapping[str, Mapping], tasks: Data
 
 
 def build_prompts(spans: DataFrame, prompts: DataFrame, context: str = "context", span: str = "lexical_variant") -> DataFrame:
-    """One row per (span, task): filled system prompt and prefix + context + suffix.
+    """One row per (span, task): filled system prompt, examples (prompt, answer), and prefix + context + suffix.
 
     The prompt dimension has one row per task, so every span meets every asked task exactly once; it travels
-    to the spans as one array value instead of a join.
+    to the spans as one array value instead of a join. Examples are filled once per task, in the same templates.
     """
+    names = {"attribute": F.col("normalized_task_name"), "snomed_short_name": F.col("snomed_short_name")}
+    shown = F.col("examples") if "examples" in prompts.columns else F.array().cast(EXAMPLES)
+
+    def example(e):
+        filled = [_fill(F.col(c), **names, span=e["span"]) for c in ("prefix_prompt", "suffix_prompt")]
+        return F.struct(F.concat(filled[0], e["context"], filled[1]).alias("prompt"), e["answer"].alias("answer"))
+
     fields = ["task_id", "normalized_task_name", "snomed_short_name", "system_prompt", "prefix_prompt", "suffix_prompt"]
-    packed = prompts.agg(F.sort_array(F.collect_list(F.struct(*fields)))).scalar()
+    row = F.struct(*fields, F.transform(F.coalesce(shown, F.array().cast(EXAMPLES)), example).alias("examples"))
+    packed = prompts.agg(F.sort_array(F.collect_list(row))).scalar()
     rows = spans.withColumn("_p", F.explode(packed))
     names = {"attribute": F.col("_p.normalized_task_name"), "snomed_short_name": F.col("_p.snomed_short_name")}
 
@@ -229,25 +245,85 @@ def build_prompts(spans: DataFrame, prompts: DataFrame, context: str = "context"
         F.col("_p.normalized_task_name").alias("normalized_task_name"),
         F.col("_p.snomed_short_name").alias("snomed_short_name"),
         text("system_prompt").alias("system_prompt"),
+        F.col("_p.examples").alias("examples"),
         F.concat(text("prefix_prompt"), F.coalesce(F.col(context), F.lit("")), text("suffix_prompt")).alias("prompt"),
     )
 
 
+ASKED = ["system_prompt", "examples", "prompt"]
+Scorer = Callable[[pd.DataFrame], pd.Series]
+
+
+def _answers(batches: Iterator[pd.DataFrame], scorer: Scorer, keep: Sequence[str], rows: int, in_flight: int) -> Iterator[pd.DataFrame]:
+    """Answers in the order of the rows, with at most `in_flight` requests of `rows` prompts open at a time."""
+    open_requests: deque = deque()
+
+    def finish():
+        kept, request = open_requests.popleft()
+        return kept.assign(answer=list(request.result()))
+
+    with ThreadPoolExecutor(in_flight) as pool:
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                if len(open_requests) == in_flight:
+                    yield finish()
+                piece = batch.iloc[at : at + rows]
+                open_requests.append((piece[list(keep)], pool.submit(scorer, piece[ASKED])))
+        while open_requests:
+            yield finish()
+
+
 def score_prompts(
-    prompts: DataFrame,
-    scorer: Callable[[pd.Series, pd.Series], pd.Series],
-    keys: Sequence[str] = ("span_id", "task_id", "snomed_short_name"),
+    prompts: DataFrame, scorer: Scorer, keys: Sequence[str] = ("span_id", "task_id", "snomed_short_name"), rows: int = 24, in_flight: int = 20
 ) -> DataFrame:
-    """Answers of a caller-supplied batch function (system prompts, prompts) -> JSON texts."""
+    """Answers of a caller-supplied function: frames of (system_prompt, examples, prompt) -> JSON texts, some requests at a time per task."""
     keys = list(keys)
-    source = prompts.select(*keys, "system_prompt", "prompt")
+    source = prompts.select(*keys, *ASKED)
     schema = T.StructType([source.schema[k] for k in keys] + [T.StructField("answer", T.StringType())])
+    return source.mapInPandas(lambda batches: _answers(batches, scorer, keys, rows, in_flight), schema)
+
+
+def prompt_key() -> Column:
+    """Digest of all that a model is asked."""
+    return F.sha2(F.to_json(F.struct(*ASKED)), 256)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[keys].assign(answer=scorer(batch["system_prompt"], batch["prompt"]))
 
-    return source.mapInPandas(run, schema)
+def score_once(
+    prompts: DataFrame,
+    scorer: Scorer,
+    path: str,
+    keys: Sequence[str] = ("span_id", "task_id", "snomed_short_name"),
+    waves: int = 8,
+    rows: int = 24,
+    in_flight: int = 20,
+) -> DataFrame:
+    """As `score_prompts`, with a table of answers at `path` that lasts: no prompt that is in it is asked again, nor one twice.
+
+    Prompts are told apart by their digest. Those without an answer are asked in waves, each of which appends its answers when it is done, so
+    a run that breaks off loses one wave at most and the next run goes on from there. A prompt whose answer is null counts as answered.
+    """
+    spark = prompts.sparkSession
+    source = prompts.select(*keys, *ASKED).withColumn("_prompt", prompt_key())
+    schema = "prompt_key string, answer string"
+
+    def known() -> DataFrame:
+        try:
+            found = spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = spark.createDataFrame([], schema)
+        return found.groupBy("prompt_key").agg(F.min("answer").alias("answer"))
+
+    asked = source.select(F.col("_prompt").alias("prompt_key"), *ASKED).dropDuplicates(["prompt_key"])
+    waiting = stored(asked.join(known().select("prompt_key"), "prompt_key", "left_anti"))
+    wave = F.pmod(F.xxhash64("prompt_key"), F.lit(waves))
+    for k in range(waves if not waiting.isEmpty() else 0):
+        one = waiting.filter(wave == k)
+        answered = one.mapInPandas(lambda batches: _answers(batches, scorer, ["prompt_key"], rows, in_flight), schema)
+        answered.write.mode("append").parquet(path)
+    named = source.select(*keys, F.col("_prompt").alias("prompt_key"))
+    return named.join(known(), "prompt_key", "left").select(*keys, "answer")
 
 
 def parse_votes(answers: DataFrame, answer: str = "answer", field_name: str = "snomed_short_name", name: str = "vote") -> DataFrame:

@@ -79,7 +79,8 @@ def src_cast_to_tz(spark, d):
     with_ctes(
         """SELECT DISTINCT list, code FROM (
         SELECT 'list_1' AS list, code FROM part_code WHERE p_type = 'ECONOMY' UNION ALL SELECT 'list_1_radiotherapy', code FROM part_code WHERE p_size < 10
-        UNION ALL SELECT 'list_2', code FROM part_code WHERE p_brand = 'Brand#3')""",
+        UNION ALL SELECT 'list_2', code FROM part_code WHERE p_brand = 'Brand#3' UNION ALL SELECT 'list_3', code FROM part_code WHERE p_type = 'STANDARD'
+        UNION ALL SELECT 'list_4d', code FROM part_code WHERE p_size > 45 UNION ALL SELECT 'list_4a', code FROM part_code WHERE p_brand LIKE 'Brand#1%')""",
         "part_code",
     ),
 )
@@ -89,6 +90,9 @@ def src_flag_lists(spark, d):
         F.when(F.col("p_type") == "ECONOMY", "x").alias("Liste_1"),
         F.when(F.col("p_size") < 10, "x").alias("Radioth"),
         F.when(F.col("p_brand") == "Brand#3", "x").alias("Liste_2"),
+        F.when(F.col("p_type") == "STANDARD", "x").otherwise("no").alias("Liste_3"),
+        F.when(F.col("p_size") > 45, "x").alias("Liste_4_D"),
+        F.when(F.col("p_brand").startswith("Brand#1"), "x").alias("Liste_4_A"),
     )
     return cd.step_code_lists(flags).distinct()
 

@@ -177,10 +177,10 @@ def j_temporal_window(spark, d):
 
 @query(
     "j_notes_knowledge",
-    with_ctes("SELECT note_id FROM note WHERE person_id IN (SELECT person_id FROM knowledge WHERE lf = 'lf_ccam' AND class = 'signup' AND event_date < DATE '2024-01-05')", "note", "knowledge"),
+    with_ctes("SELECT note_id FROM note WHERE person_id IN (SELECT person_id FROM knowledge WHERE lf = 'lf_ccam')", "note", "knowledge"),
 )
 def j_notes_knowledge(spark, d):
-    events = ad.knowledge_rows(spark, d).filter("lf = 'lf_ccam' and class = 'signup' and event_date < date'2024-01-05'")
+    events = ad.knowledge_rows(spark, d).filter("lf = 'lf_ccam'")
     return ad.notes(spark, d).join(events.select("person_id").distinct(), "person_id", "left_semi").select("note_id")
 
 
@@ -338,40 +338,46 @@ PROMPTS = {
         "system_prompt": "Answer with {{'{snomed_short_name}':bool}} for {unknown}.",
         "prefix_prompt": "<<<\n",
         "suffix_prompt": "\n>>>\nIs '{span}' a {snomed_short_name} date?",
+        "examples": [("12/03", "seen on 12/03", "yes"), ("7", "7 beds", "no")],
     },
     "1": {"system_prompt": "Find {attribute}.", "prefix_prompt": "[", "suffix_prompt": "] {span}?"},
 }
 
 
 def _prompts(spark, d):
-    tasks = ad.tasks(spark, d).filter("`Group` = 1")
-    rows = lfs.prompt_rows(spark, PROMPTS, tasks, {6: "1"})
-    return lfs.build_prompts(ad.spans(spark, d, {"context": sp.ContextWindow(chars=40)}), rows)
+    """Every span and every task, with the 75 words before and behind the span."""
+    rows = lfs.prompt_rows(spark, PROMPTS, ad.tasks(spark, d), {6: "1"})
+    return lfs.build_prompts(ad.spans(spark, d, {"context": sp.ContextWindow(words=(75, 75))}), rows)
 
 
+PROMPT_CONTEXT = """SELECT p.span_id, string_agg(w.piece, '' ORDER BY w.word_id) AS context FROM word_at p
+  JOIN word_row w ON w.note_id = p.note_id AND w.word_id BETWEEN p.word_id - 75 AND p.word_id + 75 GROUP BY p.span_id"""
 PROMPT_SQL = """SELECT span_id, task_id, CASE WHEN task_id = 6 THEN 'Find ' || normalized_task_name || '.' ELSE 'Answer with {''' || snomed_short_name || ''':bool} for {unknown}.' END AS system_prompt,
-  CASE WHEN task_id = 6 THEN '[' || context || '] ' || lexical_variant || '?' ELSE '<<<' || chr(10) || context || chr(10) || '>>>' || chr(10) || 'Is ''' || lexical_variant || ''' a ' || snomed_short_name || ' date?' END AS prompt, snomed_short_name
-  FROM (SELECT *, substr(note_text, greatest(start - 40, 0) + 1, "end" + 40 - greatest(start - 40, 0)) AS context FROM span) JOIN (SELECT * FROM task WHERE grp = 1) ON true"""
+  CASE WHEN task_id = 6 THEN '[' || context || '] ' || lexical_variant || '?' ELSE '<<<' || chr(10) || context || chr(10) || '>>>' || chr(10) || 'Is ''' || lexical_variant || ''' a ' || snomed_short_name || ' date?' END AS prompt,
+  CASE WHEN task_id = 6 THEN '' ELSE '<<<' || chr(10) || 'seen on 12/03' || chr(10) || '>>>' || chr(10) || 'Is ''12/03'' a ' || snomed_short_name || ' date?=yes|<<<' || chr(10) || '7 beds' || chr(10) || '>>>' || chr(10) || 'Is ''7'' a ' || snomed_short_name || ' date?=no' END AS examples
+  FROM span JOIN prompt_context USING (span_id) JOIN task ON true"""
+PROMPT_CTES = {"word_row": WORDS, "word_at": WORD_AT, "prompt_context": PROMPT_CONTEXT, "prompt_row": PROMPT_SQL}
 
 
-@query("sc_build_prompts", with_ctes("SELECT span_id, task_id, system_prompt, md5(prompt) AS prompt FROM prompt_row", "span", "task", prompt_row=PROMPT_SQL))
+@query("sc_build_prompts", with_ctes("SELECT span_id, task_id, system_prompt, examples, md5(prompt) AS prompt FROM prompt_row", "span", "task", **PROMPT_CTES))
 def sc_build_prompts(spark, d):
-    return _prompts(spark, d).select("span_id", "task_id", "system_prompt", F.md5("prompt").alias("prompt"))
+    examples = F.array_join(F.transform("examples", lambda e: F.concat_ws("=", e["prompt"], e["answer"])), "|")
+    return _prompts(spark, d).select("span_id", "task_id", "system_prompt", examples.alias("examples"), F.md5("prompt").alias("prompt"))
 
 
-def answer_by_length(system: pd.Series, prompt: pd.Series) -> pd.Series:
+def answer_by_length(asked: pd.DataFrame) -> pd.Series:
     """Stand-in for a model: a JSON answer from the length of the prompt."""
-    name = system.str.extract(r"'([^']+)'")[0].fillna("none")
-    value = (prompt.str.len() % 2 == 0).map({True: "true", False: "false"})
+    name = asked["system_prompt"].str.extract(r"'([^']+)'")[0].fillna("none")
+    value = (asked["prompt"].str.len() % 2 == 0).map({True: "true", False: "false"})
     return '{"' + name + '":' + value + "}"
 
 
 @query(
     "lf_batch_scorer",
-    with_ctes("SELECT span_id, task_id, CASE WHEN task_id <> 6 THEN length(prompt) % 2 = 0 END AS vote FROM prompt_row", "span", "task", prompt_row=PROMPT_SQL),
+    with_ctes("SELECT span_id, task_id, CASE WHEN task_id <> 6 THEN length(prompt) % 2 = 0 END AS vote FROM prompt_row", "span", "task", **PROMPT_CTES),
 )
 def lf_batch_scorer(spark, d):
-    scored = lfs.score_prompts(_prompts(spark, d), answer_by_length)
+    scored = lfs.score_prompts(_prompts(spark, d), answer_by_length, rows=2000, in_flight=2)
     return lfs.parse_votes(scored).select("span_id", "task_id", "vote")
 
 

@@ -323,14 +323,13 @@ def _fhir(spark, d):
 
 @query(
     "fhir_flat",
-    with_ctes(f"SELECT * EXCLUDE (performedDateTime), CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS encounter FROM ({FHIR_ROWS})", "span", "task", predicted=PREDICTED, scores=SCORES),
+    with_ctes(f"SELECT *, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS encounter FROM ({FHIR_ROWS})", "span", "task", predicted=PREDICTED, scores=SCORES),
 )
 def fhir_flat(spark, d):
     rows = fhir.to_procedure(_fhir(spark, d), ad.tasks(spark, d), evidence=None, performed=F.col("note_date"))
     flat = fhir.flatten_struct(rows, "procedure")
-    return flat.drop(
-        "performedDateTime", "meta__source", "extension_nlp___0__related_span", "extension_nlp___0__text_evidence", "extension_nlp___0__attributes__mode"
-    )
+    flat = flat.withColumn("performedDateTime", F.col("performedDateTime").cast("string"))
+    return flat.drop("meta__source", "extension_nlp___0__related_span", "extension_nlp___0__text_evidence", "extension_nlp___0__attributes__mode")
 
 
 @query(
