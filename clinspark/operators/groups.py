@@ -5,16 +5,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from clinspark.functions.keys import HASH_DIGITS, key_hash
+from clinspark.operators.stored import stored
 
-# Upper bound on the keys whose totals travel by broadcast; the largest groups come first.
-LARGEST_GROUPS = 1000
-# A group with fewer rows than this fits one task and is left alone.
+# Upper bound on the keys that travel by broadcast, those with most rows. Any other key holds less than that part of all rows, which is
+# what a task gets on a large cluster anyway.
+LARGEST_GROUPS = 10_000
+# Rows of a key that one task should hold.
 LARGE_ROWS = 100_000
 # Number of ways in which the rows of a large group are spread over the shuffle.
 SPREAD = 997
-# Keys and copies used when a join has a few very large keys on one side.
-LARGEST_KEYS = 100
-COPIES = 200
 
 
 def _as_column(value) -> Column:
@@ -76,27 +75,36 @@ def with_group_totals(df: DataFrame, keys: Sequence[str], large_rows: int = LARG
     return joined.select(*df.columns, *[picked[name].alias(name) for name in aggregates])
 
 
-def largest_keys(df: DataFrame, keys: Sequence[str], n: int = LARGEST_KEYS, large_rows: int = LARGE_ROWS) -> DataFrame:
-    """The n keys with most rows, of those with many: a frame that is always small enough to broadcast."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= large_rows)
-    return counts.orderBy(F.desc("_rows"), *keys).limit(n).select(*keys)
+def key_loads(df: DataFrame, keys: Sequence[str], rows_per_task: int = LARGE_ROWS) -> DataFrame:
+    """(keys, _copies): keys with more rows than one task should hold, and the number of tasks that their rows need.
+
+    Counts are combined before the shuffle. Only the LARGEST_GROUPS keys with most rows are named, so the frame is small enough to broadcast;
+    a key that is not named holds less than a LARGEST_GROUPS-th of all rows.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_task)
+    largest = counts.orderBy(F.desc("_rows"), *keys).limit(LARGEST_GROUPS)
+    return largest.select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_copies"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], large: DataFrame | None = None) -> DataFrame:
-    """Left join with a side that has one row per key, when a few keys may hold most rows of the left side.
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], loads: DataFrame | None = None) -> DataFrame:
+    """Left join with a side that has one row per key, when some keys hold very many rows of the left side.
 
-    `large` is a result of `largest_keys` over some of the join keys. Rows of these keys are spread over
-    COPIES shuffle keys by content, and only their right rows are copied; the result is that of a plain join.
+    `loads` is a result of `key_loads` over some of the join keys: rows of these keys are spread over as many shuffle keys as they
+    need, by content, and only their right rows are copied. Rows with a null key match nothing and are spread too. The result is that of a plain
+    join.
     """
-    if large is None:
+    if loads is None:
         return left.join(right, list(keys), "left")
-    on = list(large.columns)
-    marked = F.broadcast(large.distinct().withColumn("_is_large", F.lit(True)))
-    home = F.pmod(row_hash(left), F.lit(COPIES)).cast("int")
-    tagged = left.join(marked, on, "left").withColumn("_copy", F.when(F.col("_is_large"), home).otherwise(F.lit(0)))
-    copies = F.when(F.col("_is_large"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
-    copied = right.join(marked, on, "left").withColumn("_copy", F.explode(copies)).drop("_is_large")
-    joined = tagged.drop("_is_large").join(copied, [*keys, "_copy"], "left").drop("_copy")
+    on = [c for c in loads.columns if c != "_copies"]
+    unmatched = F.lit(False)
+    for key in keys:
+        unmatched = unmatched | F.col(key).isNull()
+    spread = row_hash(left)
+    home = F.when(unmatched, F.pmod(spread, F.lit(SPREAD))).otherwise(F.pmod(spread, F.coalesce("_copies", F.lit(1))))
+    tagged = left.join(F.broadcast(loads), on, "left").withColumn("_copy", home.cast("int")).drop("_copies")
+    copies = F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)
+    copied = right.join(F.broadcast(loads), on, "left").withColumn("_copy", F.explode(copies)).drop("_copies")
+    joined = tagged.join(copied, [*keys, "_copy"], "left").drop("_copy")
     return joined.select(*left.columns, *[c for c in right.columns if c not in keys])
 
 
@@ -172,12 +180,32 @@ def value_counts(df: DataFrame, *columns: str, distinct: str | None = None) -> D
     return df.groupBy(*columns).agg(*measures).orderBy(F.desc("n"), *columns)
 
 
+def series_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """1-based rank of each row in its series, whatever the size of a series.
+
+    Rows are laid out in ranges of (series, order), which cut a long series where they must, and written so; each range counts its rows of
+    a series, the counts of earlier ranges are summed, and rows are numbered within their range.
+    """
+    tie = row_hash(df)
+    ranged = df.withColumn("_tie", tie).repartitionByRange(*keys, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    ranged = stored(ranged)
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    offsets = counts.select(*named, F.col("_range").alias("_at_range"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("bigint")).alias("_before"))
+    same = F.col("_range") == F.col("_at_range")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order, "_tie"))
+    ranked = ranged.withColumn("_own", own).join(offsets, same).withColumn(name, F.col("_before") + F.col("_own"))
+    return ranked.select(*df.columns, name)
+
+
 def rolling_mean(
     df: DataFrame,
     value: str,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
     n: int,
     partial: bool = False,
     name: str = "rolling_mean",
@@ -185,11 +213,10 @@ def rolling_mean(
 ) -> DataFrame:
     """Mean of the last n rows per series; null (or partial) before n rows exist.
 
-    Long series are cut into blocks of `block` rows; each block borrows the n-1 rows before it.
-    `bucket` grows with the order and is used to number the rows of a series.
+    Series of any length are numbered in ranges and cut into blocks of `block` rows; each block borrows the n-1 rows before it.
     """
     block = max(block, n)
-    ranked = ordered_rank(df, bucket, [F.col(c) for c in order], "_at", within=keys)
+    ranked = series_rank(df, keys, order, "_at")
     ranked = ranked.withColumn("_block", F.floor((F.col("_at") - 1) / block))
     lead_in = (F.pmod(F.col("_at") - 1, F.lit(block)) >= block - (n - 1)) & F.lit(n > 1)
     copies = F.when(lead_in, F.array(F.col("_block"), F.col("_block") + 1)).otherwise(F.array(F.col("_block")))

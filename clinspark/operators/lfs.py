@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from clinspark.functions.text import accent_table, any_regex, terms_regex
-from clinspark.operators.groups import spread_join, unique_by, with_group_totals
+from clinspark.operators.groups import LARGE_ROWS, key_loads, spread_join, unique_by, with_group_totals
 from clinspark.operators.spans import ContextWindow
 from clinspark.operators.stored import stored
 
@@ -21,25 +21,30 @@ from clinspark.operators.stored import stored
 
 def external_lf(
     spans: DataFrame, events: DataFrame, name: str, date: str = "span_date", threshold_days: int = 0,
-    large: DataFrame | None = None,
+    rows_per_task: int | None = LARGE_ROWS,
 ) -> DataFrame:
     """Vote = sorted classes of the person's events within the threshold of the span date, null if none.
 
     `events` holds (person_id, event_date, class). Events are reduced to one row per person and day (or per
-    person and run of days), with at most days x classes values, before the spans are joined. `large` names
-    the persons with most notes (see `largest_keys`), whose spans are spread over many tasks.
+    person and run of days), with at most days x classes values, before the spans are joined. Spans are counted by person and
+    day, and those of a key with more than `rows_per_task` are spread over as many tasks as they need; `spans` is read twice for that and
+    should be a written table (None: read once, not counted).
     """
+
+    def voted(rows, right, keys):
+        return spread_join(rows, right, keys, None if rows_per_task is None else key_loads(rows, keys, rows_per_task))
+
     known = events.select("person_id", F.col("event_date").alias("_day"), F.col("class").alias("_class")).distinct()
     if threshold_days == 0:
         per_day = known.groupBy("person_id", "_day").agg(F.sort_array(F.collect_set("_class")).alias(name))
-        joined = spread_join(spans, per_day.withColumnRenamed("_day", date), ["person_id", date], large)
+        joined = voted(spans, per_day.withColumnRenamed("_day", date), ["person_id", date])
         return joined.select(*spans.columns, name)
     run = F.floor(F.datediff("_day", F.lit("1970-01-01").cast("date")) / threshold_days)
     # An event can only match spans of its own run of days or of the two next to it.
     near = known.withColumn("_run", F.explode(F.array(run - 1, run, run + 1)))
     per_run = near.groupBy("person_id", "_run").agg(F.collect_set(F.struct("_day", "_class")).alias("_near"))
     span_run = F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / threshold_days)
-    joined = spread_join(spans.withColumn("_run", span_run), per_run, ["person_id", "_run"], large)
+    joined = voted(spans.withColumn("_run", span_run), per_run, ["person_id", "_run"])
     inside = F.filter("_near", lambda e: F.abs(F.datediff(e["_day"], F.col(date))) <= threshold_days)
     classes = F.sort_array(F.array_distinct(F.transform(inside, lambda e: e["_class"])))
     return joined.select(*spans.columns, F.when(F.size(classes) > 0, classes).alias(name))
@@ -47,12 +52,12 @@ def external_lf(
 
 def external_lfs(
     spans: DataFrame, events: DataFrame, names: Sequence[str], date: str = "span_date", threshold_days: int = 0,
-    large: DataFrame | None = None,
+    rows_per_task: int | None = LARGE_ROWS,
 ) -> DataFrame:
     """All knowledge votes in one join; `events` also holds the `lf` each row belongs to."""
     tagged = F.struct(F.col("lf"), F.col("class"))
     packed = external_lf(
-        spans, events.select("person_id", "event_date", tagged.alias("class")), "_votes", date, threshold_days, large
+        spans, events.select("person_id", "event_date", tagged.alias("class")), "_votes", date, threshold_days, rows_per_task
     )
 
     def votes(name):

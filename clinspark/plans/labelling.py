@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from clinspark.functions.text import normalized_name, resolve_date
 from clinspark.operators import label_models as lm
-from clinspark.operators.groups import largest_keys, spread_join, with_group_totals
+from clinspark.operators.groups import key_loads, spread_join, with_group_totals
 from clinspark.operators.lfs import PatternLF, context_columns, external_lfs, logical_lfs, pattern_lfs
 from clinspark.operators.spans import DATE_PATTERNS, ContextWindow, extract_spans
 from clinspark.operators.stored import stored
@@ -33,8 +33,8 @@ def apply_lfs(
     """Notes -> one row per span with a column per labelling function and the span context.
 
     `events` are knowledge events (person_id, lf, event_date, class). With `how` = "inner" the spans of
-    persons without events are dropped. Texts leave the plan at the span step; joins carry spans only, and
-    those of the persons with most notes are spread.
+    persons without events are dropped. Texts leave the plan at the span step; joins carry spans only. With events the
+    dated spans are written to the shared folder, counted by person and by day, and spread by these counts.
     """
     names = [lf.name for lf in patterns] + [r["name"] for r in rules] + (list(knowledge_lfs) if events is not None else [])
     if known_lfs is not None and (unknown := [n for n in names if n not in known_lfs]):
@@ -46,12 +46,11 @@ def apply_lfs(
     spans = pattern_lfs(spans, patterns, contexts).drop(*contexts)
     if events is not None:
         date = span_date if span_date is not None else resolve_date("lexical_variant", "note_date")
-        dated = spans.withColumn("span_date", date)
-        large = largest_keys(notes, ["person_id"])
+        dated = stored(spans.withColumn("span_date", date))
         if how == "inner":
             known = events.select("person_id").distinct().withColumn("_known", F.lit(True))
-            dated = spread_join(dated, known, ["person_id"], large).filter("_known").drop("_known")
-        spans = external_lfs(dated, events, knowledge_lfs, "span_date", threshold_days, large).drop("span_date")
+            dated = spread_join(dated, known, ["person_id"], key_loads(dated, ["person_id"])).filter("_known").drop("_known")
+        spans = external_lfs(dated, events, knowledge_lfs, "span_date", threshold_days).drop("span_date")
     spans = logical_lfs(spans, rules)
     base = [*keys, "span_id", "lexical_variant", "label", "start", "end", "context"]
     return spans.select(*base, *[c for c in spans.columns if c not in base])

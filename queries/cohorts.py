@@ -205,7 +205,7 @@ def w_keep_last_n(spark, d):
 )
 def w_rolling_mean(spark, d):
     events = ad.table(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    rows = gr.rolling_mean(events, "value", ["user_id"], ["ts", "event_id"], F.to_date("ts"), 5)
+    rows = gr.rolling_mean(events, "value", ["user_id"], ["ts", "event_id"], 5)
     return rows.select("event_id", F.round(F.col("rolling_mean") + 1e-9, 6).alias("rolling_mean"))
 
 
@@ -215,7 +215,7 @@ def w_rolling_mean(spark, d):
 )
 def w_rolling_mean_partial(spark, d):
     events = ad.table(spark, d, "events").select("event_id", "event_type", "ts", "value")
-    rows = gr.rolling_mean(events, "value", ["event_type"], ["ts", "event_id"], F.date_trunc("HOUR", "ts"), 100, partial=True, block=500)
+    rows = gr.rolling_mean(events, "value", ["event_type"], ["ts", "event_id"], 100, partial=True, block=500)
     return rows.select("event_id", F.round(F.col("rolling_mean") + 1e-9, 6).alias("rolling_mean"))
 
 

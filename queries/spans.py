@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clinspark.functions.text import DATE_REGEX, accent_table, char_context, resolve_date
 from clinspark.operators import lfs, spans as sp
-from clinspark.operators.groups import largest_keys
+from clinspark.operators.stored import stored
 from clinspark.plans import labelling as lb
 from queries import adapters as ad
 from queries.adapters import with_ctes
@@ -111,6 +111,11 @@ def lf_preannotate(spark, d):
 # ---------------------------------------------------------------- knowledge votes
 
 
+def _stored_spans(spark, d):
+    """Spans as the votes need them, written once: they are counted before they are joined."""
+    return stored(ad.spans(spark, d).select("span_id", "person_id", "note_date"))
+
+
 @query(
     "lf_external",
     with_ctes(
@@ -120,8 +125,7 @@ def lf_preannotate(spark, d):
     ),
 )
 def lf_external(spark, d):
-    large = largest_keys(ad.notes(spark, d), ["person_id"])
-    rows = lfs.external_lf(ad.spans(spark, d), ad.knowledge_rows(spark, d), "votes", "note_date", large=large)
+    rows = lfs.external_lf(_stored_spans(spark, d), ad.knowledge_rows(spark, d), "votes", "note_date")
     return rows.select("span_id", F.array_join("votes", "|").alias("votes"))
 
 
@@ -144,7 +148,7 @@ def lf_dates_external(spark, d):
     mentions = ad.notes(spark, d).select("note_id", "person_id", "note_date", text.alias("note_text"))
     spans = sp.extract_spans(mentions, keys=("note_id", "person_id", "note_date"))
     dated = spans.withColumn("span_date", resolve_date("lexical_variant", "note_date"))
-    rows = lfs.external_lf(dated, ad.knowledge_rows(spark, d), "votes", "span_date", 1)
+    rows = lfs.external_lf(stored(dated), ad.knowledge_rows(spark, d), "votes", "span_date", 1)
     return rows.select("note_id", "lexical_variant", F.array_join("votes", "|").alias("votes"))
 
 
@@ -158,7 +162,7 @@ def lf_dates_external(spark, d):
     ),
 )
 def j_temporal_exact(spark, d):
-    rows = lfs.external_lfs(ad.spans(spark, d), ad.knowledge_rows(spark, d), ["lf_ccam", "lf_imaging_md"], "note_date")
+    rows = lfs.external_lfs(_stored_spans(spark, d), ad.knowledge_rows(spark, d), ["lf_ccam", "lf_imaging_md"], "note_date")
     return rows.select("span_id", F.array_join("lf_ccam", "|").alias("lf_ccam"), F.array_join("lf_imaging_md", "|").alias("lf_imaging_md"))
 
 
@@ -171,7 +175,7 @@ def j_temporal_exact(spark, d):
     ),
 )
 def j_temporal_window(spark, d):
-    rows = lfs.external_lf(ad.spans(spark, d), ad.knowledge_rows(spark, d), "votes", "note_date", 2, largest_keys(ad.notes(spark, d), ["person_id"]))
+    rows = lfs.external_lf(_stored_spans(spark, d), ad.knowledge_rows(spark, d), "votes", "note_date", 2)
     return rows.select("span_id", F.array_join("votes", "|").alias("votes"))
 
 

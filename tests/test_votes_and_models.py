@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinspark.operators import label_models as lm, lfs
-from clinspark.operators.groups import largest_keys
 from clinspark.operators.spans import ContextWindow
 from clinspark.plans import labelling as lb
 
@@ -202,8 +201,7 @@ def test_temporal_votes_equal_brute_force(spark, threshold, large_rows):
     events = [(rng.choice([1, 2, 4]), day(), rng.choice("abc")) for _ in range(60)]
     s = spark.createDataFrame(spans, "id int, person_id long, span_date date")
     e = spark.createDataFrame(events, "person_id long, event_date date, class string")
-    large = largest_keys(s, ["person_id"], n=2, large_rows=large_rows)
-    got = {r.id: r.v for r in lfs.external_lf(s, e, "v", threshold_days=threshold, large=large).collect()}
+    got = {r.id: r.v for r in lfs.external_lf(s, e, "v", threshold_days=threshold, rows_per_task=large_rows).collect()}
     for i, person, date in spans:
         want = sorted({c for p, d, c in events if date and p == person and abs((d - date).days) <= threshold}) or None
         assert got[i] == want

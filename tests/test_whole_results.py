@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinspark.operators import datasets as ds, fhir, lfs, sampling as sm
-from clinspark.operators.groups import largest_keys, spread_join, with_group_totals
+from clinspark.operators.groups import key_loads, spread_join, with_group_totals
 from clinspark.plans.cohort import patient_cohort
 from clinspark.sources import tables as tb
 
@@ -59,7 +59,7 @@ def test_rows_with_maps_can_be_spread(spark):
     totals = with_group_totals(df, ["person_id"], large_rows=5, n=F.count(F.lit(1))).collect()
     assert len(totals) == 20 and {r["n"] for r in totals} == {10}
     right = spark.createDataFrame([(0, "a"), (1, "b")], "person_id long, name string")
-    joined = spread_join(df, right, ["person_id"], largest_keys(df, ["person_id"], large_rows=5)).collect()
+    joined = spread_join(df, right, ["person_id"], key_loads(df, ["person_id"], 5)).collect()
     assert sorted((r["span_id"], r["name"]) for r in joined) == [(k, "ab"[k % 2]) for k in range(20)]
 
 
