@@ -2,7 +2,7 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clinspark.functions.text import nan_to_null, normalize_name
 from clinspark.reference_values import AVERAGE_NAME, AVERAGED_MODELS, METRICS_TABLE_ORDER, TASK_SPECIFIC
@@ -203,6 +203,17 @@ def latest_metrics(metrics: DataFrame, stamp: str = "produced_at") -> DataFrame:
     return metrics.join(newest, [*keys, stamp], "left_semi")
 
 
+def one_model_per_name(models: DataFrame) -> DataFrame:
+    """The same models; the job stops when a display name belongs to two of them, unless they are task-specific ones."""
+    same_name = Window.partitionBy("name_display")
+    general = F.lower(F.trim("name_display")) != TASK_SPECIFIC
+    known = F.col("name_display").isNotNull() & F.col("id").isNotNull() & F.col("name_code").isNotNull()
+    ids = F.when(known, F.col("id"))
+    repeated = F.raise_error(F.concat(F.lit("duplicate name_display: "), F.col("name_display"))).cast("boolean")
+    marked = models.withColumns({"_least": F.min(ids).over(same_name), "_most": F.max(ids).over(same_name)})
+    return marked.filter(F.when(known & general & (F.col("_least") != F.col("_most")), repeated).otherwise(F.lit(True))).drop("_least", "_most")
+
+
 def shown_metrics(models: DataFrame, metrics: DataFrame, tasks: DataFrame) -> DataFrame:
     """Positive-class metrics of the models to show; a task-specific model only fills its own task."""
     named = models.dropna(subset=["id", "name_display", "name_code"]).select(
@@ -215,17 +226,6 @@ def shown_metrics(models: DataFrame, metrics: DataFrame, tasks: DataFrame) -> Da
     return rows.join(tasks.select(F.col("normalized_task_name").alias("task")), "task", "left_semi")
 
 
-def check_metrics(models: DataFrame, shown: DataFrame) -> None:
-    """Raise on a display name used by two models, or on supports that differ between models."""
-    general = models.dropna(subset=["id", "name_display", "name_code"]).filter(F.lower(F.trim("name_display")) != TASK_SPECIFIC)
-    repeated = general.groupBy("name_display").agg(F.count_distinct("id").alias("n")).filter("n > 1").take(1)
-    if repeated:
-        raise ValueError(f"duplicate name_display: {repeated[0]['name_display']}")
-    differing = shown.groupBy("task", "dataset").agg(F.count_distinct("support").alias("n")).filter("n > 1").take(1)
-    if differing:
-        raise ValueError(f"support mismatch for task {differing[0]['task']} dataset {differing[0]['dataset']}")
-
-
 def metrics_table(
     models: DataFrame,
     metrics: DataFrame,
@@ -237,16 +237,22 @@ def metrics_table(
 ) -> DataFrame:
     """Tasks as rows; support per dataset, then one column per (model, dataset[, metric]) in the fixed order.
 
-    `names` are the display names to show; names outside the fixed order come last.
+    `names` are the display names to show; names outside the fixed order come last. With `check` the job stops on a display name of two
+    models and on supports of a task and dataset that differ between models; both are part of the one aggregate that makes the table.
     """
-    shown = shown_metrics(models, metrics, tasks)
-    if check:
-        check_metrics(models, shown)
+    shown = shown_metrics(one_model_per_name(models) if check else models, metrics, tasks)
 
     def title(name, dataset, measure):
         return f"{name}|{dataset}|{measure}" if len(measures) > 1 else f"{name}|{dataset}"
 
-    cells = [F.max(F.when(F.col("dataset") == d, F.col("support"))).alias(f"Support|{d}") for d in datasets]
+    cells = []
+    for d in datasets:
+        support = F.when(F.col("dataset") == d, F.col("support"))
+        most = F.max(support)
+        if check:
+            message = F.concat(F.lit("support mismatch for task "), F.col("task"), F.lit(f" dataset {d}"))
+            most = F.when(F.min(support) != most, F.raise_error(message).cast(shown.schema["support"].dataType)).otherwise(most)
+        cells.append(most.alias(f"Support|{d}"))
     for name in names:
         for d in datasets:
             here = (F.col("name_display") == name) & (F.col("dataset") == d)

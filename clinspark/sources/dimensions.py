@@ -5,6 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clinspark.functions.text import fold_accents, normalize_name
+from clinspark.operators.vocabulary import CHUNK, regex_chunks
 from clinspark.reference_values import DRUG_NAME_COLUMNS, TREATMENT_SCTIDS
 
 
@@ -55,8 +56,8 @@ def oncology_drugs(raw: DataFrame, treatments: Sequence[str] | None = tuple(TREA
     return df if treatments is None else df.filter(F.col("treatement_type").isin(list(treatments)))
 
 
-def drug_vocab(drugs: DataFrame, label_types: Sequence[str] = tuple(DRUG_NAME_COLUMNS)) -> DataFrame:
-    """Distinct names and an alternation regex per treatment type and label type, `all` included on both sides."""
+def drug_names(drugs: DataFrame, label_types: Sequence[str] = tuple(DRUG_NAME_COLUMNS)) -> DataFrame:
+    """(treatement_type, label_type, name): the distinct names as rows, `all` included on both sides."""
     long = drugs.select(
         "treatement_type",
         F.inline(F.array(*[F.struct(F.lit(t).alias("label_type"), F.col(DRUG_NAME_COLUMNS[t][1]).alias("name")) for t in label_types])),
@@ -66,8 +67,9 @@ def drug_vocab(drugs: DataFrame, label_types: Sequence[str] = tuple(DRUG_NAME_CO
         F.struct("treatement_type", F.lit("all").alias("label_type")),
         F.struct(F.lit("all").alias("treatement_type"), F.lit("all").alias("label_type")),
     )
-    rows = long.select("name", F.inline(copies)).distinct()
-    names = F.sort_array(F.collect_list("name"))
-    quoted = F.transform(F.col("names"), lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E")))
-    grouped = rows.groupBy("treatement_type", "label_type").agg(names.alias("names"))
-    return grouped.withColumn("regex", F.concat(F.lit("(?i)(?:"), F.array_join(quoted, "|"), F.lit(")")))
+    return long.select("name", F.inline(copies)).distinct().select("treatement_type", "label_type", "name")
+
+
+def drug_vocab(drugs: DataFrame, label_types: Sequence[str] = tuple(DRUG_NAME_COLUMNS), chunk: int = CHUNK) -> DataFrame:
+    """Names and an alternation regex per treatment type, label type and chunk of names."""
+    return regex_chunks(drug_names(drugs, label_types), ["treatement_type", "label_type"], chunk=chunk)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from clinspark.functions import text as tx
-from clinspark.operators import codes as cd, events as ev, groups as gr
+from clinspark.operators import codes as cd, events as ev, groups as gr, vocabulary as voc
 from clinspark.operators.datasets import fingerprint, text_fingerprint
 from clinspark.sources import dimensions as dim, tables as tb
 from queries import adapters as ad
@@ -195,7 +195,35 @@ def src_oncology_drugs(spark, d):
 )
 def drug_vocab(spark, d):
     vocab = dim.drug_vocab(dim.oncology_drugs(_raw_drugs(spark, d)))
-    return vocab.withColumn("names", F.array_join("names", "|"))
+    return vocab.drop("chunk").withColumn("names", F.array_join("names", "|"))
+
+
+DRUG_NAMES = f"""SELECT DISTINCT treatement_type, x.k AS label_type, x.v AS name FROM (SELECT {DRUG_CLASS} AS treatement_type, unnest([{{'k': 'atc', 'v': 'e' || split_part(p_name, ' ', 1)}},
+    {{'k': 'commercial', 'v': p_name || ' c+('}}, {{'k': 'active_substance', 'v': CASE WHEN p_size > 25 THEN lower(p_brand) END}}]) AS x FROM part) WHERE treatement_type <> 'Autre' AND x.v IS NOT NULL"""
+
+
+@query("drug_names", f"WITH one AS ({DRUG_NAMES}) SELECT * FROM one UNION SELECT treatement_type, 'all', name FROM one UNION SELECT 'all', 'all', name FROM one")
+def drug_names(spark, d):
+    return dim.drug_names(dim.oncology_drugs(_raw_drugs(spark, d)))
+
+
+@query(
+    "drug_mentions",
+    f"""WITH name AS ({DRUG_NAMES}), named AS (SELECT treatement_type, label_type, name, regexp_extract_all(name, '[a-z0-9]+') AS t FROM name),
+      note AS (SELECT l_orderkey * 10 + l_linenumber AS note_id, l_partkey, regexp_extract_all(lower('Traite par e' || split_part(p_name, ' ', 1) || ', puis ' || p_name || ' c+(; voir ' || p_brand || '.'), '[a-z0-9]+') AS t
+        FROM lineitem JOIN part ON p_partkey = l_partkey),
+      run AS (SELECT note_id, i - 1 AS place, n, array_to_string(t[i:i + n - 1], ' ') AS phrase FROM (SELECT *, unnest(generate_series(1, len(t))) AS i FROM note), (SELECT DISTINCT len(t) AS n FROM named) WHERE i + n - 1 <= len(t))
+    SELECT note_id, CAST(place AS INTEGER) AS place, name, treatement_type, label_type FROM run JOIN named ON len(named.t) = run.n AND array_to_string(named.t, ' ') = phrase""",
+)
+def drug_mentions(spark, d):
+    """Names of the drug list in a sentence per order line."""
+    drugs = dim.drug_names(dim.oncology_drugs(_raw_drugs(spark, d))).filter("label_type <> 'all'")
+    parts = ad.table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    lines = ad.table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    first = F.element_at(F.split("p_name", " "), 1)
+    text = F.concat(F.lit("Traité par É"), first, F.lit(", puis "), F.upper("p_name"), F.lit(" Ç+(; voir "), F.col("p_brand"), F.lit("."))
+    notes = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("note_id"), text.alias("note_text"))
+    return voc.find_names(notes, drugs, keep=("treatement_type", "label_type")).withColumnRenamed("at", "place")
 
 
 @query(

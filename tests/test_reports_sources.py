@@ -68,11 +68,43 @@ def test_metrics_table_takes_the_latest_and_checks(spark):
     table = evl.metrics_table(models, metrics, tasks, ["Zeta", "All tasks"], datasets=("A",))
     assert table.columns == ["task", "Task id", "Task (Procedure)", "Support|A", "All tasks|A", "Zeta|A"]
     assert [tuple(r) for r in table.collect()] == [("t1", 1, "T1", 9, 0.5, 0.7), ("t2", 2, "T2", None, None, None)]
-    with pytest.raises(ValueError, match="duplicate"):
-        evl.metrics_table(*registry(spark), ["All tasks"])
+    with pytest.raises(Exception, match="duplicate name_display: All tasks"):
+        evl.metrics_table(*registry(spark), ["All tasks"]).collect()
+    assert evl.metrics_table(*registry(spark), ["All tasks"], check=False).count() == 2
     bad = metrics.withColumn("support", F.when(F.col("model_id") == "m2", 8).otherwise(F.col("support")))
-    with pytest.raises(ValueError, match="support"):
-        evl.metrics_table(models, bad, tasks, ["Zeta"])
+    with pytest.raises(Exception, match="support mismatch for task t1 dataset A"):
+        evl.metrics_table(models, bad, tasks, ["Zeta"]).collect()
+
+
+def test_metrics_table_is_one_job(spark):
+    """The checks are part of the table: nothing runs before the table is asked for, and then one query does."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("metrics-table", "")
+    try:
+        table = evl.metrics_table(*registry(spark, "Zeta"), ["Zeta", "All tasks"])
+        assert len(tracker.getJobIdsForGroup("metrics-table")) == 0
+        assert table.count() == 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_names_in_texts(spark):
+    from clinspark.operators.vocabulary import find_names, regex_chunks
+
+    texts = spark.createDataFrame([(1, "Été: Taxol-5, PACLITAXEL albumine; taxol 5"), (2, None), (3, ""), (4, "albumine")], "note_id long, note_text string")
+    listed = [("taxol 5", "a"), ("Taxol", "a"), ("paclitaxel  (albumine)", "b"), ("albumine", None), ("albumine", "c"), (None, "d"), ("+", "e"), ("albumine x y z", "f"), ("été", "g"), ("été", "g")]
+    names = spark.createDataFrame(listed, "name string, kind string")
+    got = sorted(map(tuple, find_names(texts, names, keep=("kind",)).collect()), key=str)
+    want = [(1, 0, "été", "g"), (1, 1, "taxol 5", "a"), (1, 1, "Taxol", "a"), (1, 3, "paclitaxel  (albumine)", "b"), (1, 4, "albumine", None), (1, 4, "albumine", "c"),
+            (1, 5, "taxol 5", "a"), (1, 5, "Taxol", "a"), (4, 0, "albumine", None), (4, 0, "albumine", "c")]
+    assert got == sorted(want, key=str)
+    assert find_names(texts, names.limit(0)).count() == 0 and find_names(texts.limit(0), names).count() == 0
+    many = spark.range(1000).select(F.lit("k").alias("kind"), F.concat(F.lit("n."), "id").alias("name"))
+    chunks = regex_chunks(many, ["kind"], chunk=100).collect()
+    assert len(chunks) == 10 and max(len(c["names"]) for c in chunks) < 200
+    assert sorted(n for c in chunks for n in c["names"]) == sorted(f"n.{i}" for i in range(1000))
+    holding = spark.createDataFrame([c for c in chunks if "n.17" in c["names"]])
+    assert holding.filter(F.expr("'xN.17 ' rlike regex")).count() == 1 and holding.filter(F.expr("'xNx17 ' rlike regex")).count() == 0
 
 
 def test_procedure_flattening(spark):
