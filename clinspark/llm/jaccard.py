@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clinspark.llm.common import checkpointed
+from clinspark.llm.common import checkpointed, may_be_among
 from clinspark.llm.components import components
 from clinspark.llm.hashing import shingle_set, words_of_texts
 
@@ -22,8 +23,6 @@ MOST_MATCHES = 8
 # Bits of the table that says which prefix shingles occur in more than one set; others that pass in error only cost time.
 SHARED_BITS = 1 << 26
 SHARED_BLOCKS = 64
-# Bits of the filter that says which texts the verification needs; texts that pass it in error only cost time.
-FILTER_WORDS = 1 << 17
 
 
 def _tally(table: np.ndarray, held: list[np.ndarray]) -> None:
@@ -64,12 +63,24 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
 
     schema = "block int, counts binary"
     summed = docs.select("text").mapInArrow(count, schema).repartition(16, "block").mapInArrow(add, schema)
-    table = np.zeros((COUNTERS // BLOCK, BLOCK), np.int64)
+    table = np.zeros((COUNTERS // BLOCK, BLOCK), np.float32)
     for row in summed.toLocalIterator():
         table[row["block"]] += np.frombuffer(row["counts"], np.int64)
     return table.reshape(-1)
 
 
+def middle(counts: np.ndarray) -> float:
+    """Median of the table up to a sixteenth, block by block: no second table is made."""
+    low, high = float(counts.min()), float(counts.max())
+    while high - low > 1 / 16:
+        guess = (low + high) / 2
+        if sum(int((counts[at : at + BLOCK] <= guess).sum()) for at in range(0, len(counts), BLOCK)) * 2 >= len(counts):
+            high = guess
+        else:
+            low = guess
+    return high
+
+
 def choose_matches(ordered: np.ndarray, n: int, least: int) -> int:
     """How many shared prefix shingles to ask for, given the frequencies of a document's shingles in their order.
 
@@ -86,13 +97,13 @@ def choose_matches(ordered: np.ndarray, n: int, least: int) -> int:
 
 
 def signatures(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(doc_id, text) -> doc_id, at (hash of the text), n, key (128-bit hash of the set), matches, prefix array<bigint>.
+    """(doc_id, text) -> doc_id, at (hash of the text), n, key (128-bit hash of the set), matches, prefix array<bigint>; written rows.
 
     Shingles are ordered by frequency, then hash. A set of n shingles shares at least ceil(percent * n / 100) with any set it links
     to, so two linked sets that both ask for m matches share m shingles of their first n - that + m ones.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
-    noise = float(np.median(counts))
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    noise = middle(counts)
 
     def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -119,7 +130,9 @@ def signatures(docs: DataFrame, size: int, percent: int, counts: np.ndarray) ->
             )
 
     schema = "doc_id bigint, at bigint, n bigint, key binary, matches int, prefix array<bigint>"
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("at")).mapInArrow(sign, schema)
+    made = checkpointed(docs.select("doc_id", "text", F.xxhash64("text").alias("at")).mapInArrow(sign, schema))
+    sent.destroy()  # nothing reads the table once the rows are written
+    return made
 
 
 def shared_bits(nodes: DataFrame) -> np.ndarray:
@@ -144,13 +157,24 @@ def shared_bits(nodes: DataFrame) -> np.ndarray:
     return table.reshape(-1)
 
 
-def shared_postings(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(node, set) -> token, node, n, matches, pos, before: only prefix shingles that the bit table knows.
+def listed_postings(nodes: DataFrame) -> DataFrame:
+    """Postings of the lists with more than one member, each with the list's pivot, the member with fewest rarer shingles; written rows."""
+    bits = shared_bits(nodes)
+    sent = nodes.sparkSession.sparkContext.broadcast(bits)
+    rows = shared_postings(nodes, sent)
+    pivot = F.min(F.struct("pos", "n", "matches", "before", "node")).alias("pivot")
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_rows"), pivot).filter("_rows > 1")
+    postings = checkpointed(rows.join(lists.drop("_rows"), "token"))
+    sent.destroy()
+    return postings
+
+
+def shared_postings(nodes: DataFrame, sent: Broadcast) -> DataFrame:
+    """(node, set) -> token, node, n, matches, pos, before: only prefix shingles that the broadcast bit table knows.
 
     `pos` is the place in the set's order and `before` the number of earlier shingles that other sets may have: if two sets share a
     shingle of both prefixes, every earlier one that they share is in both prefixes too.
     """
-    sent = nodes.sparkSession.sparkContext.broadcast(bits)
 
     def post(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -221,19 +245,15 @@ def remaining_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> Data
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of nodes whose whole sets reach the similarity.
 
-    Only texts of nodes in a pair are shuffled: a bit table of fixed size, made from those nodes, filters the scan first.
+    Only texts of nodes in a pair are shuffled: a bit table, made from those nodes, filters the scan first.
     """
     row_key = F.xxhash64(F.lit("row"), F.col("doc_id"), F.col("at"))
     named = nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at")).withColumn("row", row_key)
     sides = {x: named.select(F.col("node").alias(x), F.col("row").alias(f"row_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab"}
     keyed = checkpointed(pairs.join(sides["a"], "a").join(sides["b"], "b"))
-    rows = keyed.select(F.col("row_a").alias("row")).union(keyed.select(F.col("row_b").alias("row")))
-    word, bit = F.pmod("row", F.lit(FILTER_WORDS)).cast("int"), F.pmod(F.shiftright("row", 32), F.lit(64)).cast("int")
-    bits = rows.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit"))
-    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))  # at most FILTER_WORDS rows
+    rows = checkpointed(keyed.select(F.col("row_a").alias("row")).union(keyed.select(F.col("row_b").alias("row"))).distinct())
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("at")).withColumn("row", row_key)
-    passing = source.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(bits), "_word")
-    passing = passing.filter(F.call_function("shiftright", F.col("_bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1)
+    passing = may_be_among(source, F.col("row"), rows, F.col("row"))
     passing = passing.select("row", "at", "text").dropDuplicates(["row", "at"])  # a repeated row has the same text
     text = {x: passing.select(F.col("row").alias(f"row_{x}"), F.col("at").alias(f"at_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"}
     joined = keyed.join(text["a"], ["row_a", "at_a"]).join(text["b"], ["row_b", "at_b"]).select("a", "b", "text_a", "text_b")
@@ -266,14 +286,10 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80, text_column
     empty table gives no rows; extra columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    counts = frequencies(docs, size)
-    signed = checkpointed(signatures(docs, size, percent, counts))
+    signed = signatures(docs, size, percent, frequencies(docs, size))
     nodes = signed.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first(F.struct("n", "matches", "prefix")).alias("set"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))  # short names, fixed by the checkpoint
-    rows = shared_postings(nodes, shared_bits(nodes))
-    pivot = F.min(F.struct("pos", "n", "matches", "before", "node")).alias("pivot")
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_rows"), pivot).filter("_rows > 1")
-    postings = checkpointed(rows.join(lists.drop("_rows"), "token"))
+    postings = listed_postings(nodes)
     firsts = nodes.select("node", "first")
     links = checkpointed(verified(checkpointed(pivot_pairs(postings, percent)), firsts, docs, size, percent))
     more = verified(checkpointed(remaining_pairs(postings, components(links), percent)), firsts, docs, size, percent)
@@ -300,12 +316,13 @@ def one_of_each_class(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     Repeated rows of that doc_id and text leave one.
     """
     members = ngram_classes(docs, size, percent)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "at")).alias("_first")
-    chosen = members.filter("class is not null").groupBy("class").agg(first).select(F.col("_first.doc_id").alias("_id"), F.col("_first.at").alias("_at"))
-    empty = members.filter("class is null").select(F.col("doc_id").alias("_id"), F.col("at").alias("_at")).distinct()
-    chosen = chosen.withColumn("_one", F.lit(True)).union(empty.withColumn("_one", F.lit(False)))
-    rows = docs.withColumn("_of", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_at"))
-    joined = rows.join(chosen, same)
-    single = joined.filter("_one").dropDuplicates(["doc_id", "_of"])
-    return single.select(*docs.columns).union(joined.filter("not _one").select(*docs.columns))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "at")).alias("first")
+    chosen = members.filter("class is not null").groupBy("class").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.at").alias("at"))
+    empty = members.filter("class is null").select(F.col("doc_id").alias("id"), "at").distinct()
+    chosen = chosen.withColumn("one", F.lit(True)).union(empty.withColumn("one", F.lit(False))).alias("c")
+    # The user's columns travel in one struct, so that no name used here meets one of theirs.
+    rows = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.id")) & (F.col("d.of") == F.col("c.at"))
+    joined = rows.alias("d").join(chosen, same).select("d.doc_id", "d.of", "d.row", "c.one")
+    single = joined.filter("one").dropDuplicates(["doc_id", "of"])
+    return single.select("row").union(joined.filter("not one").select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clinspark.llm.common import checkpointed, free_name, may_be_among
+from clinspark.llm.common import checkpointed, may_be_among
 
 THRESHOLD = 2  # edits between near copies
 SHORTEST = 20  # characters of the shortest line that is compared; shorter lines are always kept
@@ -16,37 +16,46 @@ def line_key(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def segment_bounds(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
-    """0-based start and end of the i-th of `parts` even segments of a text of that length."""
-    return F.floor(length * i / parts).cast("int"), F.floor(length * (i + 1) / parts).cast("int")
+def length_class(length: Column, threshold: int) -> Column:
+    """Least length of the class of a length: classes are about an eighth as wide as their lengths, and no narrower than threshold + 1."""
+    least = max(2, (threshold + 1).bit_length())
+    width = F.call_function("shiftleft", F.lit(1), F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)))).cast("int") - 3, F.lit(least)))
+    return length - length % width
 
 
-def probes(text: Column, length: Column, threshold: int) -> Column:
-    """Substrings to look up for one line: array of (key, is_index).
+def places(threshold: int) -> list[tuple[int, bool, int]]:
+    """(segment, counted from the end, shift) of the substrings of a line that are looked up; those of shift 0 are index entries.
 
-    Its own segments, which are also looked up at their place by lines of the same length, are index entries. Against indexed lines
-    shorter by d = 0..threshold characters, segment i is looked up only at starts where the edits before and behind it can still
-    add up to no more than the threshold. A key is a hash of the indexed length, the segment's number and the substring.
+    A line of a class has threshold + 1 segments, a (threshold + 1)-th of the least length of the class each; the first half of them lie side by
+    side from its start, the others from its end. Of two lines within the threshold, some segment i of the shorter one is untouched
+    with at most i edits before it and at most threshold - i behind it, so it lies in the other line at most min(i, threshold - i)
+    characters off, counted from the nearer end.
     """
-    parts = threshold + 1
-    places = []
-    for d in range(threshold + 1):
-        for i in range(parts):
-            first = max(-i, d - (threshold - i))
-            last = min(i, d + (threshold - i))
-            places += [F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in range(first, last + 1)]
+    found = []
+    for i in range(threshold + 1):
+        reach = min(i, threshold - i)
+        found += [(i, i > threshold - i, shift) for shift in range(-reach, reach + 1)]
+    return sorted(found, key=lambda p: (p[2] != 0, p))
 
-    def looked_up(line):
-        def probe(p):
-            size = line["n"] - p["d"]
-            low, high = segment_bounds(size, p["i"], parts)
-            key = F.xxhash64(size, p["i"], F.substring(line["text"], low + p["shift"] + 1, high - low))
-            return F.struct(key.alias("key"), ((p["d"] == 0) & (p["shift"] == 0)).alias("is_index"))
 
-        return F.transform(F.array(*places), probe)
+def probes(line: Column, length: Column, threshold: int) -> Column:
+    """Hash keys of a line, those of its threshold + 1 index entries first.
 
-    # The line is bound once; a loop over the places keeps the generated code small.
-    return F.get(F.transform(F.array(F.struct(text.alias("text"), length.alias("n"))), looked_up), 0)
+    A key is a hash of the class, the segment's number and the substring. A line is indexed in its own class and looked up there; if shorter
+    lines within the threshold may belong to the class below, it is looked up there too.
+    """
+    own = length_class(length, threshold)
+    lower = length_class(F.greatest(length - threshold, F.lit(0)), threshold)
+
+    def keys(least):
+        size = F.floor(least / (threshold + 1)).cast("int")
+        made = []
+        for i, from_end, shift in places(threshold):
+            start = (length - size * (threshold + 1 - i) if from_end else size * i) + shift
+            made.append(F.xxhash64(least, F.lit(i), F.substring(line, start + 1, size)))
+        return F.array(*made)
+
+    return F.concat(keys(own), F.when(lower < own, keys(lower)).otherwise(F.array().cast("array<bigint>")))
 
 
 def within_edits(a: Column, b: Column, threshold: int) -> Column:
@@ -85,63 +94,77 @@ def within_edits(a: Column, b: Column, threshold: int) -> Column:
     return F.when(~near, F.lit(False)).when(F.size(b) == 0, F.size(a) <= threshold).otherwise(reached)
 
 
-LETTERS = "eanito "
+# Characters that are counted, seven to a number.
+LETTERS = ("eanito ", "srlhdcu", "0123456", "789mpgf")
 
 
-def letters(text: Column) -> Column:
-    """Counts of some letters in one number, a byte each; a cheap bound on the edits between two lines."""
-    packed = F.lit(0).cast("bigint")
-    for k, letter in enumerate(LETTERS):
-        n = F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
-        packed = packed + F.call_function("shiftleft", F.pmod(n, F.lit(64)).cast("bigint"), F.lit(8 * k))
-    return packed
+def letters(text: Column) -> list[Column]:
+    """Counts of some characters, seven to a number, a byte each; a cheap bound on the edits between two lines."""
+    made = []
+    for group in LETTERS:
+        packed = F.lit(0).cast("bigint")
+        for k, letter in enumerate(group):
+            n = F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
+            packed = packed + F.call_function("shiftleft", F.pmod(n, F.lit(64)).cast("bigint"), F.lit(8 * k))
+        made.append(packed)
+    return made
 
 
 def letters_apart(x: Column, y: Column) -> Column:
-    """Lower bound of twice the edits between lines with these class counts (counts are kept modulo 64)."""
+    """Lower bound of twice the edits between lines with these counts of one group (counts are kept modulo 64)."""
     total = F.lit(0).cast("bigint")
-    for k in range(len(LETTERS)):
+    for k in range(7):
         d = F.call_function("shiftright", x, F.lit(8 * k)).bitwiseAND(F.lit(63)) - F.call_function("shiftright", y, F.lit(8 * k)).bitwiseAND(F.lit(63))
         total = total + F.least(F.pmod(d, F.lit(64)), F.pmod(-d, F.lit(64)))
     return total
 
 
-def near_copies(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Lines (hash, line), repeated as they stand, and the first place of each hash -> hashes of lines with a near copy at an earlier place.
+def distinct_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(hash, line, place), lines repeated as they stand -> (node, hash, place, keys), one row per line with its first place, written.
+
+    Texts are read once and stay where they are: only the keys move, combined per task.
+    """
+    keyed = lines.select("hash", "place", probes(F.col("line"), F.length("line"), threshold).alias("keys"))
+    grouped = keyed.groupBy("hash").agg(F.min("place").alias("place"), F.first("keys").alias("keys"))
+    return checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))  # short names, fixed by the checkpoint
+
 
-    Lines meet on equal substring keys. Only the keys move at first, one number each, combined per task; then the few lines
-    that share a key with a different line are looked up, letter counts cut their pairs before they are passed on, and the
-    remaining pairs are verified on whole lines. Lines of any length take part.
+def near_copies(lines: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Lines (hash, line), repeated as they stand, and their `distinct_lines` -> hashes of lines with a near copy at an earlier place.
+
+    Keys that a line shares with another, of which one is an index entry, are found first; then the text of only these lines is looked up.
+    A line is of interest if an earlier one with the same key may be near it by their character counts; those and their partners meet once
+    more with their texts. Each of these joins is a semi-join: it gives a line once, however many others share its key, and lines that
+    share a key are compared where they lie and never listed in pairs. Lines of any length take part.
     """
-    # 40 bits of the hash tell the lines of a key apart; fewer bits move less.
-    arrays = lines.select("hash", F.xxhash64("hash").bitwiseAND(F.lit((1 << 40) - 1)).alias("h"), probes(F.col("line"), F.length("line"), threshold).alias("probes"))
-    keyed = arrays.select("hash", "h", F.explode("probes").alias("probe")).select("hash", "h", "probe.key", "probe.is_index")
-    # A key is of interest if more than one line has it and one of them is indexed there.
-    shared = keyed.groupBy("key").agg(F.min("h").alias("_a"), F.max("h").alias("_b"), F.max(F.col("is_index").cast("int")).alias("_i"))
+    keyed = distinct.select("node", F.posexplode("keys").alias("at", "key")).select("node", "key", (F.col("at") <= threshold).alias("is_index"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.max(F.col("is_index").cast("int")).alias("_i"))
     shared = checkpointed(shared.filter("_a <> _b and _i = 1").select("key"))
-    few = may_be_among(keyed, F.col("key"), shared, F.col("key")).groupBy("key", "hash").agg(F.max("is_index").alias("is_index"))
-    met = checkpointed(few.join(shared, "key"))
-    wanted = met.select(F.xxhash64("hash").alias("_id")).distinct()
-    texts = may_be_among(lines, F.xxhash64("hash"), wanted, F.col("_id")).groupBy("hash", "line").agg(F.count(F.lit(1)).alias("_n"))
-    texts = checkpointed(texts.join(met.select("hash").distinct(), "hash", "left_semi").join(firsts, "hash").select("hash", "line", "place"))
-    placed = met.join(texts.select("hash", "place", letters(F.col("line")).alias("bag")), "hash")
-    x, y = placed.filter("is_index").alias("x"), placed.alias("y")
-    pairs = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.hash") != F.col("y.hash"))
-        & (~F.col("y.is_index") | (F.col("x.place") < F.col("y.place")))
-        & (letters_apart(F.col("x.bag"), F.col("y.bag")) <= 2 * threshold),
-    )
-    first = F.col("x.place") < F.col("y.place")
-    ordered = [F.when(first, F.col(f"{u}.hash")).otherwise(F.col(f"{v}.hash")).alias(n) for u, v, n in (("x", "y", "a"), ("y", "x", "b"))]
-    pairs = checkpointed(pairs.select(*ordered).distinct())
-    left = texts.select(F.col("hash").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("hash").alias("b"), F.col("line").alias("line_b"))
-    joined = pairs.join(left, "a").join(right, "b")
+    met = checkpointed(may_be_among(keyed, F.col("key"), shared, F.col("key")).join(shared, "key"))
+    wanted = checkpointed(distinct.select("node", "hash", "place").join(met.select("node").distinct(), "node", "left_semi"))
+    texts = may_be_among(lines.select("hash", "line"), F.xxhash64("hash"), wanted, F.xxhash64("hash")).groupBy("hash", "line").agg(F.count(F.lit(1)).alias("_n"))
+    texts = checkpointed(texts.join(wanted, "hash").select("node", "hash", "line", "place"))
+    counts = [c.alias(f"bag{k}") for k, c in enumerate(letters(F.col("line")))]
+    placed = checkpointed(met.join(texts.select("node", "place", *counts), "node"))
+
+    def earlier_partner(a: str, b: str) -> Column:
+        """Whether the row `a` stands earlier than `b`, one of them is indexed, and their counts allow the threshold."""
+        apart = F.lit(0).cast("bigint")
+        condition = (F.col(f"{a}.key") == F.col(f"{b}.key")) & (F.col(f"{a}.place") < F.col(f"{b}.place")) & (F.col(f"{a}.is_index") | F.col(f"{b}.is_index"))
+        for k in range(len(LETTERS)):
+            apart = apart + letters_apart(F.col(f"{a}.bag{k}"), F.col(f"{b}.bag{k}"))
+            condition = condition & (apart <= 2 * threshold)
+        return condition
+
+    later = checkpointed(placed.alias("b").join(placed.alias("a"), earlier_partner("a", "b"), "left_semi"))
+    partners = placed.alias("a").join(later.alias("b"), earlier_partner("a", "b"), "left_semi")
+    full = texts.select("node", "line")
+    later, partners = later.join(full, "node"), checkpointed(partners.join(full, "node"))
     # The arrays of characters are bound once for all steps of the comparison.
-    both = F.array(F.struct(F.split("line_a", "").alias("x"), F.split("line_b", "").alias("y")))
+    both = F.array(F.struct(F.split("a.line", "").alias("x"), F.split("b.line", "").alias("y")))
     near = F.get(F.transform(both, lambda v: within_edits(v["x"], v["y"], threshold)), 0)
-    return joined.filter(near).select(F.col("b").alias("hash")).distinct()
+    found = later.alias("b").join(partners.alias("a"), earlier_partner("a", "b") & near, "left_semi").select("node").distinct()
+    return texts.join(found, "node", "left_semi").select("hash")
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -158,39 +181,38 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHO
     """
     made = ["n_lines", "n_removed"]
     kept_columns = [c for c in docs.columns if c.lower() not in made]
-    docs = docs.select(*kept_columns)
+    # The user's columns travel in one struct, so that no name used here meets one of theirs.
     rank = F.coalesce(F.col(id_column).cast("decimal(20,0)"), F.lit("9223372036854775808").cast("decimal(20,0)"))
-    cut = F.split(F.coalesce(F.col(text_column), F.lit("")), "\n")
-    occurrences = docs.select(rank.alias("_rank"), F.posexplode(cut).alias("_at", "_line")).withColumn("line", line_key(F.col("_line")))
+    rows = docs.select(rank.alias("owner"), F.col(text_column).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row"))
+    cut = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    occurrences = rows.select("owner", F.posexplode(cut).alias("at", "raw")).withColumn("line", line_key(F.col("raw")))
     occurrences = occurrences.filter(F.length("line") >= shortest)
     lines_, hashes = (F.lit(n).cast("decimal(10,0)") for n in (_LINES, _HASHES))
-    inside = F.col("_at").cast("bigint") * _HASHES + F.xxhash64("line").bitwiseAND(F.lit(_HASHES - 1))
-    place = (F.col("_rank") * lines_ * hashes + inside).cast("decimal(38,0)")
-    occurrences = occurrences.withColumn("hash", F.unhex(F.md5("line")))
-    firsts = checkpointed(occurrences.select("hash", place.alias("place")).groupBy("hash").agg(F.min("place").alias("place")))
-    near = near_copies(occurrences.select("hash", "line"), firsts, threshold)
-    keeps = firsts.join(near, "hash", "left_anti").select("place")
+    inside = F.col("at").cast("bigint") * _HASHES + F.xxhash64("line").bitwiseAND(F.lit(_HASHES - 1))
+    place = (F.col("owner") * lines_ * hashes + inside).cast("decimal(38,0)")
+    occurrences = occurrences.select(F.unhex(F.md5("line")).alias("hash"), "line", place.alias("place"))
+    distinct = distinct_lines(occurrences, threshold)
+    near = near_copies(occurrences, distinct, threshold)
+    keeps = distinct.select("hash", "place").join(near, "hash", "left_anti").select("place")
     inside = F.pmod(F.col("place"), (lines_ * hashes).cast("decimal(20,0)"))
     owner = ((F.col("place") - inside) / (lines_ * hashes).cast("decimal(20,0)")).cast("decimal(20,0)")
-    keeps = keeps.select(owner.alias("_owner"), F.shiftright(inside.cast("bigint"), 16).alias("_at"))
+    keeps = keeps.select(owner.alias("owner"), F.shiftright(inside.cast("bigint"), 16).alias("at"))
     # Kept lines of a document as a dense array of 64-bit words: bit n of the text's n-th line. A very long text has many words.
-    words = keeps.groupBy("_owner", F.expr("_at div 64").cast("int").alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 as int))")).alias("_bits")
+    words = keeps.groupBy("owner", F.expr("at div 64").cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")
     )
-    words = words.groupBy("_owner").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"), F.max("_word").alias("_last"))
-    dense = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda w: F.coalesce(F.element_at("_map", w), F.lit(0).cast("bigint")))
-    words = words.select("_owner", dense.alias("_kept"))
-    joined = docs.withColumn("_owner", rank).join(words, "_owner", "left")
+    words = words.groupBy("owner").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("map"), F.max("word").alias("last"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.element_at("map", w), F.lit(0).cast("bigint")))
+    joined = rows.join(words.select("owner", dense.alias("kept")), "owner", "left")
 
     def stays(line, at):
-        word = F.coalesce(F.get(F.col("_kept"), F.floor(at / 64).cast("int")), F.lit(0).cast("bigint"))
+        word = F.coalesce(F.get(F.col("kept"), F.floor(at / 64).cast("int")), F.lit(0).cast("bigint"))
         return (F.length(line_key(line)) < shortest) | (F.call_function("getbit", word, (at % 64).cast("int")) == 1)
 
-    lines = free_name(joined, "_lines")
-    result = joined.withColumn(lines, F.filter(cut, stays))
-    text = F.when(F.col(text_column).isNotNull(), F.array_join(lines, "\n"))
-    n = F.when(F.coalesce(F.length(text_column), F.lit(0)) > 0, F.size(cut)).otherwise(F.lit(0))
+    result = joined.withColumn("stay", F.filter(cut, stays))
+    text = F.when(F.col("text").isNotNull(), F.array_join("stay", "\n"))
+    n = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, F.size(cut)).otherwise(F.lit(0))
     return result.select(
-        *[text.alias(c) if c == text_column else F.col(c) for c in kept_columns],
-        n.cast("bigint").alias("n_lines"), F.greatest(n - F.size(lines), F.lit(0)).cast("bigint").alias("n_removed"),
+        *[text.alias(c) if c == text_column else F.col(f"row.`{c}`") for c in kept_columns],
+        n.cast("bigint").alias("n_lines"), F.greatest(n - F.size("stay"), F.lit(0)).cast("bigint").alias("n_removed"),
     )

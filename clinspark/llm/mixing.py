@@ -1,109 +1,175 @@
 """Mixing sources to target weights with a low-discrepancy schedule of equal-sized blocks."""
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clinspark.llm.common import WORD_REGEX, checkpointed, word_count
+from clinspark.operators.groups import series_rank
 
-# Slots of the schedule. It gives the order of the blocks only; how many words a source gives is its target, whatever its size.
-SLOTS = 1 << 18
+# Words of a block; a slot of the schedule takes one block of a source.
+BLOCK_WORDS = 1024
 # Hash buckets in which the documents of one source are put into their shuffled order.
 BUCKETS = 4096
-# Fractional part of the golden ratio; multiples of it modulo 1 fill the unit interval evenly.
-GOLDEN = 0.6180339887498949
+# Sources, and slots, of one step of a running sum or of one row of work.
+STEP = 4096
+CHUNK = 1 << 16
+
+
+def running_before(df: DataFrame, at: str, value: str, name: str) -> DataFrame:
+    """Sum of `value` over the rows with a smaller `at` (dense numbers from 0): by steps first, whose sums are few, then inside a step."""
+    rows = df.withColumn("_step", F.expr(f"{at} div {STEP}"))
+    ahead = Window.orderBy("_at_step").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(F.col("_step").alias("_at_step")).agg(F.sum(value).alias("_sum"))
+    sums = sums.select("_at_step", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_step").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, F.col("_step") == F.col("_at_step"))
+    return joined.withColumn(name, F.col("_ahead") + F.col("_inside")).select(*df.columns, name)
 
 
 def source_targets(
     sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share_percent: int = 150, most_repeats: int = 2
 ) -> DataFrame:
-    """Target of each source: (source, source_size) -> (source, source_size, weight, target).
+    """Target of each source: (source, source_size) -> (source, source_size, n, weight, target).
 
-    Sources in code-point order (null last) get `weights` in turn and share `share_percent` of all words. A target stops
-    at `most_repeats` times the size of its source; what is over goes to the others by weight until none is above.
-    In order of size per weight the capped sources come first, so one running sum finds them. One row per source.
+    Sources in code-point order (null last), numbered from 0, get `weights` in turn and share `share_percent` of all words. A target stops
+    at `most_repeats` times the size of its source; what is over goes to the others by weight until none is above: the common level
+    of words per weight rises until the sources above it are the same as before, a round being one aggregate. Sources may be very many:
+    they are numbered in ranges, and only sums reach the driver.
     """
-    order = [F.col("source").isNull(), F.encode("source", "UTF-8")]
-    listed = sizes.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_n") % len(weights) + 1).cast("int"))
-    listed = listed.withColumn("weight", weight).withColumn("_most", (F.col("source_size") * most_repeats).cast("double"))
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("_most") / F.col("weight"), "_n").rowsBetween(Window.unboundedPreceding, -1)
-    listed = (
-        listed.withColumn("_all", F.sum("source_size").over(everything) * F.lit(share_percent) / F.lit(100.0))
-        .withColumn("_capped", F.coalesce(F.sum("_most").over(before), F.lit(0.0)))
-        .withColumn("_rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("_level", (F.col("_all") - F.col("_capped")) / F.col("_rest"))
-    )
-    # The first source that its own level leaves below its cap sets the level of all that follow.
-    fits = F.when(F.col("_level") * F.col("weight") <= F.col("_most"), F.col("_level"))
-    level = F.max(fits).over(everything)
-    target = F.least(F.col("_most"), F.coalesce(level * F.col("weight"), F.col("_most")))
-    return listed.select("source", "source_size", "weight", target.alias("target"))
+    named = sizes.select("source", F.col("source_size").cast("bigint").alias("source_size"), F.col("source").isNull().alias("_null"))
+    listed = series_rank(named, [], ["_null", "source"], "_n").withColumn("n", F.col("_n") - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("n") % len(weights) + 1).cast("int"))
+    listed = listed.select("source", "source_size", "n", weight.alias("weight"), (F.col("source_size") * most_repeats).cast("double").alias("_most"))
+    listed = checkpointed(listed)
+    first = listed.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    everything = (first["words"] or 0) * share_percent / 100.0
+    level, capped = everything / first["weight"] if first["weight"] else 0.0, -1
+    while True:
+        over = F.col("_most") < F.lit(level) * F.col("weight")
+        now = listed.agg(
+            F.count_if(over).alias("n"), F.sum(F.when(over, F.col("_most"))).alias("words"), F.sum(F.when(~over, F.col("weight"))).alias("weight")
+        ).first()
+        if now["n"] == capped or not now["weight"]:
+            level = math.inf if not now["weight"] else level
+            break
+        level, capped = (everything - (now["words"] or 0.0)) / now["weight"], now["n"]
+    target = F.least(F.col("_most"), F.lit(level) * F.col("weight")) if math.isfinite(level) else F.col("_most")
+    return listed.select("source", "source_size", "n", "weight", target.alias("target"))
+
+
+def reversed_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros_like(values)
+    for k in range(bits):
+        out |= ((values >> k) & 1) << (bits - 1 - k)
+    return out
+
+
+def ranks_in_range(slots: np.ndarray, points: np.ndarray, low: int, high: int, bits: int) -> np.ndarray:
+    """How many earlier slots fall into [low, high): points are the slots with their bits reversed.
+
+    The slots before i are, for each bit set in i, those that agree with i above that bit and have it unset: their points are one residue
+    class, which is counted in closed form.
+    """
+    total = np.zeros_like(slots)
+    for t in range(bits):
+        step = np.int64(1) << (bits - t)
+        least = points & ((step >> 1) - 1)
+        count = (high - 1 - least) // step - (low - 1 - least) // step
+        total += np.where((slots >> t) & 1 == 1, count, 0)
+    return total
+
+
+def schedule(needs: DataFrame) -> DataFrame:
+    """(n, low, need) -> (n, rank, slot): which slot takes the block `rank` of the source n.
+
+    `need` are the blocks of a source and `low` those of all sources before it. Slot i stands at the i-th van der Corput point, i with its
+    bits reversed, of the first 2^m, the smallest power of two that is no less than the number of all blocks. The points are mapped through
+    the cumulative needs; a source's slots, in their order, take its blocks, and slots beyond its last block stay empty. As there are at
+    least as many points as blocks, each source has a slot for every block, and at every slot it is about as far as its share. Every
+    source finds its slots and their ranks by itself, in pieces, so none is collected and no slot is held against every source.
+    """
+    total = needs.agg(F.sum("need")).first()[0] or 0
+    bits = max(0, int(total - 1).bit_length()) if total else 0
+    points = 1 << bits
 
+    def pieces(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for n, low, need in zip(*(batch.column(c).to_pylist() for c in ("n", "low", "need"))):
+                first, last = -(-low * points // total), -(-(low + need) * points // total)
+                starts = np.arange(first, last, CHUNK, dtype=np.int64)
+                same = [pa.array(np.full(len(starts), v, np.int64)) for v in (n, need, first, last)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(starts)], names=["n", "need", "first", "last", "start"])
 
-def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Slots of the mix: (slot, source, rank), `rank` numbering the slots of a source from 0.
+    def slots(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for n, need, first, last, start in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                at = np.arange(start, min(start + CHUNK, last), dtype=np.int64)
+                slot = reversed_bits(at, bits)
+                rank = ranks_in_range(slot, at, first, last, bits)
+                keep = rank < need
+                out = [np.full(int(keep.sum()), n, np.int64), rank[keep], slot[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], names=["n", "rank", "slot"])
 
-    Slot i takes the golden-ratio point frac((i + 1/2) * GOLDEN), which falls into one source's stretch of the cumulative
-    target weights. The number of slots does not depend on the data, so a block grows with it. A source whose stretch is so short that no point
-    falls into it gets one slot beside another source's, where its stretch begins, so every source with a target has a slot.
-    """
-    spark = targets.sparkSession
-    everything = Window.partitionBy()
-    order = [F.col("source").isNull(), F.encode("source", "UTF-8")]
-    upto = F.sum("target").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    stretch = targets.filter("target > 0").select("source", "target", upto.alias("_upto"), F.sum("target").over(everything).alias("_sum"))
-    # Each source lists the multiples of the golden ratio that fall into its stretch: slots meet sources by a hash of a
-    # thousandth of the interval, so no slot is held against every source.
-    cells = 1024
-    stretch = stretch.select(
-        "source", ((F.col("_upto") - F.col("target")) / F.col("_sum")).alias("_low"), (F.col("_upto") / F.col("_sum")).alias("_high")
-    )
-    last = F.lit(cells - 1)
-    stretch = stretch.withColumn(
-        "_cell",
-        F.explode(F.sequence(F.least(F.floor(F.col("_low") * cells).cast("int"), last), F.least(F.floor(F.col("_high") * cells).cast("int"), last))),
-    )
-    point = (F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)
-    points = spark.range(slots).withColumn("_point", point - F.floor(point))
-    points = points.withColumn("_cell", F.floor(F.col("_point") * cells).cast("int"))
-    # The last stretch also takes points that rounding leaves beyond its end.
-    inside = (F.col("_point") >= F.col("_low")) & ((F.col("_point") < F.col("_high")) | (F.col("_high") >= F.lit(1.0 - 1e-12)))
-    met = points.join(stretch, "_cell").filter(inside).select("id", "source")
-    starts = stretch.groupBy("source").agg(F.least(F.floor(F.min("_low") * slots), F.lit(slots - 1)).cast("bigint").alias("id"))
-    found = met.select("source").distinct()
-    missed = starts.alias("s").join(found.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left_anti").select("id", "source")
-    met = met.unionByName(missed)
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1
-    return met.select(F.col("id").alias("slot"), "source", rank.cast("bigint").alias("rank"))
+    used = needs.filter("need > 0").select("n", "low", "need")
+    cut = used.mapInArrow(pieces, "n bigint, need bigint, first bigint, last bigint, start bigint")
+    return cut.repartition("n", "start").mapInArrow(slots, "n bigint, rank bigint, slot bigint")
 
 
-def mix_key(seed: int = 7) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+def mix_key(doc_id: Column, text: Column, seed: int = 7) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id, text)
 
 
-def shuffled(docs: DataFrame, size: Column, seed: int = 7) -> DataFrame:
-    """Documents of each source in a repeatable random order, as the words [_from, _to) of the source's stream.
+def stream_ranges(rows: DataFrame) -> DataFrame:
+    """(source, bucket, key, doc_id, size) -> the same with `begin`, the words of the source that come before.
 
     Order is by hash of doc_id and text. Word counts are summed by (source, hash bucket), the sums of the buckets are
     accumulated, and rows are ordered inside buckets only, so a source with a third of all rows is spread over BUCKETS groups.
     """
-    rows = docs.select("doc_id", "source", size.alias("size"), mix_key(seed).alias("_key"))
-    return rows.withColumn("_bucket", F.pmod(F.shiftright("_key", 40), F.lit(BUCKETS)).cast("int"))
-
-
-def stream_ranges(rows: DataFrame) -> DataFrame:
-    """(source, _bucket, _key, doc_id, size) -> the same with _from, the words of the source that come before."""
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "_bucket", F.coalesce(F.sum("_words").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("_words"))
+    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source", "bucket", F.coalesce(F.sum("_words").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "nth").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = numbered.alias("a").join(
-        sums.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._bucket") == F.col("b._bucket"))
+        sums.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket"))
     )
-    return joined.select("a.*", (F.col("_within") + F.col("_ahead")).alias("_from"))
+    return joined.select("a.*", (F.col("_within") + F.col("_ahead")).cast("bigint").alias("begin")).drop("_within")
+
+
+def _same_rows() -> Column:
+    """Numbers rows of one doc_id and text, which are alike."""
+    return F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(0)))
+
+
+def _planned(docs, weights, share_percent, most_repeats, block_words, text_column) -> tuple[DataFrame, DataFrame]:
+    """Rows with their place in the stream of their source, and the copies that the schedule takes of them."""
+    text = F.col(text_column)
+    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), mix_key(F.col("doc_id"), text).alias("key"))
+    rows = rows.withColumns({"bucket": F.pmod(F.shiftright("key", 40), F.lit(BUCKETS)).cast("int"), "nth": _same_rows()})
+    rows = checkpointed(rows)  # narrow; texts are read once
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_percent, most_repeats)
+    words = F.greatest(F.round("target").cast("bigint"), (F.col("target") > 0).cast("bigint"))
+    words = F.least(words, F.col("source_size") * most_repeats)
+    targets = targets.withColumn("words", words).withColumn("need", F.expr(f"(words + {block_words - 1}) div {block_words}"))
+    needs = checkpointed(running_before(targets, "n", "need", "low"))
+    timetable = checkpointed(schedule(needs))
+    plan = needs.select(F.col("source").alias("_source"), "n", "source_size", "target", "words")
+    placed = stream_ranges(rows).join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    placed = checkpointed(placed)
+    # The source's stream starts over at its end; a document has a stretch of words in every pass that reaches it.
+    passes = F.expr("sequence(0L, (words - 1) div source_size)")
+    turns = placed.filter("size > 0 and words > 0").withColumn("turn", F.explode(passes))
+    begin = F.col("turn") * F.col("source_size") + F.col("begin")
+    turns = turns.withColumn("first", begin).withColumn("last", F.least(begin + F.col("size"), F.col("words"))).filter("last > first")
+    blocks = turns.withColumn("rank", F.explode(F.expr(f"sequence(first div {block_words}, (last - 1) div {block_words})")))
+    part = F.least(F.col("last"), (F.col("rank") + 1) * block_words) - F.greatest(F.col("first"), F.col("rank") * block_words)
+    met = blocks.withColumn("part", part).join(timetable, ["n", "rank"])
+    copies = met.groupBy("doc_id", "key", "nth", "size", "turn").agg(F.sum("part").alias("words"), F.min(F.struct("rank", "slot")).alias("_first"))
+    return placed, copies.select("doc_id", "key", "nth", "size", "turn", "words", F.col("_first.slot").alias("slot"))
 
 
 def mix(
@@ -111,68 +177,51 @@ def mix(
     weights: Sequence[float] = (5, 2, 1),
     share_percent: int = 150,
     most_repeats: int = 2,
-    slots: int = SLOTS,
+    block_words: int = BLOCK_WORDS,
     text_column: str = "text",
 ) -> DataFrame:
-    """How many words of each document the mix takes.
+    """How many words of each document the mix takes: doc_id, size, source_size, target, taken, copies and slot.
 
-    Returns doc_id, size, source_size, target, taken, passes, first_words and slot: a source gives its target, rounded to whole words (at
-    least one if it has any), from its stream of shuffled documents, starting over at the end of the stream. So a document is taken
-    `passes` times as a whole and once more for its first `first_words` words (0: not once more), which is `taken` words together.
-    The slots give the order only: a source's words are dealt evenly to its slots, and `slot` is where the document is first taken, null
-    where it isn't.
+    The documents of a source, in a shuffled order that repeats, are one stream of words, cut into blocks of `block_words`; it starts over at
+    its end. The slots of the schedule take the blocks, the last one up to the source's target, rounded to whole words (at least one if it
+    has any). `taken` are the words of the document in the taken blocks, `copies` the passes that have some of them, and `slot` the
+    first slot that takes some (null where none does).
 
     Null or empty texts have size 0 and are taken 0 words; a null source is a source of its own; repeated rows count
     each; an empty table gives no rows. Extra columns are not read. Every order is total up to rows that are alike, so reruns
     agree. The cut may end inside a document.
     """
-    source = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.col(text_column).alias("text"))
-    rows = checkpointed(shuffled(source, word_count(F.col("text"))))  # narrow; texts are read once
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share_percent, most_repeats)
-    words = F.greatest(F.round("target").cast("bigint"), (F.col("target") > 0).cast("bigint"))
-    timetable = checkpointed(schedule(targets, slots))  # about `slots` rows
-    counts = timetable.groupBy("source").agg(F.count(F.lit(1)).alias("_slots"))
-    plan = (
-        targets.alias("t").join(counts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
-        .select(
-            F.col("t.source").alias("_source"), "source_size", "target",
-            F.least(words, F.col("source_size") * most_repeats).alias("_words"), F.coalesce("_slots", F.lit(1)).alias("_slots"),
-        )
-    )
-    placed = stream_ranges(rows)
-    joined = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    passes = F.when(F.col("source_size") > 0, F.expr("_words div source_size")).otherwise(F.lit(0)).cast("bigint")
-    over = F.when(F.col("source_size") > 0, F.col("_words") % F.col("source_size")).otherwise(F.lit(0))
-    first = F.least(F.greatest(over - F.col("_from"), F.lit(0)), F.col("size")).cast("bigint")
-    taken = (passes * F.col("size") + first).cast("bigint")
-    # Documents that aren't taken meet any slot of their source, so that they don't all meet the same one.
-    dealt = F.least(F.floor(F.col("_from") * F.col("_slots").cast("double") / F.col("_words")), F.col("_slots") - 1)
-    rank = F.when(taken > 0, dealt).otherwise(F.pmod("_key", "_slots")).cast("bigint")
-    counted = joined.select(
-        "doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target",
-        taken.alias("taken"), passes.alias("passes"), first.alias("first_words"), "_key", rank.alias("_rank"),
-    )
-    met = counted.alias("a").join(timetable.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._rank") == F.col("b.rank")), "left")
-    return met.select("a.*", F.when(F.col("a.taken") > 0, F.col("b.slot")).alias("slot")).drop("_rank")
-
-
-def mixed_documents(docs: DataFrame, length_column: str | None = "n_chars", **options) -> DataFrame:
-    """The mix itself: the rows of `docs` as often as the mix takes them, its columns unchanged but for cut texts.
-
-    A document taken several times gives several rows. Where the words of a source end inside a document, that copy's text is
-    its first words joined by single blanks, and `length_column` holds the new length. Documents without words aren't in the mix.
+    placed, copies = _planned(docs, weights, share_percent, most_repeats, block_words, text_column)
+    taken = copies.groupBy(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "key", "nth")]).agg(
+        F.sum("words").alias("taken"), F.count(F.lit(1)).alias("copies"), F.min("slot").alias("slot")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key")) & (F.col("nth") == F.col("_nth"))
+    zero = F.lit(0).cast("bigint")
+    return placed.join(taken, same, "left").select(
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("copies", zero).alias("copies"), "slot"
+    )
+
+
+def mixed_documents(docs: DataFrame, length_column: str | None = "n_chars", text_column: str = "text", **options) -> DataFrame:
+    """The mix itself, in the order of its slots: the rows of `docs` as often as the mix takes them, unchanged but for cut texts.
+
+    A document taken in several passes gives several rows. Where the words of a source end inside a document, that copy's text is
+    its first words joined by single blanks, and `length_column`, if there is such a column, holds the new length. Documents without words
+    aren't in the mix. Columns of any name pass through; edge cases as in `mix`.
     """
-    plan = mix(docs, **options).filter("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("_key").alias("_at"), "size", "passes", "first_words"
-    ).distinct()
-    rows = docs.withColumn("_of", mix_key())
-    joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_at")))
-    extra = (F.col("first_words") > 0).cast("int")
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("passes") + extra)))
-    cut = (F.col("_copy") > F.col("passes")) & (F.col("first_words") < F.col("size"))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD_REGEX), F.lit(0)), F.lit(1), F.col("first_words").cast("int")), " ")
-    copies = copies.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
-    if length_column is not None:
-        copies = copies.withColumn(length_column, F.length("text").cast("bigint"))
-    return copies.select(*docs.columns)
+    options = {"weights": (5, 2, 1), "share_percent": 150, "most_repeats": 2, "block_words": BLOCK_WORDS, **options}
+    _, copies = _planned(docs, text_column=text_column, **options)
+    text = F.col(text_column)
+    rows = docs.select(F.col("doc_id"), mix_key(F.col("doc_id"), text).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("nth", _same_rows()).alias("a")
+    plan = copies.alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.nth") == F.col("b.nth"))
+    joined = rows.join(plan, same).select("row", "slot", "turn", "words", "size", F.col("a.key").alias("key"), F.col("a.nth").alias("nth"))
+    joined = joined.orderBy("slot", "turn", "key", "nth")
+    whole = F.col(f"row.`{text_column}`")
+    first = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD_REGEX), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    kept = F.when(F.col("words") < F.col("size"), first).otherwise(whole)
+    made = {text_column: kept}
+    if length_column in docs.columns:
+        made[length_column] = F.length(kept).cast("bigint")
+    return joined.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

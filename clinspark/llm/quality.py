@@ -1,5 +1,6 @@
 """Quality classifier: similarity-weighted votes of the nearest labelled documents in a latent-semantic space."""
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,25 +120,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_L
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            rows = [c.tobytes() for c in _counted(batch, 2)]
+            rows = [zlib.compress(c.tobytes(), 1) for c in _counted(batch, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "counts"])
 
-    # After the ordered limit all rows are in one partition; they are counted on several.
+    # After the ordered limit all rows are in one partition; they are counted on several. Counts are mostly zeros and travel packed.
     rows = texts.repartition(16, "doc_id").mapInArrow(count, "doc_id bigint, label int, counts binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["counts"]))
     width = 2 * TERMS + 2
-    counts = np.array([np.frombuffer(r["counts"], np.float32) for r in rows], np.float32).reshape(len(rows), width)
     model = Model(np.ones(2 * TERMS, np.float32), np.zeros((width, RANK), np.float32), np.zeros((0, RANK), np.float32), np.zeros(0))
     if not len(rows):
         return model
-    model.weights = np.log((len(rows) + 1.0) / ((counts[:, : 2 * TERMS] > 0).sum(axis=0) + 1.0)).astype(np.float32) + np.float32(0.1)
-    x = model.weighted(counts)
+
+    def blocks() -> Iterator[tuple[int, np.ndarray]]:
+        """Counts of some rows at a time: the driver holds the packed rows and one weighted matrix, and no copies of it."""
+        for at in range(0, len(rows), BLOCK):
+            part = [np.frombuffer(zlib.decompress(r["counts"]), np.float32) for r in rows[at : at + BLOCK]]
+            yield at, np.array(part)
+
+    having = np.zeros(2 * TERMS)
+    for _, part in blocks():
+        having += (part[:, : 2 * TERMS] > 0).sum(axis=0)
+    model.weights = np.log((len(rows) + 1.0) / (having + 1.0)).astype(np.float32) + np.float32(0.1)
+    x = np.empty((len(rows), width), np.float32)
+    for at, part in blocks():
+        x[at : at + len(part)] = model.weighted(part)
     basis = np.random.Generator(np.random.PCG64(1)).standard_normal((width, min(RANK + 8, width))).astype(np.float32)
     for _ in range(4):
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
     _, _, rows_of_v = np.linalg.svd(x @ basis, full_matrices=False)
     model.projection = (basis @ rows_of_v.T[:, :RANK]).astype(np.float32)
-    model.vectors = model.latent(counts).astype(np.float32)
+    model.vectors = _unit(x @ model.projection).astype(np.float32)
     model.labels = np.array([r["label"] for r in rows], np.float64)
     return model
 

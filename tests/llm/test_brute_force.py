@@ -5,6 +5,7 @@ import bisect
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -69,9 +70,10 @@ def test_banded_edit_distance(spark, threshold):
     assert df.filter(lines.within_edits(F.col("a"), F.col("b"), threshold) != F.col("want")).count() == 0
 
 
-def near_places(spark, texts):
+def near_places(spark, texts, threshold=2):
     df = spark.createDataFrame(list(enumerate(texts)), "place long, line string").withColumn("hash", F.unhex(F.md5("line")))
-    near = lines.near_copies(df.select("hash", "line").union(df.select("hash", "line")), df.select("hash", "place"), 2)
+    twice = df.unionByName(df.withColumn("place", F.col("place") + 1_000_000))
+    near = lines.near_copies(twice, lines.distinct_lines(twice, threshold), threshold)
     return {r["place"] for r in df.join(near, "hash").collect()}
 
 
@@ -86,6 +88,46 @@ def test_near_lines(spark):
     assert got == want and len(want) > 20
 
 
+@pytest.mark.parametrize("threshold", [0, 1, 2, 3])
+def test_near_lines_of_every_length(spark, threshold):
+    """Lengths on both sides of the classes' bounds, edits at any place, against all pairs; equal letters in many lines."""
+    rng = random.Random(40 + threshold)
+    base = ["".join(rng.choice("ab c") for _ in range(n)) for n in [*range(1, 72, 3), 31, 32, 33, 63, 64, 65, 66, 127, 128, 129]]
+    texts = list(dict.fromkeys(v for b in base for v in [b, *[changed(rng, b, "abc", threshold + 1) for _ in range(5)]] if v))
+    rng.shuffle(texts)
+    want = {max(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if abs(len(a) - len(b)) <= threshold and edits(a, b) <= threshold}
+    assert near_places(spark, texts, threshold) == want
+
+
+def test_templates(spark):
+    """Hundreds of lines of one template: those with two other digits at most go, all others stay."""
+    rng = random.Random(8)
+    numbers = rng.sample(range(10**6), 300)
+    texts = [f"Invoice number {n:06d} has been paid in full by the customer." for n in numbers]
+    want = {j for j, b in enumerate(texts) if any(edits(f"{numbers[i]:06d}", f"{numbers[j]:06d}") <= 2 for i in range(j))}
+    assert near_places(spark, texts) == want and 0 < len(want) < 150
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "the same line of some length\nanother one that is long enough", "o", "k", 1, "r", "p", 7), (2, "the same line of some length\nx", "O", "K", 2, "R", "P", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _owner string, _kept string, owner int, row string, place string, N_LINES int")
+    got = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
+    assert lines.dedup_lines(df).columns == ["doc_id", "text", "_owner", "_kept", "owner", "row", "place", "n_lines", "n_removed"]
+    assert tuple(got[1])[2:7] == ("o", "k", 1, "r", "p") and tuple(got[2])[1:7] == ("x", "O", "K", 2, "R", "P")
+    assert (got[1]["n_lines"], got[1]["n_removed"], got[2]["n_lines"], got[2]["n_removed"]) == (2, 0, 2, 1)
+
+
+def test_filter_tables_grow_and_end(spark):
+    from clinspark.llm import common
+
+    assert common.filter_words(0) == 1024 and common.filter_words(10**6) * 64 >= 16 * 10**6 and common.filter_words(10**9) == 0
+    df = spark.range(10_000).select("id")
+    for n in (0, 1, 500):
+        wanted = spark.range(n).select((F.col("id") * 20).alias("w"))
+        passed = {r["id"] for r in common.may_be_among(df, F.col("id"), wanted, F.col("w")).collect()}
+        assert {k * 20 for k in range(n)} <= passed and len(passed) <= n + 100
+
+
 def test_line_dedup(spark, sf_dir, texts):
     first = {}
     for i in sorted(texts):
@@ -288,29 +330,92 @@ def test_mixing(spark, sf_dir, texts):
     assert words == +collections.Counter({r["doc_id"]: r["taken"] for r in rows})
 
 
-def test_mixing_of_a_tiny_source(spark):
-    """A source of one document beside one of a million times its share meets its target as exactly, and has a place in the order."""
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 1234, "tiny").otherwise("huge").alias("source"), F.when(F.col("id") == 1234, "a b c").otherwise(F.repeat(F.lit("w "), 2000)).alias("text"))
-    for slots in (64, 1000):
-        rows = mixing.mix(docs, slots=slots).select("doc_id", "source", "target", "taken", "slot").collect()
-        taken, target = collections.Counter(), {}
-        for r in rows:
-            taken[r["source"]] += r["taken"]
-            target[r["source"]] = r["target"]
-        assert target["tiny"] == 6 == taken["tiny"] and abs(taken["huge"] - target["huge"]) <= 1
-        assert len(rows) == 4000 and all((r["slot"] is not None) == (r["taken"] > 0) and 0 <= (r["slot"] or 0) < slots for r in rows)
-        # The huge source is passed 1.5 times; its first pass fills two thirds of its slots.
-        assert len({r["slot"] for r in rows if r["taken"] > 0}) >= 0.65 * slots
+def plain_mix(docs, block):
+    """Words of each document by a walk over the slots: docs are (doc_id, source, size) in the order of their source's stream."""
+    sources = sorted({s for _, s, _ in docs}, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(n for _, t, n in docs if t == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    everything, free = 1.5 * sum(size.values()), set(sources)
+    while True:
+        level = (everything - sum(2 * size[s] for s in sources if s not in free)) / max(1, sum(weight[s] for s in free))
+        over = {s for s in free if level * weight[s] > 2 * size[s]}
+        if not over or not free:
+            break
+        free -= over
+    target = {s: 2.0 * size[s] if s not in free else level * weight[s] for s in sources}
+    words = {s: min(max(math.floor(target[s] + 0.5), int(target[s] > 0)), 2 * size[s]) for s in sources}
+    needs = [(s, -(-words[s] // block)) for s in sources]
+    total = sum(n for _, n in needs)
+    bits = max(0, (total - 1).bit_length()) if total else 0
+    taken, slot_of, done = collections.Counter(), {}, collections.Counter()
+    stream = {s: [k for k, (_, t, n) in enumerate(docs) if t == s for _ in range(n)] for s in sources}
+    for slot in range(1 << bits if total else 0):
+        point = int(format(slot, f"0{bits}b")[::-1], 2) if bits else 0
+        at = point * total >> bits
+        for s, n in needs:
+            if at < n:
+                break
+            at -= n
+        if done[s] == dict(needs)[s]:
+            continue
+        for w in range(done[s] * block, min((done[s] + 1) * block, words[s])):
+            k = stream[s][w % size[s]]
+            taken[k] += 1
+            slot_of.setdefault(k, slot)
+        done[s] += 1
+    return target, taken, slot_of
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_mixing_slot_by_slot(spark, documents, block):
+    """Every document's words and first slot against a walk over the slots, with tiny, empty, null and hot sources and repeated rows."""
+    rng = random.Random(block)
+    names = ["hot"] * 40 + ["b", "b", None, "tiny", "é", "z"] * 4
+    texts = [(k, " ".join(["w"] * rng.choice([0, 1, 5, 30, 90]))) for k in range(len(names))]
+    texts += [(500, "same text twice"), (500, "same text twice"), (501, "one"), (502, "")]
+    names += ["twice", "twice", "single", "empty"]
+    schema = "doc_id long, text string, source string, n_chars long, size string, passes int, _key string, slot int, key int, nth int, row string"
+    df = spark.createDataFrame([(i, t, s, len(t), "s", 1, "k", 2, 3, 4, "r") for (i, t), s in zip(texts, names)], schema)
+    order = {(r["doc_id"], r["text"]): (r["b"], r["k"]) for r in df.select("doc_id", "text", mixing.mix_key(F.col("doc_id"), F.col("text")).alias("k")).withColumn("b", F.pmod(F.shiftright("k", 40), F.lit(mixing.BUCKETS))).collect()}
+    docs = sorted(((i, s, len(t.split())) for (i, t), s in zip(texts, names)), key=lambda d: order[d[0], dict(texts)[d[0]]])
+    target, taken, slot_of = plain_mix(docs, block)
+    want = sorted((d[0], d[2], pytest.approx(target[d[1]]), taken[k], slot_of.get(k)) for k, d in enumerate(docs))
+    rows = mixing.mix(df.repartition(3), block_words=block).collect()
+    got = sorted(((r["doc_id"], r["size"], r["target"], r["taken"], r["slot"]) for r in rows), key=lambda r: (r[0], r[3], r[4] or 0))
+    assert got == sorted(want, key=lambda r: (r[0], r[3], r[4] or 0))
+    mixed = mixing.mixed_documents(df, block_words=block)
+    assert mixed.columns == df.columns
+    words = collections.Counter()
+    firsts = []
+    for r in mixed.collect():
+        words[r["doc_id"]] += len(r["text"].split())
+        assert r["n_chars"] == len(r["text"]) and (r["size"], r["passes"], r["_key"], r["slot"], r["key"], r["nth"], r["row"]) == ("s", 1, "k", 2, 3, 4, "r")
+        firsts.append(r["doc_id"])
+    assert words == +collections.Counter({i: sum(taken[k] for k, d in enumerate(docs) if d[0] == i) for i in {d[0] for d in docs}})
+    by_slot = {d[0]: slot_of[k] for k, d in enumerate(docs) if k in slot_of and d[0] != 500}
+    seen = [i for n, i in enumerate(firsts) if i in by_slot and i not in firsts[:n]]
+    assert [by_slot[i] for i in seen] == sorted(by_slot[i] for i in seen)
 
 
 def test_schedule_is_even(spark):
-    targets = spark.createDataFrame([("a", 10, 1.0, 6.0), ("b", 10, 1.0, 3.0), (None, 10, 1.0, 1.0)], "source string, source_size long, weight double, target double")
-    slots = mixing.schedule(targets, 1000).collect()
-    assert sorted(r["slot"] for r in slots) == list(range(1000))
-    for n in (100, 400, 1000):
-        counts = collections.Counter(r["source"] for r in slots if r["slot"] < n)
-        assert all(abs(counts[s] - n * share) <= 5 for s, share in (("a", 0.6), ("b", 0.3), (None, 0.1)))
-    assert sorted(r["rank"] for r in slots if r["source"] == "b") == list(range(sum(r["source"] == "b" for r in slots)))
+    needs = [(0, 0, 600), (1, 600, 300), (2, 900, 99), (3, 999, 1), (4, 1000, 0)]
+    rows = mixing.schedule(spark.createDataFrame(needs, "n long, low long, need long")).collect()
+    assert sorted((r["n"], r["rank"]) for r in rows) == [(n, k) for n, _, need in needs for k in range(need)]
+    assert len({r["slot"] for r in rows}) == 1000 and max(r["slot"] for r in rows) < 1024
+    for n, _, need in needs:
+        own = sorted((r["rank"], r["slot"]) for r in rows if r["n"] == n)
+        assert [s for _, s in own] == sorted(s for _, s in own)
+        for upto in (64, 200, 512, 1000):
+            assert abs(sum(s < upto for _, s in own) - upto * need / 1000) <= 6 + 0.03 * need
+    assert mixing.schedule(spark.createDataFrame([(0, 0, 0)], "n long, low long, need long")).count() == 0
+
+
+def test_running_sums_and_levels_of_many_sources(spark):
+    """More sources than one step of the running sum."""
+    n = 3 * mixing.STEP
+    df = spark.range(n).select(F.col("id").alias("n"), (F.col("id") % 7).alias("v"))
+    got = {r["n"]: r["b"] for r in mixing.running_before(df.repartition(5), "n", "v", "b").collect()}
+    assert got == dict(zip(range(n), itertools.accumulate([0] + [k % 7 for k in range(n - 1)])))
 
 
 def test_fingerprints(spark, sf_dir, texts):
