@@ -220,26 +220,31 @@ def pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def remaining_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list whose members lie in different components: those outside the pivot's component with all others."""
+def remaining_pairs(postings: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list whose members lie in different components: those outside the pivot's component with all others.
+
+    Members of such lists carry their prefixes, so a pair is counted where its lists meet and passed on once, at the first shingle that
+    both prefixes share, and only if they share as many as both ask for.
+    """
     root = F.coalesce(F.col("root"), F.col("node"))
     placed = postings.join(roots, "node", "left").select("token", "node", "n", "pos", "before", "matches", root.alias("root"), (F.col("node") == F.col("pivot.node")).alias("is_pivot"))
     mixed_lists = placed.groupBy("token").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.max(F.when(F.col("is_pivot"), F.col("root"))).alias("home")
     ).filter("_low <> _high").select("token", "home")
     rows = checkpointed(placed.drop("is_pivot").join(mixed_lists, "token"))
+    asked = checkpointed(rows.select("node").distinct())
+    prefixes = may_be_among(nodes.select("node", "set.prefix"), F.col("node"), asked, F.col("node")).join(asked, "node")
+    rows = checkpointed(rows.join(prefixes, "node"))
     x, y = rows.filter("root <> home").alias("x"), rows.alias("y")
+    shared = F.array_intersect("x.prefix", "y.prefix")
     met = x.join(
         y,
         (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
         & ((F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node")))
-        & may_link("x.", "y.", percent),
+        & may_link("x.", "y.", percent)
+        & (F.size(shared) >= F.least("x.matches", "y.matches")) & (F.get(shared, F.lit(0)) == F.col("x.token")),
     )
-    return counted_pairs(
-        met.select(
-            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.matches", "y.matches").alias("least")
-        )
-    ).select("a", "b")
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -292,7 +297,7 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80, text_column
     postings = listed_postings(nodes)
     firsts = nodes.select("node", "first")
     links = checkpointed(verified(checkpointed(pivot_pairs(postings, percent)), firsts, docs, size, percent))
-    more = verified(checkpointed(remaining_pairs(postings, components(links), percent)), firsts, docs, size, percent)
+    more = verified(checkpointed(remaining_pairs(postings, nodes, components(links), percent)), firsts, docs, size, percent)
     roots = components(links.union(more))
     members = signed.select("doc_id", "at", F.col("n").alias("n_shingles"), "key").join(nodes.select("key", "node"), "key", "left")
     members = members.join(roots, "node", "left")
