@@ -12,6 +12,9 @@ TOKEN_REGEX = r"\S{1,4}"
 K = 5  # tokens of a k-mer
 S = 2  # tokens of its inner substrings
 CELL = 256  # tokens; matching anchors lie in the same or in neighbouring cells
+# Texts of one range of ids, in bytes, about; beyond MOST_RANGES ranges (some 2 TB) they grow instead, since their bounds are held by the driver.
+RANGE_BYTES = 8 << 20
+MOST_RANGES = 1 << 18
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -47,9 +50,8 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def as_text(anchors: Column) -> Column:
-    """Fingerprint as text: position, colon and 24 bits of the hash in hexadecimal digits, blank-separated."""
-    low = lambda a: F.lower(F.hex(a["hash"].bitwiseAND(F.lit(0xFFFFFF))))
-    return F.array_join(F.transform(anchors, lambda a: F.concat_ws(":", a["pos"].cast("string"), low(a))), " ")
+    """Fingerprint as text: position, colon and the hash in hexadecimal digits, blank-separated."""
+    return F.array_join(F.transform(anchors, lambda a: F.concat_ws(":", a["pos"].cast("string"), F.lower(F.hex(a["hash"])))), " ")
 
 
 def _cells(anchors: Column) -> Column:
@@ -81,12 +83,12 @@ def followed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, text) in ranges of ids, with copies of each range's first rows at the end of the range before.
 
     Columns _bucket, _guest and _key; ordering by (_guest, _key, text) in a bucket puts every row before its successor, and
-    the last row of all before the first. There are about sqrt(characters) / 128 ranges, and only their first ids reach the driver.
+    the last row of all before the first. A range has about RANGE_BYTES of texts, and only the first ids of the ranges reach the driver.
     """
     key = F.coalesce(F.col(id_column).cast("bigint"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), key.alias("_key"))
     total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_column)), F.lit(0)) + 1)).first()[0] or 0
-    ranges = max(1, math.ceil(math.sqrt(total) / 128))
+    ranges = min(MOST_RANGES, max(1, math.ceil(total / RANGE_BYTES)))
     cuts = [k / ranges for k in range(1, ranges)]
     keys = docs.select(key.alias("_key"))
     bounds = keys.agg(F.percentile_approx("_key", cuts, 10 * ranges + 1000)).first()[0] if cuts and total else []

@@ -76,16 +76,16 @@ def search(
     exactly, in blocks of the sorted arrays; groups of any size are cut into blocks, none is capped. Equal vectors are
     indexed once with their k + 1 smallest ids, since no more of them can be among k nearest with ties to the smaller id.
 
-    Null, zero and non-finite vectors and null ids take no part, nor do vectors of another length than most; repeated ids with one
-    vector count once; without candidates a query has no rows; extra columns aren't read.
+    Null, zero and non-finite vectors and null ids take no part; vectors of different lengths are as if filled up with zeros; repeated ids with
+    one vector count once; without candidates a query has no rows; extra columns aren't read.
     """
     source = rows.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"), queries.alias("_query"))
     source = source.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    facts = source.groupBy(F.size("vector").alias("size")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")
-    ).orderBy(F.desc("n"), "size").limit(1).collect()
-    size, n, longest = (facts[0]["size"], facts[0]["n"], math.sqrt(facts[0]["longest"])) if facts else (0, 0, 0.0)
-    source = source.filter(F.size("vector") == size)
+    facts = source.agg(
+        F.max(F.size("vector")).alias("size"), F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")
+    ).first()
+    size, n, longest = (facts["size"], facts["n"], math.sqrt(facts["longest"])) if facts["n"] else (0, 0, 0.0)
+    source = source.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("vector"))))
     ids = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
     # Ids of one vector are cut to k + 1 in hash groups first, so that a very common vector is not collected as a whole.
     part = source.groupBy("vector", F.pmod(F.xxhash64("vec_id"), F.lit(1 + n // 1000)).alias("_part")).agg(ids.alias("ids"))

@@ -189,4 +189,41 @@ WITH RECURSIVE crc AS (
 )
 SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
 """
-ORACLES: dict[str, str] = {"op5_ngram_join": NGRAM_JOIN_SQL, "op11_exact_search": EXACT_SEARCH_SQL, "op12_spelling": SPELLING_SQL}
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"""
+
+
+def url_filter_sql() -> str:
+    """Rules, then Witten-Bell models of order 0 to 4 from one table per order, and the calibrated threshold."""
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, rules)) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules)) + " END"
+    ctes = [
+        f"crc AS ({CRC_TABLE})",
+        "part AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        "split AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM part)",
+        f"ruled AS (SELECT *, {rule} AS rule, {verdict} AS ruled_verdict FROM split)",
+        "hexed AS (SELECT DISTINCT url, ruled_verdict AS v, hex(encode(url)) AS h FROM ruled)",
+        """one AS (SELECT url, v, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+            lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 5 = 0 AS cal FROM hexed, crc)""",
+        f"padded AS (SELECT *, repeat(chr(2), {urls.ORDER}) || lower(url) || chr(3) AS p FROM one)",
+        f"gram AS (SELECT url, v, cal, substr(p, i, {urls.ORDER + 1}) AS g FROM (SELECT *, unnest(generate_series(1, length(p) - {urls.ORDER})) AS i FROM padded))",
+        f"s{urls.ORDER} AS (SELECT g AS s, count(*) FILTER (v = 'allow' AND NOT cal) AS na, count(*) FILTER (v = 'block' AND NOT cal) AS nr FROM gram GROUP BY 1)",
+    ]
+    for k in range(urls.ORDER - 1, -1, -1):
+        ctes.append(f"s{k} AS (SELECT substr(s, 2) AS s, sum(na)::BIGINT AS na, sum(nr)::BIGINT AS nr FROM s{k + 1} GROUP BY 1)")
+    for k in range(urls.ORDER + 1):
+        ctes.append(f"c{k} AS (SELECT substr(s, 1, {k}) AS c, sum(na)::BIGINT AS ta, sum(nr)::BIGINT AS tr, count(*) FILTER (na > 0) AS ka, count(*) FILTER (nr > 0) AS kr FROM s{k} GROUP BY 1)")
+        before = f"JOIN p{k - 1} q ON q.s = substr(x.s, 2)" if k else ", (SELECT 1.0::DOUBLE / (count(*) + 1) AS pa, 1.0::DOUBLE / (count(*) + 1) AS pr FROM s0) q"
+        ctes.append(
+            f"p{k} AS (SELECT x.s, CASE WHEN ta > 0 THEN (na + ka * q.pa) / (ta + ka) ELSE q.pa END AS pa, CASE WHEN tr > 0 THEN (nr + kr * q.pr) / (tr + kr) ELSE q.pr END AS pr FROM s{k} x JOIN c{k} c ON c.c = substr(x.s, 1, {k}) {before})"
+        )
+    ctes += [
+        f"scored AS (SELECT url, any_value(v) AS v, any_value(cal) AS cal, floor(sum(CAST(round((ln(pa) - ln(pr)) * {urls.SCALE}) AS BIGINT)) / count(*)) AS score FROM gram JOIN p{urls.ORDER} ON s = g GROUP BY url)",
+        "moment AS (SELECT avg(score) AS m, greatest(sum(score * score) / count(*) - (sum(score) / count(*)) * (sum(score) / count(*)), 0) ** 0.5 + 1 AS d, v FROM scored WHERE cal AND v IS NOT NULL GROUP BY v)",
+        "level AS (SELECT coalesce((SELECT (a.m * r.d + r.m * a.d) / (a.d + r.d) FROM moment a, moment r WHERE a.v = 'allow' AND r.v = 'block'), 0) AS level)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT page_id, host, path, rule, coalesce(ruled_verdict, CASE WHEN score >= level THEN 'allow' ELSE 'block' END) AS verdict FROM ruled JOIN scored USING (url), level"
+
+
+ORACLES: dict[str, str] = {"op6_url_filter": url_filter_sql(), "op5_ngram_join": NGRAM_JOIN_SQL, "op11_exact_search": EXACT_SEARCH_SQL, "op12_spelling": SPELLING_SQL}

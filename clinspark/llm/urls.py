@@ -5,6 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clinspark.llm.common import checkpointed
+
 # (verdict, host, path prefix); a rule fits its host and all subdomains.
 Rule = tuple[str, str, str]
 ORDER = 4
@@ -40,8 +42,13 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Co
 
 def grams(url: Column, order: int = ORDER) -> Column:
     """Windows of `order` characters and the next one, over the lower-cased URL with start and end marks."""
-    padded = F.concat(F.lit(START * order), F.lower(url), F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(url) + 1), lambda i: F.substring(padded, i, F.lit(order + 1)))
+    padded = F.split(F.concat(F.lit(START * order), F.lower(url), F.lit(END)), "")
+
+    def windows(characters):
+        # Cut from the array of characters, so that a long URL costs as much a character as a short one.
+        return F.transform(F.sequence(F.lit(1), F.size(characters) - order), lambda i: F.array_join(F.slice(characters, i, order + 1), ""))
+
+    return F.get(F.transform(F.array(padded), windows), 0)
 
 
 def gram_ratios(distinct: DataFrame, order: int = ORDER) -> DataFrame:
@@ -50,34 +57,36 @@ def gram_ratios(distinct: DataFrame, order: int = ORDER) -> DataFrame:
     Each class has a variable-order Markov model: from order 0 up, p = (n(context, char) + kinds(context) * p of the shorter
     context) / (n(context) + kinds(context)), Witten and Bell's smoothing, above a uniform start over all characters seen and
     one unseen. A context that a class has never seen leaves p as it is.
+
+    The orders are built one on the other: a table has a row for each sequence of k + 1 characters, so a context never has more rows
+    than there are characters, and takes the probabilities of the shorter contexts from the table of k - 1.
     """
-    levels = F.explode(F.array(*[F.lit(k) for k in range(order + 1)])).alias("k")
-    cut = F.substring(F.col("gram"), F.lit(order + 1) - F.col("k"), F.col("k") + 1)
-    leveled = distinct.select("gram", "accepted", "rejected", levels).withColumn("suffix", cut)
-    suffixes = leveled.groupBy("k", "suffix").agg(F.sum("accepted").alias("na"), F.sum("rejected").alias("nr"))
-    contexts = suffixes.withColumn("context", F.substring(F.col("suffix"), F.lit(1), F.col("k"))).groupBy("k", "context").agg(
+    tables = {order: distinct.select(F.col("gram").alias("suffix"), F.col("accepted").alias("na"), F.col("rejected").alias("nr"))}
+    for k in range(order - 1, -1, -1):
+        shorter = tables[k + 1].groupBy(F.substring(F.col("suffix"), F.lit(2), F.lit(k + 1)).alias("suffix"))
+        tables[k] = checkpointed(shorter.agg(F.sum("na").alias("na"), F.sum("nr").alias("nr")))
+    totals = [
         F.sum("na").alias("ta"), F.sum("nr").alias("tr"),
         F.sum((F.col("na") > 0).cast("bigint")).alias("ka"), F.sum((F.col("nr") > 0).cast("bigint")).alias("kr"),
-        F.count(F.lit(1)).alias("kinds"),
-    )
-    joined = (
-        leveled.select("gram", "k", "suffix", F.substring(F.col("suffix"), F.lit(1), F.col("k")).alias("context"))
-        .join(suffixes, ["k", "suffix"]).join(contexts, ["k", "context"])
-    )
-    names = ["na", "ta", "ka", "nr", "tr", "kr", "kinds"]
-    wide = joined.groupBy("gram").agg(
-        *[F.max(F.when(F.col("k") == k, F.col(n))).alias(f"{n}{k}") for k in range(order + 1) for n in names]
-    )
-
-    def probability(side: str) -> Column:
-        p = F.lit(1.0) / (F.col("kinds0") + 1)
-        for k in range(order + 1):
-            n, t, d = F.col(f"n{side}{k}"), F.col(f"t{side}{k}"), F.col(f"k{side}{k}")
-            p = F.when(t > 0, (n + d * p) / (t + d)).otherwise(p)
-        return p
-
-    ratio = F.round((F.ln(probability("a")) - F.ln(probability("r"))) * SCALE).cast("bigint")
-    return wide.select("gram", ratio.alias("ratio"))
+    ]
+
+    def smoothed(side: str, before: Column) -> Column:
+        n, t, d = F.col(f"n{side}"), F.col(f"t{side}"), F.col(f"k{side}")
+        return F.when(t > 0, (n + d * before) / (t + d)).otherwise(before)
+
+    # Order 0 has one context, whose totals are one row.
+    whole = tables[0].agg(*totals, F.count(F.lit(1)).alias("kinds")).first()
+    start = F.lit(1.0) / (F.lit(whole["kinds"]) + 1)
+    known = tables[0].withColumns({c: F.lit(whole[c]).cast("bigint") for c in ("ta", "tr", "ka", "kr")})
+    made = known.select("suffix", smoothed("a", start).alias("pa"), smoothed("r", start).alias("pr"))
+    for k in range(1, order + 1):
+        table = tables[k].withColumns({"context": F.substring("suffix", 1, k), "short": F.substring(F.col("suffix"), F.lit(2), F.lit(k))})
+        contexts = table.groupBy("context").agg(*totals)
+        shorter = made.select(F.col("suffix").alias("short"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
+        joined = table.join(contexts, "context").join(shorter, "short")
+        made = joined.select("suffix", smoothed("a", F.col("qa")).alias("pa"), smoothed("r", F.col("qr")).alias("pr"))
+    ratio = F.round((F.ln("pa") - F.ln("pr")) * SCALE).cast("bigint")
+    return made.select(F.col("suffix").alias("gram"), ratio.alias("ratio"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], url_column: str = "url", order: int = ORDER) -> DataFrame:
@@ -95,39 +104,38 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url_column: str = "url", orde
     """
     made = ["host", "path", "rule", "verdict", "score"]
     kept = [c for c in pages.columns if c.lower() not in made]
-    url = F.coalesce(F.col("_url"), F.lit(""))
-    urls = pages.select(F.col(url_column).alias("_url")).select(url.alias("_url")).distinct()
-    host, path = url_parts(F.col("_url"))
-    urls = urls.withColumn("_verdict", matching_rule(host, path, rules)[1])
-    group = F.pmod(F.crc32(F.encode(F.col("_url"), "UTF-8")), F.lit(CALIBRATION))
-    urls = urls.withColumn("_calibrates", group == 0)
-    # The gram table is far smaller than its rows; a gram that every URL holds is split by the adaptive skew join.
-    rows = urls.select("_url", "_verdict", "_calibrates", F.explode(grams(F.col("_url"), order)).alias("gram"))
+    # The user's columns travel in one struct, so that no name used here meets one of theirs.
+    rows = pages.select(F.coalesce(F.col(url_column), F.lit("")).alias("url"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    host, path = url_parts(F.col("url"))
+    urls = rows.select("url").distinct().withColumn("verdict", matching_rule(host, path, rules)[1])
+    group = F.pmod(F.crc32(F.encode(F.col("url"), "UTF-8")), F.lit(CALIBRATION))
+    # Grams carry a short number of their URL, fixed by the checkpoint, and meet its text again at the end only.
+    urls = checkpointed(urls.withColumns({"calibrates": group == 0, "id": F.monotonically_increasing_id()}))
+    placed = urls.select("id", "verdict", "calibrates", F.explode(grams(F.col("url"), order)).alias("gram"))
 
     def counted(verdict):
-        return F.sum((F.coalesce(F.col("_verdict") == verdict, F.lit(False)) & ~F.col("_calibrates")).cast("bigint"))
-
-    distinct = rows.groupBy("gram").agg(counted("allow").alias("accepted"), counted("block").alias("rejected"))
-    scored = (
-        rows.join(gram_ratios(distinct, order), "gram").groupBy("_url")
-        .agg(F.first("_verdict").alias("_verdict"), F.first("_calibrates").alias("_calibrates"), F.sum("ratio").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("score", F.floor(F.col("_sum") / F.col("_n")))
-    )
-    moments = scored.filter(F.col("_calibrates") & F.col("_verdict").isNotNull()).groupBy("_verdict").agg(
+        return F.sum((F.coalesce(F.col("verdict") == verdict, F.lit(False)) & ~F.col("calibrates")).cast("bigint"))
+
+    distinct = checkpointed(placed.groupBy("gram").agg(counted("allow").alias("accepted"), counted("block").alias("rejected")))
+    # A gram that a URL repeats moves once; one that every URL holds is split by the adaptive skew join.
+    own = placed.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("times"))
+    sums = own.join(gram_ratios(distinct, order), "gram").groupBy("id").agg(F.sum(F.col("ratio") * F.col("times")).alias("sum"), F.sum("times").alias("n"))
+    scored = urls.join(sums, "id").select("url", "verdict", "calibrates", F.floor(F.col("sum") / F.col("n")).alias("score"))
+    scored = checkpointed(scored)
+    moments = scored.filter(F.col("calibrates") & F.col("verdict").isNotNull()).groupBy("verdict").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.sum((F.col("score") * F.col("score")).cast("decimal(38,0)")).alias("q")
     )
-    trained = urls.filter(F.col("_verdict").isNotNull() & ~F.col("_calibrates")).groupBy("_verdict").agg(F.count(F.lit(1)).alias("n"))
-    both = {r["_verdict"] for r in trained.collect()} >= {"allow", "block"}  # at most one row per verdict
-    level = threshold({r["_verdict"]: (r["n"], r["s"], int(r["q"])) for r in moments.collect()}) if both else 0.0
+    trained = urls.filter(F.col("verdict").isNotNull() & ~F.col("calibrates")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    both = {r["verdict"] for r in trained.collect()} >= {"allow", "block"}  # at most one row per verdict
+    level = threshold({r["verdict"]: (r["n"], r["s"], int(r["q"])) for r in moments.collect()}) if both else 0.0
     score = F.col("score") if both else F.lit(0).cast("bigint")
-    result = scored.select(F.col("_url").alias("_scored"), score.alias("score"))
-    joined = pages.select(*kept, F.coalesce(F.col(url_column), F.lit("")).alias("_url")).join(result, F.col("_url") == F.col("_scored"))
-    host, path = url_parts(F.col("_url"))
+    joined = rows.join(scored.select("url", score.alias("score")), "url")
     rule, verdict = matching_rule(host, path, rules)
     method = F.when(F.col("score") >= F.lit(level), F.lit("allow")).otherwise(F.lit("block"))
     return joined.select(
-        *kept, host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("score")
-    )
+        *[F.col(f"row.`{c}`").alias(c) for c in kept],
+        host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("score"),
+    )
 
 
 def threshold(moments: dict[str, tuple[int, int, int]]) -> float:

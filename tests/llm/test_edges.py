@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns: each case has a defined result."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -67,6 +68,39 @@ def test_urls_on_edges(spark):
     assert urls.judge(spark.createDataFrame([], schema), URL_RULES).count() == 0
 
 
+def test_long_urls_and_columns_of_any_name(spark):
+    """A random URL of 100,000 characters beside short ones, and columns named like those used inside."""
+    rng = random.Random(2)
+    long = "http://c.com/" + "".join(rng.choice("abcdefghij0123456789-%/é") for _ in range(100_000))
+    schema = "page_id long, url string, _url string, _scored int, row string, id int, gram string, sum int"
+    rows = [(k, f"http://site{k}.org/fr/a-{k}", "u", 1, "r", 2, "g", 3) for k in range(30)] + [(100 + k, f"http://x{k}.net/q{k}", "u", 1, "r", 2, "g", 3) for k in range(30)]
+    found = urls.judge(spark.createDataFrame([*rows, (200, long, "u", 1, "r", 2, "g", 3)], schema), URL_RULES)
+    assert found.columns == [*schema.replace(" long", "").replace(" string", "").replace(" int", "").split(", "), "host", "path", "rule", "verdict", "score"]
+    got = {r["page_id"]: r for r in found.collect()}
+    assert len(got) == 61 and all(tuple(r)[2:8] == ("u", 1, "r", 2, "g", 3) for r in got.values())
+    assert got[200]["url"] == long and got[200]["host"] == "c.com" and got[200]["verdict"] in ("allow", "block")
+
+
+def test_grams(spark):
+    df = spark.createDataFrame([("Ab😀",), ("",)], "url string")
+    got = [r[0] for r in df.select(urls.grams(F.col("url"), 2)).collect()]
+    assert got == [["\x02\x02a", "\x02ab", "ab😀", "b😀\x03"], ["\x02\x02\x03"]]
+
+
+def test_copies_of_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six seven", "i", 1, "o", "r", "f"), (2, "one two three four five six seven", "i", 1, "o", "r", "f"), (3, "", "i", 1, "o", "r", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _at int, _one string, row string, of string")
+    kept = jaccard.one_of_each_class(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_neighbours_of_different_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (20, [1.0]), (1, [0.5, 1.0, 2.0]), (2, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 2, 2.0), (0, 2, 20, 1.0), (0, 3, 1, 0.5), (20, 1, 2, 2.0), (20, 2, 0, 1.0), (20, 3, 1, 0.5)]
+
+
 def test_mixing_on_edges(documents, edges, no_rows, spark):
     docs = documents(edges, sources=("a", None, "b"))
     rows = mixing.mix(docs).collect()
