@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clinspark.functions.keys import joined_id
 from clinspark.functions.text import char_context, encode_labels
-from clinspark.operators.groups import dedupe_on, with_group_totals
+from clinspark.operators.groups import dedupe_on, unique_by, with_group_totals
 
 # Offsets are cut into blocks of this many characters; the offsets of a block fit the bits of a long.
 BLOCK = 60
@@ -97,13 +97,20 @@ def replicate_labels(entities: DataFrame, labels: Sequence[str], replacement: st
     return dedupe_on(both, [*group, "begin", "end", "label"], ["_rank", "id"]).drop("_rank")
 
 
-def snapshot_rows(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Snapshot frames (notes array, annotator) -> seen documents and their entities."""
+def snapshot_rows(snapshots: DataFrame, context_window: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Snapshot frames (notes array, annotator) -> seen documents and their entities, each with its context.
+
+    Contexts are cut where the text is, before a note's entities become rows, so a text is never copied to its entities.
+    """
     notes = snapshots.select("annotator", F.explode("notes").alias("_n")).filter(F.coalesce("_n.seen", F.lit(False)))
     documents = notes.select("_n.note_id", "_n.note_text", "annotator")
-    entities = notes.select("_n.note_id", "_n.note_text", "annotator", F.explode("_n.entities").alias("_e")).select(
-        "note_id", "note_text", "annotator", "_e.id", "_e.text", "_e.label", "_e.begin", "_e.end"
-    )
+    fields = ["id", "text", "label", "begin", "end"]
+
+    def with_context(e):
+        return F.struct(*[e[f].alias(f) for f in fields], char_context(F.col("_n.note_text"), e["begin"], e["end"], context_window).alias("context"))
+
+    entities = notes.select("_n.note_id", "annotator", F.transform("_n.entities", with_context).alias("_entities"))
+    entities = entities.select("note_id", "annotator", F.inline("_entities"))
     return documents, entities
 
 
@@ -121,10 +128,13 @@ def process_annotations(
 ) -> DataFrame:
     """Detected dates of the seen notes with one "0"/"1" column per task, taken from the overlapping highlights.
 
-    `task_names` maps the label of a task to its column name (the whole task dimension, in order).
+    `task_names` maps the label of a task to its column name (the whole task dimension, in order). Entities come with their `context`, as
+    `snapshot_rows` makes them, or with the `note_text` to cut it from.
     """
-    # Contexts are cut first, so that no later step carries a text per entity.
-    entities = entities.withColumn("context", char_context("note_text", "begin", "end", context_window)).drop("note_text")
+    if "context" not in entities.columns:
+        # Contexts are cut first, so that no later step carries a text per entity.
+        entities = entities.withColumn("context", char_context("note_text", "begin", "end", context_window))
+    entities = entities.drop("note_text")
     if subset_notes is not None:
         documents = documents.join(subset_notes.select("note_id").distinct(), "note_id", "left_semi")
         entities = entities.join(subset_notes.select("note_id").distinct(), "note_id", "left_semi")
@@ -144,12 +154,12 @@ def process_annotations(
 def annotated_entities(
     documents: DataFrame, annotations: DataFrame, tasks: DataFrame, group_id: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Annotated spans with the id of their task, and the distinct seen notes."""
+    """Annotated spans with the id of their task, and the distinct seen notes; a label of two tasks stops the job."""
     seen = documents.filter(F.col("seen"))
     if group_id is not None:
         seen = seen.filter(F.col("screening_group") == group_id)
         annotations = annotations.filter(F.col("screening_group") == group_id)
-    names = tasks.select(F.col("Task Name (date de)").alias("label_label"), "task_id")
+    names = unique_by(tasks.select(F.col("Task Name (date de)").alias("label_label"), "task_id"), ["label_label"], "tasks")
     rows = annotations.join(names, "label_label", "inner").select(
         "note_id",
         F.col("begin_date").alias("start"),

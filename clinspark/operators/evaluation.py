@@ -105,22 +105,42 @@ def evaluate_many(
 ) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """Many prediction sets, each {(model, dataset): (frame, suffix)}, -> tidy metrics and skipped tasks.
 
-    Every set is reduced to its confusion counts, then the small results are stacked.
+    All sets are stacked with their gold labels and grouped once on (set, span key): no join per set, and one pass over each frame. A
+    span that a set or the gold labels hold twice counts once, with its largest labels.
     """
-    out, skipped = None, []
-    for (model, dataset), (frame, suffix) in predictions.items():
+    skipped, known, stacked = [], {}, None
+    users: dict[str, list[int]] = {}
+    sets = list(predictions)
+
+    def side(frame, columns, mark):
+        values = [columns[t].alias(f"{t}_{mark}") if t in columns else F.lit(None).cast("string").alias(f"{t}_{mark}") for t in tasks]
+        other = [F.lit(None).cast("string").alias(f"{t}_{'pred' if mark == 'gold' else 'gold'}") for t in tasks]
+        return frame.select("_set", *keys, *values, *other, F.lit(mark == "gold").alias("_in_gold"))
+
+    for i, (model, dataset) in enumerate(sets):
+        frame, suffix = predictions[model, dataset]
         prepared, missing = prediction_frame(frame, tasks, suffix, keys)
         skipped += [(model, dataset, t) for t in missing]
-        known = [t for t in tasks if t not in missing]
-        if not known:
+        known[i] = [t for t in tasks if t not in missing]
+        if not known[i]:
             continue
-        gold = gold_sets[dataset]
-        prepared = prepared.join(gold.select("note_id").distinct(), "note_id", "left_semi")
-        rows = evaluate(gold, prepared, known, keys=keys).select(
-            F.lit(model).alias("model"), F.lit(dataset).alias("dataset"), "*"
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out, skipped
+        users.setdefault(dataset, []).append(i)
+        rows = side(prepared.withColumn("_set", F.lit(i)), {t: F.col(t).cast("string") for t in known[i]}, "pred")
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    if stacked is None:
+        return None, skipped
+    for dataset, numbers in users.items():
+        gold = gold_sets[dataset].withColumn("_set", F.explode(F.array(*[F.lit(i) for i in numbers])))
+        stacked = stacked.unionByName(side(gold, {t: F.col(t).cast("string") for t in tasks}, "gold"))
+    marks = [f"{t}_{m}" for t in tasks for m in ("gold", "pred")]
+    # Predictions on notes without gold labels don't count.
+    spans = stacked.groupBy("_set", *keys).agg(*[F.max(m).alias(m) for m in marks])
+    noted = stacked.filter("_in_gold").select("_set", "note_id").distinct()
+    counts = spans.join(noted, ["_set", "note_id"], "left_semi").groupBy("_set").agg(*confusion_measures(tasks))
+    names = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(d).alias("dataset"), F.array(*[F.lit(t) for t in known[i]]).cast("array<string>").alias("known")) for i, (m, d) in enumerate(sets)])
+    rows = prf_rows(counts.withColumn("_name", F.get(names, F.col("_set"))), tasks, ["_name"])
+    rows = rows.filter(F.array_contains(F.col("_name.known"), F.col("task")))
+    return rows.select(F.col("_name.model").alias("model"), F.col("_name.dataset").alias("dataset"), *[c for c in rows.columns if c != "_name"]), skipped
 
 
 # ---------------------------------------------------------------- agreement

@@ -57,6 +57,10 @@ def _folded(raw: str, accents: dict) -> str:
     return low if len(low) == len(raw) else "".join(c if len(c.lower()) != 1 else c.lower() for c in plain)
 
 
+# Characters of spans and contexts after which an output batch ends.
+BATCH_CHARS = 1 << 23
+
+
 def _starts(text: str, boundary: re.Pattern) -> list[int]:
     """Offsets at which the segments that tile the text begin; a boundary closes its segment."""
     return [0] + [m.end() for m in boundary.finditer(text) if m.end() < len(text)]
@@ -82,12 +86,19 @@ def extract_spans(
 
     def find(batches):
         for batch in batches:
-            rows, columns = [], [[] for _ in names]
-            for row, raw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                rows += [row] * search(raw, columns)
-            taken = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
-            values = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(taken + values, [*batch.schema.names[:-1], *names])
+            rows, columns, spans, size = [], [[] for _ in names], 0, 0
+            texts = batch.column(batch.num_columns - 1)
+            for row in range(len(texts)):
+                n = search(texts[row].as_py(), columns)
+                rows += [row] * n
+                # Spans with contexts may be far larger than their texts: a batch ends when its columns hold enough.
+                size += sum(len(v) for column in columns for v in column[spans:] if isinstance(v, str))
+                spans += n
+                if size > BATCH_CHARS or row == len(texts) - 1:
+                    taken = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+                    values = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                    yield pa.RecordBatch.from_arrays(taken + values, [*batch.schema.names[:-1], *names])
+                    rows, columns, spans, size = [], [[] for _ in names], 0, 0
 
     return _with_span_id(_map_texts(notes, keys, text, find, names, kinds), keys)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clinspark.operators.codes import code_dictionary, filter_source, listed_codes, match_codes, match_prefix_codes
 from clinspark.operators.events import eligible_notes
-from clinspark.operators.groups import keep_one
+from clinspark.operators.groups import keep_one, unique_by
 from clinspark.reference_values import (
     INCOMPLETE_STAY,
     NO_LOCALISATION,
@@ -280,20 +280,25 @@ def patient_cohort(
     return cohort.drop("_targeted")
 
 
+COHORT_COLUMNS = ("organ", "system", "localisation_first_date")
+
+
 def cohort_notes(
-    cohort: DataFrame, hospital_groups: DataFrame, notes: DataFrame, visits: DataFrame, group: str | None = None, **eligibility
+    cohort: DataFrame, hospital_groups: DataFrame, notes: DataFrame, visits: DataFrame, group: str | None = None,
+    cohort_columns: Sequence[str] = COHORT_COLUMNS, **eligibility,
 ) -> DataFrame:
-    """Eligible notes of cohort persons written in the hospital group of the person's cohort row.
+    """Eligible notes of cohort persons written in the hospital group of the person's cohort row, with what the cohort knows of the person.
 
-    The joins run on ids; the texts are only joined to the chosen note ids at the end.
+    The joins run on ids; only the texts of eligible notes are joined to the chosen note ids at the end.
     """
+    shown = [c for c in cohort_columns if c in cohort.columns and c not in notes.columns]
     persons = keep_one(
-        cohort.select("person_id", "care_site_id", "localisation_first_date"),
+        cohort.select(*dict.fromkeys(["person_id", "care_site_id", "localisation_first_date", *shown])),
         sort_column="localisation_first_date",
         tie_break=["care_site_id"],
     )
-    sites = hospital_groups.select("care_site_id", "hospital_group")
-    persons = persons.join(sites, "care_site_id").select("person_id", F.col("hospital_group").alias("_person_group"))
+    sites = unique_by(hospital_groups.select("care_site_id", "hospital_group").distinct(), ["care_site_id"], "hospital groups")
+    persons = persons.join(sites, "care_site_id").select("person_id", F.col("hospital_group").alias("_person_group"), *shown)
     eligible = eligible_notes(notes, **eligibility)
     if "care_site_id" in notes.columns:
         written = eligible.select("note_id", "person_id", "care_site_id")
@@ -304,4 +309,4 @@ def cohort_notes(
     written = written.filter(F.col("hospital_group") == F.col("_person_group"))
     if group is not None:
         written = written.filter(F.col("hospital_group") == group)
-    return notes.join(written.select("note_id", "hospital_group"), "note_id")
+    return eligible.join(written.select("note_id", "hospital_group", *shown), "note_id")

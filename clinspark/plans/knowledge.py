@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clinspark.operators.codes import filter_persons, filter_source, match_codes
 from clinspark.operators.events import select_conditions, select_drugs, select_imaging, select_notes
+from clinspark.operators.groups import unique_by
 from clinspark.reference_values import KNOWLEDGE_LFS
 
 
@@ -77,16 +78,14 @@ def knowledge_events(
     if drug_rows is not None:
         found["lf_drugs"] = drug_rows
     events = clean_dates(filter_persons(tag_events(found), persons)).distinct()
-    names = tasks.select("task_id", F.col("task").alias("class"))
-    return events.join(names, "task_id", "left").select("person_id", "lf", "event_date", "class")
+    names = unique_by(tasks.select("task_id", F.col("task").alias("class")), ["task_id"], "tasks")
+    return with_task_names(events.join(names, "task_id", "left")).select("person_id", "lf", "event_date", "class")
 
 
-def check_task_names(events: DataFrame) -> DataFrame:
-    """Raise when an event has no task name."""
-    missing = events.filter(F.col("class").isNull()).take(1)
-    if missing:
-        raise ValueError(f"event without a task name: {missing[0]}")
-    return events
+def with_task_names(events: DataFrame) -> DataFrame:
+    """The same events; the job stops at one whose task has no name."""
+    message = F.concat(F.lit("event without a task name: task "), F.coalesce(F.col("task_id").cast("string"), F.lit("null")))
+    return events.withColumn("class", F.when(F.col("class").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("class")))
 
 
 def collect_events(events: DataFrame) -> DataFrame:

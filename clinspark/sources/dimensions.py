@@ -5,6 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clinspark.functions.text import fold_accents, normalize_name
+from clinspark.operators.groups import unique_by
 from clinspark.operators.vocabulary import CHUNK, regex_chunks
 from clinspark.reference_values import DRUG_NAME_COLUMNS, TREATMENT_SCTIDS
 
@@ -16,11 +17,11 @@ def read_tasks(raw: DataFrame) -> DataFrame:
 
 
 def read_lf_reference(raw: DataFrame, tasks: DataFrame, implemented: str | None = "ok") -> tuple[DataFrame, DataFrame]:
-    """Labelling functions with the name of their task, and their distinct names."""
+    """Labelling functions with the name of their task, and their distinct names; a task id of two tasks stops the job."""
     rows = raw if implemented is None else raw.filter(F.col("Implemented") == implemented)
     rows = rows.select("Task Number", "ref_name", "LF type")
     names = rows.select("ref_name").distinct()
-    tasks = tasks.select("task_id", "normalized_task_name")
+    tasks = unique_by(tasks.select("task_id", "normalized_task_name"), ["task_id"], "tasks")
     return rows.join(tasks, rows["Task Number"] == tasks["task_id"], "left"), names
 
 

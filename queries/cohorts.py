@@ -222,8 +222,8 @@ def w_rolling_mean_partial(spark, d):
 @query(
     "j_cohort_notes",
     with_ctes(
-        """SELECT note_id, n.person_id, gn.hospital_group FROM note n JOIN visit v ON v.visit_occurrence_id = n.visit_occurrence_id JOIN hospital gn ON gn.care_site_id = v.care_site_id
-        JOIN (SELECT person_id, h.hospital_group FROM picked JOIN hospital h USING (care_site_id)) p ON p.person_id = n.person_id
+        """SELECT note_id, n.person_id, gn.hospital_group, p.organ, p.system, p.first_date FROM note n JOIN visit v ON v.visit_occurrence_id = n.visit_occurrence_id JOIN hospital gn ON gn.care_site_id = v.care_site_id
+        JOIN (SELECT person_id, organ, system, CAST(CAST(first_date AS DATE) AS VARCHAR) AS first_date, h.hospital_group FROM picked JOIN hospital h USING (care_site_id)) p ON p.person_id = n.person_id
         WHERE row_status_source_value = 'Actif' AND list_contains(note_class_source_value, 'en') AND length(note_text) > 30 AND p.hospital_group = gn.hospital_group""",
         "note",
         "hospital",
@@ -237,7 +237,7 @@ def w_rolling_mean_partial(spark, d):
 def j_cohort_notes(spark, d):
     cohort = co.patient_cohort(stays(spark, d))
     rows = co.cohort_notes(cohort, ad.hospital_groups(spark, d), ad.notes(spark, d), ad.visits(spark, d), note_class="en")
-    return rows.select("note_id", "person_id", "hospital_group")
+    return rows.select("note_id", "person_id", "hospital_group", "organ", "system", day("localisation_first_date").alias("first_date"))
 
 
 # ---------------------------------------------------------------- knowledge

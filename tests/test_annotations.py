@@ -67,7 +67,8 @@ def test_process_annotations(spark):
     other = [("n1", text, True, [("d1", "12/03", "date", 7, 12), ("h1", "x", "TEP scan", 5, 9)])]
     kind = "notes array<struct<note_id:string,note_text:string,seen:boolean,entities:array<struct<id:string,text:string,label:string,begin:int,end:int>>>>, annotator string"
     frames = spark.createDataFrame([(snapshot, "main"), (other, "second")], kind)
-    documents, entities = an.snapshot_rows(frames)
+    documents, entities = an.snapshot_rows(frames, context_window=4)
+    assert "note_text" not in entities.columns
     names = {"IRM": "mri", "TEP scan": "pet", "Imagerie médicale": "imaging"}
     rules = [(["TEP scan", "IRM"], "Imagerie médicale")]
     rows = an.process_annotations(documents, entities, names, rules, priority=["main"], context_window=4).orderBy("start").collect()

@@ -247,5 +247,37 @@ def test_event_dates(spark):
     events = spark.createDataFrame([(1, "lf_ccam", datetime.date(2020, 1, 1), "A"), (1, "lf_ccam", datetime.date(2020, 1, 1), "A")], "person_id long, lf string, event_date date, class string")
     wide = kn.external_knowledge(events).first()
     assert len(wide.lf_ccam) == 1 and wide.lf_drugs is None and wide.lf_icd10 is None
-    with pytest.raises(ValueError):
-        kn.check_task_names(events.withColumn("class", F.lit(None).cast("string")))
+    named = events.withColumn("task_id", F.lit(4))
+    assert kn.with_task_names(named).count() == 2
+    with pytest.raises(Exception, match="event without a task name: task 4"):
+        kn.with_task_names(named.withColumn("class", F.lit(None).cast("string"))).collect()
+
+
+def test_a_task_listed_twice_stops_the_job(spark):
+    tasks = spark.createDataFrame([(1, "a", "A"), (1, "b", "B")], "task_id int, normalized_task_name string, `Task Name (date de)` string")
+    raw = spark.createDataFrame([(1, "lf_1", "regex", "ok")], "`Task Number` int, ref_name string, `LF type` string, Implemented string")
+    with pytest.raises(Exception, match="tasks: key"):
+        dim.read_lf_reference(raw, tasks)[0].collect()
+    assert dim.read_lf_reference(raw, tasks.filter("normalized_task_name = 'a'"))[0].count() == 1
+
+
+def test_many_prediction_sets_equal_single_ones(spark):
+    """Sets with other tasks, other notes, repeated keys and nulls, against one evaluation each."""
+    import random
+
+    rng = random.Random(12)
+    kind = "note_id long, start int, `end` int, label string, a string, b string"
+    gold = {d: spark.createDataFrame([(n, s, s + 1, "date", rng.choice("01"), rng.choice(["0", "1", None])) for n in range(12) for s in range(4)], kind) for d in "XY"}
+    frames = [spark.createDataFrame([(n, s, s + 1, "date", rng.choice("01"), rng.choice("01")) for n in range(2, 15) for s in range(1, 6)], kind) for _ in range(3)]
+    sets = {("m0", "X"): (frames[0], None), ("m1", "X"): (frames[1].withColumnRenamed("b", "b_llm"), "llm"), ("m2", "Y"): (frames[2].drop("a"), None), ("m3", "Y"): (frames[2].drop("a", "b"), None)}
+    rows, skipped = evl.evaluate_many(gold, sets, ["a", "b"])
+    assert skipped == [("m2", "Y", "a"), ("m3", "Y", "a"), ("m3", "Y", "b")]
+    got = sorted(map(tuple, rows.collect()))
+    want = []
+    for (model, dataset), (frame, suffix) in sets.items():
+        prepared, missing = evl.prediction_frame(frame, ["a", "b"], suffix)
+        known = [t for t in "ab" if t not in missing]
+        if known:
+            prepared = prepared.join(gold[dataset].select("note_id").distinct(), "note_id", "left_semi")
+            want += [(model, dataset, *r) for r in evl.evaluate(gold[dataset], prepared, known).collect()]
+    assert got == sorted(want) and len(got) == 10

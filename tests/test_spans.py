@@ -137,3 +137,14 @@ def test_names_and_accents(spark):
 def test_char_context_expression(spark):
     df = spark.createDataFrame([("0123456789", 2, 4)], "t string, start int, end int")
     assert df.select(char_context("t", "start", "end", 3)).first()[0] == "0123456"
+
+
+def test_output_batches_are_bounded(spark, monkeypatch):
+    """Spans with wide contexts leave in batches of bounded size, and none is lost."""
+    from clinspark.operators import spans as sp
+
+    notes = spark.createDataFrame([(k, "a 1 " * 300) for k in range(6)], "note_id long, note_text string").coalesce(1)
+    want = sorted(map(tuple, sp.extract_spans(notes, {"n": "[0-9]"}, contexts={"c": sp.ContextWindow(chars=200)}).collect()))
+    monkeypatch.setattr(sp, "BATCH_CHARS", 1000)
+    got = sorted(map(tuple, sp.extract_spans(notes, {"n": "[0-9]"}, contexts={"c": sp.ContextWindow(chars=200)}).collect()))
+    assert got == want and len(got) == 1800
