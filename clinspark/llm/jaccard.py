@@ -232,18 +232,20 @@ def remaining_pairs(postings: DataFrame, nodes: DataFrame, roots: DataFrame, per
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.max(F.when(F.col("is_pivot"), F.col("root"))).alias("home")
     ).filter("_low <> _high").select("token", "home")
     rows = checkpointed(placed.drop("is_pivot").join(mixed_lists, "token"))
+
+    def possible(x, y):
+        return (F.col(f"{x}.token") == F.col(f"{y}.token")) & (F.col(f"{x}.root") != F.col(f"{y}.root")) & may_link(f"{x}.", f"{y}.", percent)
+
+    # Few members of a list may link with any other; only these get their prefixes, and each is listed once, however many partners it has.
+    rows = checkpointed(rows.alias("x").join(rows.alias("y"), possible("x", "y"), "left_semi"))
     asked = checkpointed(rows.select("node").distinct())
     prefixes = may_be_among(nodes.select("node", "set.prefix"), F.col("node"), asked, F.col("node")).join(asked, "node")
-    rows = checkpointed(rows.join(prefixes, "node"))
+    rows = rows.join(prefixes, "node")
     x, y = rows.filter("root <> home").alias("x"), rows.alias("y")
     shared = F.array_intersect("x.prefix", "y.prefix")
-    met = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node")))
-        & may_link("x.", "y.", percent)
-        & (F.size(shared) >= F.least("x.matches", "y.matches")) & (F.get(shared, F.lit(0)) == F.col("x.token")),
-    )
+    once = (F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node"))
+    counted = (F.size(shared) >= F.least("x.matches", "y.matches")) & (F.get(shared, F.lit(0)) == F.col("x.token"))
+    met = x.join(y, possible("x", "y") & once & counted)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 

@@ -38,14 +38,13 @@ def places(threshold: int) -> list[tuple[int, bool, int]]:
     return sorted(found, key=lambda p: (p[2] != 0, p))
 
 
-def probes(line: Column, length: Column, threshold: int) -> Column:
-    """Hash keys of a line, those of its threshold + 1 index entries first.
+def probes(line: Column, length: Column, own: Column, lower: Column, threshold: int) -> Column:
+    """Hash keys of a line, those of its threshold + 1 index entries first; `own` and `lower` are the classes of its length and of the least
+    length of a line within the threshold.
 
     A key is a hash of the class, the segment's number and the substring. A line is indexed in its own class and looked up there; if shorter
     lines within the threshold may belong to the class below, it is looked up there too.
     """
-    own = length_class(length, threshold)
-    lower = length_class(F.greatest(length - threshold, F.lit(0)), threshold)
 
     def keys(least):
         size = F.floor(least / (threshold + 1)).cast("int")
@@ -124,15 +123,20 @@ def distinct_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     Texts are read once and stay where they are: only the keys move, combined per task.
     """
-    keyed = lines.select("hash", "place", probes(F.col("line"), F.length("line"), threshold).alias("keys"))
+    # Lengths and classes are columns of their own, so that each is computed once.
+    measured = lines.select("hash", "place", "line", F.length("line").alias("n"))
+    shorter = F.greatest(F.col("n") - threshold, F.lit(0))
+    measured = measured.select("*", length_class(F.col("n"), threshold).alias("own"), length_class(shorter, threshold).alias("lower"))
+    keys = probes(F.col("line"), F.col("n"), F.col("own"), F.col("lower"), threshold)
+    keyed = measured.select("hash", "place", keys.alias("keys"))
     grouped = keyed.groupBy("hash").agg(F.min("place").alias("place"), F.first("keys").alias("keys"))
     return checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))  # short names, fixed by the checkpoint
 
 
 def near_copies(lines: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Lines (hash, line), repeated as they stand, and their `distinct_lines` -> hashes of lines with a near copy at an earlier place.
+    """Lines (hash, line, place), repeated as they stand, and their `distinct_lines` -> hashes of lines with a near copy at an earlier place.
 
-    Keys that a line shares with another, of which one is an index entry, are found first; then the text of only these lines is looked up.
+    Keys that a line shares with another, of which one is an index entry, are found first; then the text of only these lines is looked up, by place.
     A line is of interest if an earlier one with the same key may be near it by their character counts; those and their partners meet once
     more with their texts. Each of these joins is a semi-join: it gives a line once, however many others share its key, and lines that
     share a key are compared where they lie and never listed in pairs. Lines of any length take part.
@@ -142,18 +146,24 @@ def near_copies(lines: DataFrame, distinct: DataFrame, threshold: int = THRESHOL
     shared = checkpointed(shared.filter("_a <> _b and _i = 1").select("key"))
     met = checkpointed(may_be_among(keyed, F.col("key"), shared, F.col("key")).join(shared, "key"))
     wanted = checkpointed(distinct.select("node", "hash", "place").join(met.select("node").distinct(), "node", "left_semi"))
-    texts = may_be_among(lines.select("hash", "line"), F.xxhash64("hash"), wanted, F.xxhash64("hash")).groupBy("hash", "line").agg(F.count(F.lit(1)).alias("_n"))
-    texts = checkpointed(texts.join(wanted, "hash").select("node", "hash", "line", "place"))
-    counts = [c.alias(f"bag{k}") for k, c in enumerate(letters(F.col("line")))]
+    texts = may_be_among(lines.select("line", "place"), F.xxhash64("place"), wanted, F.xxhash64("place")).dropDuplicates(["place"])
+    texts = checkpointed(texts.join(wanted, "place").select("node", "hash", "line", "place"))
+    head = F.substring(F.col("line"), F.lit(1), F.floor(F.length("line") / 2).cast("int"))
+    counts = [c.alias(f"bag{k}") for k, c in enumerate(letters(F.col("line")))] + [c.alias(f"head{k}") for k, c in enumerate(letters(head))]
     placed = checkpointed(met.join(texts.select("node", "place", *counts), "node"))
 
     def earlier_partner(a: str, b: str) -> Column:
-        """Whether the row `a` stands earlier than `b`, one of them is indexed, and their counts allow the threshold."""
-        apart = F.lit(0).cast("bigint")
+        """Whether the row `a` stands earlier than `b`, one of them is indexed, and their counts allow the threshold.
+
+        An edit changes two counts of a line by one at most. The first halves of two lines within the threshold also differ by up to
+        threshold + 1 characters that the edits have moved over the middle.
+        """
         condition = (F.col(f"{a}.key") == F.col(f"{b}.key")) & (F.col(f"{a}.place") < F.col(f"{b}.place")) & (F.col(f"{a}.is_index") | F.col(f"{b}.is_index"))
-        for k in range(len(LETTERS)):
-            apart = apart + letters_apart(F.col(f"{a}.bag{k}"), F.col(f"{b}.bag{k}"))
-            condition = condition & (apart <= 2 * threshold)
+        for name, most in (("bag", 2 * threshold), ("head", 3 * threshold + 1)):
+            apart = F.lit(0).cast("bigint")
+            for k in range(len(LETTERS)):
+                apart = apart + letters_apart(F.col(f"{a}.{name}{k}"), F.col(f"{b}.{name}{k}"))
+                condition = condition & (apart <= most)
         return condition
 
     later = checkpointed(placed.alias("b").join(placed.alias("a"), earlier_partner("a", "b"), "left_semi"))
@@ -207,7 +217,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHO
 
     def stays(line, at):
         word = F.coalesce(F.get(F.col("kept"), F.floor(at / 64).cast("int")), F.lit(0).cast("bigint"))
-        return (F.length(line_key(line)) < shortest) | (F.call_function("getbit", word, (at % 64).cast("int")) == 1)
+        return (F.call_function("getbit", word, (at % 64).cast("int")) == 1) | (F.length(line_key(line)) < shortest)
 
     result = joined.withColumn("stay", F.filter(cut, stays))
     text = F.when(F.col("text").isNotNull(), F.array_join("stay", "\n"))
