@@ -21,7 +21,8 @@ def read_annotation_folder(spark: SparkSession, path: str, doc_schema=None, pati
     strict = {"multiLine": True, "mode": "FAILFAST"}
     docs = spark.read.schema(doc_schema or T.StructType(fields)).options(**strict).json(f"{base}/*.json")
     docs = docs.withColumn("_stem", _stem()).filter(~F.col("_stem").endswith("/metadata"))
-    texts = spark.read.text(f"{base}/*.txt", wholetext=True).select(F.col("value").alias("note_text"), _stem().alias("_stem"))
+    # Read as bytes: an empty text has a row too.
+    texts = spark.read.format("binaryFile").load(f"{base}/*.txt").select(F.decode("content", "UTF-8").alias("note_text"), _stem().alias("_stem"))
     reader = spark.read.options(**strict)
     patients = (reader.schema(patient_schema) if patient_schema else reader).json(f"{base}/metadata.json")
     return texts.join(docs, "_stem", "inner").drop("_stem"), patients

@@ -281,3 +281,42 @@ def test_many_prediction_sets_equal_single_ones(spark):
             prepared = prepared.join(gold[dataset].select("note_id").distinct(), "note_id", "left_semi")
             want += [(model, dataset, *r) for r in evl.evaluate(gold[dataset], prepared, known).collect()]
     assert got == sorted(want) and len(got) == 10
+
+
+def test_annotation_folder_source(spark, tmp_path):
+    """Written notes come back as they were, however they were split; parts of pairs are left out; broken files raise."""
+    from clinspark.sources import annotation_source as src
+
+    spark.dataSource.register(src.AnnotationFolder)
+    kind = "note_id string, person_id string, note_date string, note_text string, annotation_order long, seen boolean, entities array<struct<id:string,text:string,label:string,begin:int,end:int>>"
+    rows = [(f"n{k}", f"p{k % 7}", "2024-01-02", 'line\r\nZwölf "12"\n', k, k % 2 == 0, [("e", "12", "number", 7, 9), (None, None, None, None, None)]) for k in range(40)]
+    rows += [("n40", "p9", None, None, None, None, None)]
+    path = str(tmp_path / "notes")
+    spark.createDataFrame(rows, kind).repartition(5).write.format("annotation_folder").mode("append").save(path)
+    read = spark.read.format("annotation_folder").load(f"file:{path}")
+    got = {r["note_id"]: r for r in read.collect()}
+    assert len(got) == 41 and tuple(got["n3"])[:6] == rows[3][:6] and [tuple(e) for e in got["n3"]["entities"]] == rows[3][6]
+    assert (got["n40"]["person_id"], got["n40"]["note_text"], got["n40"]["entities"]) == ("p9", "", [])
+    assert json.loads((tmp_path / "notes" / "record.json").read_text()) == {"num_docs": 41, "num_patients": 8}
+    # The plain readers see the same notes.
+    notes, patients = af.read_annotation_folder(spark, path)
+    assert notes.count() == 41 and patients.count() == 8
+    (tmp_path / "notes" / "p0" / "n0.txt").rename(tmp_path / "notes" / "p0" / "other.txt")
+    assert read.count() == 40
+    (tmp_path / "notes" / "p1" / "n1.json").write_text("{broken")
+    with pytest.raises(Exception, match="cannot be read"):
+        read.collect()
+    with pytest.raises(Exception, match="need the columns"):
+        spark.range(1).write.format("annotation_folder").mode("append").save(path)
+    assert src.local_path("file:///a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        src.local_path("store://a")
+
+
+def test_annotation_folder_partitions(tmp_path):
+    from clinspark.sources import annotation_source as src
+
+    for k in range(src.FOLDERS + 1):
+        (tmp_path / f"p{k}").mkdir()
+    found = src.FolderReader(str(tmp_path)).partitions()
+    assert [len(f.paths) for f in found] == [src.FOLDERS, 1] and src.FolderReader(str(tmp_path / "p0")).partitions() == []
