@@ -34,3 +34,25 @@ def test_stages(spark, sf_dir, tmp_path):
     assert len(encoded) == len(mixed) and all(r["n_tokens"] == len(r["ids"]) > 0 for r in encoded)
     whole = corpus_pipeline.run(spark, sf_dir)
     assert sorted((r["doc_id"], r["n_tokens"]) for r in whole.collect()) == sorted((r["doc_id"], r["n_tokens"]) for r in encoded)
+
+
+NAMES = "Score string, size string, passes string, first_words string, _id string, _at string, _one string, _of string, _key string, _owner string, _kept string, n_lines string, row string, key string, nth string, slot string, stay string, ids string, decoded string, node string, hash string, place string, kept string, owner string"
+
+
+def test_stages_on_columns_of_every_name(spark, sf_dir, edges):
+    """Each stage on a table whose extra columns carry the names used inside, with nulls, empty, long and repeated rows, and on an empty one."""
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {NAMES}"
+    own = [f"v{k}" for k in range(len(NAMES.split(", ")))]
+    rows = [(i, t, "en", None if k % 3 else "a", len(t or ""), *own) for k, (i, t) in enumerate(edges)]
+    rows += [(100 + k, f"A document of its own, number {k}, with words enough to be one. " * 3, None, "b", 0, *own) for k in range(6)]
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, sf_dir)
+        got = made.collect()
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert len(got) == len(rows)
+        else:
+            assert made.columns == docs.columns, name
+            assert got and all(tuple(r)[5:] == tuple(own) for r in got), name
+            assert {r["doc_id"] for r in got} >= {100, 105}, name
+        assert stage(spark, none, sf_dir).count() == 0, name
