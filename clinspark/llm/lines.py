@@ -1,14 +1,13 @@
 """Line dedup: exact and near copies of lines found by a segment-partition edit join, in built-in functions only."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clinspark.llm.common import checkpointed, may_be_among
 
 THRESHOLD = 2  # edits between near copies
 SHORTEST = 20  # characters of the shortest line that is compared; shorter lines are always kept
-# A place is a number: the document's id, the line's number (32 bits) and 16 bits of the line's hash, which tell lines of repeated ids apart.
-_LINES = 1 << 32
-_HASHES = 1 << 16
 
 
 def line_key(line: Column) -> Column:
@@ -133,21 +132,22 @@ def distinct_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))  # short names, fixed by the checkpoint
 
 
-def near_copies(lines: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Lines (hash, line, place), repeated as they stand, and their `distinct_lines` -> hashes of lines with a near copy at an earlier place.
+def near_copies(distinct: DataFrame, text_of: Callable[[DataFrame], DataFrame], threshold: int = THRESHOLD) -> DataFrame:
+    """`distinct_lines` -> hashes of lines with a near copy at an earlier place; `text_of` finds (line, place) for rows that have a place.
 
-    Keys that a line shares with another, of which one is an index entry, are found first; then the text of only these lines is looked up, by place.
-    A line is of interest if an earlier one with the same key may be near it by their character counts; those and their partners meet once
-    more with their texts. Each of these joins is a semi-join: it gives a line once, however many others share its key, and lines that
-    share a key are compared where they lie and never listed in pairs. Lines of any length take part.
+    Keys that a line shares with another, of which one is an index entry, are found first; then the text of only these lines is looked up.
+    A line is of interest if an earlier one with the same key may be near it by their character counts. It is compared with the earliest
+    of the possible partners of each key first; lines that this doesn't settle meet all partners of their keys. Each of these joins
+    gives a line once for each of its keys, however many others share them: lines that share a key are compared where they lie and
+    never listed in pairs. Lines of any length take part.
     """
     keyed = distinct.select("node", F.posexplode("keys").alias("at", "key")).select("node", "key", (F.col("at") <= threshold).alias("is_index"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.max(F.col("is_index").cast("int")).alias("_i"))
     shared = checkpointed(shared.filter("_a <> _b and _i = 1").select("key"))
     met = checkpointed(may_be_among(keyed, F.col("key"), shared, F.col("key")).join(shared, "key"))
     wanted = checkpointed(distinct.select("node", "hash", "place").join(met.select("node").distinct(), "node", "left_semi"))
-    texts = may_be_among(lines.select("line", "place"), F.xxhash64("place"), wanted, F.xxhash64("place")).dropDuplicates(["place"])
-    texts = checkpointed(texts.join(wanted, "place").select("node", "hash", "line", "place"))
+    texts = text_of(wanted).dropDuplicates(["place"]).join(wanted, "place")
+    texts = checkpointed(texts.select("node", "hash", "line", "place"))
     head = F.substring(F.col("line"), F.lit(1), F.floor(F.length("line") / 2).cast("int"))
     counts = [c.alias(f"bag{k}") for k, c in enumerate(letters(F.col("line")))] + [c.alias(f"head{k}") for k, c in enumerate(letters(head))]
     placed = checkpointed(met.join(texts.select("node", "place", *counts), "node"))
@@ -166,14 +166,23 @@ def near_copies(lines: DataFrame, distinct: DataFrame, threshold: int = THRESHOL
                 condition = condition & (apart <= most)
         return condition
 
+    def near(a: str, b: str) -> Column:
+        # The arrays of characters are bound once for all steps of the comparison.
+        both = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
+        return F.get(F.transform(both, lambda v: within_edits(v["x"], v["y"], threshold)), 0)
+
     later = checkpointed(placed.alias("b").join(placed.alias("a"), earlier_partner("a", "b"), "left_semi"))
-    partners = placed.alias("a").join(later.alias("b"), earlier_partner("a", "b"), "left_semi")
+    partners = checkpointed(placed.alias("a").join(later.alias("b"), earlier_partner("a", "b"), "left_semi"))
     full = texts.select("node", "line")
-    later, partners = later.join(full, "node"), checkpointed(partners.join(full, "node"))
-    # The arrays of characters are bound once for all steps of the comparison.
-    both = F.array(F.struct(F.split("a.line", "").alias("x"), F.split("b.line", "").alias("y")))
-    near = F.get(F.transform(both, lambda v: within_edits(v["x"], v["y"], threshold)), 0)
-    found = later.alias("b").join(partners.alias("a"), earlier_partner("a", "b") & near, "left_semi").select("node").distinct()
+    own = [c for c in placed.columns if c != "key"]
+    earliest = partners.groupBy("key").agg(F.min(F.struct("place", *[c for c in own if c != "place"])).alias("_first"))
+    earliest = earliest.select("key", *[F.col(f"_first.{c}").alias(c) for c in own])
+    pairs = later.alias("b").join(earliest.alias("a"), earlier_partner("a", "b")).select(F.col("a.node").alias("x"), F.col("b.node").alias("node")).distinct()
+    pairs = pairs.join(full, "node").join(full.select(F.col("node").alias("x"), F.col("line").alias("line_x")), "x")
+    settled = checkpointed(pairs.filter(near("line_x", "line")).select("node").distinct())
+    open_ = later.join(settled, "node", "left_anti").join(full, "node")
+    rest = open_.alias("b").join(partners.join(full, "node").alias("a"), earlier_partner("a", "b") & near("a.line", "b.line"), "left_semi")
+    found = settled.union(rest.select("node").distinct())
     return texts.join(found, "node", "left_semi").select("hash")
 
 
@@ -192,28 +201,34 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHO
     made = ["n_lines", "n_removed"]
     kept_columns = [c for c in docs.columns if c.lower() not in made]
     # The user's columns travel in one struct, so that no name used here meets one of theirs.
-    rank = F.coalesce(F.col(id_column).cast("decimal(20,0)"), F.lit("9223372036854775808").cast("decimal(20,0)"))
-    rows = docs.select(rank.alias("owner"), F.col(text_column).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row"))
+    doc = F.col(id_column).cast("bigint")
+    rows = docs.select(
+        doc.isNull().cast("int").alias("last"), F.coalesce(doc, F.lit(0)).cast("bigint").alias("id"), F.col(text_column).alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row"),
+    )
     cut = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    occurrences = rows.select("owner", F.posexplode(cut).alias("at", "raw")).withColumn("line", line_key(F.col("raw")))
-    occurrences = occurrences.filter(F.length("line") >= shortest)
-    lines_, hashes = (F.lit(n).cast("decimal(10,0)") for n in (_LINES, _HASHES))
-    inside = F.col("at").cast("bigint") * _HASHES + F.xxhash64("line").bitwiseAND(F.lit(_HASHES - 1))
-    place = (F.col("owner") * lines_ * hashes + inside).cast("decimal(38,0)")
-    occurrences = occurrences.select(F.unhex(F.md5("line")).alias("hash"), "line", place.alias("place"))
-    distinct = distinct_lines(occurrences, threshold)
-    near = near_copies(occurrences, distinct, threshold)
-    keeps = distinct.select("hash", "place").join(near, "hash", "left_anti").select("place")
-    inside = F.pmod(F.col("place"), (lines_ * hashes).cast("decimal(20,0)"))
-    owner = ((F.col("place") - inside) / (lines_ * hashes).cast("decimal(20,0)")).cast("decimal(20,0)")
-    keeps = keeps.select(owner.alias("owner"), F.shiftright(inside.cast("bigint"), 16).alias("at"))
+    raw = rows.select("last", "id", F.posexplode(cut).alias("at", "raw"))
+
+    def described(occurrences: DataFrame) -> DataFrame:
+        """(line, place) of the lines that are compared; the hash in a place tells lines of repeated ids apart."""
+        measured = occurrences.select("last", "id", "at", line_key(F.col("raw")).alias("line"))
+        measured = measured.select("*", F.length("line").alias("n")).filter(F.col("n") >= shortest)
+        return measured.select("line", F.struct("last", "id", "at", F.xxhash64("line").alias("h")).alias("place"))
+
+    def text_of(wanted: DataFrame) -> DataFrame:
+        # Most lines are left by their number, before anything is made of them.
+        return described(may_be_among(raw, F.xxhash64("last", "id", "at"), wanted, F.xxhash64("place.last", "place.id", "place.at")))
+
+    distinct = distinct_lines(described(raw).withColumn("hash", F.unhex(F.md5("line"))), threshold)
+    near = near_copies(distinct, text_of, threshold)
+    keeps = distinct.select("hash", "place").join(near, "hash", "left_anti").select("place.last", "place.id", "place.at")
     # Kept lines of a document as a dense array of 64-bit words: bit n of the text's n-th line. A very long text has many words.
-    words = keeps.groupBy("owner", F.expr("at div 64").cast("int").alias("word")).agg(
+    words = keeps.groupBy("last", "id", F.expr("at div 64").cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")
     )
-    words = words.groupBy("owner").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("map"), F.max("word").alias("last"))
-    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.element_at("map", w), F.lit(0).cast("bigint")))
-    joined = rows.join(words.select("owner", dense.alias("kept")), "owner", "left")
+    words = words.groupBy("last", "id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("map"), F.max("word").alias("top"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.element_at("map", w), F.lit(0).cast("bigint")))
+    joined = rows.join(words.select("last", "id", dense.alias("kept")), ["last", "id"], "left")
 
     def stays(line, at):
         word = F.coalesce(F.get(F.col("kept"), F.floor(at / 64).cast("int")), F.lit(0).cast("bigint"))

@@ -73,7 +73,7 @@ def test_banded_edit_distance(spark, threshold):
 def near_places(spark, texts, threshold=2):
     df = spark.createDataFrame(list(enumerate(texts)), "place long, line string").withColumn("hash", F.unhex(F.md5("line")))
     twice = df.unionByName(df.withColumn("place", F.col("place") + 1_000_000))
-    near = lines.near_copies(twice, lines.distinct_lines(twice, threshold), threshold)
+    near = lines.near_copies(lines.distinct_lines(twice, threshold), lambda wanted: df.select("line", "place"), threshold)
     return {r["place"] for r in df.join(near, "hash").collect()}
 
 
