@@ -35,13 +35,13 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 # Most 64-bit words of a bit table that filters a scan; it is broadcast.
-MOST_FILTER_WORDS = 1 << 18
+MOST_FILTER_WORDS = 1 << 17
 
 
 def filter_words(wanted: int) -> int:
-    """Size of a bit table for so many keys: 16 bits a key, so that few others pass; 0 where that is beyond the bound."""
+    """Size of a bit table for so many keys: 16 bits a key, so that few others pass, up to the bound; 0 where fewer than 2 bits a key are left."""
     words = 1 << max(10, math.ceil(math.log2(max(wanted, 1) / 4)))
-    return words if words <= MOST_FILTER_WORDS else 0
+    return min(words, MOST_FILTER_WORDS) if 2 * wanted <= 64 * MOST_FILTER_WORDS else 0
 
 
 def may_be_among(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:

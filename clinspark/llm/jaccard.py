@@ -220,11 +220,11 @@ def pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def remaining_pairs(postings: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list whose members lie in different components: those outside the pivot's component with all others.
 
-    Members of such lists carry their prefixes, so a pair is counted where its lists meet and passed on once, at the first shingle that
-    both prefixes share, and only if they share as many as both ask for.
+    Members of such lists carry their prefix shingles of such lists, so a pair is counted where its lists meet and passed on once, at the
+    first shingle that both have, and only if they share as many as both ask for.
     """
     root = F.coalesce(F.col("root"), F.col("node"))
     placed = postings.join(roots, "node", "left").select("token", "node", "n", "pos", "before", "matches", root.alias("root"), (F.col("node") == F.col("pivot.node")).alias("is_pivot"))
@@ -236,11 +236,11 @@ def remaining_pairs(postings: DataFrame, nodes: DataFrame, roots: DataFrame, per
     def possible(x, y):
         return (F.col(f"{x}.token") == F.col(f"{y}.token")) & (F.col(f"{x}.root") != F.col(f"{y}.root")) & may_link(f"{x}.", f"{y}.", percent)
 
-    # Few members of a list may link with any other; only these get their prefixes, and each is listed once, however many partners it has.
+    # Only members that may link with another stay, each listed once, however many partners it has. They get the shingles of their own rows in
+    # order; those that two sets share are on both sides, unless the sets can't link.
     rows = checkpointed(rows.alias("x").join(rows.alias("y"), possible("x", "y"), "left_semi"))
-    asked = checkpointed(rows.select("node").distinct())
-    prefixes = may_be_among(nodes.select("node", "set.prefix"), F.col("node"), asked, F.col("node")).join(asked, "node")
-    rows = rows.join(prefixes, "node")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda r: r["token"])
+    rows = rows.join(rows.groupBy("node").agg(listed.alias("prefix")), "node")
     x, y = rows.filter("root <> home").alias("x"), rows.alias("y")
     shared = F.array_intersect("x.prefix", "y.prefix")
     once = (F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node"))
@@ -299,7 +299,7 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80, text_column
     postings = listed_postings(nodes)
     firsts = nodes.select("node", "first")
     links = checkpointed(verified(checkpointed(pivot_pairs(postings, percent)), firsts, docs, size, percent))
-    more = verified(checkpointed(remaining_pairs(postings, nodes, components(links), percent)), firsts, docs, size, percent)
+    more = verified(checkpointed(remaining_pairs(postings, components(links), percent)), firsts, docs, size, percent)
     roots = components(links.union(more))
     members = signed.select("doc_id", "at", F.col("n").alias("n_shingles"), "key").join(nodes.select("key", "node"), "key", "left")
     members = members.join(roots, "node", "left")
