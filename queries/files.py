@@ -143,8 +143,7 @@ def src_pattern_file(spark, d):
     functions, skipped = lfs.load_patterns(path, known_lfs=["lf_terms"])
     if len(skipped) != 2:
         raise ValueError(f"unexpected entries: {skipped}")
-    contexts = lfs.context_columns(functions)
-    return lfs.pattern_lfs(ad.spans(spark, d, contexts), functions, contexts).select("span_id", "lf_terms")
+    return lfs.pattern_voted_spans(ad.notes(spark, d), functions, ad.SPAN_PATTERNS, ad.SPAN_KEYS).select("span_id", "lf_terms")
 
 
 @query("lf_spans_to_rows", with_ctes('SELECT note_id, person_id, lang, lexical_variant, label, start, "end" FROM span JOIN (SELECT note_id, lang FROM note) USING (note_id)', "span"))

@@ -148,3 +148,49 @@ def test_output_batches_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(sp, "BATCH_CHARS", 1000)
     got = sorted(map(tuple, sp.extract_spans(notes, {"n": "[0-9]"}, contexts={"c": sp.ContextWindow(chars=200)}).collect()))
     assert got == want and len(got) == 1800
+
+
+def test_batches_end_within_a_text(spark, monkeypatch):
+    """One text may hold any number of spans and sentences: no batch holds them all, and none is lost."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sp, "BATCH_CHARS", 2000)
+    notes = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array(["a 1. " * 1000, None])], ["note_id", "note_text"])
+    search = sp._searcher({"n": "[0-9]", "a": "a"}, {"c": sp.ContextWindow(chars=200)}, None)
+    made = list(sp._batches(notes, search, [*sp.SPAN_NAMES, "c"], [*sp.SPAN_KINDS, pa.string()]))
+    assert sum(b.num_rows for b in made) == 2000 and max(b.num_rows for b in made) <= 20
+    df = spark.createDataFrame([(7, "a 1. " * 1000), (8, None)], "note_id long, note_text string")
+    rows = sp.sentences(df).orderBy("sentence_id").collect()
+    assert [r.sentence_id for r in rows] == list(range(1000)) and "".join(r.sentence for r in rows) == "a 1. " * 1000
+    lists = {r.note_id: r.spans for r in sp.span_lists(df, {"n": "[0-9]"}).collect()}
+    assert [s.start for s in lists[7]] == list(range(2, 5000, 5)) and lists[8] == []
+
+
+def test_spans_of_one_sentence_share_their_contexts(spark, monkeypatch):
+    """A sentence of the whole text leaves once per run of spans, not once per span; the spans and votes are those of single spans."""
+    from clinspark.operators import lfs
+
+    texts = ["a 1 é 2 " * 400, "x 1. y 22! z 3\nend 4", "none", "", None]
+    notes = spark.createDataFrame(list(enumerate(texts)), "note_id long, note_text string")
+    functions = [
+        lfs.PatternLF("one", "A", terms=("a", "y"), window=sp.ContextWindow(sentences=1)),
+        lfs.PatternLF("two", "B", regexes=("e 2|z",), window=sp.ContextWindow(sentences=(1, 2), norm=True)),
+    ]
+    shared, words = lfs.context_columns(functions), {"c": sp.ContextWindow(words=(1, 1))}
+    patterns = {"n": "[0-9]+", "a": "[a-z] [0-9]"}
+    wide = sp.extract_spans(notes, patterns, contexts={**words, **shared})
+    want = sorted(map(tuple, lfs.pattern_lfs(wide, functions, shared).drop(*shared).collect()))
+    for most in (sp.GROUP_SPANS, 3):
+        monkeypatch.setattr(sp, "GROUP_SPANS", most)
+        got = lfs.pattern_voted_spans(notes, functions, patterns, contexts=words)
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 1200
+    monkeypatch.undo()
+    groups = sp.span_groups(notes, shared, patterns).collect()
+    assert len(groups) <= 6 and sum(len(g._context_0) for g in groups) < 10_000
+
+
+def test_texts_of_span_lists_are_searched_once(spark):
+    notes = spark.createDataFrame([(1, 1, "a 1"), (2, 2, "b")], "note_id long, person_id long, note_text string")
+    rows = sp.spans_to_rows(sp.span_lists(notes, {"n": "[0-9]"}))
+    assert [r.start for r in rows.collect()] == [2]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
