@@ -106,3 +106,23 @@ def test_a_broken_run_goes_on(spark, prompts, tmp_path):
 def test_no_prompts(spark, prompts, tmp_path):
     none = lfs.score_once(prompts.limit(0), lambda asked: asked["prompt"], str(tmp_path / "answers"))
     assert none.count() == 0 and not (tmp_path / "answers").exists()
+
+
+def test_prompts_filled_at_the_scorer(spark):
+    """The scorer is asked the same as through rows of prompts, and a context is read once for all tasks."""
+    tasks = spark.createDataFrame([(1, "biopsy_procedure", "Biopsy"), (2, "scan", "Scan")], "task_id int, normalized_task_name string, snomed_short_name string")
+    spans = spark.createDataFrame([("s1", "3/4", "seen {span} 3/4"), ("s2", None, "x"), ("s3", "{{5}}", None)], "span_id string, lexical_variant string, context string")
+    odd = {**PROMPTS, "7": {"system_prompt": "S {span} {{span}}", "prefix_prompt": "", "suffix_prompt": "{span}{span}"}}
+    rows = lfs.prompt_rows(spark, odd, tasks, {2: "7"})
+
+    def scorer(asked):
+        shown = asked["examples"].map(lambda found: [(e["prompt"], e["answer"]) for e in found])
+        return asked["system_prompt"] + "|" + shown.astype(str) + "|" + asked["prompt"]
+
+    want = lfs.score_prompts(lfs.build_prompts(spans, rows), scorer, rows=2)
+    got = lfs.score_spans_by_prompts(spans, rows, scorer, rows=2, in_flight=3)
+    assert got.columns == ["span_id", "task_id", "snomed_short_name", "answer"]
+    answers = sorted(tuple(r[c] for c in got.columns) for r in got.collect())
+    assert answers == sorted(tuple(r[c] for c in got.columns) for r in want.collect()) and len(answers) == 6
+    assert answers[4] == ("s3", 1, "Biopsy", answers[4][3]) and answers[5][3] == "S {{5}} {span}|[]|{{5}}{{5}}"
+    assert lfs.score_spans_by_prompts(spans.limit(0), rows, scorer).count() == 0
