@@ -165,3 +165,14 @@ def test_steps_and_places_from_one_read(spark, tmp_path):
         assert len(rows) > 20 and scans(got) == 1
     with pytest.raises(ValueError):
         co.located_steps(conditions, procedures, lists, localisations, (5,))
+
+
+def test_a_larger_file_is_spread_over_more_tasks(spark, sf_dir, monkeypatch):
+    from queries import adapters as ad
+
+    lines = ad.table(spark, sf_dir, "lineitem")
+    few = ad.spread_few_files(lines, ["l_orderkey"])
+    monkeypatch.setattr(ad, "SPREAD_BYTES", 4096)
+    many = ad.spread_few_files(lines, ["l_orderkey"])
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < many.rdd.getNumPartitions()
+    assert many.count() == lines.count()
