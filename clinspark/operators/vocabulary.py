@@ -5,10 +5,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clinspark.functions.text import fold_accents
+from clinspark.operators.stored import stored
 
 TOKEN = "[a-z0-9]+"
 # Names of one regular expression, about.
 CHUNK = 10_000
+# Names up to which the vocabulary travels to the texts; a larger one and the token runs of the texts meet by key.
+BROADCAST_NAMES = 100_000
 
 
 def tokens(column) -> Column:
@@ -22,10 +25,12 @@ def find_names(
     """(key, at, name, keep): where the tokens of a name stand one after another in a text; `at` is the place of the first, from 0.
 
     Only as many token runs are made per place as names have different lengths, and they join the names as rows, so the cost does not grow with
-    the vocabulary. What stands between tokens doesn't count. Names without tokens, null names and null texts match nothing; a name listed several
+    the vocabulary. The names are written once and counted: up to BROADCAST_NAMES of them go to the texts, and no token run is moved. What stands between tokens doesn't count. Names without tokens, null names and null texts match nothing; a name listed several
     times, with different columns to keep, gives a row for each.
     """
     listed = names.select(F.col(name).alias("name"), *keep, tokens(F.col(name)).alias("_tokens")).filter(F.size("_tokens") > 0).distinct()
+    listed = stored(listed)
+    few = listed.count() <= BROADCAST_NAMES
     lengths = listed.agg(F.sort_array(F.collect_set(F.size("_tokens")))).scalar()
     listed = listed.select(F.array_join("_tokens", " ").alias("_phrase"), "name", *keep)
 
@@ -40,7 +45,7 @@ def find_names(
     source = texts.filter(F.col(text).isNotNull()).select(F.col(key), tokens(F.col(text)).alias("_tokens"))
     placed = source.withColumn("_lengths", lengths).select(key, F.explode(runs(F.col("_tokens"))).alias("_run"))
     placed = placed.select(key, F.col("_run.at").alias("at"), F.col("_run.phrase").alias("_phrase"))
-    return placed.join(listed, "_phrase").select(key, "at", "name", *keep)
+    return placed.join(F.broadcast(listed) if few else listed, "_phrase").select(key, "at", "name", *keep)
 
 
 def regex_chunks(names: DataFrame, by: Sequence[str], name: str = "name", chunk: int = CHUNK) -> DataFrame:

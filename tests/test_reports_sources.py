@@ -320,3 +320,17 @@ def test_annotation_folder_partitions(tmp_path):
         (tmp_path / f"p{k}").mkdir()
     found = src.FolderReader(str(tmp_path)).partitions()
     assert [len(f.paths) for f in found] == [src.FOLDERS, 1] and src.FolderReader(str(tmp_path / "p0")).partitions() == []
+
+
+def test_token_runs_of_texts_are_not_moved(spark, monkeypatch):
+    """A vocabulary of bounded size goes to the texts; a larger one gives the same rows by a join on keys."""
+    from clinspark.operators import vocabulary as voc
+
+    texts = spark.createDataFrame([(k, f"Vitamine b{k % 7} et é-{k % 5}, b{k % 3}") for k in range(60)], "note_id long, note_text string")
+    names = spark.createDataFrame([(f"b{k}",) for k in range(7)] + [("E 3",), ("vitamine B1",), (None,), ("-",)], "name string")
+    rows = voc.find_names(texts, names)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan.split("BroadcastHashJoin")[1].split("BroadcastExchange")[0]
+    want = sorted(map(tuple, rows.collect()))
+    monkeypatch.setattr(voc, "BROADCAST_NAMES", 3)
+    assert sorted(map(tuple, voc.find_names(texts, names).collect())) == want and len(want) > 120
