@@ -97,8 +97,9 @@ class FolderWriter(DataSourceWriter):
         for row in iterator:
             note = row.asDict(recursive=True)
             folder = f"{self.path}/{note['person_id']}"
-            os.makedirs(folder, exist_ok=True)
-            _place(f"{folder}/{METADATA}", json.dumps({"person_id": note["person_id"]}))
+            if str(note["person_id"]) not in patients:
+                os.makedirs(folder, exist_ok=True)
+                _place(f"{folder}/{METADATA}", json.dumps({"person_id": note["person_id"]}))
             _place(f"{folder}/{note['note_id']}.txt", note.pop("note_text") or "")
             _place(f"{folder}/{note['note_id']}.json", json.dumps(note, ensure_ascii=False, default=str))
             notes += 1

@@ -334,3 +334,19 @@ def test_token_runs_of_texts_are_not_moved(spark, monkeypatch):
     want = sorted(map(tuple, rows.collect()))
     monkeypatch.setattr(voc, "BROADCAST_NAMES", 3)
     assert sorted(map(tuple, voc.find_names(texts, names).collect())) == want and len(want) > 120
+
+
+def test_a_task_writes_the_metadata_of_a_patient_once(tmp_path, monkeypatch):
+    from pyspark.sql import Row
+
+    from clinspark.schemas import SNAPSHOT_NOTE
+    from clinspark.sources import annotation_source as src
+
+    placed, place = [], src._place
+    monkeypatch.setattr(src, "_place", lambda path, text: (placed.append(path), place(path, text)))
+    blank = dict.fromkeys(SNAPSHOT_NOTE.names)
+    notes = [Row(**{**blank, "note_id": str(k), "person_id": str(k % 2), "note_text": f"t{k}", "entities": []}) for k in range(6)]
+    written = src.FolderWriter(str(tmp_path), SNAPSHOT_NOTE).write(iter(notes))
+    assert (written.notes, written.patients) == (6, ["0", "1"]) and len(placed) == 2 + 2 * 6
+    reader = src.FolderReader(str(tmp_path))
+    assert sorted(r[SNAPSHOT_NOTE.names.index("note_text")] for part in reader.partitions() for r in reader.read(part)) == [f"t{k}" for k in range(6)]
