@@ -88,6 +88,14 @@ def test_oversample_lists_copies_in_steps(spans, monkeypatch):
     assert len({(r.span_id, r.draw) for r in rows}) == 41
 
 
+def test_copies_of_few_rows_are_made_by_many_tasks(spans, monkeypatch):
+    monkeypatch.setattr(sm, "COPY_STEP", 10)
+    monkeypatch.setattr(sm, "COPY_TASK", 100, raising=False)
+    drawn = sm.oversample(spans.limit(3), 2000, ["span_id"], 1)
+    per_task = [r["count"] for r in drawn.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 2000 and max(per_task) < 600
+
+
 def test_instance_ids(spans):
     assert sorted(r.instance_id for r in sm.add_instance_id(spans, ["span_id"], dense=True).collect()) == list(range(600))
     assert sm.add_instance_id(spans, ["span_id"]).select("instance_id").distinct().count() == 600
