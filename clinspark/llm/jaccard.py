@@ -220,6 +220,25 @@ def pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def short_names(lists: DataFrame) -> DataFrame:
+    """Rows of different tokens with a `short` name of each, int where they are few enough: half as wide as a hash. Written rows."""
+    local = F.lit((1 << 33) - 1)
+    numbered = checkpointed(lists.withColumn("_id", F.monotonically_increasing_id()))  # the part's number in the bits above 33
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(local)
+    most = numbered.agg(F.max(part).alias("part"), F.max(place).alias("place")).first()
+    step = (most["place"] or 0) + 1
+    kind = "int" if ((most["part"] or 0) + 1) * step < 1 << 31 else "bigint"
+    return numbered.withColumn("short", (part * F.lit(step).cast("bigint") + place).cast(kind)).drop("_id")
+
+
+def with_rest(rows: DataFrame) -> DataFrame:
+    """Rows with `rest`, the tokens of their node's rows from their own on, by `pos`."""
+    others = [c for c in rows.columns if c not in ("node", "pos", "token")]
+    listed = F.array_sort(F.collect_list(F.struct("pos", "token", *others))).alias("_rows")
+    rows = rows.groupBy("node").agg(listed).select("node", F.transform("_rows", lambda r: r["token"]).alias("_tokens"), F.posexplode("_rows").alias("_at", "_row"))
+    return rows.select("node", "_row.*", F.expr("slice(_tokens, _at + 1, size(_tokens))").alias("rest"))
+
+
 def remaining_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list whose members lie in different components: those outside the pivot's component with all others.
 
@@ -231,20 +250,19 @@ def remaining_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> Data
     mixed_lists = placed.groupBy("token").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.max(F.when(F.col("is_pivot"), F.col("root"))).alias("home")
     ).filter("_low <> _high").select("token", "home")
-    rows = checkpointed(placed.drop("is_pivot").join(mixed_lists, "token"))
+    rows = checkpointed(placed.drop("is_pivot").join(short_names(mixed_lists), "token").drop("token").withColumnRenamed("short", "token"))
 
     def possible(x, y):
         return (F.col(f"{x}.token") == F.col(f"{y}.token")) & (F.col(f"{x}.root") != F.col(f"{y}.root")) & may_link(f"{x}.", f"{y}.", percent)
 
-    # Only members that may link with another stay, each listed once, however many partners it has. They get the shingles of their own rows in
-    # order; those that two sets share are on both sides, unless the sets can't link.
+    # Only members that may link with another stay, each listed once, however many partners it has. A row gets the shingles of its node's rows
+    # from its own on; those that two sets share are on both sides, unless the sets can't link. All sets have one order of shingles, so
+    # exactly one of the shared ones has as many from it on as both ask for, if there are that many: the pair is passed on there.
     rows = checkpointed(rows.alias("x").join(rows.alias("y"), possible("x", "y"), "left_semi"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda r: r["token"])
-    rows = rows.join(rows.groupBy("node").agg(listed.alias("prefix")), "node")
+    rows = with_rest(rows)
     x, y = rows.filter("root <> home").alias("x"), rows.alias("y")
-    shared = F.array_intersect("x.prefix", "y.prefix")
     once = (F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node"))
-    counted = (F.size(shared) >= F.least("x.matches", "y.matches")) & (F.get(shared, F.lit(0)) == F.col("x.token"))
+    counted = F.size(F.array_intersect("x.rest", "y.rest")) == F.least("x.matches", "y.matches")
     met = x.join(y, possible("x", "y") & once & counted)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 

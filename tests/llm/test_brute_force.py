@@ -244,6 +244,14 @@ def test_jaccard_classes(documents, size, percent):
     assert kept == {c for _, c in want.values()}
 
 
+def test_jaccard_rows_carry_the_rest_of_their_node_only(spark):
+    rows = spark.createDataFrame([(n, 10 * p, 1 << 40 | n + p) for n in range(3) for p in range(n + 1)], "node long, pos int, token long")
+    short = jaccard.short_names(rows.select("token").distinct().repartition(3))
+    assert short.schema["short"].dataType.simpleString() == "int" and short.select("short").distinct().count() == 5 == short.count()
+    got = {(r.node, r.pos): list(r.rest) for r in jaccard.with_rest(rows.repartition(3)).collect()}
+    assert got == {(n, 10 * p): [1 << 40 | n + q for q in range(p, n + 1)] for n in range(3) for p in range(n + 1)}
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
