@@ -14,6 +14,8 @@ from clinspark.operators.groups import series_rank
 BLOCK_WORDS = 1024
 # Hash buckets in which the documents of one source are put into their shuffled order.
 BUCKETS = 4096
+# Keys of repeated rows that are broadcast at most.
+MOST_REPEATED = 100_000
 # Sources, and slots, of one step of a running sum or of one row of work.
 STEP = 4096
 CHUNK = 1 << 16
@@ -145,6 +147,18 @@ def _same_rows() -> Column:
     return F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(0)))
 
 
+def _numbered(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows with `nth` as the placed rows have it; only rows whose key occurs more than once are moved for it, if such keys are few."""
+    repeated = checkpointed(placed.filter("nth > 1").select("key").distinct())
+    n = repeated.count()
+    if n > MOST_REPEATED:
+        return rows.withColumn("nth", _same_rows())
+    if not n:
+        return rows.withColumn("nth", F.lit(1))
+    single = rows.join(F.broadcast(repeated), "key", "left_anti").withColumn("nth", F.lit(1))
+    return single.unionByName(rows.join(F.broadcast(repeated), "key", "left_semi").withColumn("nth", _same_rows()))
+
+
 def _planned(docs, weights, share_percent, most_repeats, block_words, text_column) -> tuple[DataFrame, DataFrame]:
     """Rows with their place in the stream of their source, and the copies that the schedule takes of them."""
     text = F.col(text_column)
@@ -210,10 +224,10 @@ def mixed_documents(docs: DataFrame, length_column: str | None = "n_chars", text
     aren't in the mix. Columns of any name pass through; edge cases as in `mix`.
     """
     options = {"weights": (5, 2, 1), "share_percent": 150, "most_repeats": 2, "block_words": BLOCK_WORDS, **options}
-    _, copies = _planned(docs, text_column=text_column, **options)
+    placed, copies = _planned(docs, text_column=text_column, **options)
     text = F.col(text_column)
     rows = docs.select(F.col("doc_id"), mix_key(F.col("doc_id"), text).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("nth", _same_rows()).alias("a")
+    rows = _numbered(rows, placed).alias("a")
     plan = copies.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.nth") == F.col("b.nth"))
     joined = rows.join(plan, same).select("row", "slot", "turn", "words", "size", F.col("a.key").alias("key"), F.col("a.nth").alias("nth"))

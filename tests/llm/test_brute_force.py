@@ -531,3 +531,22 @@ def test_long_and_lower_case_secrets():
         value = "".join(rng.choice(["password", "qwerty", "ab", "1999", "x", "K", "7", "zz", "abcd"]) * rng.randint(1, 3) for _ in range(rng.randint(1, 8)))
         full = secrets.guess_cost(value, ranks)
         assert (secrets.guess_cost(value, ranks, 8.0) >= 8.0) == (full >= 8.0), value
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_mixed_documents_move_texts_for_numbers_only_where_rows_repeat(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_REPEATED", most, raising=False)
+    texts = [(i, f"w{i} " * (5 + i), "a" if i % 3 else None) for i in range(40)]
+    schema = "doc_id long, text string, source string"
+
+    def mixed(rows):
+        made = mixing.mixed_documents(spark.createDataFrame(rows, schema), block_words=16)
+        return made._jdf.queryExecution().executedPlan().toString(), sorted((r.doc_id or -1, r.text) for r in made.collect())
+
+    plan, _ = mixed(texts)
+    assert "row_number" not in plan
+    extra = [(3, texts[3][1], "a")] * 4 + [(None, "x y z", "a")] * 3
+    plan, got = mixed(texts + extra)
+    whole = mixing.mix(spark.createDataFrame(texts + extra, schema), block_words=16).collect()
+    assert len(got) == sum(r.copies for r in whole) and sum(len(t.split()) for _, t in got) == sum(r.taken for r in whole)
+    assert sum(i == 3 for i, _ in got) == sum(r.copies for r in whole if r.doc_id == 3) >= 5
