@@ -126,3 +126,35 @@ def test_prompts_filled_at_the_scorer(spark):
     assert answers == sorted(tuple(r[c] for c in got.columns) for r in want.collect()) and len(answers) == 6
     assert answers[4] == ("s3", 1, "Biopsy", answers[4][3]) and answers[5][3] == "S {{5}} {span}|[]|{{5}}{{5}}"
     assert lfs.score_spans_by_prompts(spans.limit(0), rows, scorer).count() == 0
+
+
+def test_rows_of_a_span_come_out_together(spark):
+    """Keys are not repeated task after task: written files hold those of a span as one run."""
+    tasks = spark.createDataFrame([(2, "scan", "Scan"), (1, "biopsy_procedure", "Biopsy")], "task_id int, normalized_task_name string, snomed_short_name string")
+    spans = spark.createDataFrame([(i, f"s{i}", [i], "x" * i, f"seen {i}") for i in range(5)], "note_id int, span_id string, more array<int>, lexical_variant string, context string").coalesce(1)
+    rows, keys = lfs.prompt_rows(spark, {"0": {"system_prompt": "S", "prefix_prompt": "", "suffix_prompt": " {span}"}}, tasks, {}), ["span_id", "more"]
+
+    def scorer(asked):
+        assert len(asked) <= 2 and asked["system_prompt"].tolist() == ["S"] * len(asked)
+        return [None if "3" in p else float("nan") if "4" in p else p for p in asked["prompt"]]
+
+    got = lfs.score_spans_by_prompts(spans, rows, scorer, keys, rows=2, in_flight=3)
+    want = [(f"s{i}", [i], *task, f"seen {i} " + "x" * i if i < 3 else None) for i in range(5) for task in ((1, "Biopsy"), (2, "Scan"))]
+    assert [tuple(r) for r in got.collect()] == want
+    assert lfs.score_spans_by_prompts(spans, rows.limit(0), scorer, keys).collect() == []
+    with pytest.raises(Exception):
+        lfs.score_spans_by_prompts(spans, rows, lambda asked: asked["prompt"][:1], keys, rows=2).collect()
+
+
+def test_answers_told_by_their_text_are_those_of_the_parser(spark):
+    names = ["Biopsy", "", "é à", 'a"b', "a\\b", "a\tb", 'a":true,"b', "a\\", None]
+    ends = ["true}", "false}", " true}", "  false}", " false} ", "True}", "TRUE}", '"true"}', '"False"}', "null}", "1}", 'true,"x":1}', "true} x", "true", "tru e}", "}true}", '{"Biopsy":true}}', "[true]}"]
+    answers = [f'{h}"{n or ""}"{c}:{e}' for n in names for h in ("{", "{ ", '{"y":false,', "") for c in ("", " ") for e in ends]
+    answers += ['{"Biopsy":true,"Biopsy":false}', '{"biopsy":true}', "", "{}", "true}", "no", None]
+    rows = spark.createDataFrame([(n, a) for n in names for a in answers], "snomed_short_name string, answer string")
+    parsed = F.lower(F.from_json("answer", "map<string,string>")[F.col("snomed_short_name")])
+    found = lfs.parse_votes(rows).withColumn("want", F.when(parsed == "true", True).when(parsed == "false", False)).collect()
+    assert [r for r in found if r["vote"] is not r["want"]] == []
+    assert {r["vote"] for r in found if r["snomed_short_name"] == "Biopsy"} == {True, False, None}
+    numbers = spark.createDataFrame([(1, '{"1":true}'), (2, '{"1":true}')], "k int, answer string")
+    assert [r["vote"] for r in lfs.parse_votes(numbers, field_name="k").collect()] == [True, None]
